@@ -13,21 +13,22 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from grantweave import schemas
+from grantweave.sources.literal import literal_frame
 
 
 def permission_mapping(spark: SparkSession, config: Mapping[str, Mapping[str, Iterable[str]]]) -> DataFrame:
     rows = [(env, grp, list(privs or [])) for env, groups in config.items() for grp, privs in (groups or {}).items()]
-    return spark.createDataFrame(rows, schemas.PERMISSION_MAPPING)
+    return literal_frame(spark, rows, schemas.PERMISSION_MAPPING)
 
 
 def catalog_mapping(spark: SparkSession, config: Mapping[str, Mapping[str, str]]) -> DataFrame:
     rows = [(env, prefix, cat) for env, prefixes in config.items() for prefix, cat in (prefixes or {}).items()]
-    return spark.createDataFrame(rows, schemas.CATALOG_MAPPING)
+    return literal_frame(spark, rows, schemas.CATALOG_MAPPING)
 
 
 def env_map(spark: SparkSession, config: Mapping[str | int, str]) -> DataFrame:
     rows = [(str(ws), env) for ws, env in config.items()]
-    return spark.createDataFrame(rows, schemas.ENV_MAP)
+    return literal_frame(spark, rows, schemas.ENV_MAP)
 
 
 def _as_list(v):
@@ -54,7 +55,7 @@ def mask_rules(spark: SparkSession, entries: Iterable[Mapping]) -> DataFrame:
                 bool(e.get("drop_existing", False)),
             )
         )
-    return spark.createDataFrame(rows, schemas.MASK_RULES)
+    return literal_frame(spark, rows, schemas.MASK_RULES)
 
 
 def tag_rules(spark: SparkSession, schema_entries: Iterable[Mapping] = (), table_entries: Iterable[Mapping] = ()) -> DataFrame:
@@ -73,4 +74,4 @@ def tag_rules(spark: SparkSession, schema_entries: Iterable[Mapping] = (), table
                     dict(tags) if isinstance(tags, Mapping) else None,
                 )
             )
-    return spark.createDataFrame(rows, schemas.TAG_RULES)
+    return literal_frame(spark, rows, schemas.TAG_RULES)

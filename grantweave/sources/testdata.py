@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import StringType, StructField, StructType
+
 from grantweave.sources import config
+from grantweave.sources.literal import literal_frame
 
 ENV = "dev"
 BU = "BUILDING"
@@ -191,7 +194,7 @@ def existing_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("dev_main_raw.crm.t"), _s(k % 50), F.lit("_col_"), _s(F.col("s_nationkey")), F.lit("_mask"))
         .alias("function_name")
     )
-    lit_names = spark.createDataFrame([(n,) for n in EXISTING_MASKS], "function_name string")
+    lit_names = literal_frame(spark, [(n,) for n in EXISTING_MASKS], StructType([StructField("function_name", StringType())]))
     return lit_names.unionByName(gen)
 
 
