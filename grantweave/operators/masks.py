@@ -30,7 +30,7 @@ def plan(mask_rules: DataFrame, catalog_mapping: DataFrame, env: str, existing_m
     cat = catalog_mapping.filter((F.col("env") == F.lit(env)) & present("catalog")).select(
         F.col("prefix").alias("_prefix"), "catalog"
     )
-    r = mask_rules.join(broadcast_if_small(cat), F.get(parts, 0) == F.col("_prefix"), "left")
+    r = mask_rules.join(broadcast_if_small(cat, bounded_by=catalog_mapping), F.get(parts, 0) == F.col("_prefix"), "left")
     schema, tbl = F.get(parts, 1), F.get(parts, 2)
     shape_ok = F.size(parts) == 3
     func = mask_function_name(tbl, F.col("column_name"))

@@ -79,7 +79,7 @@ def resolve_refs(rules: DataFrame, catalog_mapping: DataFrame, env: str, keep: l
     cat = catalog_mapping.filter((F.col("env") == F.lit(env)) & present("catalog")).select(
         F.col("prefix").alias("_prefix"), "catalog"
     )
-    joined = refs.join(broadcast_if_small(cat), F.get(F.col("parts"), 0) == F.col("_prefix"), "left")
+    joined = refs.join(broadcast_if_small(cat, bounded_by=catalog_mapping), F.get(F.col("parts"), 0) == F.col("_prefix"), "left")
     shape_ok = F.size("parts") == F.col("want")
     rest = F.array_join(F.slice("parts", 2, F.size("parts") - 1), ".")
     status = (

@@ -89,6 +89,6 @@ def with_privileges(rules: DataFrame, permission_mapping: DataFrame, env: str) -
     and are reported by :func:`grantweave.operators.rejects.rule_rejects`).
     """
     dim = permission_mapping.filter(F.col("env") == F.lit(env)).select("permission_group", "privileges")
-    joined = rules.join(broadcast_if_small(dim), "permission_group", "left")
+    joined = rules.join(broadcast_if_small(dim, bounded_by=permission_mapping), "permission_group", "left")
     privs = F.coalesce(F.col("privileges"), F.array().cast("array<string>"))
     return joined.withColumn("privileges", _narrowed(privs, F.col("permission_group"), F.col("object_type")))

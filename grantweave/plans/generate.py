@@ -27,6 +27,25 @@ def statement_rules(rule_rows: DataFrame) -> DataFrame:
     return rule_rows.filter(F.size("privileges") > 0)
 
 
+def fanout_partitions(spark) -> int:
+    """Partitions for a fan-out stage: the session's shuffle partition count."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-repartition ``df`` on ``cols`` over the fan-out partition count.
+
+    Statements are objects x groups x privileges, so the expansion emits many
+    rows per input row.  Input partitions are sized by input bytes (and AQE
+    coalesces small shuffles), which would leave the explode to a few tasks,
+    and a hot tag list would put its whole join output in one.  Hashing on
+    (rule, object) spreads one hot tag list over many partitions, needs no
+    sort (unlike round-robin) and is deterministic on retry; an explicit
+    partition count is not coalesced by AQE.
+    """
+    return df.repartition(fanout_partitions(df.sparkSession), *cols)
+
+
 def generate_statements(
     mapping: DataFrame,
     schema_tags: DataFrame,
@@ -40,4 +59,4 @@ def generate_statements(
     """GRANT/REVOKE statement rows for one business unit (schema ``STATEMENTS``)."""
     r = statement_rules(active_rules(mapping, permission_mapping, env, bu, as_of, stamp))
     objs = resolve.resolve_objects(r, schema_tags, catalog_mapping, env, keep=RULE_COLUMNS)
-    return statements.expand(objs)
+    return statements.expand(spread(objs, "acl_id", "object_name"))

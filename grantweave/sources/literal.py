@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
+from grantweave.functions.sizing import mark_bounded
+
 
 def _lit(v, t: DataType) -> Column:
     if v is None:
@@ -32,6 +34,7 @@ def literal_frame(spark: SparkSession, rows: Iterable[Sequence], schema: StructT
     rows = list(rows)
     t = ArrayType(schema, False)
     arr = F.array(*[_lit(tuple(r), schema) for r in rows]).cast(t) if rows else F.array().cast(t)
-    return spark.range(1).select(F.inline(arr)).select(
+    df = spark.range(1).select(F.inline(arr)).select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
     )
+    return mark_bounded(df, len(rows))
