@@ -11,6 +11,7 @@ from grantweave.functions.render import (  # noqa: F401
     STATEMENT_PATTERN,
     mask_function_name,
     parse_statement,
+    parse_statements,
     render_statement,
     render_tag_statement,
     short_object_name,

@@ -32,28 +32,83 @@ def render_statement(
     )
 
 
-def parse_statement(statement: Column, tag_values: Column | None = None) -> Column:
-    """Parse a GRANT/REVOKE text into a struct; null when it does not match."""
-    s = py_strip(statement)
-    ok = s.rlike(_ANCHORED)
+# Java's \w and \s are ASCII-only by default; (?U) gives them the Unicode
+# meaning Python's re module uses for text.  On pure-ASCII text both agree, so
+# the (slower) Unicode pattern only runs on rows with non-ASCII characters.
+_ASCII_ANCHORED = "^" + STATEMENT_PATTERN
+_NUL = "\u0000"
 
-    def g(i: int) -> Column:
-        return F.regexp_extract(s, _ANCHORED, i)
 
-    tags = tag_values if tag_values is not None else F.lit(None).cast("string")
+def _record_of_stripped(s: Column) -> Column:
+    rewrite = _NUL + "$1`$3`$4`$6`$2"
+    ascii_only = F.length(s) == F.octet_length(s)
+    rec = F.when(ascii_only, F.regexp_replace(s, _ASCII_ANCHORED + r"[\s\S]*", rewrite)).otherwise(
+        F.regexp_replace(s, _ANCHORED + r"[\s\S]*", rewrite)
+    )
+    # A row matched iff the rewrite starts with NUL while the input did not.
+    return F.when(~s.startswith(_NUL), rec)
+
+
+def statement_record(statement: Column) -> Column:
+    """One regex pass: a matching statement becomes
+    ``NUL grant`type`object`group`permissions``; a non-match stays as is.
+
+    Backticks cannot occur in the grant, type, object or group captures, and
+    the free-text permissions capture goes last, so splitting on the first
+    four backticks is exact.
+    """
+    return _record_of_stripped(py_strip(statement))
+
+
+def _struct_of_parts(matched: Column, parts: Column, tags: Column) -> Column:
     return F.when(
-        ok,
+        matched,
         F.struct(
-            g(1).alias("grant_type"),
-            g(2).alias("permissions"),
-            g(3).alias("object_type"),
-            g(4).alias("object_name"),
-            g(6).alias("user_group"),
+            F.get(parts, 0).alias("grant_type"),
+            F.get(parts, 4).alias("permissions"),
+            F.get(parts, 1).alias("object_type"),
+            F.get(parts, 2).alias("object_name"),
+            F.get(parts, 3).alias("user_group"),
             tags.alias("tag_values"),
         ),
     )
 
 
+def record_struct(record: Column, tag_values: Column | None = None) -> Column:
+    """The parsed struct from :func:`statement_record`; null for a non-match."""
+    parts = F.split(F.substring(record, 2, 1 << 30), "`", 5)
+    tags = tag_values if tag_values is not None else F.lit(None).cast("string")
+    return _struct_of_parts(record.startswith(_NUL), parts, tags)
+
+
+def parse_statement(statement: Column, tag_values: Column | None = None) -> Column:
+    """Parse a GRANT/REVOKE text into a struct; null when it does not match.
+
+    For whole relations prefer :func:`parse_statements`, which computes the
+    regex rewrite once per row even when the struct's fields are selected
+    separately.
+    """
+    return record_struct(statement_record(statement), tag_values)
+
+
+def parse_statements(df, statement: str = "access_statement", tag_values: str | None = "tag_values", out: str = "p"):
+    """Add the parsed struct column ``out`` to ``df`` (one regex pass per row).
+
+    Each step (strip, rewrite, split) is its own projection; Catalyst does not
+    inline an expensive expression that is referenced several times, so the
+    regex and the split run once per row even when the struct's fields are
+    selected separately.
+    """
+    tags = F.col(tag_values) if tag_values else F.lit(None).cast("string")
+    return (
+        df.withColumn("_stmt_s", py_strip(F.col(statement)))
+        .withColumn("_stmt_rec", _record_of_stripped(F.col("_stmt_s")))
+        .withColumn("_stmt_parts", F.split(F.substring(F.col("_stmt_rec"), 2, 1 << 30), "`", 5))
+        .withColumn(out, _struct_of_parts(F.col("_stmt_rec").startswith(_NUL), F.col("_stmt_parts"), tags))
+        .drop("_stmt_s", "_stmt_rec", "_stmt_parts")
+    )
+
+
 def short_object_name(object_name: Column, object_type: str) -> Column:
     """``a_b_prefix.schema[.table]`` -> ``prefix.schema[.table]``.
 

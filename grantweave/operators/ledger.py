@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantweave.functions import parse_statement
+from grantweave.functions import parse_statements
 
 LEDGER_KEY = ["privilege", "object_type", "object_name", "user_group"]
 ERR_UNPARSEABLE = "unparseable statement"
@@ -20,7 +20,7 @@ ERR_UNKNOWN_OBJECT = "object not found"
 
 def parsed(statements: DataFrame) -> DataFrame:
     """Add the parsed struct ``p`` (null when the text does not match)."""
-    return statements.withColumn("p", parse_statement(F.col("access_statement"), F.col("tag_values")))
+    return parse_statements(statements, "access_statement", "tag_values", "p")
 
 
 def outcomes(statements: DataFrame, known_objects: DataFrame, dry_run: bool = False) -> DataFrame:

@@ -59,15 +59,16 @@ def statements(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def known_objects(spark, d):
-    """The catalog's objects: resolved objects whose schema number is not a multiple of 7."""
-    objs = resolve.resolve_objects(statement_rules(all_rules(spark, d)), td.schema_tags(spark, d), td.catalog_mapping(spark), td.ENV)
+def known_objects(statement_rows: DataFrame) -> DataFrame:
+    """The catalog's objects: resolved objects whose schema number is not a
+    multiple of 7 (only objects that occur in statements can matter)."""
     n = F.regexp_extract("object_name", r"\.s(\d+)", 1).try_cast("int")
-    return objs.filter(n % 7 != 0).select("object_name")
+    return statement_rows.select("object_name").filter(n % 7 != 0).distinct()
 
 
 def outcomes(spark, d, dry_run=False):
-    return ledger.outcomes(statements(spark, d), known_objects(spark, d), dry_run)
+    s = statements(spark, d)
+    return ledger.outcomes(s, known_objects(s), dry_run)
 
 
 def applied_parsed(spark, d):
