@@ -505,3 +505,30 @@ SELECT 'resolve', acl_id, ref, status FROM ref_status WHERE status <> 'ok'
 UNION ALL
 SELECT 'advice', acl_id, object_type, 'type_mismatch' FROM srules WHERE tags IS NOT NULL AND object_type <> 'SCHEMA'""",
 )
+
+# --- 3.2 the whole cycle ------------------------------------------------------
+SQL["acl_cycle_summary"] = with_(
+    EXEC,
+    """SELECT false AS dry_run, count(*) AS total, count(*) FILTER (WHERE status = 'success') AS success,
+  count(*) FILTER (WHERE status = 'failure') AS failure FROM outcomes""",
+)
+SQL["acl_cycle_grants"] = with_(
+    EXEC,
+    """old AS (SELECT DISTINCT privilege, object_type, object_name, user_group FROM stmts
+         WHERE grant_type = 'GRANT' AND acl_id % 2 = 0),
+last AS (SELECT permissions AS privilege, object_type, object_name, user_group, arg_max(grant_type, acl_id) AS g
+         FROM applied GROUP BY ALL)
+SELECT privilege, object_type, object_name, user_group FROM last WHERE g = 'GRANT'
+UNION ALL
+SELECT o.* FROM old o WHERE NOT EXISTS (SELECT 1 FROM last l WHERE l.privilege = o.privilege
+  AND l.object_type = o.object_type AND l.object_name = o.object_name AND l.user_group = o.user_group)""".replace(
+        "old AS", ", old AS", 1
+    ),
+).replace("\n, old AS", ",\nold AS")
+SQL["acl_cycle_mapping"] = with_(
+    EXEC,
+    f"""SELECT acl_id, bu, CASE WHEN hit THEN 'REVOKE' ELSE grant_type END AS grant_type,
+  hit OR acl_id IN (SELECT acl_id FROM applied) AS stamped
+FROM (SELECT *, bu = 'BUILDING' AND grant_type = 'GRANT' AND access_until IS NOT NULL AND access_until < {AS_OF} AS hit
+      FROM acl)""",
+)

@@ -311,6 +311,37 @@ def q_execution_outcomes(spark, d):
     return outcomes(spark, d).select("acl_id", "access_statement", "status", "dry_run", "error")
 
 
+# --- 3.2 the whole cycle (snapshots under the checkpoint folder) -------------
+
+def _cycle(spark, d):
+    from grantweave.plans.cycle import run_cycle
+
+    m = td.acl_mapping(spark, d)
+    s = statements(spark, d)
+    old = ledger.grants_of(s.filter(F.col("acl_id") % 2 == 0))
+    return run_cycle(
+        m, td.schema_tags(spark, d), td.permission_mapping(spark), td.catalog_mapping(spark), known_objects(s), old,
+        td.ENV, td.BU, td.AS_OF, td.STAMP,
+    )
+
+
+@register("acl_cycle_summary")
+def q_acl_cycle_summary(spark, d):
+    return _cycle(spark, d).summary
+
+
+@register("acl_cycle_grants")
+def q_acl_cycle_grants(spark, d):
+    return _cycle(spark, d).grants.select(*ledger.LEDGER_KEY)
+
+
+@register("acl_cycle_mapping")
+def q_acl_cycle_mapping(spark, d):
+    return _cycle(spark, d).mapping.select(
+        "acl_id", "bu", "grant_type", F.col("updated_datetime").isNotNull().alias("stamped")
+    )
+
+
 # --- 2.7 rejects -------------------------------------------------------------
 
 @register("acl_rejects")
