@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from grantweave.functions import short_object_name
 from grantweave.operators import ledger, masks, rejects, resolve, rules, statements as stm, tags, tracking, upsert
 from grantweave.plans.generate import RULE_COLUMNS, active_rules, generate_statements, statement_rules
-from grantweave.session import scratch_path
+from grantweave.session import materialize, scratch_path
 from grantweave.sources import environment, mapping
 from grantweave.sources import testdata as td
 
@@ -66,8 +66,14 @@ def known_objects(statement_rows: DataFrame) -> DataFrame:
     return statement_rows.select("object_name").filter(n % 7 != 0).distinct()
 
 
+def statement_snapshot(spark, d):
+    """Statements written once under the checkpoint folder and read back, for
+    queries that use them twice (no second generation, lineage cut)."""
+    return materialize(statements(spark, d), "statements")
+
+
 def outcomes(spark, d, dry_run=False):
-    s = statements(spark, d)
+    s = statement_snapshot(spark, d)
     return ledger.outcomes(s, known_objects(s), dry_run)
 
 
@@ -212,7 +218,9 @@ def q_statement_counts(spark, d):
 
 @register("execution_summary")
 def q_execution_summary(spark, d):
-    return ledger.summary(outcomes(spark, d, False)).unionByName(ledger.summary(outcomes(spark, d, True)))
+    s = statement_snapshot(spark, d)
+    k = known_objects(s)
+    return ledger.summary(ledger.outcomes(s, k, False)).unionByName(ledger.summary(ledger.outcomes(s, k, True)))
 
 
 @register("tracking_tag_keys")
@@ -296,7 +304,7 @@ def q_tracking_stamp_exact(spark, d):
 
 @register("effective_grants")
 def q_effective_grants(spark, d):
-    s = statements(spark, d)
+    s = statement_snapshot(spark, d)
     old = ledger.grants_of(s.filter(F.col("acl_id") % 2 == 0))
     return ledger.apply_statements(old, s)
 
