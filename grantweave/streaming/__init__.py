@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The pipeline this library rebuilds has no streams, event-time windows,
+watermarks or stateful processing; every step is a batch over the rule table.
+Its incremental pieces (sheet ingest, expiry, stamping, ledgers) are keyed
+state changes written as new snapshots (see ``grantweave.plans.cycle``).
+"""
