@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import StringType, StructField, StructType
 
+from grantweave import schemas
 from grantweave.sources import config
 from grantweave.sources.literal import literal_frame
 
@@ -48,52 +49,64 @@ EXISTING_MASKS = ["dev_main_raw.crm.supplier_s_name_mask"]
 READERS = ["Customer#000000001", "Customer#000000004"]
 
 
+_READS: dict[tuple[int, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table; the read (file listing, footer schema) is reused per
+    session, as the tables are read-only."""
+    path = f"{sf_dir}/{name}.parquet"
+    key = (id(spark), path)
+    if key not in _READS:
+        _READS[key] = spark.read.parquet(path)
+    return _READS[key]
 
 
 def _s(c: Column) -> Column:
     return c.cast("string")
 
 
+# The mapping fixture's columns as SQL expressions (FIXTURES.md section 1);
+# one selectExpr keeps the driver-side plan construction to a few calls.
+_SHEET_EXPRS = [
+    "o_orderkey AS acl_id",
+    """CASE WHEN o_orderkey % 10 < 4 THEN 'SCHEMA' WHEN o_orderkey % 10 < 8 THEN 'TABLE'
+       WHEN o_orderkey % 10 = 8 THEN 'VOLUME' ELSE 'SCHEMA' END AS object_type""",
+    """CASE WHEN o_custkey % 3 = 0 THEN concat('grp_', CAST(o_custkey % 40 AS STRING), ' , grp_',
+       CAST((o_custkey + 7) % 40 AS STRING), ',')
+       ELSE concat('grp_', CAST(o_custkey % 40 AS STRING)) END AS user_group""",
+    """CASE WHEN o_orderkey % 10 IN (0, 9) THEN concat('Brand#', CAST(o_custkey % 30 AS STRING),
+       CASE WHEN o_custkey % 2 = 0 THEN ' , SMALL' ELSE '' END) END AS tag_values""",
+    """CASE WHEN o_orderkey % 10 IN (1, 2) THEN concat('raw.s', CAST(o_custkey % 50 AS STRING))
+       WHEN o_orderkey % 10 = 3 THEN concat('raw.s', CAST(o_custkey % 50 AS STRING), ', curated.s',
+       CAST(o_custkey % 20 AS STRING), ',bad,nomap.s1') END AS schema_names""",
+    """CASE WHEN o_orderkey % 10 IN (4, 5, 8) THEN concat('raw.s', CAST(o_custkey % 50 AS STRING), '.t',
+       CAST(o_custkey % 9 AS STRING))
+       WHEN o_orderkey % 10 IN (6, 7) THEN concat('raw.s1.t', CAST(o_custkey % 9 AS STRING), ', curated.s2.t',
+       CAST(o_custkey % 7 AS STRING), ',raw.only_two') END AS table_names""",
+    """CASE o_orderpriority WHEN '1-URGENT' THEN 'DATA_ADMIN' WHEN '2-HIGH' THEN 'DATA_WRITER'
+       WHEN '4-NOT SPECIFIED' THEN 'UNMAPPED' ELSE 'DATA_READER' END AS permission_types""",
+    "CASE WHEN o_orderstatus = 'P' THEN 'REVOKE' ELSE 'GRANT' END AS grant_type",
+    "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END AS access_until",
+    "c_mktsegment AS bu",
+]
+
+
 def acl_mapping_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mapping as a sheet would hold it (access_until as text, with bu)."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    k, ck = F.col("o_orderkey"), F.col("o_custkey")
-    d = k % 10
-    grp = lambda x: F.concat(F.lit("grp_"), _s(x % 40))
-    return o.join(c, k.isNotNull() & (ck == F.col("c_custkey"))).select(
-        k.alias("acl_id"),
-        F.when(d < 4, "SCHEMA").when(d < 8, "TABLE").when(d == 8, "VOLUME").otherwise("SCHEMA").alias("object_type"),
-        F.when(ck % 3 == 0, F.concat(grp(ck), F.lit(" , "), grp(ck + 7), F.lit(","))).otherwise(grp(ck)).alias("user_group"),
-        F.when(d.isin(0, 9), F.concat(F.lit("Brand#"), _s(ck % 30), F.when(ck % 2 == 0, F.lit(" , SMALL")).otherwise(F.lit(""))))
-        .alias("tag_values"),
-        F.when(d.isin(1, 2), F.concat(F.lit("raw.s"), _s(ck % 50)))
-        .when(d == 3, F.concat(F.lit("raw.s"), _s(ck % 50), F.lit(", curated.s"), _s(ck % 20), F.lit(",bad,nomap.s1")))
-        .alias("schema_names"),
-        F.when(d.isin(4, 5, 8), F.concat(F.lit("raw.s"), _s(ck % 50), F.lit(".t"), _s(ck % 9)))
-        .when(d.isin(6, 7), F.concat(F.lit("raw.s1.t"), _s(ck % 9), F.lit(", curated.s2.t"), _s(ck % 7), F.lit(",raw.only_two")))
-        .alias("table_names"),
-        F.when(F.col("o_orderpriority") == "1-URGENT", "DATA_ADMIN")
-        .when(F.col("o_orderpriority") == "2-HIGH", "DATA_WRITER")
-        .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "UNMAPPED")
-        .otherwise("DATA_READER").alias("permission_types"),
-        F.when(F.col("o_orderstatus") == "P", "REVOKE").otherwise("GRANT").alias("grant_type"),
-        F.when(k % 4 == 0, F.lit(None).cast("string")).otherwise(_s(F.col("o_orderdate").cast("date"))).alias("access_until"),
-        F.col("c_mktsegment").alias("bu"),
-    )
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).selectExpr(*_SHEET_EXPRS)
 
 
 def acl_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored mapping table (engine schema, fixed stamps)."""
-    return acl_mapping_sheet(spark, sf_dir).withColumns(
-        {
-            "access_until": F.try_to_date(F.col("access_until")),
-            "processed_datetime": F.lit(STAMP).cast("timestamp"),
-            "updated_datetime": F.lit(None).cast("timestamp"),
-        }
-    )
+    return acl_mapping_sheet(spark, sf_dir).selectExpr(
+        "* EXCEPT (access_until)",
+        "try_to_date(access_until) AS access_until",
+        f"CAST('{STAMP}' AS TIMESTAMP) AS processed_datetime",
+        "CAST(NULL AS TIMESTAMP) AS updated_datetime",
+    ).select(*[f.name for f in schemas.ACL_MAPPING.fields])
 
 
 def schema_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,13 +211,23 @@ def existing_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lit_names.unionByName(gen)
 
 
+_DIMS: dict[tuple[int, str], DataFrame] = {}
+
+
+def _dim(spark: SparkSession, name: str, build) -> DataFrame:
+    key = (id(spark), name)
+    if key not in _DIMS:
+        _DIMS[key] = build()
+    return _DIMS[key]
+
+
 def permission_mapping(spark: SparkSession) -> DataFrame:
-    return config.permission_mapping(spark, PERMISSIONS)
+    return _dim(spark, "permission_mapping", lambda: config.permission_mapping(spark, PERMISSIONS))
 
 
 def catalog_mapping(spark: SparkSession) -> DataFrame:
-    return config.catalog_mapping(spark, CATALOGS)
+    return _dim(spark, "catalog_mapping", lambda: config.catalog_mapping(spark, CATALOGS))
 
 
 def env_map(spark: SparkSession) -> DataFrame:
-    return config.env_map(spark, ENV_MAP)
+    return _dim(spark, "env_map", lambda: config.env_map(spark, ENV_MAP))
