@@ -532,3 +532,8 @@ SQL["acl_cycle_mapping"] = with_(
 FROM (SELECT *, bu = 'BUILDING' AND grant_type = 'GRANT' AND access_until IS NOT NULL AND access_until < {AS_OF} AS hit
       FROM acl)""",
 )
+
+SQL["acl_ingest"] = with_(
+    [ACL_SHEET, ACL, UPSERT.replace("inc AS (SELECT * FROM acl WHERE acl_id % 3 = 0)", "inc AS (SELECT * FROM acl WHERE bu = 'BUILDING')")],
+    SQL["acl_upsert"][SQL["acl_upsert"].index("SELECT {0}".format(SHEET_OUT)):],
+)

@@ -29,7 +29,11 @@ def statement_rules(rule_rows: DataFrame) -> DataFrame:
 
 def fanout_partitions(spark) -> int:
     """Partitions for a fan-out stage: the session's shuffle partition count."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        return max(n, spark.sparkContext.defaultParallelism)
+    except Exception:  # no SparkContext on this client (e.g. Spark Connect)
+        return n
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:

@@ -104,6 +104,16 @@ def q_acl_first_load(spark, d):
     return t.select(*SHEET_OUT, _date_text(), "bu", F.col("updated_datetime").isNull().alias("updated_is_null"))
 
 
+@register("acl_ingest")
+def q_acl_ingest(spark, d):
+    from grantweave.plans.ingest import ingest_sheet
+
+    current = scratch_path(spark, "acl_mapping")
+    mapping.write_table(td.acl_mapping(spark, d).filter(F.col("acl_id") % 5 != 0), current)
+    res = ingest_sheet(spark, _sheet_root(spark, d), td.BU, current_path=current, processed=td.STAMP)
+    return mapping_out(res.table)
+
+
 @register("acl_active_grants")
 def q_acl_active_grants(spark, d):
     return mapping_out(rules.active_grants(td.acl_mapping(spark, d), td.BU))

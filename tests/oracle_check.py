@@ -76,12 +76,24 @@ def compare(spark, con, key, fn, sql, sf_dir):
 
 
 def main(argv):
+    plain = "--plain" in argv
+    argv = [a for a in argv if a != "--plain"]
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     keys = argv[2:]
     import __spark_entry__ as ent
-    from grantweave.session import local_session
 
-    spark = local_session()
+    if plain:  # a session as the driver builds it, none of our settings
+        from pyspark.sql import SparkSession
+
+        spark = (
+            SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
+            .config("spark.ui.enabled", "false").getOrCreate()
+        )
+        print("entry rows:", ent.entry(spark).count(), flush=True)
+    else:
+        from grantweave.session import local_session
+
+        spark = local_session()
     con = duck(sf_dir)
     qs, sqls = ent.queries(), ent.oracle_sql()
     bad = 0

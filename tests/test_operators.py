@@ -237,3 +237,21 @@ def test_outcomes_and_summary(spark):
     assert out == {1: ("success", None), 2: ("failure", ledger.ERR_UNKNOWN_OBJECT), 3: ("failure", ledger.ERR_UNPARSEABLE)}
     dry = ledger.summary(ledger.outcomes(st, known, dry_run=True)).first()
     assert (dry["total"], dry["success"], dry["failure"]) == (3, 3, 0)
+
+
+def test_ingest_first_load_then_idempotent(spark):
+    from grantweave.plans.ingest import ingest_sheet
+    from grantweave.session import scratch_path
+    from grantweave.sources import mapping as msrc
+
+    sheet = mapping(spark, [
+        {"schema_names": "raw.s1"}, {"schema_names": "raw.s2", "access_until": dt.date(2001, 2, 3)},
+    ]).select(*msrc.SHEET_COLUMNS[:-1], F.date_format("access_until", "yyyy-MM-dd").alias("access_until"), "bu")
+    root = scratch_path(spark, "test_sheets")
+    msrc.write_sheets(sheet, root)
+    first = ingest_sheet(spark, root, "B", processed=TS)
+    assert first.table.count() == 2
+    assert {r["access_until"] for r in first.table.collect()} == {None, dt.date(2001, 2, 3)}
+    second = ingest_sheet(spark, root, "B", current_path=first.path, processed=TS)
+    assert second.table.count() == 2 and second.path != first.path
+    assert second.rejects.count() == 0
