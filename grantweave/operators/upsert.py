@@ -50,19 +50,34 @@ def upsert(target: DataFrame, incoming: DataFrame) -> DataFrame:
     A matched row only re-sets its key columns to equal values, so matches
     leave the target unchanged.  Incoming rows with a null '=' key are left
     out (see :func:`upsert_rejects`), and several incoming rows with one key
-    insert once (the smallest acl_id wins).  Both sides of the anti join are
-    reduced to unique keys first, so a key that holds a third of all rows
-    cannot pile up in one join task.
+    insert once (the smallest acl_id wins).
+
+    Plan: one aggregation over target keys and incoming rows together,
+    grouped by the merge key (grouping treats nulls as equal, which is the
+    ``<=>`` of the nullable keys; '=' keys are never null on the incoming side).
+    One shuffle with partial aggregation on both inputs and no join, so a key
+    holding a third of all rows is combined map-side instead of piling up in
+    one join task.
     """
     keys = UPSERT_EQ_KEYS + UPSERT_NULLSAFE_KEYS
-    valid = incoming.filter(~invalid_keys(incoming))
-    cols = [c for c in target.columns]
+    cols = list(target.columns)
     others = [c for c in cols if c not in keys]
-    dedup = valid.groupBy(*keys).agg(F.min_by(F.struct(*others), F.col("acl_id")).alias("_row")).select(
-        *keys, "_row.*"
+    valid = incoming.filter(~invalid_keys(incoming))
+    row_type = valid.select(F.struct(*others).alias("r")).schema["r"].dataType
+    ord_type = valid.select(F.struct(F.col("acl_id").isNull(), F.col("acl_id")).alias("o")).schema["o"].dataType
+    t = target.select(
+        *keys, F.lit(True).alias("_t"), F.lit(None).cast(row_type).alias("_row"), F.lit(None).cast(ord_type).alias("_ord")
+    )
+    i = valid.select(
+        *keys,
+        F.lit(False).alias("_t"),
+        F.struct(*others).alias("_row"),
+        F.struct(F.col("acl_id").isNull(), F.col("acl_id")).alias("_ord"),
+    )
+    g = t.unionByName(i).groupBy(*keys).agg(
+        F.max("_t").alias("_in_target"), F.min_by("_row", "_ord").alias("_row")
     )
-    tkeys = renamed(target.select(*keys).distinct(), keys)
-    new = dedup.join(tkeys, key_match(UPSERT_EQ_KEYS, UPSERT_NULLSAFE_KEYS), "left_anti")
+    new = g.filter(~F.col("_in_target") & F.col("_row").isNotNull()).select(*keys, "_row.*")
     return target.unionByName(new.select(*cols))
 
 
