@@ -49,15 +49,29 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
         return None
 
 
+def _is_local(spark: SparkSession) -> bool:
+    try:
+        master = spark.sparkContext.master
+    except Exception:  # pragma: no cover - no SparkContext (connect)
+        master = spark.conf.get("spark.master", "")
+    return str(master).startswith("local")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder; set a scratch one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` is set by the deployment and is
-    used as is.  The fallback exists for tests and single-machine runs.
+    used as is; a cluster session without it is an error.  The scratch
+    fallback exists only for local-mode sessions (tests, single machine).
     """
     d = checkpoint_dir(spark)
     if d:
         return d
+    if not _is_local(spark):
+        raise RuntimeError(
+            f"{_CKPT_KEY} is not set: name a folder every executor can reach (HDFS, object store); "
+            "a machine-local scratch folder is only used for local-mode sessions"
+        )
     d = tempfile.mkdtemp(prefix="grantweave-ckpt-")
     try:
         spark.sparkContext.setCheckpointDir(d)
