@@ -255,3 +255,27 @@ def test_ingest_first_load_then_idempotent(spark):
     second = ingest_sheet(spark, root, "B", current_path=first.path, processed=TS)
     assert second.table.count() == 2 and second.path != first.path
     assert second.rejects.count() == 0
+
+
+def test_ledger_last_statement_wins(spark):
+    cols = "acl_id long, privilege string, object_type string, object_name string, user_group string, grant_type string"
+    s = spark.createDataFrame(
+        [
+            (1, "SELECT", "SCHEMA", "c.a", "g", "GRANT"),
+            (2, "SELECT", "SCHEMA", "c.a", "g", "REVOKE"),  # later rule revokes
+            (3, "SELECT", "SCHEMA", "c.b", "g", "REVOKE"),
+            (4, "SELECT", "SCHEMA", "c.b", "g", "GRANT"),  # later rule grants
+            (None, "SELECT", "SCHEMA", "c.c", "g", "REVOKE"),  # no id: orders first
+            (5, "SELECT", "SCHEMA", "c.c", "g", "GRANT"),
+            (None, "SELECT", "SCHEMA", "c.d", "g", "REVOKE"),  # untouched old grant c.e stays
+        ],
+        cols,
+    )
+    old = spark.createDataFrame(
+        [("SELECT", "SCHEMA", "c.a", "g"), ("SELECT", "SCHEMA", "c.d", "g"), ("SELECT", "SCHEMA", "c.e", "g")],
+        "privilege string, object_type string, object_name string, user_group string",
+    )
+    packed = {r["object_name"] for r in ledger.apply_statements(old, s).collect()}
+    general = {r["object_name"] for r in ledger.apply_statements(old, s, order=("acl_id", "object_name")).collect()}
+    assert packed == {"c.b", "c.c", "c.e"}
+    assert general == packed
