@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grantweave.functions import broadcast_if_small, dotted, mask_function_name, present
+from grantweave.functions.sizing import mark_bounded
 
 ACTION_REJECT, ACTION_DROP, ACTION_SKIP, ACTION_CREATE = "REJECT", "DROP", "SKIP", "CREATE"
 REASON_BAD_REF = "mask ref not 3 parts"
@@ -111,18 +112,36 @@ def is_member(memberships: DataFrame, reader: str, groups: Sequence[str]) -> Col
     return memberships.filter(hit).exists()
 
 
+def reader_groups(memberships: DataFrame, readers: Sequence[str]) -> DataFrame:
+    """(reader, groups): each listed reader's distinct groups, one row per reader.
+
+    At most ``len(readers)`` rows, and one reader's groups are the groups of a
+    single user, so the relation is small and its bound is known up front.
+    """
+    m = memberships.filter(F.col("user_name").isin(*readers) & F.col("user_group").isNotNull())
+    g = m.groupBy(F.col("user_name").alias("_reader")).agg(F.collect_set("user_group").alias("_groups"))
+    return mark_bounded(g, len(readers))
+
+
 def mask_by_reader(
     table: DataFrame, full_table_name: str, mask_plan: DataFrame, memberships: DataFrame, readers: Sequence[str]
 ) -> DataFrame:
-    """The masked table for each reader (column ``reader`` first)."""
+    """The masked table for each reader (column ``reader`` first).
+
+    The table is scanned once: each row is repeated per reader by a narrow
+    ``explode`` of the reader list, the readers' group sets come in through a
+    broadcast equi-join (bounded by the reader list), and each mask column
+    shows its value when the reader's groups overlap the mask's groups.
+    """
     masks = _table_masks(mask_plan, full_table_name)
-    frames = [
-        _project(table, masks, lambda gs, r=r: is_member(memberships, r, list(gs or []))).select(
-            F.lit(r).alias("reader"), "*"
-        )
-        for r in readers
-    ]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    rg = reader_groups(memberships, readers)
+    per_reader = table.select(F.explode(F.array(*[F.lit(r) for r in readers])).alias("reader"), "*")
+    j = per_reader.join(broadcast_if_small(rg), F.col("reader") == F.col("_reader"), "left")
+
+    def member(gs) -> Column:
+        wanted = [g for g in (gs or []) if g is not None]
+        if not wanted:
+            return F.lit(False)
+        return F.coalesce(F.arrays_overlap(F.col("_groups"), F.array(*[F.lit(g) for g in wanted])), F.lit(False))
+
+    return _project(j.drop("_reader"), masks, member).drop("_groups")
