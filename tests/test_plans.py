@@ -22,3 +22,17 @@ def test_flagship_plan_prunes_and_pushes(spark):
     assert "PushedFilters: [IsNotNull(c_mktsegment), EqualTo(c_mktsegment,BUILDING)" in plan
     # Only the columns the mapping needs are read from orders.
     assert "o_totalprice" not in plan
+
+
+def test_ledger_fold_is_hash_aggregated(spark):
+    df = QUERIES["effective_grants"](spark, SF_SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan, plan
+
+
+def test_mask_by_reader_scans_table_once(spark):
+    df = QUERIES["mask_by_reader"](spark, SF_SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # customer is read once for the rows and once (filtered) for memberships.
+    assert plan.count("FileScan parquet") == 2 or plan.count("Scan parquet") == 2, plan
+    assert "Union" not in plan, plan
