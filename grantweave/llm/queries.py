@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .fingerprints import document_fingerprints
 from .packing import pack_documents
-from .simhash_dedup import near_duplicates
+from .sharding import record_bytes, write_shards
+from .simhash_dedup import hex16, near_duplicates
 
 
 def tokenizer_path(name: str) -> str:
@@ -26,8 +29,21 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return write_shards(docs).select("doc_id", record_bytes().alias("size"), crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = document_fingerprints(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: hex16(c) for c in ("fingerprint", "edited_fingerprint")})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_sharding": op3_sharding,
+    "op6_fingerprints": op6_fingerprints,
 }
 SQL: dict[str, str] = {}
