@@ -5,11 +5,13 @@ from __future__ import annotations
 import sys
 import types
 import uuid
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator, Sequence
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import scratch_path
 
@@ -41,6 +43,31 @@ def per_worker(key: Hashable, make: Callable[[], Any]) -> Any:
     return kept[key]
 
 
+#: Column types that ``map_texts`` can add, by their SQL names.
+ADDED = {"long": (T.LongType(), pa.int64()), "double": (T.DoubleType(), pa.float64()), "boolean": (T.BooleanType(), pa.bool_()), "string": (T.StringType(), pa.string())}
+
+
+def map_texts(docs: DataFrame, carry: Sequence[str], make: Callable[[], Callable], added: dict[str, str], text: Column | str = "text") -> DataFrame:
+    """Columns ``carry`` of ``docs`` unchanged, and the columns ``added`` (name: type) computed from its text.
+
+    ``make`` is called once per task; what it returns gets a batch's texts (null
+    as None) and returns one sequence per added column.  A carried column named
+    as an added one is replaced by it.
+    """
+    carry = [c for c in carry if c.lower() not in {a.lower() for a in added}]
+    schema = T.StructType([*(docs.schema[c] for c in carry), *(T.StructField(n, ADDED[t][0]) for n, t in added.items())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for b in batches:
+            found = compute(b.column("__text").to_pylist())
+            new = [pa.array(values, ADDED[t][1]) for values, t in zip(found, added.values())]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), *new], schema.names)
+
+    source = F.col(text) if isinstance(text, str) else text
+    return docs.select(*carry, source.alias("__text")).mapInArrow(run, schema)
+
+
 class Scratch:
     """Numbered snapshots below the session's shared checkpoint folder.
 

@@ -17,10 +17,11 @@ looked up word by word, and the tokenizer only ever sees unseen words.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,39 +120,43 @@ class WordEncoder:
         return [b"".join(map(self.known.__getitem__, parts)) for parts in lot]
 
 
+def _encoder(tokenizer_file: str, end_id: int) -> Callable[[pa.RecordBatch], Iterator[bytes]]:
+    encoder = per_worker(("words", tokenizer_file), lambda: WordEncoder(tokenizer_file))
+    end = np.array([end_id], "<u4").tobytes()
+    return lambda b: (ids + end for ids in encoder.encode([t or "" for t in b.column("text").to_pylist()]))
+
+
 def encode_documents(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID) -> DataFrame:
     """doc_id and ``ids`` (little-endian unsigned 32-bit ids with the end id, as bytes)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = per_worker(("words", tokenizer_file), lambda: WordEncoder(tokenizer_file)), np.array([end_id], "<u4").tobytes()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = _encoder(tokenizer_file, end_id)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b.doc_id, "ids": [ids + end for ids in encoder.encode([t or "" for t in b.text])]})
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(list(encode(b)), pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, max_len: int = MAX_LEN, end_id: int = END_ID, seed: int = 0) -> DataFrame:
     """Every document's pieces of at most ``max_len`` ids, with a random salt per piece."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, end = per_worker(("words", tokenizer_file), lambda: WordEncoder(tokenizer_file)), np.array([end_id], "<u4").tobytes()
+        encode = _encoder(tokenizer_file, end_id)
         rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
         for b in batches:
             rows = []
-            for doc, body in zip(b.doc_id, encoder.encode([t or "" for t in b.text])):
-                ids = body + end
+            for doc, ids in enumerate(encode(b)):
                 n = len(ids) // 4
                 for at in range(0, n, max_len):
                     part = ids[4 * at : 4 * (at + max_len)]
                     rows.append((doc, at, len(part) // 4, zlib.crc32(part), n))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            out["salt"] = rng.integers(0, 1 << 62, len(out))
-            yield out
+            doc, *rest = (pa.array(x, pa.int64()) for x in (zip(*rows) if rows else [[]] * 5))
+            salt = pa.array(rng.integers(0, 1 << 62, len(rows)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(doc), *rest, salt], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

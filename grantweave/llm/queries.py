@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import chat, langid, licenses, line_rules, piece_bpe, quality
+from .common import held_out, table
 from .fingerprints import document_fingerprints
 from .packing import pack_documents
 from .sharding import record_bytes, write_shards
@@ -40,10 +41,51 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: hex16(c) for c in ("fingerprint", "edited_fingerprint")})
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= quality.PASS).cast("int").alias("predicted"))
+
+
+def op5_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    out = piece_bpe.decode(piece_bpe.encode(table(spark, sf_dir, "documents"), model), model)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.train(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.measure(table(spark, sf_dir, "documents"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_sharding": op3_sharding,
+    "op4_quality": op4_quality,
+    "op5_piece_bpe": op5_piece_bpe,
     "op6_fingerprints": op6_fingerprints,
+    "op7_langid": op7_langid,
+    "op8_chat": op8_chat,
+    "op9_line_rules": op9_line_rules,
+    "op10_licenses": op10_licenses,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_chat": chat.SQL}

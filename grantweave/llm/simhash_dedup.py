@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, text_bytes
+from .common import Scratch, map_texts, text_bytes
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 FANOUT = 8
@@ -69,12 +69,10 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with a column ``fingerprint`` (long: the 64 bits, two's complement) in place of its text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            values = np.array([fingerprint(t, shingle) for t in b.text], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "fingerprint": values})
+    def run(texts: list[bytes | None]) -> list[np.ndarray]:
+        return [np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)]
 
-    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInPandas(run, "doc_id long, fingerprint long")
+    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id"], lambda: run, {"fingerprint": "long"}, text_bytes())
 
 
 # --- the index and its self-join --------------------------------------------
