@@ -193,17 +193,18 @@ def pack(pieces_table: DataFrame, n_groups: int, max_len: int = MAX_LEN) -> Data
     have to survive a retry).
     """
 
-    def place(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["length", "salt", "doc_id", "start"], ascending=[False, True, True, True], kind="stable")
-        sizes = b["length"].to_numpy()
+    def place(key: tuple, t: pa.Table) -> pa.Table:
+        length, salt, start = (t.column(c).to_numpy() for c in ("length", "salt", "start"))
+        t = t.take(np.lexsort((start, salt, -length)))
+        sizes = t.column("length").to_numpy()
         whole = int((sizes == max_len).sum())  # each fills its bin
         bins, offsets = first_fit_decreasing(sizes[whole:], max_len)
-        b["sequence_id"] = (int(key[0]) << 32) + np.concatenate([np.arange(whole), whole + bins])
-        b["offset"] = np.concatenate([np.zeros(whole, np.int64), offsets])
-        return b[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
+        sequence = (key[0].as_py() << 32) + np.concatenate([np.arange(whole), whole + bins])
+        t = t.drop_columns(["salt", "grp"]).append_column("sequence_id", pa.array(sequence))
+        return t.append_column("offset", pa.array(np.concatenate([np.zeros(whole, np.int64), offsets])))
 
     grouped = pieces_table.withColumn("grp", F.pmod(F.col("salt"), F.lit(n_groups)))
-    return grouped.groupBy("grp").applyInPandas(place, PLACED)
+    return grouped.groupBy("grp").applyInArrow(place, PLACED)
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, max_len: int = MAX_LEN, end_id: int = END_ID, group_pieces: int = GROUP_PIECES) -> DataFrame:
