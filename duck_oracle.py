@@ -41,6 +41,40 @@ FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 ACL = "acl AS (SELECT * REPLACE (TRY_CAST(access_until AS DATE) AS access_until) FROM acl_sheet)"
 
+# the rough mapping takes the clean one's place under the name acl
+ROUGH = """acl AS (SELECT acl_id,
+  CASE WHEN acl_id % 31 = 0 THEN NULL ELSE object_type END AS object_type,
+  CASE WHEN acl_id % 41 = 0 THEN NULL WHEN acl_id % 43 = 0 THEN 'grp_1, bad`grp' ELSE user_group END AS user_group,
+  CASE WHEN acl_id % 47 = 0 THEN 'Brand#12' ELSE tag_values END AS tag_values,
+  CASE WHEN acl_id % 29 = 0 THEN 'raw.s-5, raw.s1, curated.s3' ELSE schema_names END AS schema_names,
+  CASE WHEN acl_id % 23 = 0 THEN 'raw.s1.t1, curated.s2.t3' ELSE table_names END AS table_names,
+  CASE WHEN acl_id % 37 = 0 THEN NULL ELSE permission_types END AS permission_types,
+  grant_type, TRY_CAST(access_until AS DATE) AS access_until, bu FROM acl_sheet)"""
+
+INCOMING_SHEET = """inc_sheet AS (SELECT acl_id + 100000000 AS acl_id,
+  CASE WHEN acl_id % 31 = 0 THEN NULL WHEN acl_id % 17 = 0 THEN 'SCHEMA' ELSE object_type END AS object_type,
+  CASE WHEN acl_id % 17 = 0 THEN 'grp_dup' WHEN acl_id % 3 = 0 THEN concat(user_group, '_n') ELSE user_group END AS user_group,
+  CASE WHEN acl_id % 17 = 0 THEN 'X' ELSE tag_values END AS tag_values,
+  CASE WHEN acl_id % 17 = 0 THEN NULL ELSE schema_names END AS schema_names,
+  CASE WHEN acl_id % 17 = 0 THEN NULL ELSE table_names END AS table_names,
+  CASE WHEN acl_id % 17 = 0 THEN 'DATA_READER' ELSE permission_types END AS permission_types,
+  CASE WHEN acl_id % 17 = 0 THEN 'GRANT' ELSE grant_type END AS grant_type,
+  CASE WHEN (acl_id + 100000000) % 19 = 0 THEN '31/12/1999' WHEN (acl_id + 100000000) % 53 = 0 THEN '1999'
+       WHEN acl_id % 17 = 0 THEN NULL ELSE access_until END AS until_text,
+  CASE WHEN acl_id % 17 = 0 THEN NULL ELSE TRY_CAST(access_until AS DATE) END AS access_until, bu FROM acl_sheet)"""
+
+CATALOG_OBJECTS = """known AS (
+SELECT DISTINCT concat(CASE WHEN p_partkey % 2 = 0 THEN 'dev_main_raw' ELSE 'dev_main_curated' END, '.s', CAST(p_partkey % 45 AS STRING)) AS object_name
+FROM part
+UNION
+SELECT DISTINCT concat(CASE WHEN p_partkey % 3 = 0 THEN 'dev_main_curated' ELSE 'dev_main_raw' END, '.s', CAST(p_partkey % 50 AS STRING), '.t', CAST(p_partkey % 9 AS STRING))
+FROM part)"""
+
+STORED_GRANTS = """old AS (
+SELECT DISTINCT CASE WHEN p_size % 3 = 0 THEN 'USE SCHEMA' ELSE 'SELECT' END AS privilege, 'SCHEMA' AS object_type,
+  concat('dev_main_raw.s', CAST(p_partkey % 200 AS STRING)) AS object_name, concat('grp_', CAST(p_partkey % 40 AS STRING)) AS user_group
+FROM part)"""
+
 SCHEMA_TAGS = """schema_tags_fx AS (
 SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN 'dev_main_raw' ELSE 'dev_main_curated' END AS catalog_name,
   concat('s', CAST(p_partkey % 200 AS STRING)) AS schema_name,
@@ -59,12 +93,12 @@ ACTIVE = "active AS (SELECT * FROM acl WHERE bu = 'BUILDING' AND grant_type = 'G
 
 EXPIRED = f"""expired AS (SELECT * REPLACE (
   CASE WHEN access_until IS NOT NULL AND access_until < {AS_OF} THEN 'REVOKE' ELSE grant_type END AS grant_type)
-FROM active)"""
+FROM active WHERE object_type IS NOT NULL AND user_group IS NOT NULL AND permission_types IS NOT NULL AND grant_type IS NOT NULL)"""
 
 RULES = f"""rules0 AS (
 SELECT acl_id, {strip('grant_type')} AS grant_type, {strip('object_type')} AS object_type,
   {strip('permission_types')} AS permission_group,
-  list_filter({items('user_group')}, lambda g: g <> '') AS groups,
+  list_filter({items('user_group')}, lambda g: g <> '' AND NOT contains(g, '`')) AS groups,
   CASE WHEN tag_values <> '' THEN {items('tag_values')} END AS tags,
   CASE WHEN schema_names <> '' THEN {items('schema_names')} END AS schema_refs,
   CASE WHEN table_names <> '' THEN {items('table_names')} END AS table_refs
@@ -105,6 +139,8 @@ FROM objs o JOIN srules r ON o.acl_id = r.acl_id,
 
 BASE = [ACL_SHEET, ACL, SCHEMA_TAGS, PERM, CAT, ACTIVE, EXPIRED, RULES]
 GEN = BASE + [TAG_OBJS, REFS, OBJS, STATEMENTS]
+ROUGH_BASE = [ROUGH if c is ACL else c for c in BASE]
+ROUGH_GEN = [ROUGH if c is ACL else c for c in GEN]
 
 
 def with_(ctes: list[str], body: str) -> str:
@@ -122,7 +158,6 @@ SQL["acl_mapping_read"] = with_(
     [ACL_SHEET],
     f"SELECT {SHEET_OUT}, access_until, bu, true AS updated_is_null FROM acl_sheet WHERE bu = 'BUILDING'",
 )
-SQL["acl_first_load"] = SQL["acl_mapping_read"]
 SQL["acl_active_grants"] = with_(
     [ACL_SHEET, ACL, ACTIVE], f"SELECT {SHEET_OUT}, CAST(access_until AS VARCHAR) AS access_until, bu FROM active"
 )
@@ -130,14 +165,12 @@ SQL["acl_active_grants"] = with_(
 URLS = """urls AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'https://nohost.example.net'
   ELSE concat('https://adb-', CAST(100 + user_id % 5 AS STRING), '.3.example.net') END AS url FROM events),
 envm(ws, env) AS (VALUES ('100', 'dev'), ('101', 'test'), ('102', 'prod'))"""
-SQL["env_resolve"] = with_(
-    [URLS],
-    """SELECT event_id, url, ws_id AS workspace_id, e.env,
+ENV_SELECT = """SELECT event_id, url, ws_id AS workspace_id, e.env,
   CASE WHEN ws_id IS NULL THEN 'no workspace id in url'
        WHEN e.env IS NULL OR e.env = '' THEN 'workspace not in env map' ELSE 'ok' END AS status
 FROM (SELECT *, CASE WHEN position('adb-' IN url) > 0 THEN split_part(split_part(url, 'adb-', 2), '.', 1) END AS ws_id
-      FROM urls) u LEFT JOIN envm e ON e.ws = u.ws_id""",
-)
+      FROM urls) u LEFT JOIN envm e ON e.ws = u.ws_id"""
+SQL["env_resolve"] = with_([URLS], ENV_SELECT)
 
 # --- 2.2 --------------------------------------------------------------------
 SQL["acl_expire"] = with_(
@@ -182,6 +215,7 @@ SQL["acl_unmapped_permissions"] = with_(
   'no privileges for (env, group, type)' AS reason FROM rules WHERE len(privileges) = 0""",
 )
 
+# Fixed value: the statement grammar.
 PAT = r"^(GRANT|REVOKE)\s+(.*?)\s+ON\s+(\w+)\s+([\w.]+)\s+(TO|FROM)\s+`([^`]+)`"
 
 
@@ -197,24 +231,29 @@ FROM (SELECT *, regexp_matches(s, '{PAT}') AS m
       FROM (SELECT acl_id, access_statement, tag_values, {strip('access_statement')} AS s FROM stmts)))"""
 
 SQL["statement_parse"] = with_(
-    GEN + [PARSED],
+    ROUGH_GEN + [PARSED],
     "SELECT access_statement, grant_type, permissions, object_type, object_name, user_group, tag_values FROM parsed",
 )
 
 TAG_RULES = """tag_rules_fx AS (
-SELECT p_partkey AS rule_ord,
-  CASE WHEN p_size % 2 = 0 THEN 'SCHEMA' ELSE 'TABLE' END AS level,
+SELECT p_partkey AS rule_ord, CASE WHEN p_size % 2 = 0 THEN 'SCHEMA' ELSE 'TABLE' END AS level,
   CASE WHEN p_partkey % 4 = 0 THEN 'unset' WHEN p_partkey % 11 = 0 THEN 'drop' ELSE 'Set' END AS action,
-  concat('xxx_main_raw.s', CAST(p_partkey % 50 AS STRING)) AS schema_ref,
-  concat('t', CAST(p_partkey % 9 AS STRING)) AS table_ref,
-  CASE WHEN p_partkey % 3 = 0 THEN 'domain' ELSE 'tier' END AS tag_name,
-  p_type AS tag_value
+  CASE WHEN p_partkey % 5 = 0 THEN [concat('xxx_main_raw.s', CAST(p_partkey % 50 AS STRING)), 'xxx_main_curated.s1']
+       ELSE [concat('xxx_main_raw.s', CAST(p_partkey % 50 AS STRING))] END AS schemas,
+  CASE WHEN p_size % 2 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN [concat('t', CAST(p_partkey % 9 AS STRING)), 'tx']
+       ELSE [concat('t', CAST(p_partkey % 9 AS STRING))] END AS tables,
+  CASE WHEN p_partkey % 13 = 0 THEN NULL
+       WHEN p_partkey % 6 = 0 THEN [{'k': CASE WHEN p_partkey % 3 = 0 THEN 'domain' ELSE 'tier' END, 'v': p_type},
+                                    {'k': 'owner', 'v': CASE WHEN p_partkey % 12 <> 0 THEN p_brand END}]
+       ELSE [{'k': CASE WHEN p_partkey % 3 = 0 THEN 'domain' ELSE 'tier' END, 'v': p_type}] END AS tags
 FROM part),
+names AS (
+SELECT rule_ord, level, upper(action) AS action, tags,
+  CASE WHEN level = 'SCHEMA' THEN list_transform(schemas, lambda s: replace(s, 'xxx', 'dev'))
+       ELSE flatten(list_transform(schemas, lambda s: list_transform(tables, lambda t: replace(s, 'xxx', 'dev') || '.' || t))) END AS names
+FROM tag_rules_fx),
 targets AS (
-SELECT rule_ord, level, upper(action) AS action, CAST(0 AS INTEGER) AS target_pos,
-  CASE WHEN level = 'SCHEMA' THEN replace(schema_ref, 'xxx', 'dev')
-       ELSE replace(schema_ref, 'xxx', 'dev') || '.' || table_ref END AS target, tag_name, tag_value
-FROM tag_rules_fx)"""
+SELECT rule_ord, level, action, tags, unnest(names) AS target, CAST(generate_subscripts(names, 1) - 1 AS INTEGER) AS target_pos FROM names)"""
 
 
 def q(x: str) -> str:
@@ -225,25 +264,35 @@ SQL["tag_rule_targets"] = with_([TAG_RULES], "SELECT rule_ord, level, action, ta
 SQL["tag_statements"] = with_(
     [TAG_RULES],
     f"""SELECT rule_ord, level, target_pos, target, action,
-  CASE WHEN action = 'SET' THEN 'ALTER ' || level || ' ' || target || ' SET TAGS (' || {q('tag_name')} || ' = ' || {q('tag_value')} || ')'
-       ELSE 'ALTER ' || level || ' ' || target || ' UNSET TAGS (' || {q('tag_name')} || ')' END AS statement
-FROM targets WHERE action IN ('SET', 'UNSET')""",
+  CASE WHEN action = 'SET' THEN 'ALTER ' || level || ' ' || target || ' SET TAGS ('
+         || array_to_string(list_transform(tags, lambda e: {q("e.k")} || ' = ' || {q("coalesce(e.v, 'None')")}), ', ') || ')'
+       ELSE 'ALTER ' || level || ' ' || target || ' UNSET TAGS (' || array_to_string(list_transform(tags, lambda e: {q("e.k")}), ', ') || ')' END AS statement
+FROM targets WHERE action IN ('SET', 'UNSET') AND tags IS NOT NULL""",
 )
-SQL["tag_rule_rejects"] = with_(
+TAG_REJECTS = """SELECT rule_ord, level, target, action,
+  CASE WHEN tags IS NULL THEN 'tags must be a map' ELSE 'unsupported action' END AS reason
+FROM targets WHERE tags IS NULL OR action NOT IN ('SET', 'UNSET')"""
+SQL["tag_rule_rejects"] = with_([TAG_RULES], TAG_REJECTS)
+SQL["rule_sources"] = with_(
     [TAG_RULES],
-    "SELECT rule_ord, level, target, action, 'unsupported action' AS reason FROM targets WHERE action NOT IN ('SET', 'UNSET')",
+    """SELECT rule_ord, level, action, array_to_string(schemas, ',') AS schemas, array_to_string(tables, ',') AS tables,
+  array_to_string(list_sort(list_transform(tags, lambda e: e.k || '=' || coalesce(e.v, '<null>'))), ',') AS tags FROM tag_rules_fx""",
 )
 SQL["tag_state"] = with_(
-    [SCHEMA_TAGS, TAG_RULES],
-    """, old AS (SELECT 'SCHEMA' AS level, catalog_name || '.' || schema_name AS target, tag_name, min(tag_value) AS tag_value
-          FROM schema_tags_fx GROUP BY ALL),
-last AS (SELECT level, target, tag_name, arg_max({'a': action, 'v': tag_value}, rule_ord) AS l
-         FROM targets WHERE action IN ('SET', 'UNSET') GROUP BY ALL)
-SELECT level, target, tag_name, l.v AS tag_value FROM last WHERE l.a = 'SET'
+    [
+        SCHEMA_TAGS,
+        TAG_RULES,
+        """old AS (SELECT 'SCHEMA' AS level, catalog_name || '.' || schema_name AS target, tag_name, min(tag_value) AS tag_value
+          FROM schema_tags_fx GROUP BY ALL)""",
+        """entries AS (SELECT level, target, rule_ord, action, e.k AS tag_name, coalesce(e.v, 'None') AS tag_value
+  FROM (SELECT *, unnest(tags) AS e FROM targets WHERE action IN ('SET', 'UNSET')))""",
+        """last AS (SELECT * FROM entries QUALIFY row_number() OVER (PARTITION BY level, target, tag_name ORDER BY rule_ord DESC) = 1)""",
+    ],
+    """SELECT level, target, tag_name, tag_value FROM last WHERE action = 'SET'
 UNION ALL
 SELECT o.level, o.target, o.tag_name, o.tag_value FROM old o
 WHERE NOT EXISTS (SELECT 1 FROM last l WHERE l.level = o.level AND l.target = o.target AND l.tag_name = o.tag_name)""",
-).replace("\n, old AS", ",\nold AS")
+)
 
 MASK_RULES = """mask_rules_fx AS (
 SELECT * FROM (VALUES
@@ -252,7 +301,16 @@ SELECT * FROM (VALUES
   (3, 'raw.crm.customer', 'c_mktsegment', ['grp_1'], '****', true),
   (4, 'raw.customer', 'c_name', ['grp_1'], '****', false),
   (5, 'nomap.crm.customer', 'c_name', ['grp_1'], '****', false),
-  (6, 'raw.crm.customer', 'c_acctbal', CAST([] AS VARCHAR[]), '****', false)
+  (6, 'raw.crm.customer', 'c_acctbal', CAST([] AS VARCHAR[]), '****', false),
+  (7, 'raw.crm.customer', 'C_NAME', ['grp_3'], 'LATER', false),
+  (8, 'raw.crm.customer', 'c_mktsegment', ['grp_1'], '####', false),
+  (9, 'raw.crm.customer', 'c_mktsegment', ['grp_1'], '****', true),
+  (10, 'raw.crm.CUSTOMER', 'C_MKTSEGMENT', ['grp_3'], 'SEG', false),
+  (11, 'raw.crm.customer', 'c_acctbal', ['grp_3'], '1', false),
+  (12, 'raw.crm.customer', 'c_nationkey', ['grp_1'], '****', false),
+  (13, 'raw.crm.customer', 'c_nationkey', ['grp_1'], '****', true),
+  (14, 'raw.crm.customer', 'no_such_column', ['grp_1'], '****', false),
+  (15, 'raw.crm.customer', NULL, ['grp_1'], '****', false)
 ) t(rule_id, table_name, column_name, user_group, type_of_masking, drop_existing)
 UNION ALL
 SELECT s_suppkey + 1000,
@@ -267,74 +325,86 @@ SELECT s_suppkey + 1000,
   s_suppkey % 10 = 0
 FROM supplier),
 existing_fx AS (
-SELECT 'dev_main_raw.crm.supplier_s_name_mask' AS function_name
+SELECT 'dev_main_raw.crm.supplier' AS full_table_name, 's_name' AS column_name, ['grp_3'] AS user_group, 'HIDDEN' AS type_of_masking
+UNION ALL SELECT 'dev_main_raw.crm.Customer', 'c_acctbal', ['grp_9'], '0'
 UNION ALL
-SELECT concat('dev_main_raw.crm.t', CAST(s_suppkey % 50 AS STRING), '_col_', CAST(s_nationkey AS STRING), '_mask')
-FROM supplier WHERE s_suppkey % 5 = 0),
+SELECT concat('dev_main_raw.crm.t', CAST(s_suppkey % 12 AS STRING)), concat('COL-', CAST(s_nationkey AS STRING)),
+  [concat('grp_', CAST(min(s_suppkey) % 40 AS STRING))], 'OLD' FROM supplier GROUP BY s_suppkey % 12, s_nationkey),
 mp0 AS (
 SELECT r.*, string_split(table_name, '.') AS parts, len(string_split(table_name, '.')) = 3 AS shape_ok, c.catalog
 FROM mask_rules_fx r LEFT JOIN cat c ON c.prefix = string_split(r.table_name, '.')[1]),
 mp1 AS (
 SELECT *, shape_ok AND catalog IS NOT NULL AS ok,
-  replace(parts[3] || '_' || column_name || '_mask', '-', '_') AS fname,
-  user_group IS NULL OR len(user_group) = 0 AS no_group
+  CASE WHEN shape_ok AND catalog IS NOT NULL THEN catalog || '.' || parts[2] || '.' || parts[3] END AS full_table_name,
+  CASE WHEN shape_ok AND catalog IS NOT NULL THEN replace(parts[3] || '_' || column_name || '_mask', '-', '_') END AS function_name,
+  CASE WHEN NOT shape_ok THEN 'mask ref not 3 parts' WHEN catalog IS NULL THEN 'prefix not mapped'
+       WHEN column_name IS NULL THEN 'mask without column'
+       WHEN user_group IS NULL OR len(user_group) = 0 THEN 'mask without group' END AS rejected
 FROM mp0),
-mp2 AS (
-SELECT *, ok AND lower(catalog || '.' || parts[2] || '.' || fname) IN (SELECT lower(function_name) FROM existing_fx) AS fexists
-FROM mp1),
+valid AS (SELECT *, lower(full_table_name) AS tk, lower(column_name) AS ck FROM mp1 WHERE rejected IS NULL),
+history AS (
+SELECT v.*, (SELECT max(d.rule_id) FROM valid d WHERE d.tk = v.tk AND d.ck = v.ck AND d.drop_existing AND d.rule_id < v.rule_id) AS dropped
+FROM valid v),
+turns AS (
+SELECT h.*, EXISTS (SELECT 1 FROM valid c WHERE c.tk = h.tk AND c.ck = h.ck AND NOT c.drop_existing AND c.rule_id < h.rule_id
+                    AND (h.dropped IS NULL OR c.rule_id > h.dropped))
+  OR (h.dropped IS NULL AND EXISTS (SELECT 1 FROM existing_fx e WHERE lower(e.full_table_name) = h.tk AND lower(e.column_name) = h.ck)) AS there
+FROM history h),
 mplan AS (
-SELECT rule_id, table_name, column_name,
-  CASE WHEN ok THEN catalog || '.' || parts[2] || '.' || parts[3] END AS full_table_name,
-  CASE WHEN ok THEN fname END AS function_name, user_group,
-  coalesce(type_of_masking, '****') AS type_of_masking,
-  CASE WHEN NOT shape_ok THEN 'REJECT' WHEN catalog IS NULL THEN 'REJECT' WHEN no_group THEN 'REJECT'
-       WHEN drop_existing THEN 'DROP' WHEN fexists THEN 'SKIP' ELSE 'CREATE' END AS action,
-  CASE WHEN NOT shape_ok THEN 'mask ref not 3 parts' WHEN catalog IS NULL THEN 'prefix not mapped'
-       WHEN no_group THEN 'mask without group' WHEN NOT drop_existing AND fexists THEN 'mask function exists' END AS reason
-FROM mp2)"""
+SELECT rule_id, table_name, column_name, full_table_name, function_name, user_group, coalesce(type_of_masking, '****') AS type_of_masking,
+  CASE WHEN drop_existing THEN 'DROP' WHEN there THEN 'SKIP' ELSE 'CREATE' END AS action,
+  CASE WHEN NOT drop_existing AND there THEN 'mask exists' END AS reason FROM turns
+UNION ALL
+SELECT rule_id, table_name, column_name, full_table_name, function_name, user_group, coalesce(type_of_masking, '****'),
+  'REJECT', rejected FROM mp1 WHERE rejected IS NOT NULL),
+drops AS (SELECT tk, ck, max(rule_id) AS at_rule FROM valid WHERE drop_existing GROUP BY ALL),
+mstate AS (
+SELECT e.full_table_name, e.column_name, e.user_group, e.type_of_masking, CAST(NULL AS BIGINT) AS rule_id
+FROM existing_fx e WHERE NOT EXISTS (SELECT 1 FROM drops d WHERE d.tk = lower(e.full_table_name) AND d.ck = lower(e.column_name))
+UNION ALL
+SELECT p.full_table_name, p.column_name, p.user_group, p.type_of_masking, p.rule_id
+FROM mplan p WHERE p.action = 'CREATE'
+  AND NOT EXISTS (SELECT 1 FROM drops d WHERE d.tk = lower(p.full_table_name) AND d.ck = lower(p.column_name) AND d.at_rule > p.rule_id))"""
 
 SQL["mask_plan"] = with_(
     [CAT, MASK_RULES],
     "SELECT rule_id, table_name, column_name, full_table_name, function_name, type_of_masking, action, reason FROM mplan",
 )
+SQL["mask_state"] = with_(
+    [CAT, MASK_RULES],
+    "SELECT full_table_name, column_name, array_to_string(user_group, ',') AS user_group, type_of_masking, rule_id FROM mstate",
+)
+CUSTOMER_COLS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+SQL["mask_unknown_columns"] = with_(
+    [CAT, MASK_RULES],
+    f"""SELECT rule_id, column_name, 'column not in table' AS reason FROM mstate
+WHERE lower(full_table_name) = 'dev_main_raw.crm.customer' AND lower(column_name) NOT IN ({', '.join(repr(c) for c in CUSTOMER_COLS)})""",
+)
 
 
 def _masked(col: str, visible: str) -> str:
-    """A customer column as the mask plan projects it for one reader."""
-    rule = (
-        f"(SELECT {{sel}} FROM mplan WHERE full_table_name = 'dev_main_raw.crm.customer' "
-        f"AND column_name = '{col}' AND action = 'CREATE' ORDER BY rule_id DESC LIMIT 1)"
-    )
-    has = rule.format(sel="true")
-    groups = rule.format(sel="user_group")
-    mask = rule.format(sel="type_of_masking")
-    return (
-        f"CASE WHEN {has} IS NULL THEN {col} "
-        f"WHEN {visible.format(groups=groups)} THEN CAST({col} AS VARCHAR) ELSE {mask} END AS {col}"
-    )
+    """A customer column as the masks in force show it to one reader."""
+    own = f"(SELECT {{}} FROM mstate WHERE lower(full_table_name) = 'dev_main_raw.crm.customer' AND lower(column_name) = '{col}')"
+    seen = visible.format(groups=own.format("user_group"))
+    return f"CASE WHEN {seen} THEN CAST({col} AS VARCHAR) ELSE {own.format('type_of_masking')} END AS {col}"
 
 
-CUSTOMER_COLS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+MASKED = ("c_name", "c_acctbal", "c_mktsegment")
 SQL["mask_columns"] = with_(
     [CAT, MASK_RULES],
-    "SELECT "
-    + ", ".join(
-        c if c in ("c_custkey", "c_nationkey", "c_acctbal") else _masked(c, "list_has_any({groups}, ['grp_3'])")
-        for c in CUSTOMER_COLS
-    )
-    + " FROM customer",
+    "SELECT " + ", ".join(_masked(c, "list_has_any({groups}, ['grp_3'])") if c in MASKED else c for c in CUSTOMER_COLS) + " FROM customer",
 )
 SQL["mask_by_reader"] = with_(
     [CAT, MASK_RULES],
     "SELECT r.reader, "
     + ", ".join(
-        c
-        if c in ("c_custkey", "c_nationkey", "c_acctbal")
-        else _masked(
+        _masked(
             c,
             "EXISTS (SELECT 1 FROM customer m WHERE m.c_name = r.reader "
             "AND list_contains({groups}, concat('grp_', CAST(m.c_custkey % 40 AS STRING))))",
         )
+        if c in MASKED
+        else c
         for c in CUSTOMER_COLS
     )
     + " FROM customer, (VALUES ('Customer#000000001'), ('Customer#000000004')) r(reader)",
@@ -355,16 +425,14 @@ SQL["statement_counts"] = with_(
   count(*) = 0 AS is_empty FROM stmts""",
 )
 
-OUTCOMES = """known AS (SELECT DISTINCT object_name FROM objs
-  WHERE TRY_CAST(regexp_extract(object_name, '\\.s(\\d+)', 1) AS INTEGER) % 7 <> 0),
-outcomes AS (
+OUTCOMES = """outcomes AS (
 SELECT p.*,
   CASE WHEN NOT p.m THEN 'failure' WHEN k.object_name IS NULL THEN 'failure' ELSE 'success' END AS status,
   false AS dry_run,
   CASE WHEN NOT p.m THEN 'unparseable statement' WHEN k.object_name IS NULL THEN 'object not found' END AS error
 FROM parsed p LEFT JOIN known k ON k.object_name = p.object_name),
 applied AS (SELECT * FROM outcomes WHERE status = 'success' AND m)"""
-EXEC = GEN + [PARSED, OUTCOMES]
+EXEC = ROUGH_GEN + [CATALOG_OBJECTS, PARSED, OUTCOMES]
 
 SQL["execution_outcomes"] = with_(EXEC, "SELECT acl_id, access_statement, status, dry_run, error FROM outcomes")
 SQL["execution_summary"] = with_(
@@ -440,27 +508,37 @@ SQL["tracking_stamp_exact"] = with_(
 )
 
 # --- 2.5 ----------------------------------------------------------------------
-UPSERT = """tgt AS (SELECT * FROM acl WHERE acl_id % 5 <> 0),
-inc AS (SELECT * FROM acl WHERE acl_id % 3 = 0),
-inc_ok AS (SELECT * FROM inc WHERE object_type IS NOT NULL AND user_group IS NOT NULL
+_MERGE_KEYS = "object_type, user_group, permission_types, grant_type, bu, tag_values, schema_names, table_names, access_until"
+UPSERT = f"""inc_ok AS (SELECT * FROM inc WHERE object_type IS NOT NULL AND user_group IS NOT NULL
   AND permission_types IS NOT NULL AND grant_type IS NOT NULL AND bu IS NOT NULL),
-inc_k AS (SELECT *, min(acl_id) OVER (PARTITION BY object_type, user_group, permission_types, grant_type, bu,
-  tag_values, schema_names, table_names, access_until) AS keep FROM inc_ok)"""
-SQL["acl_upsert"] = with_(
-    [ACL_SHEET, ACL, UPSERT],
-    f"""SELECT {SHEET_OUT}, CAST(access_until AS VARCHAR) AS access_until, bu FROM tgt
-UNION ALL
-SELECT {SHEET_OUT}, CAST(access_until AS VARCHAR) AS access_until, bu FROM inc_k d
-WHERE acl_id = keep AND NOT EXISTS (SELECT 1 FROM tgt t WHERE t.object_type = d.object_type
+inc_k AS (SELECT *, min(acl_id) OVER (PARTITION BY {_MERGE_KEYS}) AS keep FROM inc_ok),
+fresh AS (SELECT * FROM inc_k d WHERE acl_id = keep AND NOT EXISTS (SELECT 1 FROM tgt t WHERE t.object_type = d.object_type
   AND t.user_group = d.user_group AND t.permission_types = d.permission_types AND t.grant_type = d.grant_type
   AND t.bu = d.bu AND t.tag_values IS NOT DISTINCT FROM d.tag_values
   AND t.schema_names IS NOT DISTINCT FROM d.schema_names AND t.table_names IS NOT DISTINCT FROM d.table_names
-  AND t.access_until IS NOT DISTINCT FROM d.access_until)""",
-)
-SQL["acl_upsert_rejects"] = with_(
-    [ACL_SHEET, ACL, UPSERT],
-    """SELECT 'upsert' AS stage, acl_id, CAST(keep AS VARCHAR) AS value, 'duplicate key in sheet' AS reason
-FROM inc_k WHERE acl_id <> keep""",
+  AND t.access_until IS NOT DISTINCT FROM d.access_until))"""
+ALL_IN = [ACL_SHEET, ACL, INCOMING_SHEET, "tgt AS (SELECT * FROM acl)", "inc AS (SELECT * FROM inc_sheet)", UPSERT]
+# the later sheet as text, with ends that are no dates: those override the null ends of shared keys
+_BAD_DATE = "until_text IS NOT NULL AND NOT regexp_matches(until_text, '^\\d{4}-\\d{2}-\\d{2}$')"
+UNIT_INC = f"inc AS (SELECT * FROM inc_sheet WHERE bu = 'BUILDING' AND NOT ({_BAD_DATE}))"
+UNIT_IN = [ACL_SHEET, ACL, INCOMING_SHEET, "tgt AS (SELECT * FROM acl)", UNIT_INC, UPSERT]
+_OUT = f"SELECT {SHEET_OUT}, CAST(access_until AS VARCHAR) AS access_until, bu FROM"
+SQL["acl_upsert"] = with_(ALL_IN, f"{_OUT} tgt UNION ALL {_OUT} fresh")
+UPSERT_REJECTS = """SELECT 'upsert' AS stage, acl_id, CAST(keep AS VARCHAR) AS value, 'duplicate key in sheet' AS reason
+FROM inc_k WHERE acl_id <> keep
+UNION ALL
+SELECT 'upsert', acl_id, NULL, 'null in merge key' FROM inc WHERE object_type IS NULL OR user_group IS NULL
+  OR permission_types IS NULL OR grant_type IS NULL OR bu IS NULL"""
+SQL["acl_upsert_rejects"] = with_(ALL_IN, UPSERT_REJECTS)
+_LOADED = f"SELECT {SHEET_OUT.replace('acl_id, ', '')}, CAST(access_until AS VARCHAR) AS access_until, bu, true AS has_id FROM"
+SQL["acl_ingest"] = with_(UNIT_IN, f"{_LOADED} tgt UNION ALL {_LOADED} fresh")
+SQL["acl_first_load"] = with_([*UNIT_IN[:3], "tgt AS (SELECT * FROM acl WHERE false)", *UNIT_IN[4:]], f"{_LOADED} fresh")
+SHEET_REJECTS = f"SELECT 'read' AS stage, acl_id, until_text AS value, 'access_until is not a date' AS reason FROM inc_sheet WHERE {_BAD_DATE}"
+# rows of one key have one id there, so only null keys are left to report
+SQL["acl_ingest_rejects"] = with_(
+    UNIT_IN,
+    f"""SELECT stage, reason, value FROM ({SHEET_REJECTS} AND bu = 'BUILDING')
+UNION ALL SELECT 'upsert', 'null in merge key', NULL FROM inc WHERE object_type IS NULL""",
 )
 SQL["acl_expire_apply"] = with_(
     [ACL_SHEET, ACL],
@@ -471,39 +549,58 @@ FROM (SELECT *, bu = 'BUILDING' AND grant_type = 'GRANT' AND access_until IS NOT
 SQL["acl_expire_apply_keyed"] = with_(
     [ACL_SHEET, ACL, ACTIVE, EXPIRED],
     """SELECT a.acl_id, a.bu, coalesce(s.sg, a.grant_type) AS grant_type, s.sg IS NOT NULL AS stamped
-FROM acl a LEFT JOIN (SELECT DISTINCT object_type, user_group, permission_types, schema_names, table_names, tag_values,
-                        grant_type AS sg FROM expired) s
+FROM acl a LEFT JOIN (SELECT object_type, user_group, permission_types, schema_names, table_names, tag_values,
+                   CASE WHEN bool_or(grant_type = 'REVOKE') THEN 'REVOKE' ELSE 'GRANT' END AS sg FROM expired GROUP BY ALL) s
   ON a.object_type = s.object_type AND a.user_group = s.user_group AND a.permission_types = s.permission_types
  AND a.schema_names IS NOT DISTINCT FROM s.schema_names AND a.table_names IS NOT DISTINCT FROM s.table_names
  AND a.tag_values IS NOT DISTINCT FROM s.tag_values AND s.sg <> a.grant_type""",
 )
 
 # --- 2.6 / 2.7 ----------------------------------------------------------------
-SQL["effective_grants"] = with_(
-    GEN,
-    """old AS (SELECT DISTINCT privilege, object_type, object_name, user_group FROM stmts
-         WHERE grant_type = 'GRANT' AND acl_id % 2 = 0),
-last AS (SELECT privilege, object_type, object_name, user_group, arg_max(grant_type, acl_id) AS g FROM stmts GROUP BY ALL)
-SELECT privilege, object_type, object_name, user_group FROM last WHERE g = 'GRANT'
+FOLD = """SELECT privilege, object_type, object_name, user_group FROM last WHERE g = 'GRANT'
 UNION ALL
 SELECT o.* FROM old o WHERE NOT EXISTS (SELECT 1 FROM last l WHERE l.privilege = o.privilege
-  AND l.object_type = o.object_type AND l.object_name = o.object_name AND l.user_group = o.user_group)""".replace(
-        "old AS", ", old AS", 1
-    ),
-).replace("\n, old AS", ",\nold AS")
+  AND l.object_type = o.object_type AND l.object_name = o.object_name AND l.user_group = o.user_group)"""
+SQL["effective_grants"] = with_(
+    ROUGH_GEN
+    + [
+        STORED_GRANTS,
+        "ids AS (SELECT * REPLACE (CASE WHEN acl_id % 13 <> 0 THEN acl_id + 4611686018427387904 END AS acl_id) FROM stmts)",
+        """last AS (SELECT privilege, object_type, object_name, user_group, grant_type AS g FROM ids
+  QUALIFY row_number() OVER (PARTITION BY privilege, object_type, object_name, user_group
+                             ORDER BY acl_id DESC NULLS LAST, grant_type ASC) = 1)""",
+    ],
+    FOLD,
+)
 SQL["acl_rejects"] = with_(
-    BASE + [REF_STATUS.format(src="srules")],
-    """SELECT 'validate' AS stage, acl_id, coalesce(CASE WHEN object_type IS NULL THEN 'object_type' END,
+    ROUGH_GEN + [REF_STATUS.format(src="srules"), CATALOG_OBJECTS, PARSED, OUTCOMES, INCOMING_SHEET, "tgt AS (SELECT * FROM acl)",
+                 "inc AS (SELECT * FROM inc_sheet)", UPSERT, MASK_RULES, TAG_RULES, URLS],
+    f"""SELECT 'validate' AS stage, acl_id, coalesce(CASE WHEN object_type IS NULL THEN 'object_type' END,
   CASE WHEN user_group IS NULL THEN 'user_group' END, CASE WHEN permission_types IS NULL THEN 'permission_types' END,
   CASE WHEN grant_type IS NULL THEN 'grant_type' END) AS value, 'null in mandatory column' AS reason
 FROM active WHERE object_type IS NULL OR user_group IS NULL OR permission_types IS NULL OR grant_type IS NULL
 UNION ALL
+SELECT 'validate', acl_id, g, 'backtick in group name' FROM (SELECT acl_id, unnest({items('user_group')}) AS g FROM active
+  WHERE object_type IS NOT NULL AND user_group IS NOT NULL AND permission_types IS NOT NULL) WHERE contains(g, '`')
+UNION ALL
 SELECT 'privileges', acl_id, concat_ws('/', permission_group, object_type), 'no privileges for (env, group, type)'
 FROM rules WHERE len(privileges) = 0
 UNION ALL
 SELECT 'resolve', acl_id, ref, status FROM ref_status WHERE status <> 'ok'
 UNION ALL
-SELECT 'advice', acl_id, object_type, 'type_mismatch' FROM srules WHERE tags IS NOT NULL AND object_type <> 'SCHEMA'""",
+SELECT 'advice', acl_id, object_type, 'type_mismatch' FROM srules WHERE tags IS NOT NULL AND object_type <> 'SCHEMA'
+UNION ALL
+{SHEET_REJECTS}
+UNION ALL
+{UPSERT_REJECTS}
+UNION ALL
+SELECT 'execute', acl_id, access_statement, error FROM outcomes WHERE error = 'unparseable statement'
+UNION ALL
+SELECT 'mask', NULL, concat_ws(':', CAST(rule_id AS VARCHAR), table_name), reason FROM mplan WHERE action = 'REJECT'
+UNION ALL
+SELECT 'tag', NULL, concat_ws(':', CAST(rule_ord AS VARCHAR), target), reason FROM ({TAG_REJECTS})
+UNION ALL
+SELECT 'environment', NULL, url, status FROM ({ENV_SELECT}) WHERE status <> 'ok'""",
 )
 
 # --- 3.2 the whole cycle ------------------------------------------------------
@@ -512,28 +609,23 @@ SQL["acl_cycle_summary"] = with_(
     """SELECT false AS dry_run, count(*) AS total, count(*) FILTER (WHERE status = 'success') AS success,
   count(*) FILTER (WHERE status = 'failure') AS failure FROM outcomes""",
 )
+SQL["acl_cycle_dry_run"] = with_(
+    ROUGH_GEN + [STORED_GRANTS],
+    "SELECT 'statements' AS what, count(*) AS total FROM stmts UNION ALL SELECT 'grants kept', count(*) FROM old",
+)
 SQL["acl_cycle_grants"] = with_(
-    EXEC,
-    """old AS (SELECT DISTINCT privilege, object_type, object_name, user_group FROM stmts
-         WHERE grant_type = 'GRANT' AND acl_id % 2 = 0),
-last AS (SELECT permissions AS privilege, object_type, object_name, user_group, arg_max(grant_type, acl_id) AS g
-         FROM applied GROUP BY ALL)
-SELECT privilege, object_type, object_name, user_group FROM last WHERE g = 'GRANT'
-UNION ALL
-SELECT o.* FROM old o WHERE NOT EXISTS (SELECT 1 FROM last l WHERE l.privilege = o.privilege
-  AND l.object_type = o.object_type AND l.object_name = o.object_name AND l.user_group = o.user_group)""".replace(
-        "old AS", ", old AS", 1
-    ),
-).replace("\n, old AS", ",\nold AS")
+    EXEC
+    + [
+        STORED_GRANTS,
+        """last AS (SELECT permissions AS privilege, object_type, object_name, user_group, arg_max(grant_type, acl_id) AS g
+         FROM applied GROUP BY ALL)""",
+    ],
+    FOLD,
+)
 SQL["acl_cycle_mapping"] = with_(
     EXEC,
     f"""SELECT acl_id, bu, CASE WHEN hit THEN 'REVOKE' ELSE grant_type END AS grant_type,
   hit OR acl_id IN (SELECT acl_id FROM applied) AS stamped
-FROM (SELECT *, bu = 'BUILDING' AND grant_type = 'GRANT' AND access_until IS NOT NULL AND access_until < {AS_OF} AS hit
-      FROM acl)""",
-)
-
-SQL["acl_ingest"] = with_(
-    [ACL_SHEET, ACL, UPSERT.replace("inc AS (SELECT * FROM acl WHERE acl_id % 3 = 0)", "inc AS (SELECT * FROM acl WHERE bu = 'BUILDING')")],
-    SQL["acl_upsert"][SQL["acl_upsert"].index("SELECT {0}".format(SHEET_OUT)):],
+FROM (SELECT *, grant_type = 'GRANT' AND access_until IS NOT NULL AND access_until < {AS_OF} AS hit
+      FROM acl WHERE bu = 'BUILDING')""",
 )

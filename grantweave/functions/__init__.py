@@ -16,4 +16,4 @@ from grantweave.functions.render import (  # noqa: F401
     render_tag_statement,
     short_object_name,
 )
-from grantweave.functions.sizing import broadcast_if_small  # noqa: F401
+from grantweave.functions.sizing import broadcast_if_literal  # noqa: F401

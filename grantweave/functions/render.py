@@ -14,6 +14,8 @@ from grantweave.functions.columns import dotted, py_strip
 STATEMENT_PATTERN = r"(GRANT|REVOKE)\s+(.*?)\s+ON\s+(\w+)\s+([\w.]+)\s+(TO|FROM)\s+`([^`]+)`"
 # Mask function names: "{table}_{column}_mask" with "-" replaced by "_".
 MASK_SUFFIX = "_mask"
+# How a missing tag value reads in a SET TAGS statement and in the tag state.
+NULL_TAG_VALUE = "None"
 # ---------------------------------------------------------------------------
 
 # Java's \w and \s are ASCII-only by default; (?U) gives them the Unicode
@@ -76,7 +78,7 @@ def _struct_of_parts(matched: Column, parts: Column, tags: Column) -> Column:
 
 def record_struct(record: Column, tag_values: Column | None = None) -> Column:
     """The parsed struct from :func:`statement_record`; null for a non-match."""
-    parts = F.split(F.substring(record, 2, 1 << 30), "`", 5)
+    parts = F.split(F.substr(record, F.lit(2)), "`", 5)
     tags = tag_values if tag_values is not None else F.lit(None).cast("string")
     return _struct_of_parts(record.startswith(_NUL), parts, tags)
 
@@ -103,7 +105,7 @@ def parse_statements(df, statement: str = "access_statement", tag_values: str |
     return (
         df.withColumn("_stmt_s", py_strip(F.col(statement)))
         .withColumn("_stmt_rec", _record_of_stripped(F.col("_stmt_s")))
-        .withColumn("_stmt_parts", F.split(F.substring(F.col("_stmt_rec"), 2, 1 << 30), "`", 5))
+        .withColumn("_stmt_parts", F.split(F.substr(F.col("_stmt_rec"), F.lit(2)), "`", 5))
         .withColumn(out, _struct_of_parts(F.col("_stmt_rec").startswith(_NUL), F.col("_stmt_parts"), tags))
         .drop("_stmt_s", "_stmt_rec", "_stmt_parts")
     )
@@ -131,10 +133,15 @@ def _quoted(x: Column) -> Column:
     return F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("''")), F.lit("'"))
 
 
+def tag_value(value: Column) -> Column:
+    """A tag's value as text; a missing one keeps its entry."""
+    return F.coalesce(value, F.lit(NULL_TAG_VALUE))
+
+
 def render_tag_statement(action: Column, target_type: Column, target: Column, tags: Column) -> Column:
     """``ALTER {type} {target} SET TAGS ('k' = 'v', ...)`` or ``UNSET TAGS ('k', ...)``."""
     set_items = F.array_join(
-        F.transform(F.map_entries(tags), lambda e: F.concat(_quoted(e["key"]), F.lit(" = "), _quoted(e["value"]))),
+        F.transform(F.map_entries(tags), lambda e: F.concat(_quoted(e["key"]), F.lit(" = "), _quoted(tag_value(e["value"])))),
         ", ",
     )
     unset_items = F.array_join(F.transform(F.map_keys(tags), _quoted), ", ")

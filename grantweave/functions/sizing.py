@@ -1,16 +1,17 @@
-"""Size-checked broadcast."""
+"""Broadcast hints for literal configuration."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_BROADCAST_ROWS = 100_000
+#: A configuration relation of up to this many literal rows, each of a few short strings, is broadcast.
+MAX_LITERAL_ROWS = 10_000
 _ROWS_ATTR = "_grantweave_max_rows"
 
 
 def mark_bounded(df: DataFrame, max_rows: int) -> DataFrame:
-    """Record a proven upper bound on the rows of ``df`` (e.g. literal rows)."""
+    """Record that ``df`` consists of at most ``max_rows`` literal rows."""
     setattr(df, _ROWS_ATTR, int(max_rows))
     return df
 
@@ -19,21 +20,13 @@ def known_bound(df: DataFrame | None) -> int | None:
     return getattr(df, _ROWS_ATTR, None) if df is not None else None
 
 
-def broadcast_if_small(
-    df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS, bounded_by: DataFrame | None = None
-) -> DataFrame:
-    """Mark ``df`` for broadcast only if it provably has at most ``max_rows`` rows.
+def broadcast_if_literal(df: DataFrame, made_from: DataFrame | None = None) -> DataFrame:
+    """Hint a broadcast of ``df`` if it (or the relation it was filtered from) is literal configuration.
 
-    The proof is either a bound recorded on ``df`` or on ``bounded_by`` (a
-    relation ``df`` was filtered/projected from, so it has no more rows), or a
-    check that reads at most ``max_rows + 1`` rows (the limit is pushed into
-    the scan, so it stays cheap even when the relation turns out to be big).
-    Beyond the bound the relation is returned unchanged and the join is
-    planned as a shuffle join (AQE may still convert it at run time).
+    Anything else is returned as it is: Catalyst and AQE choose by size in
+    bytes, which no row count here could stand for.
     """
     bound = known_bound(df)
     if bound is None:
-        bound = known_bound(bounded_by)
-    if bound is None:
-        bound = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if bound <= max_rows else df
+        bound = known_bound(made_from)
+    return F.broadcast(df) if bound is not None and bound <= MAX_LITERAL_ROWS else df

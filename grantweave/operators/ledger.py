@@ -6,17 +6,12 @@ is modelled as a keyed state change: the ledger of effective grants.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from grantweave.functions import parse_statements
 
 LEDGER_KEY = ["privilege", "object_type", "object_name", "user_group"]
-_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-_NO_ID = -(1 << 61)  # statements without acl_id order first
 ERR_UNPARSEABLE = "unparseable statement"
 ERR_UNKNOWN_OBJECT = "object not found"
 
@@ -41,7 +36,10 @@ def outcomes(statements: DataFrame, known_objects: DataFrame, dry_run: bool = Fa
             F.lit("success").alias("status"), F.lit(True).alias("dry_run"), F.lit(None).cast("string").alias("error"),
         )
     known = known_objects.select(F.col("object_name").alias("_known")).distinct()
-    j = p.join(known, F.col("p.object_name") == F.col("_known"), "left")
+    # statements without an object cannot meet one: they pass beside the join, not through one of its tasks
+    some, none = p.filter(F.col("p").isNotNull()), p.filter(F.col("p").isNull())
+    j = some.join(known, F.col("p.object_name") == F.col("_known"), "left")
+    j = j.unionByName(none.withColumn("_known", F.lit(None).cast("string")))
     error = (
         F.when(F.col("p").isNull(), F.lit(ERR_UNPARSEABLE))
         .when(F.col("_known").isNull(), F.lit(ERR_UNKNOWN_OBJECT))
@@ -69,32 +67,32 @@ def applied(outcome_rows: DataFrame) -> DataFrame:
     return outcome_rows.filter(ok)
 
 
-def apply_statements(old_state: DataFrame, statements: DataFrame, order: Sequence[str] = ("acl_id",)) -> DataFrame:
-    """New effective grants = old state folded with ordered statements.
+def apply_statements(old_state: DataFrame, statements: DataFrame) -> DataFrame:
+    """New effective grants = old state folded with statements in acl_id order.
+
+    Per (privilege, object_type, object_name, user_group) the statement with
+    the largest acl_id decides: GRANT makes the grant present, REVOKE absent;
+    keys no statement touches keep their old state.  A statement without an
+    acl_id comes before all others, and on a tie a GRANT wins.
 
-    Per (privilege, object_type, object_name, user_group) the last statement
-    in ``order`` decides: GRANT makes the grant present, REVOKE absent; keys no
-    statement touches keep their old state.  ``max_by`` aggregates partially
-    before the shuffle, and both join sides are unique per key.
+    The fold keeps the largest id of either kind and whether that kind occurs
+    at all: fixed-width buffers over the whole range of ids, so the aggregation
+    is hash-based and partial before the shuffle.  Both join sides are unique
+    per key.
     """
-    if tuple(order) == ("acl_id",) and isinstance(statements.schema["acl_id"].dataType, _INTEGRAL):
-        # A rule has one grant type, so (acl_id, is GRANT) packed into one
-        # long orders statements exactly as acl_id does (a GRANT wins a tie).
-        # A fixed-width long buffer lets the aggregation be hash-based; a
-        # string buffer (max_by) forces a sort of every statement.
-        packed = F.coalesce(F.col("acl_id").cast("long"), F.lit(_NO_ID)) * 2 + (F.col("grant_type") == "GRANT").cast("long")
-        last = statements.groupBy(*LEDGER_KEY).agg(F.max(packed).alias("_packed"))
-        last_is_grant = F.pmod(F.col("_packed"), F.lit(2)) == 1
-        has_last = F.col("_packed").isNotNull()
-    else:
-        last = statements.groupBy(*LEDGER_KEY).agg(
-            F.max_by(F.col("grant_type"), F.struct(*[F.col(c) for c in order])).alias("_last")
-        )
-        last_is_grant = F.col("_last") == "GRANT"
-        has_last = F.col("_last").isNotNull()
+    grant = F.col("grant_type") == "GRANT"
+    last = statements.groupBy(*LEDGER_KEY).agg(
+        F.max(F.when(grant, F.col("acl_id"))).alias("_granted"),
+        F.max(F.when(~grant, F.col("acl_id"))).alias("_revoked"),
+        F.max(grant).alias("_any_grant"),
+        F.max(~grant).alias("_any_revoke"),
+    )
+    last_is_grant = F.col("_any_grant") & (
+        ~F.col("_any_revoke") | F.col("_revoked").isNull() | F.coalesce(F.col("_granted") >= F.col("_revoked"), F.lit(False))
+    )
     old = old_state.select(*LEDGER_KEY).distinct().withColumn("_old", F.lit(True))
     j = old.join(last, LEDGER_KEY, "full_outer")
-    present = F.when(has_last, last_is_grant).otherwise(F.col("_old").isNotNull())
+    present = F.when(F.col("_any_grant").isNotNull(), last_is_grant).otherwise(F.col("_old").isNotNull())
     return j.filter(present).select(*LEDGER_KEY)
 
 

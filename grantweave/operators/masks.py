@@ -1,4 +1,11 @@
-"""Column masks: the per-rule plan and masked projections of a table."""
+"""Column masks: rule plan, mask state and masked projections of a table.
+
+A mask belongs to a (table, column), compared without regard to case.  Rules
+are a sequence of changes in ``rule_id`` order: a create makes a mask only
+where none is in force, a drop removes it, and a create after a drop makes a
+new one.  ``plan`` says what each rule does, ``state`` what is in force after
+all of them, and the projections show a column raw only if no mask is.
+"""
 
 from __future__ import annotations
 
@@ -6,142 +13,169 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from grantweave.functions import broadcast_if_small, dotted, mask_function_name, present
-from grantweave.functions.sizing import mark_bounded
+from grantweave.functions import broadcast_if_literal, dotted, mask_function_name, present
+from grantweave.sources.config import DEFAULT_MASK
 
 ACTION_REJECT, ACTION_DROP, ACTION_SKIP, ACTION_CREATE = "REJECT", "DROP", "SKIP", "CREATE"
 REASON_BAD_REF = "mask ref not 3 parts"
 REASON_NO_PREFIX = "prefix not mapped"
+REASON_NO_COLUMN = "mask without column"
 REASON_NO_GROUP = "mask without group"
-REASON_EXISTS = "mask function exists"
-# A masked projection reads the plan rows of one table; a table has a bounded
-# number of columns, and the read refuses more than this many rows.
-MAX_MASKS_PER_TABLE = 10_000
-
+REASON_EXISTS = "mask exists"
+REASON_UNKNOWN_COLUMN = "column not in table"
+_KEY = ["_table_key", "_column_key"]
 
-def plan(mask_rules: DataFrame, catalog_mapping: DataFrame, env: str, existing_masks: DataFrame) -> DataFrame:
-    """Decide each mask rule: REJECT, DROP, SKIP (function exists) or CREATE.
 
-    Checks run in the reference's order: ref shape, prefix, group list, then
-    drop_existing, then existence of ``{catalog}.{schema}.{table}_{column}_mask``
-    (compared lower-case; '-' becomes '_').
-    """
+def _resolved(mask_rules: DataFrame, catalog_mapping: DataFrame, env: str) -> DataFrame:
+    """Rules with full table name, key and reject reason (checked in the reference's order)."""
     parts = dotted("table_name")
     cat = catalog_mapping.filter((F.col("env") == F.lit(env)) & present("catalog")).select(
         F.col("prefix").alias("_prefix"), "catalog"
     )
-    r = mask_rules.join(broadcast_if_small(cat, bounded_by=catalog_mapping), F.get(parts, 0) == F.col("_prefix"), "left")
+    r = mask_rules.join(broadcast_if_literal(cat, made_from=catalog_mapping), F.get(parts, 0) == F.col("_prefix"), "left")
     schema, tbl = F.get(parts, 1), F.get(parts, 2)
     shape_ok = F.size(parts) == 3
-    func = mask_function_name(tbl, F.col("column_name"))
-    full_func = F.lower(F.concat_ws(".", "catalog", schema, func))
-    r = r.select(
-        "*",
-        shape_ok.alias("_shape_ok"),
-        F.when(shape_ok & F.col("catalog").isNotNull(), F.concat_ws(".", "catalog", schema, tbl)).alias("full_table_name"),
-        F.when(shape_ok & F.col("catalog").isNotNull(), func).alias("function_name"),
-        F.when(shape_ok & F.col("catalog").isNotNull(), full_func).alias("_full_func"),
-    )
-    ex = existing_masks.select(F.lower("function_name").alias("_existing")).distinct()
-    r = r.join(ex, F.col("_full_func") == F.col("_existing"), "left")
-    no_group = F.col("user_group").isNull() | (F.size("user_group") == 0)
-    action = (
-        F.when(~F.col("_shape_ok"), ACTION_REJECT)
-        .when(F.col("catalog").isNull(), ACTION_REJECT)
-        .when(no_group, ACTION_REJECT)
-        .when(F.coalesce("drop_existing", F.lit(False)), ACTION_DROP)
-        .when(F.col("_existing").isNotNull(), ACTION_SKIP)
-        .otherwise(ACTION_CREATE)
-    )
+    known = shape_ok & F.col("catalog").isNotNull()
     reason = (
-        F.when(~F.col("_shape_ok"), REASON_BAD_REF)
+        F.when(~shape_ok, REASON_BAD_REF)
         .when(F.col("catalog").isNull(), REASON_NO_PREFIX)
-        .when(no_group, REASON_NO_GROUP)
-        .when(~F.coalesce("drop_existing", F.lit(False)) & F.col("_existing").isNotNull(), REASON_EXISTS)
+        .when(F.col("column_name").isNull(), REASON_NO_COLUMN)
+        .when(F.col("user_group").isNull() | (F.size("user_group") == 0), REASON_NO_GROUP)
     )
+    full = F.when(known, F.concat_ws(".", "catalog", schema, tbl))
     return r.select(
-        "rule_id", "table_name", "column_name", "full_table_name", "function_name", "user_group",
-        F.coalesce("type_of_masking", F.lit("****")).alias("type_of_masking"),
-        action.alias("action"), reason.alias("reason"),
+        "rule_id", "table_name", "column_name", "user_group",
+        full.alias("full_table_name"),
+        F.when(known, mask_function_name(tbl, F.col("column_name"))).alias("function_name"),
+        F.coalesce("type_of_masking", F.lit(DEFAULT_MASK)).alias("type_of_masking"),
+        F.coalesce("drop_existing", F.lit(False)).alias("_drop"),
+        reason.alias("_reject"),
+        F.lower(full).alias("_table_key"),
+        F.lower("column_name").alias("_column_key"),
+    )
+
+
+def _in_force(existing_masks: DataFrame) -> DataFrame:
+    """The masks in force before, one per key."""
+    return existing_masks.select(
+        F.lower("full_table_name").alias("_table_key"),
+        F.lower("column_name").alias("_column_key"),
+        F.struct("full_table_name", "column_name", "user_group", "type_of_masking").alias("_old"),
+    ).groupBy(*_KEY).agg(F.min("_old").alias("_old"))
+
+
+def plan(mask_rules: DataFrame, catalog_mapping: DataFrame, env: str, existing_masks: DataFrame) -> DataFrame:
+    """What each mask rule does in its turn: REJECT, DROP, SKIP (a mask is in force) or CREATE.
+
+    ``existing_masks`` (full_table_name, column_name, user_group,
+    type_of_masking) are the masks in force before the first rule.  Rejected
+    rules pass beside the join and the window, so their missing keys never
+    meet in one task.
+    """
+    r = _resolved(mask_rules, catalog_mapping, env)
+    valid = r.filter(F.col("_reject").isNull()).join(_in_force(existing_masks), _KEY, "left")
+    turn = Window.partitionBy(*_KEY).orderBy("rule_id")
+    drops = F.coalesce(F.sum(F.col("_drop").cast("int")).over(turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    valid = valid.withColumn("_drops", drops)
+    since = Window.partitionBy(*_KEY, "_drops").orderBy("rule_id").rowsBetween(Window.unboundedPreceding, -1)
+    made = F.coalesce(F.max((~F.col("_drop")).cast("int")).over(since), F.lit(0)) == 1
+    exists = made | ((F.col("_drops") == 0) & F.col("_old").isNotNull())
+    action = F.when(F.col("_drop"), ACTION_DROP).when(exists, ACTION_SKIP).otherwise(ACTION_CREATE)
+    reason = F.when(~F.col("_drop") & exists, REASON_EXISTS)
+    out = ["rule_id", "table_name", "column_name", "full_table_name", "function_name", "user_group", "type_of_masking"]
+    rejected = r.filter(F.col("_reject").isNotNull())
+    return valid.select(*out, action.alias("action"), reason.alias("reason")).unionByName(
+        rejected.select(*out, F.lit(ACTION_REJECT).alias("action"), F.col("_reject").alias("reason"))
     )
 
 
-def _table_masks(mask_plan: DataFrame, full_table_name: str) -> list:
-    rows = (
-        mask_plan.filter((F.col("full_table_name") == full_table_name) & (F.col("action") == ACTION_CREATE))
-        .select("rule_id", "column_name", "user_group", "type_of_masking")
-        .limit(MAX_MASKS_PER_TABLE + 1)
-        .collect()
+def state(mask_rules: DataFrame, catalog_mapping: DataFrame, env: str, existing_masks: DataFrame) -> DataFrame:
+    """Masks in force after all rules: one row per (table, column).
+
+    The last drop of a key ends all masks before it; the first create after it
+    (or, without a drop, the mask already there) holds.  Both are aggregates
+    with partial sums, so a key with any number of rules stays spread.
+    """
+    r = _resolved(mask_rules, catalog_mapping, env).filter(F.col("_reject").isNull())
+    dropped = r.filter("_drop").groupBy(*_KEY).agg(F.max("rule_id").alias("_dropped"))
+    mask = F.struct("full_table_name", "column_name", "user_group", "type_of_masking")
+    created = r.filter("not _drop").join(dropped, _KEY, "left").filter("_dropped is null or rule_id > _dropped")
+    created = created.groupBy(*_KEY).agg(F.min(F.struct("rule_id", mask.alias("mask"))).alias("_first"))
+    old = _in_force(existing_masks).join(dropped, _KEY, "left_anti")
+    j = old.join(created, _KEY, "full_outer")
+    return j.select(F.coalesce("_old", F.col("_first.mask")).alias("m"), F.col("_first.rule_id").alias("_rule"), "_old").select(
+        "m.*", F.when(F.col("_old").isNull(), F.col("_rule")).alias("rule_id")
     )
-    if len(rows) > MAX_MASKS_PER_TABLE:
-        raise ValueError(f"more than {MAX_MASKS_PER_TABLE} masks on {full_table_name}")
-    # One mask per column: a later rule replaces an earlier one (SET MASK).
-    by_col = {}
-    for r in sorted(rows, key=lambda r: r["rule_id"]):
-        by_col[r["column_name"]] = r
-    return list(by_col.values())
 
 
-def _project(table: DataFrame, masks: list, is_member) -> DataFrame:
+def unknown_columns(mask_state: DataFrame, full_table_name: str, table: DataFrame) -> DataFrame:
+    """Masks on columns that the table does not have: (rule_id, column_name, reason)."""
+    have = [c.lower() for c in table.columns]
+    own = mask_state.filter(F.lower("full_table_name") == full_table_name.lower())
+    return own.filter(~F.lower("column_name").isin(have)).select("rule_id", "column_name", F.lit(REASON_UNKNOWN_COLUMN).alias("reason"))
+
+
+def _table_masks(mask_state: DataFrame, full_table_name: str, table: DataFrame) -> dict:
+    """The masks of the table's own columns: one row per column at most."""
+    have = [c.lower() for c in table.columns]
+    own = (F.lower("full_table_name") == full_table_name.lower()) & F.lower("column_name").isin(have)
+    rows = mask_state.filter(own).select(F.lower("column_name").alias("key"), "user_group", "type_of_masking").collect()
+    return {r["key"]: r for r in rows}
+
+
+def _masked(table: DataFrame, masks: dict, member) -> list[Column]:
+    """The table's columns, each masked one behind its membership test."""
     out = []
-    by_col = {m["column_name"]: m for m in masks}
     for c in table.columns:
-        m = by_col.get(c)
+        m = masks.get(c.lower())
         if m is None:
             out.append(F.col(c))
         else:
-            # The mask function takes and returns STRING.
-            out.append(F.when(is_member(m["user_group"]), F.col(c).cast("string")).otherwise(F.lit(m["type_of_masking"])).alias(c))
-    return table.select(*out)
+            # A mask takes and returns STRING; without known groups nobody sees the value.
+            hidden = F.lit(DEFAULT_MASK if m["type_of_masking"] is None else m["type_of_masking"])
+            out.append(F.when(member(m["user_group"] or []), F.col(c).cast("string")).otherwise(hidden).alias(c))
+    return out
 
 
-def mask_columns(table: DataFrame, full_table_name: str, mask_plan: DataFrame, reader_groups: Sequence[str]) -> DataFrame:
+def mask_columns(table: DataFrame, full_table_name: str, mask_state: DataFrame, reader_groups: Sequence[str]) -> DataFrame:
     """The table as seen by a reader whose groups are known: membership is a
     literal, so Catalyst folds each CASE to the raw column or the constant."""
     groups = set(reader_groups)
-    return _project(table, _table_masks(mask_plan, full_table_name), lambda gs: F.lit(bool(groups & set(gs or []))))
-
-
-def is_member(memberships: DataFrame, reader: str, groups: Sequence[str]) -> Column:
-    """``is_member(g1) OR ...`` for one reader: an uncorrelated EXISTS subquery
-    over the membership relation, evaluated once per query."""
-    if not groups:
-        return F.lit(False)
-    hit = (F.col("user_name") == F.lit(reader)) & F.col("user_group").isin(*groups)
-    return memberships.filter(hit).exists()
+    masks = _table_masks(mask_state, full_table_name, table)
+    return table.select(*_masked(table, masks, lambda gs: F.lit(bool(groups & set(gs)))))
 
 
-def reader_groups(memberships: DataFrame, readers: Sequence[str]) -> DataFrame:
-    """(reader, groups): each listed reader's distinct groups, one row per reader.
+def reader_groups(memberships: DataFrame, readers: Sequence[str], wanted: Sequence[str]) -> DataFrame:
+    """(reader, groups): per listed reader the groups it has among ``wanted``.
 
-    At most ``len(readers)`` rows, and one reader's groups are the groups of a
-    single user, so the relation is small and its bound is known up front.
+    One row per reader, with at most ``wanted`` groups, so both are bounded.
     """
-    m = memberships.filter(F.col("user_name").isin(*readers) & F.col("user_group").isNotNull())
-    g = m.groupBy(F.col("user_name").alias("_reader")).agg(F.collect_set("user_group").alias("_groups"))
-    return mark_bounded(g, len(readers))
+    m = memberships.filter(F.col("user_name").isin(*readers) & F.col("user_group").isin(*wanted))
+    return m.groupBy(F.col("user_name").alias("_reader")).agg(F.collect_set("user_group").alias("_groups"))
 
 
 def mask_by_reader(
-    table: DataFrame, full_table_name: str, mask_plan: DataFrame, memberships: DataFrame, readers: Sequence[str]
+    table: DataFrame, full_table_name: str, mask_state: DataFrame, memberships: DataFrame, readers: Sequence[str]
 ) -> DataFrame:
     """The masked table for each reader (column ``reader`` first).
 
     The table is scanned once: each row is repeated per reader by a narrow
-    ``explode`` of the reader list, the readers' group sets come in through a
-    broadcast equi-join (bounded by the reader list), and each mask column
-    shows its value when the reader's groups overlap the mask's groups.
+    ``explode`` of the reader list (that is the result's size), the readers'
+    groups come in through an equi-join, and each masked column shows its
+    value when the reader's groups overlap the mask's groups.
     """
-    masks = _table_masks(mask_plan, full_table_name)
-    rg = reader_groups(memberships, readers)
+    masks = _table_masks(mask_state, full_table_name, table)
+    wanted = sorted({g for m in masks.values() for g in (m["user_group"] or []) if g is not None})
+    rg = reader_groups(memberships, readers, wanted)
     per_reader = table.select(F.explode(F.array(*[F.lit(r) for r in readers])).alias("reader"), "*")
-    j = per_reader.join(broadcast_if_small(rg), F.col("reader") == F.col("_reader"), "left")
+    j = per_reader.join(rg, F.col("reader") == F.col("_reader"), "left")
 
     def member(gs) -> Column:
-        wanted = [g for g in (gs or []) if g is not None]
-        if not wanted:
+        own = [g for g in gs if g is not None]
+        if not own:
             return F.lit(False)
-        return F.coalesce(F.arrays_overlap(F.col("_groups"), F.array(*[F.lit(g) for g in wanted])), F.lit(False))
+        return F.coalesce(F.arrays_overlap(F.col("_groups"), F.array(*[F.lit(g) for g in own])), F.lit(False))
 
-    return _project(j.drop("_reader"), masks, member).drop("_groups")
+    return j.select("reader", *_masked(table, masks, member))

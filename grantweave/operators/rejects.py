@@ -7,12 +7,15 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantweave.operators import resolve
+from grantweave.functions import nonblank_items
+from grantweave.operators import ledger, masks, resolve
+from grantweave.operators.rules import MANDATORY
+from grantweave.sources import environment
 
 REASON_NULL = "null in mandatory column"
 REASON_NO_PRIVILEGES = "no privileges for (env, group, type)"
 REASON_TYPE_MISMATCH = "type_mismatch"
-MANDATORY = ["object_type", "user_group", "permission_types", "grant_type"]
+REASON_BACKTICK = "backtick in group name"
 
 
 def _reject(df: DataFrame, stage: str, value, reason) -> DataFrame:
@@ -31,6 +34,12 @@ def null_mandatory(mapping_rows: DataFrame) -> DataFrame:
     return _reject(mapping_rows.filter(bad), "validate", first, REASON_NULL)
 
 
+def bad_groups(mapping_rows: DataFrame) -> DataFrame:
+    """Group names that would end the quoted name in a statement."""
+    groups = mapping_rows.dropna(subset=MANDATORY).select("acl_id", F.explode(nonblank_items("user_group")).alias("g"))
+    return _reject(groups.filter(F.col("g").contains("`")), "validate", F.col("g"), REASON_BACKTICK)
+
+
 def no_privileges(rule_rows: DataFrame) -> DataFrame:
     """Rules whose (env, group, type) maps to no privilege: they make nothing."""
     value = F.concat_ws("/", "permission_group", "object_type")
@@ -59,7 +68,37 @@ def rule_rejects(mapping_active: DataFrame, rule_rows: DataFrame, catalog_mappin
     refs = resolve.resolve_refs(with_privs, catalog_mapping, env)
     return (
         null_mandatory(mapping_active)
+        .unionByName(bad_groups(mapping_active))
         .unionByName(no_privileges(rule_rows))
         .unionByName(bad_refs(refs))
         .unionByName(type_mismatch(with_privs))
     )
+
+
+def mask_rejects(mask_plan: DataFrame) -> DataFrame:
+    """Mask rules with a bad ref, an unmapped prefix, no column or no group."""
+    rows = mask_plan.filter(F.col("action") == masks.ACTION_REJECT).withColumn("acl_id", F.lit(None).cast("long"))
+    return _reject(rows, "mask", F.concat_ws(":", "rule_id", "table_name"), F.col("reason"))
+
+
+def unparseable(outcome_rows: DataFrame) -> DataFrame:
+    """Statements whose text the executor could not read."""
+    rows = outcome_rows.filter(F.col("error") == ledger.ERR_UNPARSEABLE)
+    return _reject(rows, "execute", F.col("access_statement"), F.col("error"))
+
+
+def tag_rejects(tag_reject_rows: DataFrame) -> DataFrame:
+    """Tag rules that do nothing, in whole or for one target."""
+    rows = tag_reject_rows.withColumn("acl_id", F.lit(None).cast("long"))
+    return _reject(rows, "tag", F.concat_ws(":", "rule_ord", "target"), F.col("reason"))
+
+
+def environment_rejects(resolved_urls: DataFrame, url: str = "url") -> DataFrame:
+    """URLs without a workspace id or with one that no environment has."""
+    rows = resolved_urls.filter(F.col("status") != environment.STATUS_OK).withColumn("acl_id", F.lit(None).cast("long"))
+    return _reject(rows, "environment", F.col(url), F.col("status"))
+
+
+def all_rejects(*relations: DataFrame) -> DataFrame:
+    """One relation of (stage, acl_id, value, reason) for every stage."""
+    return reduce(DataFrame.unionByName, relations)

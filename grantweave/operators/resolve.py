@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grantweave.functions import broadcast_if_small, dotted, present
+from grantweave.functions import broadcast_if_literal, dotted, present
 
 SOURCE_TAG, SOURCE_SCHEMA, SOURCE_TABLE = "tag", "schema", "table"
 STATUS_OK = "ok"
@@ -13,6 +13,9 @@ STATUS_BAD_SCHEMA = "schema ref not 2 parts"
 STATUS_BAD_TABLE = "table ref not 3 parts"
 STATUS_NO_PREFIX = "prefix not mapped"
 
+# Pairs of one key that a join task makes before the key is dealt to more tasks.
+MAX_PAIRS = 100_000
+
 _REF_T = "array<struct<source:string,pos:int,ref:string,want:int>>"
 
 
@@ -27,6 +30,36 @@ def stored_tag_items(schema_tags: DataFrame) -> DataFrame:
     ).filter(F.col("object_name").isNotNull())
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: str, by: str, max_pairs: int | None = None) -> DataFrame:
+    """``left`` join ``right`` on ``on``, with the pairs of a hot key dealt to several tasks.
+
+    A join's input may be small where its output is not: n left rows and m
+    right rows of one key make n x m pairs in one task, which AQE cannot see
+    beforehand.  Keys of over ``max_pairs`` pairs (both counts are summed before
+    they are shuffled) get salts: right rows are dealt by ``by``, left rows are
+    repeated per salt.  Nothing is dropped, and other keys get one salt.
+    """
+    max_pairs = max_pairs or MAX_PAIRS
+    n_left = left.groupBy(on).agg(F.count("*").alias("_l"))
+    n_right = right.groupBy(on).agg(F.count("*").alias("_r"))
+    salts = F.ceil(F.col("_l") * F.col("_r") / F.lit(max_pairs)).cast("int").alias("_salts")
+    hot = n_left.join(n_right, on).select(on, salts).filter("_salts > 1")
+    n = F.coalesce("_salts", F.lit(1))
+    l = left.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("_salts")
+    r = right.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(by), n).cast("int")).drop("_salts")
+    parts = fanout_partitions(left.sparkSession)  # a stated count: pairs, not input bytes, size these tasks
+    return l.repartition(parts, on, "_salt").join(r.repartition(parts, on, "_salt"), [on, "_salt"]).drop("_salt")
+
+
+def fanout_partitions(spark) -> int:
+    """Partitions for a fan-out stage: the session's shuffle partition count."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        return max(n, spark.sparkContext.defaultParallelism)
+    except Exception:  # no SparkContext on this client (e.g. Spark Connect)
+        return n
+
+
 def resolve_tag_keys(tag_keys: DataFrame, schema_tags: DataFrame) -> DataFrame:
     """Distinct (tag_key, object_name) for a relation of tag keys.
 
@@ -36,20 +69,23 @@ def resolve_tag_keys(tag_keys: DataFrame, schema_tags: DataFrame) -> DataFrame:
     so one shuffle join serves every rule instead of one query per rule.
     """
     wanted = tag_keys.select("tag_key", F.explode(F.split("tag_key", ",")).alias("tag"))
-    return wanted.join(stored_tag_items(schema_tags), "tag").select("tag_key", "object_name").distinct()
+    return spread_join(wanted, stored_tag_items(schema_tags).distinct(), "tag", "object_name").select("tag_key", "object_name").distinct()
 
 
 def resolve_tags(rules: DataFrame, schema_tags: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Tag objects per rule: (acl_id, *keep, object_name), distinct per rule.
 
     Rules are first reduced to their distinct tag keys, resolved once per key
-    and joined back, so many rules sharing a tag list cost one resolution.
+    and joined back, so many rules sharing a tag list cost one resolution; the
+    pairs of a hot list are dealt to several tasks.
     """
     keep = keep or []
     tagged = rules.filter(F.col("tags").isNotNull())
     keys = tagged.select(F.col("tag_values").alias("tag_key")).distinct()
     resolved = resolve_tag_keys(keys, schema_tags)
-    return tagged.select("acl_id", *keep, F.col("tag_values").alias("tag_key")).join(resolved, "tag_key").drop("tag_key")
+    held = [c for c in keep if c != "tag_values"]
+    pairs = spread_join(tagged.select("acl_id", *held, F.col("tag_values").alias("tag_key")), resolved, "tag_key", "object_name")
+    return pairs.select("acl_id", *[F.col("tag_key").alias(c) if c == "tag_values" else F.col(c) for c in keep], "object_name")
 
 
 def _ref_items(source: str, refs: Column, want: int) -> Column:
@@ -79,7 +115,7 @@ def resolve_refs(rules: DataFrame, catalog_mapping: DataFrame, env: str, keep: l
     cat = catalog_mapping.filter((F.col("env") == F.lit(env)) & present("catalog")).select(
         F.col("prefix").alias("_prefix"), "catalog"
     )
-    joined = refs.join(broadcast_if_small(cat, bounded_by=catalog_mapping), F.get(F.col("parts"), 0) == F.col("_prefix"), "left")
+    joined = refs.join(broadcast_if_literal(cat, made_from=catalog_mapping), F.get(F.col("parts"), 0) == F.col("_prefix"), "left")
     shape_ok = F.size("parts") == F.col("want")
     rest = F.array_join(F.slice("parts", 2, F.size("parts") - 1), ".")
     status = (

@@ -7,7 +7,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grantweave.functions import broadcast_if_small, comma_items, nonblank_items, present, py_strip
+from grantweave.functions import broadcast_if_literal, comma_items, nonblank_items, present, py_strip
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's for identical results).
@@ -16,6 +16,8 @@ REVOKE = "REVOKE"
 READER_GROUP = "DATA_READER"
 # For DATA_READER rules the privilege list is narrowed by object type:
 READER_NARROWING = {"TABLE": "SELECT", "VOLUME": "READ VOLUME"}
+# Columns a rule cannot do without:
+MANDATORY = ["object_type", "user_group", "permission_types", "grant_type"]
 # ---------------------------------------------------------------------------
 
 
@@ -32,6 +34,11 @@ def active_grants(mapping: DataFrame, bu: str) -> DataFrame:
     return mapping.filter((F.col("bu") == F.lit(bu)) & (F.col("grant_type") == F.lit(GRANT)))
 
 
+def complete(mapping: DataFrame) -> DataFrame:
+    """Rows that have every mandatory column."""
+    return mapping.dropna(subset=MANDATORY)
+
+
 def expired(as_of: _dt.date | str | None = None) -> Column:
     """An entry is still valid on its last day: expired means strictly before."""
     return F.col("access_until").isNotNull() & (F.col("access_until") < as_of_date(as_of))
@@ -50,7 +57,8 @@ def expire(active: DataFrame, as_of=None, stamp=None) -> DataFrame:
 def normalize(rules: DataFrame) -> DataFrame:
     """Parse the comma lists of each rule row into arrays.
 
-    groups: stripped, empties dropped; tags/schema/table refs: stripped,
+    groups: stripped, empties and names with a backtick (which would end the
+    quoted name in a statement) dropped; tags/schema/table refs: stripped,
     empties kept (they fail later as refs or match empty tag items).
     ``tag_values`` becomes the stripped tags re-joined with ',' (null when the
     row has none); it is also the tag-resolution key.
@@ -61,7 +69,7 @@ def normalize(rules: DataFrame) -> DataFrame:
         py_strip("grant_type").alias("grant_type"),
         py_strip("object_type").alias("object_type"),
         py_strip("permission_types").alias("permission_group"),
-        nonblank_items("user_group").alias("groups"),
+        F.filter(nonblank_items("user_group"), lambda g: ~g.contains("`")).alias("groups"),
         tags.alias("tags"),
         F.array_join(tags, ",").alias("tag_values"),
         F.when(present("schema_names"), comma_items("schema_names")).alias("schema_refs"),
@@ -89,6 +97,6 @@ def with_privileges(rules: DataFrame, permission_mapping: DataFrame, env: str) -
     and are reported by :func:`grantweave.operators.rejects.rule_rejects`).
     """
     dim = permission_mapping.filter(F.col("env") == F.lit(env)).select("permission_group", "privileges")
-    joined = rules.join(broadcast_if_small(dim, bounded_by=permission_mapping), "permission_group", "left")
+    joined = rules.join(broadcast_if_literal(dim, made_from=permission_mapping), "permission_group", "left")
     privs = F.coalesce(F.col("privileges"), F.array().cast("array<string>"))
     return joined.withColumn("privileges", _narrowed(privs, F.col("permission_group"), F.col("object_type")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grantweave.functions import render_tag_statement
+from grantweave.functions.render import tag_value
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's for identical results).
@@ -71,6 +72,7 @@ def apply_rules(old_state: DataFrame, tag_rules: DataFrame, env: str) -> DataFra
     """
     t = targets(tag_rules, env).filter(_valid())
     entries = t.select("level", "target", "rule_ord", "action", F.explode("tags").alias("tag_name", "tag_value"))
+    entries = entries.withColumn("tag_value", tag_value(F.col("tag_value")))
     last = entries.groupBy("level", "target", "tag_name").agg(
         F.max_by(F.struct("action", "tag_value"), F.col("rule_ord")).alias("_last")
     )

@@ -59,26 +59,42 @@ def table_keys(parsed: DataFrame) -> DataFrame:
     )
 
 
-def normalized_list(c: str):
-    """A stored comma list as a sorted set (the same shape the keys have)."""
-    return F.array_join(F.sort_array(F.array_distinct(comma_items(c))), ",")
+# A name set is compared by its size and two sums over its names' hashes, so no
+# group's names are ever gathered; equal sets have equal digests, and for unequal
+# ones to agree two independent 64-bit sums would have to collide at once.
+_DIGEST = ["_n", "_sum", "_xor"]
+_WIDE = "decimal(38,0)"
+
+
+def _list_digest(c: str) -> list:
+    """Digest columns of a stored comma list, read as a set; null for a null list."""
+    names = F.array_distinct(comma_items(c))
+    total = F.aggregate(names, F.lit(0).cast(_WIDE), lambda acc, n: (acc + F.xxhash64(n)).cast(_WIDE))
+    mixed = F.aggregate(names, F.lit(0).cast("long"), lambda acc, n: acc.bitwiseXOR(F.xxhash64(F.lit("name"), n)))
+    return [F.size(names).cast("long").alias("_n"), total.alias("_sum"), mixed.alias("_xor")]
+
+
+def _set_digest(parsed: DataFrame, object_type: str) -> DataFrame:
+    """Digest of the distinct short names per (type, group)."""
+    names = parsed.select("object_type", "user_group", short_object_name(F.col("object_name"), object_type).alias("n")).distinct()
+    return names.groupBy("object_type", "user_group").agg(
+        F.count("n").alias("_n"),
+        F.sum(F.xxhash64("n").cast(_WIDE)).cast(_WIDE).alias("_sum"),
+        F.bit_xor(F.xxhash64(F.lit("name"), F.col("n"))).alias("_xor"),
+    )
 
 
-def _stamp_by_keys(mapping: DataFrame, keys: DataFrame, eq: list[str], nullsafe: list[str], stamp) -> DataFrame:
-    cols = eq + nullsafe
+def _stamp_by_keys(mapping: DataFrame, keys: DataFrame, eq: list[str], nullsafe: list[str], names: str, stamp) -> DataFrame:
+    cols = [*eq, *nullsafe, *_DIGEST]
     k = renamed(keys.select(*cols).distinct().withColumn("_hit", F.lit(True)), cols)
-    norm = {c: normalized_list(c) for c in nullsafe if c in ("schema_names", "table_names")}
-    left = mapping.withColumns({f"_n_{c}": e for c, e in norm.items()})
-    cond = None
-    for c in eq:
-        e = F.col(c) == F.col("_r_" + c)
-        cond = e if cond is None else cond & e
-    for c in nullsafe:
-        lc = f"_n_{c}" if c in norm else c
-        cond = cond & F.col(lc).eqNullSafe(F.col("_r_" + c))
-    j = left.join(k, cond, "left")
+    left = mapping.select("*", *[F.when(F.col(names).isNotNull(), d).alias(n) for n, d in zip(_DIGEST, _list_digest(names))])
+    j = left.join(k, key_match(eq, [*nullsafe, *_DIGEST]), "left")
+    return _stamped(mapping, j, stamp)
+
+
+def _stamped(mapping: DataFrame, joined: DataFrame, stamp) -> DataFrame:
     ts = stamp_ts(stamp)
-    return j.select(
+    return joined.select(
         *[
             F.when(F.col("_hit").isNotNull(), ts).otherwise(F.col(c)).alias(c) if c == "updated_datetime" else F.col(c)
             for c in mapping.columns
@@ -88,25 +104,23 @@ def _stamp_by_keys(mapping: DataFrame, keys: DataFrame, eq: list[str], nullsafe:
 
 def stamp_schema_rows(mapping: DataFrame, parsed: DataFrame, stamp=None) -> DataFrame:
     """SCHEMA keys: type and group by '=', tags and schema names by '<=>'."""
-    return _stamp_by_keys(mapping, schema_keys(parsed), ["object_type", "user_group"], ["tag_values", "schema_names"], stamp)
+    none = [F.lit(None).cast(t).alias(n) for n, t in zip(_DIGEST, ("long", _WIDE, "long"))]
+    tagged = tag_keys(parsed).select("object_type", "user_group", "tag_values", *none)
+    untagged = parsed.filter((F.col("object_type") == "SCHEMA") & F.col("tag_values").isNull())
+    keys = tagged.unionByName(_set_digest(untagged, "SCHEMA").withColumn("tag_values", _null()))
+    return _stamp_by_keys(mapping, keys, ["object_type", "user_group"], ["tag_values"], "schema_names", stamp)
 
 
 def stamp_table_rows(mapping: DataFrame, parsed: DataFrame, stamp=None) -> DataFrame:
     """TABLE keys: type and group by '=', table names by '<=>'."""
-    return _stamp_by_keys(mapping, table_keys(parsed), ["object_type", "user_group"], ["table_names"], stamp)
+    keys = _set_digest(parsed.filter(F.col("object_type") == "TABLE"), "TABLE")
+    return _stamp_by_keys(mapping, keys, ["object_type", "user_group"], [], "table_names", stamp)
 
 
 def stamp_exact(mapping: DataFrame, applied_outcomes: DataFrame, stamp=None) -> DataFrame:
     """Stamp every mapping row with at least one applied statement (by acl_id)."""
     ids = applied_outcomes.select(F.col("acl_id").alias("_id")).distinct().withColumn("_hit", F.lit(True))
-    j = mapping.join(ids, F.col("acl_id") == F.col("_id"), "left")
-    ts = stamp_ts(stamp)
-    return j.select(
-        *[
-            F.when(F.col("_hit").isNotNull(), ts).otherwise(F.col(c)).alias(c) if c == "updated_datetime" else F.col(c)
-            for c in mapping.columns
-        ]
-    )
+    return _stamped(mapping, mapping.join(ids, F.col("acl_id") == F.col("_id"), "left"), stamp)
 
 
 __all__ = ["key_match", "parsed_rows", "schema_keys", "stamp_exact", "stamp_schema_rows", "stamp_table_rows", "table_keys", "tag_keys"]

@@ -23,6 +23,7 @@ UPSERT_NULLSAFE_KEYS = ["tag_values", "schema_names", "table_names", "access_unt
 EXPIRE_EQ_KEYS = ["object_type", "user_group", "permission_types"]
 EXPIRE_NULLSAFE_KEYS = ["schema_names", "table_names", "tag_values"]
 # ---------------------------------------------------------------------------
+_LAST_ID = (1 << 63) - 1
 
 
 def key_match(eq: list[str], nullsafe: list[str], prefix: str = "_r_") -> Column:
@@ -57,28 +58,20 @@ def upsert(target: DataFrame, incoming: DataFrame) -> DataFrame:
     ``<=>`` of the nullable keys; '=' keys are never null on the incoming side).
     One shuffle with partial aggregation on both inputs and no join, so a key
     holding a third of all rows is combined map-side instead of piling up in
-    one join task.
+    one join task.  Beside the keys a row holds only its id and stamps, so the
+    buffers are of fixed width and the aggregation is hash-based.
     """
     keys = UPSERT_EQ_KEYS + UPSERT_NULLSAFE_KEYS
     cols = list(target.columns)
     others = [c for c in cols if c not in keys]
     valid = incoming.filter(~invalid_keys(incoming))
-    row_type = valid.select(F.struct(*others).alias("r")).schema["r"].dataType
-    ord_type = valid.select(F.struct(F.col("acl_id").isNull(), F.col("acl_id")).alias("o")).schema["o"].dataType
-    t = target.select(
-        *keys, F.lit(True).alias("_t"), F.lit(None).cast(row_type).alias("_row"), F.lit(None).cast(ord_type).alias("_ord")
-    )
-    i = valid.select(
-        *keys,
-        F.lit(False).alias("_t"),
-        F.struct(*others).alias("_row"),
-        F.struct(F.col("acl_id").isNull(), F.col("acl_id")).alias("_ord"),
-    )
-    g = t.unionByName(i).groupBy(*keys).agg(
-        F.max("_t").alias("_in_target"), F.min_by("_row", "_ord").alias("_row")
-    )
-    new = g.filter(~F.col("_in_target") & F.col("_row").isNotNull()).select(*keys, "_row.*")
-    return target.unionByName(new.select(*cols))
+    order = F.coalesce(F.col("acl_id").cast("long"), F.lit(_LAST_ID))  # rows without an id come last
+    t = target.select(*keys, F.lit(True).alias("_t"), F.lit(None).cast("long").alias("_ord"),
+                      *[F.lit(None).cast(valid.schema[c].dataType).alias(c) for c in others])
+    i = valid.select(*keys, F.lit(False).alias("_t"), order.alias("_ord"), *others)
+    winner = [F.min_by(c, "_ord").alias(c) for c in others]
+    g = t.unionByName(i).groupBy(*keys).agg(F.max("_t").alias("_in_target"), *winner)
+    return target.unionByName(g.filter(~F.col("_in_target")).select(*cols))
 
 
 def upsert_rejects(incoming: DataFrame) -> DataFrame:
@@ -89,7 +82,7 @@ def upsert_rejects(incoming: DataFrame) -> DataFrame:
         F.lit("null in merge key").alias("reason"),
     )
     valid = incoming.filter(~invalid_keys(incoming))
-    keep = renamed(valid.groupBy(*keys).agg(F.min("acl_id").alias("_keep")), keys)
+    keep = renamed(valid.groupBy(*keys).agg(F.min("acl_id").alias("_keep"), F.count("*").alias("_n")).filter("_n > 1"), keys)
     dup = valid.join(keep, key_match(UPSERT_EQ_KEYS, UPSERT_NULLSAFE_KEYS), "inner").filter(
         F.col("acl_id") != F.col("_keep")
     )
@@ -107,7 +100,8 @@ def expire_apply(mapping: DataFrame, bu: str, as_of=None, stamp=None, match: str
     become REVOKE; a pure projection, no join.  ``match="key"``: the
     reference's merge keys (no bu, no access_until) with
     ``source.grant_type != target.grant_type``; every target row whose key
-    matches a flipped or unflipped source row takes the source's grant_type.
+    matches a source row takes the source's grant_type.  The source has one
+    row per key: an expired grant on a key revokes it, whatever else is live.
     """
     ts = R.stamp_ts(stamp)
     if match == "own":
@@ -123,8 +117,8 @@ def expire_apply(mapping: DataFrame, bu: str, as_of=None, stamp=None, match: str
     keys = EXPIRE_EQ_KEYS + EXPIRE_NULLSAFE_KEYS
     src = renamed(
         R.expire(R.active_grants(mapping, bu), as_of, stamp)
-        .select(*keys, F.col("grant_type").alias("_src_grant"))
-        .distinct(),
+        .groupBy(*keys)
+        .agg(F.max("grant_type").alias("_src_grant")),  # one source per key: REVOKE sorts after GRANT
         keys,
     )
     cond = key_match(EXPIRE_EQ_KEYS, EXPIRE_NULLSAFE_KEYS) & (F.col("_src_grant") != F.col("grant_type"))

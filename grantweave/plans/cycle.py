@@ -3,9 +3,10 @@
 generate -> outcomes -> (ledger, stamps) -> summary.  Statements and outcomes
 are written once as snapshots under the session's checkpoint folder and read
 back: every later step reads the snapshot, so a lost executor re-reads files
-instead of recomputing tag resolution and expansion, and the stored mapping
-and grant ledger are written to *new* snapshot paths, never over the ones
-being read.  Statements are generated from the mapping as it was before the
+instead of recomputing tag resolution and expansion, and the grant ledger and
+the unit's part of the mapping are written to *new* snapshot paths, never over
+the ones being read (``sources.mapping.replace_units`` then puts the unit's part
+into the stored table).  Statements are generated from the mapping as it was before the
 expiry write-back, so expired rows do produce their REVOKE statements.
 """
 
@@ -69,7 +70,8 @@ def run_cycle(
     grants = ledger.apply_statements(old_grants, applied_grant_rows(outs))
     grants_path = scratch_path(spark, "grants")
     grants.write.parquet(grants_path)
-    expired = upsert.expire_apply(mapping, bu, as_of, stamp)
+    # no other unit's row can change, so only the unit's partition is written anew
+    expired = upsert.expire_apply(mapping.filter(F.col("bu") == F.lit(bu)), bu, as_of, stamp)
     stamped = tracking.stamp_exact(expired, ledger.applied(outs), stamp)
     mapping_path = scratch_path(spark, "acl_mapping")
     stamped.write.partitionBy("bu").parquet(mapping_path)

@@ -1,9 +1,10 @@
 """Generation plan: expire -> normalise -> privileges -> objects -> statements.
 
-One lazy Catalyst plan from the stored mapping to statement rows.  The only
-shuffles are the tag join (item equi-join + distinct + join back); schema and
-table refs resolve through a size-checked broadcast of the catalog map, and
-the group/privilege expansion is a pair of narrow explodes.
+One lazy Catalyst plan from the stored mapping to statement rows.  The
+shuffles are one of the rules and those of the tag join (item equi-join +
+distinct + join back, hot lists dealt to several tasks); schema and table refs
+resolve through a broadcast of the literal catalog map, and the
+group/privilege expansion is a pair of narrow explodes.
 """
 
 from __future__ import annotations
@@ -17,8 +18,11 @@ RULE_COLUMNS = ["grant_type", "object_type", "groups", "privileges", "tag_values
 
 
 def active_rules(mapping: DataFrame, permission_mapping: DataFrame, env: str, bu: str, as_of=None, stamp=None) -> DataFrame:
-    """Normalised active rules of ``bu`` after expiry, with privileges."""
-    act = rules.expire(rules.active_grants(mapping, bu), as_of, stamp)
+    """Normalised active rules of ``bu`` after expiry, with privileges.
+
+    Rows without a mandatory column make nothing; they are rejects.
+    """
+    act = rules.expire(rules.complete(rules.active_grants(mapping, bu)), as_of, stamp)
     return rules.with_privileges(rules.normalize(act), permission_mapping, env)
 
 
@@ -27,27 +31,14 @@ def statement_rules(rule_rows: DataFrame) -> DataFrame:
     return rule_rows.filter(F.size("privileges") > 0)
 
 
-def fanout_partitions(spark) -> int:
-    """Partitions for a fan-out stage: the session's shuffle partition count."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        return max(n, spark.sparkContext.defaultParallelism)
-    except Exception:  # no SparkContext on this client (e.g. Spark Connect)
-        return n
-
-
-def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Hash-repartition ``df`` on ``cols`` over the fan-out partition count.
+def spread(rules_: DataFrame) -> DataFrame:
+    """Rules dealt by id over the fan-out partitions.
 
-    Statements are objects x groups x privileges, so the expansion emits many
-    rows per input row.  Input partitions are sized by input bytes (and AQE
-    coalesces small shuffles), which would leave the explode to a few tasks,
-    and a hot tag list would put its whole join output in one.  Hashing on
-    (rule, object) spreads one hot tag list over many partitions, needs no
-    sort (unlike round-robin) and is deterministic on retry; an explicit
-    partition count is not coalesced by AQE.
+    Statements are objects x groups x privileges, so a rule expands to many
+    rows; dealing the rules, which are few and slim beside what they make,
+    leaves the expansion itself without a shuffle.
     """
-    return df.repartition(fanout_partitions(df.sparkSession), *cols)
+    return rules_.repartition(resolve.fanout_partitions(rules_.sparkSession), "acl_id")
 
 
 def generate_statements(
@@ -61,6 +52,6 @@ def generate_statements(
     stamp=None,
 ) -> DataFrame:
     """GRANT/REVOKE statement rows for one business unit (schema ``STATEMENTS``)."""
-    r = statement_rules(active_rules(mapping, permission_mapping, env, bu, as_of, stamp))
+    r = spread(statement_rules(active_rules(mapping, permission_mapping, env, bu, as_of, stamp)))
     objs = resolve.resolve_objects(r, schema_tags, catalog_mapping, env, keep=RULE_COLUMNS)
-    return statements.expand(spread(objs, "acl_id", "object_name"))
+    return statements.expand(objs)

@@ -1,9 +1,9 @@
 """Ingest one business unit's mapping sheet into the stored mapping table.
 
-read sheet -> validate (rejects) -> stamp -> upsert into the current snapshot
--> write a new snapshot.  The current table is never overwritten while it is
-read; the new snapshot is partitioned by ``bu``.  A first load (no current
-table) writes the stamped sheet as the first snapshot.
+read sheet -> reject what cannot be read -> stamp -> upsert into the unit's
+rows -> replace the unit's partition.  Whether a table is stored at the path
+decides between a first load and a merge; both leave out the same rows.  Only
+the sheet's unit is read and written: ``bu`` is part of the merge key.
 """
 
 from __future__ import annotations
@@ -11,9 +11,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from grantweave.operators import upsert
-from grantweave.session import scratch_path
+from grantweave.session import materialize
 from grantweave.sources import mapping
 
 
@@ -22,24 +23,19 @@ class IngestResult:
     table: DataFrame
     path: str
     rejects: DataFrame
+    created: bool
 
 
-def ingest_sheet(
-    spark: SparkSession,
-    sheet_root: str,
-    bu: str,
-    current_path: str | None = None,
-    out_path: str | None = None,
-    fmt: str = "csv",
-    processed=None,
-) -> IngestResult:
+def ingest_sheet(spark: SparkSession, sheet_root: str, bu: str, table_path: str, fmt: str = "csv", processed=None) -> IngestResult:
     sheet = mapping.read_sheet(spark, mapping.sheet_path(sheet_root, bu), fmt)
     incoming = mapping.stamp(sheet, bu, processed)
     rejects = mapping.sheet_rejects(sheet).unionByName(upsert.upsert_rejects(incoming))
-    out_path = out_path or scratch_path(spark, "acl_mapping")
-    if current_path is None:
-        new = incoming  # first load: the sheet as it is
+    created = not mapping.table_exists(spark, table_path)
+    if created:
+        mapping.write_table(upsert.upsert(incoming.filter(F.lit(False)), incoming), table_path)
     else:
-        new = upsert.upsert(mapping.read_table(spark, current_path), incoming)
-    mapping.write_table(new, out_path)
-    return IngestResult(mapping.read_table(spark, out_path), out_path, rejects)
+        target = mapping.read_table(spark, table_path).filter(F.col("bu") == F.lit(bu))
+        merged = materialize(upsert.upsert(target, incoming), "acl_mapping")  # the unit is read until here
+        mapping.replace_units(merged, table_path)
+    spark.catalog.refreshByPath(table_path)
+    return IngestResult(mapping.read_table(spark, table_path), table_path, rejects, created)

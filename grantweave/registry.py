@@ -13,11 +13,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grantweave import schemas
 from grantweave.functions import short_object_name
 from grantweave.operators import ledger, masks, rejects, resolve, rules, statements as stm, tags, tracking, upsert
+from grantweave.plans.cycle import run_cycle
+from grantweave.plans.ingest import ingest_sheet
 from grantweave.plans.generate import RULE_COLUMNS, active_rules, generate_statements, statement_rules
 from grantweave.session import materialize, scratch_path
-from grantweave.sources import environment, mapping
+from grantweave.sources import config, environment, mapping
 from grantweave.sources import testdata as td
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,66 +55,74 @@ def all_rules(spark, d):
     return active_rules(td.acl_mapping(spark, d), td.permission_mapping(spark), td.ENV, td.BU, td.AS_OF, td.STAMP)
 
 
-def statements(spark: SparkSession, d: str) -> DataFrame:
+def rough_rules(spark, d):
+    """The same of the mapping with null columns, odd names and odd groups."""
+    return active_rules(td.acl_mapping_rough(spark, d), td.permission_mapping(spark), td.ENV, td.BU, td.AS_OF, td.STAMP)
+
+
+def statements(spark: SparkSession, d: str, mapping_rows: DataFrame | None = None) -> DataFrame:
     return generate_statements(
-        td.acl_mapping(spark, d), td.schema_tags(spark, d), td.permission_mapping(spark), td.catalog_mapping(spark),
+        td.acl_mapping(spark, d) if mapping_rows is None else mapping_rows, td.schema_tags(spark, d), td.permission_mapping(spark), td.catalog_mapping(spark),
         td.ENV, td.BU, td.AS_OF, td.STAMP,
     )
 
 
-def known_objects(statement_rows: DataFrame) -> DataFrame:
-    """The catalog's objects: resolved objects whose schema number is not a
-    multiple of 7 (only objects that occur in statements can matter)."""
-    n = F.regexp_extract("object_name", r"\.s(\d+)", 1).try_cast("int")
-    return statement_rows.select("object_name").filter(n % 7 != 0).distinct()
-
-
-def statement_snapshot(spark, d):
-    """Statements written once under the checkpoint folder and read back, for
-    queries that use them twice (no second generation, lineage cut)."""
-    return materialize(statements(spark, d), "statements")
+def rough_statements(spark, d):
+    return statements(spark, d, td.acl_mapping_rough(spark, d))
 
 
 def outcomes(spark, d, dry_run=False):
-    s = statement_snapshot(spark, d)
-    return ledger.outcomes(s, known_objects(s), dry_run)
+    return ledger.outcomes(rough_statements(spark, d), td.catalog_objects(spark, d), dry_run)
 
 
 def applied_parsed(spark, d):
-    return tracking.parsed_rows(ledger.applied(outcomes(spark, d)))
+    """Parsed rows of the statements that took effect, stored once for keys that read them twice."""
+    return materialize(tracking.parsed_rows(ledger.applied(outcomes(spark, d))), "applied")
 
 
 # --- 2.1 scans, sources, sinks ---------------------------------------------
 
-def _sheet_root(spark, d):
+# Ids of rows from a sheet without ids are hashes, so these keys show whether a row has one.
+LOADED = [c for c in SHEET_OUT if c != "acl_id"]
+
+
+def _sheet_root(spark, sheets):
     root = scratch_path(spark, "sheets")
-    mapping.write_sheets(td.acl_mapping_sheet(spark, d), root)
+    mapping.write_sheets(sheets, root)
     return root
 
 
+def _loaded(df: DataFrame) -> DataFrame:
+    return df.select(*LOADED, _date_text(), "bu", F.col("acl_id").isNotNull().alias("has_id"))
+
+
 @register("acl_mapping_read")
 def q_acl_mapping_read(spark, d):
-    m = mapping.read_mapping(spark, _sheet_root(spark, d), td.BU, processed=td.STAMP)
+    m = mapping.read_mapping(spark, _sheet_root(spark, td.acl_mapping_sheet(spark, d)), td.BU, processed=td.STAMP)
     return m.select(*SHEET_OUT, _date_text(), "bu", F.col("updated_datetime").isNull().alias("updated_is_null"))
 
 
+def _ingest(spark, d, stored: DataFrame | None):
+    """Ingest the later sheet of one unit, which comes without ids."""
+    path = scratch_path(spark, "acl_mapping")
+    if stored is not None:
+        mapping.write_table(stored, path)
+    return ingest_sheet(spark, _sheet_root(spark, td.incoming_sheet(spark, d).drop("acl_id")), td.BU, path, processed=td.STAMP)
+
+
 @register("acl_first_load")
 def q_acl_first_load(spark, d):
-    m = mapping.read_mapping(spark, _sheet_root(spark, d), td.BU, processed=td.STAMP)
-    path = scratch_path(spark, "acl_table")
-    mapping.write_table(m, path)
-    t = mapping.read_table(spark, path).filter(F.col("bu") == td.BU)
-    return t.select(*SHEET_OUT, _date_text(), "bu", F.col("updated_datetime").isNull().alias("updated_is_null"))
+    return _loaded(_ingest(spark, d, None).table)
 
 
 @register("acl_ingest")
 def q_acl_ingest(spark, d):
-    from grantweave.plans.ingest import ingest_sheet
+    return _loaded(_ingest(spark, d, td.acl_mapping(spark, d)).table)
+
 
-    current = scratch_path(spark, "acl_mapping")
-    mapping.write_table(td.acl_mapping(spark, d).filter(F.col("acl_id") % 5 != 0), current)
-    res = ingest_sheet(spark, _sheet_root(spark, d), td.BU, current_path=current, processed=td.STAMP)
-    return mapping_out(res.table)
+@register("acl_ingest_rejects")
+def q_acl_ingest_rejects(spark, d):
+    return _ingest(spark, d, td.acl_mapping(spark, d)).rejects.select("stage", "reason", F.when(F.col("stage") == "read", F.col("value")).alias("value"))
 
 
 @register("acl_active_grants")
@@ -168,7 +179,7 @@ def q_acl_statements(spark, d):
 
 @register("statement_parse")
 def q_statement_parse(spark, d):
-    return ledger.parsed(statements(spark, d)).select("access_statement", "p.*")
+    return ledger.parsed(rough_statements(spark, d)).select("access_statement", "p.*")
 
 
 @register("tag_rule_targets")
@@ -187,13 +198,19 @@ def q_tag_rule_rejects(spark, d):
     return tags.rejects(tr, tags.targets(tr, td.ENV))
 
 
-def _mask_plan(spark, d):
-    return masks.plan(td.mask_rules(spark, d), td.catalog_mapping(spark), td.ENV, td.existing_masks(spark, d))
+def _mask_inputs(spark, d):
+    return td.mask_rules(spark, d), td.catalog_mapping(spark), td.ENV, td.existing_masks(spark, d)
 
 
 @register("mask_plan")
 def q_mask_plan(spark, d):
-    return _mask_plan(spark, d).drop("user_group")
+    return masks.plan(*_mask_inputs(spark, d)).drop("user_group")
+
+
+@register("mask_state")
+def q_mask_state(spark, d):
+    out = masks.state(*_mask_inputs(spark, d))
+    return out.select("full_table_name", "column_name", F.array_join("user_group", ",").alias("user_group"), "type_of_masking", "rule_id")
 
 
 CUSTOMER_FULL_NAME = "dev_main_raw.crm.customer"
@@ -202,13 +219,29 @@ MASK_READER_GROUPS = ["grp_3"]
 
 @register("mask_columns")
 def q_mask_columns(spark, d):
-    return masks.mask_columns(td.table(spark, d, "customer"), CUSTOMER_FULL_NAME, _mask_plan(spark, d), MASK_READER_GROUPS)
+    return masks.mask_columns(td.table(spark, d, "customer"), CUSTOMER_FULL_NAME, masks.state(*_mask_inputs(spark, d)), MASK_READER_GROUPS)
+
+
+@register("mask_unknown_columns")
+def q_mask_unknown_columns(spark, d):
+    return masks.unknown_columns(masks.state(*_mask_inputs(spark, d)), CUSTOMER_FULL_NAME, td.table(spark, d, "customer"))
 
 
 @register("mask_by_reader")
 def q_mask_by_reader(spark, d):
     return masks.mask_by_reader(
-        td.table(spark, d, "customer"), CUSTOMER_FULL_NAME, _mask_plan(spark, d), td.memberships(spark, d), td.READERS
+        td.table(spark, d, "customer"), CUSTOMER_FULL_NAME, masks.state(*_mask_inputs(spark, d)), td.memberships(spark, d), td.READERS
+    )
+
+
+@register("rule_sources")
+def q_rule_sources(spark, d):
+    path = scratch_path(spark, "rule_files")
+    td.tag_rule_lines(spark, d).write.text(path)
+    tags_ = F.transform(F.map_entries("tags"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("<null>"))))
+    return config.read_rules(spark, path, "tag").select(
+        "rule_ord", "level", "action", F.array_join("schemas", ",").alias("schemas"), F.array_join("tables", ",").alias("tables"),
+        F.array_join(F.array_sort(tags_), ",").alias("tags"),
     )
 
 
@@ -228,8 +261,7 @@ def q_statement_counts(spark, d):
 
 @register("execution_summary")
 def q_execution_summary(spark, d):
-    s = statement_snapshot(spark, d)
-    k = known_objects(s)
+    s, k = materialize(rough_statements(spark, d), "statements"), td.catalog_objects(spark, d)
     return ledger.summary(ledger.outcomes(s, k, False)).unionByName(ledger.summary(ledger.outcomes(s, k, True)))
 
 
@@ -269,14 +301,12 @@ def q_acl_objects(spark, d):
 
 @register("acl_upsert")
 def q_acl_upsert(spark, d):
-    m = td.acl_mapping(spark, d)
-    return mapping_out(upsert.upsert(m.filter(F.col("acl_id") % 5 != 0), m.filter(F.col("acl_id") % 3 == 0)))
+    return mapping_out(upsert.upsert(td.acl_mapping(spark, d), td.incoming_mapping(spark, d)))
 
 
 @register("acl_upsert_rejects")
 def q_acl_upsert_rejects(spark, d):
-    m = td.acl_mapping(spark, d)
-    return upsert.upsert_rejects(m.filter(F.col("acl_id") % 3 == 0))
+    return upsert.upsert_rejects(td.incoming_mapping(spark, d))
 
 
 def _stamped(df: DataFrame) -> DataFrame:
@@ -297,26 +327,27 @@ def q_acl_expire_apply_keyed(spark, d):
 
 @register("tracking_stamp_schema")
 def q_tracking_stamp_schema(spark, d):
-    return _stamped(tracking.stamp_schema_rows(td.acl_mapping(spark, d), applied_parsed(spark, d), td.STAMP))
+    return _stamped(tracking.stamp_schema_rows(td.acl_mapping_rough(spark, d), applied_parsed(spark, d), td.STAMP))
 
 
 @register("tracking_stamp_table")
 def q_tracking_stamp_table(spark, d):
-    return _stamped(tracking.stamp_table_rows(td.acl_mapping(spark, d), applied_parsed(spark, d), td.STAMP))
+    return _stamped(tracking.stamp_table_rows(td.acl_mapping_rough(spark, d), applied_parsed(spark, d), td.STAMP))
 
 
 @register("tracking_stamp_exact")
 def q_tracking_stamp_exact(spark, d):
-    return _stamped(tracking.stamp_exact(td.acl_mapping(spark, d), ledger.applied(outcomes(spark, d)), td.STAMP))
+    return _stamped(tracking.stamp_exact(td.acl_mapping_rough(spark, d), ledger.applied(outcomes(spark, d)), td.STAMP))
 
 
 # --- 2.6 statement effects ---------------------------------------------------
 
 @register("effective_grants")
 def q_effective_grants(spark, d):
-    s = statement_snapshot(spark, d)
-    old = ledger.grants_of(s.filter(F.col("acl_id") % 2 == 0))
-    return ledger.apply_statements(old, s)
+    """Ids over the upper half of their range, and statements without one."""
+    acl_id = F.when(F.col("acl_id") % 13 != 0, F.col("acl_id") + F.lit(1 << 62)).alias("acl_id")
+    s = rough_statements(spark, d).select(acl_id, *ledger.LEDGER_KEY, "grant_type")
+    return ledger.apply_statements(td.stored_grants(spark, d), s)
 
 
 @register("tag_state")
@@ -331,15 +362,10 @@ def q_execution_outcomes(spark, d):
 
 # --- 3.2 the whole cycle (snapshots under the checkpoint folder) -------------
 
-def _cycle(spark, d):
-    from grantweave.plans.cycle import run_cycle
-
-    m = td.acl_mapping(spark, d)
-    s = statements(spark, d)
-    old = ledger.grants_of(s.filter(F.col("acl_id") % 2 == 0))
+def _cycle(spark, d, dry_run=False):
     return run_cycle(
-        m, td.schema_tags(spark, d), td.permission_mapping(spark), td.catalog_mapping(spark), known_objects(s), old,
-        td.ENV, td.BU, td.AS_OF, td.STAMP,
+        td.acl_mapping_rough(spark, d), td.schema_tags(spark, d), td.permission_mapping(spark), td.catalog_mapping(spark),
+        td.catalog_objects(spark, d), td.stored_grants(spark, d), td.ENV, td.BU, td.AS_OF, td.STAMP, dry_run,
     )
 
 
@@ -348,6 +374,14 @@ def q_acl_cycle_summary(spark, d):
     return _cycle(spark, d).summary
 
 
+@register("acl_cycle_dry_run")
+def q_acl_cycle_dry_run(spark, d):
+    """A dry run counts every statement and leaves the ledger as it is."""
+    r = _cycle(spark, d, dry_run=True)
+    kept = r.grants.agg(F.lit("grants kept").alias("what"), F.count("*").alias("total"))
+    return r.summary.select(F.lit("statements").alias("what"), "total").unionByName(kept)
+
+
 @register("acl_cycle_grants")
 def q_acl_cycle_grants(spark, d):
     return _cycle(spark, d).grants.select(*ledger.LEDGER_KEY)
@@ -364,9 +398,19 @@ def q_acl_cycle_mapping(spark, d):
 
 @register("acl_rejects")
 def q_acl_rejects(spark, d):
-    m = td.acl_mapping(spark, d)
-    act = rules.active_grants(m, td.BU)
-    return rejects.rule_rejects(act, all_rules(spark, d), td.catalog_mapping(spark), td.ENV)
+    """Every stage's rejects as one relation."""
+    act = rules.active_grants(td.acl_mapping_rough(spark, d), td.BU)
+    sheet = td.incoming_sheet(spark, d).withColumn(schemas.MALFORMED, F.lit(None).cast("string"))
+    tag_rules = td.tag_rules(spark, d)
+    return rejects.all_rejects(
+        mapping.sheet_rejects(sheet),
+        upsert.upsert_rejects(td.incoming_mapping(spark, d)),
+        rejects.rule_rejects(act, rough_rules(spark, d), td.catalog_mapping(spark), td.ENV),
+        rejects.unparseable(outcomes(spark, d)),
+        rejects.mask_rejects(masks.plan(*_mask_inputs(spark, d))),
+        rejects.tag_rejects(tags.rejects(tag_rules, tags.targets(tag_rules, td.ENV))),
+        rejects.environment_rejects(environment.resolve_env(td.workspace_urls(spark, d), td.env_map(spark))),
+    )
 
 
 __all__ = ["QUERIES", "RULE_COLUMNS", "register", "statements"]

@@ -30,6 +30,8 @@ MAPPING_SHEET = StructType(
         StructField("access_until", S, True),
     ]
 )
+# A malformed line of a sheet, kept whole beside what could be read of it.
+MALFORMED = "_malformed"
 
 # The stored ACL mapping table.
 ACL_MAPPING = StructType(
@@ -90,25 +92,7 @@ STATEMENTS = StructType(
     ]
 )
 
-PARSED_STATEMENT = StructType(
-    [
-        StructField("grant_type", S, True),
-        StructField("permissions", S, True),
-        StructField("object_type", S, True),
-        StructField("object_name", S, True),
-        StructField("user_group", S, True),
-        StructField("tag_values", S, True),
-    ]
-)
 
-OUTCOMES = StructType(
-    [
-        StructField("access_statement", S, True),
-        StructField("status", S, False),
-        StructField("dry_run", BooleanType(), False),
-        StructField("error", S, True),
-    ]
-)
 
 MASK_RULES = StructType(
     [
@@ -121,6 +105,16 @@ MASK_RULES = StructType(
     ]
 )
 
+# Masks in force; ``masks.state`` gives the same with the rule that made each.
+EXISTING_MASKS = StructType(
+    [
+        StructField("full_table_name", S, True),
+        StructField("column_name", S, True),
+        StructField("user_group", ArrayType(S, True), True),
+        StructField("type_of_masking", S, True),
+    ]
+)
+
 TAG_RULES = StructType(
     [
         StructField("rule_ord", LongType(), False),
@@ -141,23 +135,7 @@ OBJECT_TAGS = StructType(
     ]
 )
 
-EFFECTIVE_GRANTS = StructType(
-    [
-        StructField("privilege", S, False),
-        StructField("object_type", S, False),
-        StructField("object_name", S, False),
-        StructField("user_group", S, False),
-    ]
-)
 
-REJECTS = StructType(
-    [
-        StructField("stage", S, False),
-        StructField("acl_id", LongType(), True),
-        StructField("value", S, True),
-        StructField("reason", S, False),
-    ]
-)
 
 MEMBERSHIPS = StructType([StructField("user_name", S, False), StructField("user_group", S, False)])
 

@@ -8,6 +8,8 @@ runs) sets one, and only when the session has none.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -73,6 +75,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             "a machine-local scratch folder is only used for local-mode sessions"
         )
     d = tempfile.mkdtemp(prefix="grantweave-ckpt-")
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
     try:
         spark.sparkContext.setCheckpointDir(d)
         return spark.sparkContext.getCheckpointDir() or d

@@ -12,9 +12,19 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from grantweave import schemas
+from grantweave.functions import comma_items
 from grantweave.sources.literal import literal_frame
 
+# ---------------------------------------------------------------------------
+# Fixed values (must equal the reference's for identical results): what masked
+# readers see by default.  Rule files use the field names of schemas.MASK_RULES
+# and schemas.TAG_RULES.
+DEFAULT_MASK = "****"
+# ---------------------------------------------------------------------------
+
 
 def permission_mapping(spark: SparkSession, config: Mapping[str, Mapping[str, Iterable[str]]]) -> DataFrame:
     rows = [(env, grp, list(privs or [])) for env, groups in config.items() for grp, privs in (groups or {}).items()]
@@ -44,14 +54,14 @@ def mask_rules(spark: SparkSession, entries: Iterable[Mapping]) -> DataFrame:
     for i, e in enumerate(entries):
         groups = e.get("user_group")
         if isinstance(groups, str):
-            groups = [g.strip() for g in groups.split(",")]
+            groups = list(map(str.strip, groups.split(",")))
         rows.append(
             (
                 int(e.get("rule_id", i)),
                 e.get("table_name"),
                 e.get("column_name"),
                 list(groups) if groups else groups,
-                e.get("type_of_masking", "****"),
+                e.get("type_of_masking", DEFAULT_MASK),
                 bool(e.get("drop_existing", False)),
             )
         )
@@ -75,3 +85,31 @@ def tag_rules(spark: SparkSession, schema_entries: Iterable[Mapping] = (), table
                 )
             )
     return literal_frame(spark, rows, schemas.TAG_RULES)
+
+
+# Rule files: one JSON object per line.  Fields that may be a scalar, a list or
+# (by mistake) no map are read as JSON text and told apart here.
+_RULE_FILES = {
+    "mask": "rule_id long, table_name string, column_name string, user_group string, type_of_masking string, drop_existing boolean",
+    "tag": "rule_ord long, level string, action string, schemas string, tables string, tags string",
+}
+
+
+def _text_or_list(c: str):
+    """A JSON array of strings as it is, any other text as a one-item list."""
+    return F.when(F.col(c).startswith("["), F.from_json(c, "array<string>")).when(F.col(c).isNotNull(), F.array(c)).alias(c)
+
+
+def read_rules(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """``mask`` or ``tag`` rules from JSON-lines files, as relations of any size."""
+    raw = spark.read.schema(_RULE_FILES[kind]).json(path)
+    if kind == "mask":
+        groups = F.when(F.col("user_group").startswith("["), F.from_json("user_group", "array<string>"))
+        return raw.select(
+            "rule_id", "table_name", "column_name",
+            groups.when(F.col("user_group").isNotNull(), comma_items("user_group")).alias("user_group"),
+            F.coalesce("type_of_masking", F.lit(DEFAULT_MASK)).alias("type_of_masking"),
+            F.coalesce("drop_existing", F.lit(False)).alias("drop_existing"),
+        )
+    tags = F.when(F.col("tags").startswith("{"), F.from_json("tags", "map<string,string>")).alias("tags")
+    return raw.select("rule_ord", "level", "action", _text_or_list("schemas"), _text_or_list("tables"), tags)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantweave.functions import broadcast_if_small
+from grantweave.functions import broadcast_if_literal
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's for identical results).
@@ -32,7 +32,7 @@ def resolve_env(urls: DataFrame, env_map: DataFrame, url_col: str = "url") -> Da
     """
     m = env_map.select(F.col("workspace_id").alias("_ws"), F.col("env"))
     x = urls.withColumn("workspace_id", workspace_id(F.col(url_col)))
-    j = x.join(broadcast_if_small(m, bounded_by=env_map), F.col("workspace_id") == F.col("_ws"), "left")
+    j = x.join(broadcast_if_literal(m, made_from=env_map), F.col("workspace_id") == F.col("_ws"), "left")
     ok_env = F.col("env").isNotNull() & (F.col("env") != "")
     status = (
         F.when(F.col("workspace_id").isNull(), F.lit(STATUS_NO_ID))

@@ -1,14 +1,19 @@
-"""The ACL mapping: read a business unit's sheet, stamp it, write snapshots."""
+"""The ACL mapping: read a business unit's sheet, stamp it, write the table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from grantweave import schemas
 from grantweave.operators.rules import stamp_ts
+from grantweave.operators.upsert import UPSERT_EQ_KEYS, UPSERT_NULLSAFE_KEYS
 
 SHEET_COLUMNS = [f.name for f in schemas.MAPPING_SHEET.fields]
+REASON_DATE = "access_until is not a date"
+REASON_MALFORMED = "malformed line"
+_DATE = r"^\d{4}-\d{2}-\d{2}$"
 
 
 def sheet_path(root: str, bu: str) -> str:
@@ -17,25 +22,55 @@ def sheet_path(root: str, bu: str) -> str:
 
 
 def read_sheet(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Read a mapping sheet with an explicit schema (no inference).
+    """A mapping sheet with the explicit schema, plus ``_malformed``.
 
-    CSV needs a header whose names equal the schema's (checked by Spark).
+    A sheet may come without ``acl_id`` (its rows then have none yet).  A CSV
+    needs a header; a line that does not fit it is kept in ``_malformed`` and
+    rejected later, instead of stopping the batch.
     """
-    r = spark.read.schema(schemas.MAPPING_SHEET).format(fmt)
-    if fmt == "csv":
-        r = r.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST")
-    return r.load(path)
+    if fmt != "csv":
+        df = spark.read.format(fmt).load(path)
+        have = set(df.columns)
+        cols = [F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.MAPPING_SHEET]
+        return df.select(*cols, F.lit(None).cast("string").alias(schemas.MALFORMED))
+    header = spark.read.option("header", True).csv(path).columns  # reads one line
+    fields = [f for f in schemas.MAPPING_SHEET.fields if f.name != "acl_id" or "acl_id" in header]
+    schema = StructType([*fields, StructField(schemas.MALFORMED, StringType())])
+    df = (
+        spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE")
+        .option("columnPruning", False)  # a pruned line is not checked whole
+        .option("columnNameOfCorruptRecord", schemas.MALFORMED).csv(path)
+    )
+    return df if "acl_id" in header else df.select(F.lit(None).cast("long").alias("acl_id"), "*")
+
+
+def _row_id(bu: str):
+    """An id from the unit and the row's merge key: stable, and of its own in every unit."""
+    keys = [c for c in UPSERT_EQ_KEYS + UPSERT_NULLSAFE_KEYS if c != "bu"]
+    return F.xxhash64(F.lit(bu), F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+
+
+def _date(c: str):
+    """A ``yyyy-MM-dd`` text as a date; null for anything else."""
+    return F.when(F.col(c).rlike(_DATE), F.try_to_date(F.col(c)))
+
+
+def _readable():
+    return F.col(schemas.MALFORMED).isNull() & (F.col("access_until").isNull() | _date("access_until").isNotNull())
 
 
 def stamp(sheet: DataFrame, bu: str, processed=None) -> DataFrame:
-    """Engine shape: access_until parsed to a date, ingest stamps, bu set.
+    """Engine shape of the readable rows: ids, dates, ingest stamps, bu.
 
-    Text that is not a ``yyyy-MM-dd`` date becomes null here and is reported
-    by :func:`sheet_rejects`.
+    Malformed lines and rows whose ``access_until`` is no ``yyyy-MM-dd`` date
+    stay out (a grant must not become permanent because its end could not be
+    read); :func:`sheet_rejects` reports them.
     """
-    return sheet.select(
-        *[c for c in SHEET_COLUMNS if c != "access_until"],
-        F.try_to_date(F.col("access_until")).alias("access_until"),
+    ok = sheet.filter(_readable()) if schemas.MALFORMED in sheet.columns else sheet
+    return ok.select(
+        F.coalesce("acl_id", _row_id(bu)).alias("acl_id"),
+        *[c for c in SHEET_COLUMNS if c not in ("acl_id", "access_until")],
+        _date("access_until").alias("access_until"),
         F.lit(bu).cast("string").alias("bu"),
         stamp_ts(processed).alias("processed_datetime"),
         F.lit(None).cast("timestamp").alias("updated_datetime"),
@@ -47,25 +82,40 @@ def read_mapping(spark: SparkSession, root: str, bu: str, fmt: str = "csv", proc
 
 
 def sheet_rejects(sheet: DataFrame) -> DataFrame:
-    bad = F.col("access_until").isNotNull() & F.try_to_date(F.col("access_until")).isNull()
-    return sheet.filter(bad).select(
-        F.lit("read").alias("stage"), "acl_id", F.col("access_until").alias("value"),
-        F.lit("access_until is not a date").alias("reason"),
-    )
+    """Rows that ``stamp`` leaves out: (stage, acl_id, value, reason)."""
+    broken = F.col(schemas.MALFORMED).isNotNull()
+    value = F.when(broken, F.col(schemas.MALFORMED)).otherwise(F.col("access_until"))
+    reason = F.when(broken, F.lit(REASON_MALFORMED)).otherwise(F.lit(REASON_DATE))
+    return sheet.filter(~_readable()).select(F.lit("read").alias("stage"), "acl_id", value.alias("value"), reason.alias("reason"))
 
 
 def write_sheets(sheets: DataFrame, root: str, fmt: str = "csv") -> None:
     """Write sheets of many business units in one job, one folder per unit."""
-    w = sheets.select(*SHEET_COLUMNS, "bu").write.mode("errorifexists").partitionBy("bu").format(fmt)
+    cols = [c for c in SHEET_COLUMNS if c in sheets.columns]
+    w = sheets.select(*cols, "bu").write.mode("errorifexists").partitionBy("bu").format(fmt)
     if fmt == "csv":
         w = w.option("header", True)
     w.save(root)
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a mapping table has been stored at ``path``."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def write_table(mapping: DataFrame, path: str) -> None:
     """First load / new snapshot: the whole mapping, partitioned by bu so a
     later ``bu = :bu`` filter prunes to one folder."""
-    mapping.write.mode("overwrite").partitionBy("bu").parquet(path)
+    mapping.write.mode("errorifexists").partitionBy("bu").parquet(path)
+
+
+def replace_units(mapping: DataFrame, path: str) -> None:
+    """Replace only the business units that ``mapping`` holds.
+
+    ``mapping`` must not read ``path`` (write it to a snapshot first).
+    """
+    mapping.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bu").parquet(path)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pyspark.sql.types import StringType, StructField, StructType
-
 from grantweave import schemas
 from grantweave.sources import config
 from grantweave.sources.literal import literal_frame
@@ -31,32 +29,44 @@ PERMISSIONS = {
 CATALOGS = {"dev": {"raw": "dev_main_raw", "curated": "dev_main_curated"}}
 ENV_MAP = {"100": "dev", "101": "test", "102": "prod"}
 
+def _mask_rule(rule_id, table_name, column_name, user_group, type_of_masking="****", drop_existing=False):
+    return dict(rule_id=rule_id, table_name=table_name, column_name=column_name, user_group=user_group,
+                type_of_masking=type_of_masking, drop_existing=drop_existing)
+
+
+_CUSTOMER = "raw.crm.customer"
 MASK_RULES = [
-    {"rule_id": 1, "table_name": "raw.crm.customer", "column_name": "c_name", "user_group": ["grp_1", "grp_2"],
-     "type_of_masking": "****", "drop_existing": False},
-    {"rule_id": 2, "table_name": "raw.crm.supplier", "column_name": "s_name", "user_group": ["grp_3"],
-     "type_of_masking": "HIDDEN", "drop_existing": False},
-    {"rule_id": 3, "table_name": "raw.crm.customer", "column_name": "c_mktsegment", "user_group": ["grp_1"],
-     "type_of_masking": "****", "drop_existing": True},
-    {"rule_id": 4, "table_name": "raw.customer", "column_name": "c_name", "user_group": ["grp_1"],
-     "type_of_masking": "****", "drop_existing": False},
-    {"rule_id": 5, "table_name": "nomap.crm.customer", "column_name": "c_name", "user_group": ["grp_1"],
-     "type_of_masking": "****", "drop_existing": False},
-    {"rule_id": 6, "table_name": "raw.crm.customer", "column_name": "c_acctbal", "user_group": [],
-     "type_of_masking": "****", "drop_existing": False},
+    _mask_rule(1, _CUSTOMER, "c_name", ["grp_1", "grp_2"]),
+    _mask_rule(2, "raw.crm.supplier", "s_name", ["grp_3"], "HIDDEN"),
+    _mask_rule(3, _CUSTOMER, "c_mktsegment", ["grp_1"], drop_existing=True),
+    _mask_rule(4, "raw.customer", "c_name", ["grp_1"]),
+    _mask_rule(5, "nomap.crm.customer", "c_name", ["grp_1"]),
+    _mask_rule(6, _CUSTOMER, "c_acctbal", []),
+    _mask_rule(7, _CUSTOMER, "C_NAME", ["grp_3"], "LATER"),  # a mask is in force: skipped
+    _mask_rule(8, _CUSTOMER, "c_mktsegment", ["grp_1"], "####"),
+    _mask_rule(9, _CUSTOMER, "c_mktsegment", ["grp_1"], drop_existing=True),
+    _mask_rule(10, "raw.crm.CUSTOMER", "C_MKTSEGMENT", ["grp_3"], "SEG"),  # made again after the drop
+    _mask_rule(11, _CUSTOMER, "c_acctbal", ["grp_3"], "1"),  # in force before: skipped
+    _mask_rule(12, _CUSTOMER, "c_nationkey", ["grp_1"]),
+    _mask_rule(13, _CUSTOMER, "c_nationkey", ["grp_1"], drop_existing=True),
+    _mask_rule(14, _CUSTOMER, "no_such_column", ["grp_1"]),
+    _mask_rule(15, _CUSTOMER, None, ["grp_1"]),
+]
+EXISTING_MASKS = [
+    ("dev_main_raw.crm.supplier", "s_name", ["grp_3"], "HIDDEN"),
+    ("dev_main_raw.crm.Customer", "c_acctbal", ["grp_9"], "0"),
 ]
-EXISTING_MASKS = ["dev_main_raw.crm.supplier_s_name_mask"]
 READERS = ["Customer#000000001", "Customer#000000004"]
 
 
-_READS: dict[tuple[int, str], DataFrame] = {}
+_READS: dict[tuple[str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table; the read (file listing, footer schema) is reused per
-    session, as the tables are read-only."""
+    application, as the tables are read-only."""
     path = f"{sf_dir}/{name}.parquet"
-    key = (id(spark), path)
+    key = (spark.sparkContext.applicationId, path)
     if key not in _READS:
         _READS[key] = spark.read.parquet(path)
     return _READS[key]
@@ -109,6 +119,72 @@ def acl_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select(*[f.name for f in schemas.ACL_MAPPING.fields])
 
 
+# The same rules with what ingest and generation must cope with: null mandatory
+# columns, object names and groups that no statement can hold, tags on TABLE rules.
+_ROUGH_EXPRS = [
+    "acl_id",
+    "CASE WHEN acl_id % 31 = 0 THEN NULL ELSE object_type END AS object_type",
+    "CASE WHEN acl_id % 41 = 0 THEN NULL WHEN acl_id % 43 = 0 THEN 'grp_1, bad`grp' ELSE user_group END AS user_group",
+    "CASE WHEN acl_id % 47 = 0 THEN 'Brand#12' ELSE tag_values END AS tag_values",
+    "CASE WHEN acl_id % 29 = 0 THEN 'raw.s-5, raw.s1, curated.s3' ELSE schema_names END AS schema_names",
+    "CASE WHEN acl_id % 23 = 0 THEN 'raw.s1.t1, curated.s2.t3' ELSE table_names END AS table_names",
+    "CASE WHEN acl_id % 37 = 0 THEN NULL ELSE permission_types END AS permission_types",
+    "grant_type", "access_until", "bu", "processed_datetime", "updated_datetime",
+]
+
+# A later sheet of every unit: changed groups, null keys, and one key that many rows share.
+_INCOMING_EXPRS = [
+    "acl_id + 100000000 AS acl_id",
+    "CASE WHEN acl_id % 31 = 0 THEN NULL WHEN acl_id % 17 = 0 THEN 'SCHEMA' ELSE object_type END AS object_type",
+    "CASE WHEN acl_id % 17 = 0 THEN 'grp_dup' WHEN acl_id % 3 = 0 THEN concat(user_group, '_n') ELSE user_group END AS user_group",
+    "CASE WHEN acl_id % 17 = 0 THEN 'X' ELSE tag_values END AS tag_values",
+    "CASE WHEN acl_id % 17 = 0 THEN NULL ELSE schema_names END AS schema_names",
+    "CASE WHEN acl_id % 17 = 0 THEN NULL ELSE table_names END AS table_names",
+    "CASE WHEN acl_id % 17 = 0 THEN 'DATA_READER' ELSE permission_types END AS permission_types",
+    "CASE WHEN acl_id % 17 = 0 THEN 'GRANT' ELSE grant_type END AS grant_type",
+    "CASE WHEN acl_id % 17 = 0 THEN NULL ELSE access_until END AS access_until",
+    "bu",
+]
+
+
+def acl_mapping_rough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return acl_mapping(spark, sf_dir).selectExpr(*_ROUGH_EXPRS)
+
+
+def incoming_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule once more, as a later sheet has it (engine shape)."""
+    return acl_mapping(spark, sf_dir).selectExpr(*_INCOMING_EXPRS, "processed_datetime", "updated_datetime")
+
+
+def incoming_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The later sheet as text, with ends that are no dates."""
+    sheet = acl_mapping_sheet(spark, sf_dir).selectExpr(*_INCOMING_EXPRS)
+    end = "CASE WHEN acl_id % 19 = 0 THEN '31/12/1999' WHEN acl_id % 53 = 0 THEN '1999' ELSE access_until END"
+    return sheet.withColumn("access_until", F.expr(end))
+
+
+def catalog_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects that the platform's catalog has (column ``object_name``)."""
+    p = table(spark, sf_dir, "part").select("p_partkey")
+    k = F.col("p_partkey")
+    cat = F.when(k % 2 == 0, "dev_main_raw").otherwise("dev_main_curated")
+    schema = F.concat(cat, F.lit(".s"), _s(k % 45))
+    tbl = F.concat(F.when(k % 3 == 0, "dev_main_curated").otherwise("dev_main_raw"), F.lit(".s"), _s(k % 50), F.lit(".t"), _s(k % 9))
+    return p.select(F.explode(F.array(schema, tbl)).alias("object_name")).distinct()
+
+
+def stored_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of effective grants before this run."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    k = F.col("p_partkey")
+    return p.select(
+        F.when(F.col("p_size") % 3 == 0, "USE SCHEMA").otherwise("SELECT").alias("privilege"),
+        F.lit("SCHEMA").alias("object_type"),
+        F.concat(F.lit("dev_main_raw.s"), _s(k % 200)).alias("object_name"),
+        F.concat(F.lit("grp_"), _s(k % 40)).alias("user_group"),
+    ).distinct()
+
+
 def schema_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
     k = F.col("p_partkey")
@@ -122,20 +198,34 @@ def schema_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tag_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tag rules in engine shape; SCHEMA rules order before TABLE rules."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
+    """Tag rules in engine shape: one or two schemas, tables and tags, missing
+    tag values, and rules whose tags are no map (null)."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size", "p_brand")
     k = F.col("p_partkey")
     level = F.when(F.col("p_size") % 2 == 0, "SCHEMA").otherwise("TABLE")
+    schema, tbl = F.concat(F.lit("xxx_main_raw.s"), _s(k % 50)), F.concat(F.lit("t"), _s(k % 9))
+    one = F.create_map(F.when(k % 3 == 0, "domain").otherwise("tier"), F.col("p_type"))
+    two = F.map_concat(one, F.create_map(F.lit("owner"), F.when(k % 12 != 0, F.col("p_brand"))))
     return p.select(
         k.alias("rule_ord"),
         level.alias("level"),
         F.when(k % 4 == 0, "unset").when(k % 11 == 0, "drop").otherwise("Set").alias("action"),
-        F.array(F.concat(F.lit("xxx_main_raw.s"), _s(k % 50))).alias("schemas"),
-        F.when(level == "TABLE", F.array(F.concat(F.lit("t"), _s(k % 9)))).alias("tables"),
-        F.create_map(F.when(k % 3 == 0, "domain").otherwise("tier"), F.col("p_type")).alias("tags"),
+        F.when(k % 5 == 0, F.array(schema, F.lit("xxx_main_curated.s1"))).otherwise(F.array(schema)).alias("schemas"),
+        F.when(level == "TABLE", F.when(k % 7 == 0, F.array(tbl, F.lit("tx"))).otherwise(F.array(tbl))).alias("tables"),
+        F.when(k % 13 != 0, F.when(k % 6 == 0, two).otherwise(one)).alias("tags"),
     )
 
 
+def tag_rule_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tag rules as JSON lines: scalars beside lists, and text where a map should be."""
+    r = tag_rules(spark, sf_dir)
+    full = F.to_json(F.struct("rule_ord", "level", "action", "schemas", "tables", "tags"), {"ignoreNullFields": "false"})
+    scalar = F.to_json(F.struct("rule_ord", "level", "action", F.element_at("schemas", 1).alias("schemas"), "tables", "tags"))
+    wrong = F.to_json(F.struct("rule_ord", "level", "action", "schemas", "tables", F.lit("not a map").alias("tags")))
+    line = F.when(F.col("tags").isNull(), wrong).when(F.size("schemas") == 1, scalar).otherwise(full)
+    return r.select(line.alias("value"))
+
+
 def object_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Existing tag state: one value per (schema, tag name), level SCHEMA."""
     st = schema_tags(spark, sf_dir)
@@ -200,22 +290,25 @@ def mask_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def existing_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fully qualified names of mask functions that already exist."""
+    """Masks in force before the first rule: the literal ones and one per (table, column) of all suppliers."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     k = F.col("s_suppkey")
-    gen = s.filter(k % 5 == 0).select(
-        F.concat(F.lit("dev_main_raw.crm.t"), _s(k % 50), F.lit("_col_"), _s(F.col("s_nationkey")), F.lit("_mask"))
-        .alias("function_name")
+    gen = s.groupBy(
+        F.concat(F.lit("dev_main_raw.crm.t"), _s(k % 12)).alias("full_table_name"),
+        F.concat(F.lit("COL-"), _s(F.col("s_nationkey"))).alias("column_name"),
+    ).agg(
+        F.array(F.concat(F.lit("grp_"), _s(F.min(k) % 40))).alias("user_group"),
+        F.lit("OLD").alias("type_of_masking"),
     )
-    lit_names = literal_frame(spark, [(n,) for n in EXISTING_MASKS], StructType([StructField("function_name", StringType())]))
-    return lit_names.unionByName(gen)
+    literal = literal_frame(spark, EXISTING_MASKS, schemas.EXISTING_MASKS)
+    return literal.unionByName(gen)
 
 
-_DIMS: dict[tuple[int, str], DataFrame] = {}
+_DIMS: dict[tuple[str, str], DataFrame] = {}
 
 
 def _dim(spark: SparkSession, name: str, build) -> DataFrame:
-    key = (id(spark), name)
+    key = (spark.sparkContext.applicationId, name)
     if key not in _DIMS:
         _DIMS[key] = build()
     return _DIMS[key]

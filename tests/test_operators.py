@@ -199,6 +199,9 @@ def test_tag_statements_and_state(spark):
                    ("dev_main_raw.s1.t1", "a", "b"), ("dev_main_raw.s1.t2", "a", "b")}
 
 
+FULL = "dev_main_raw.crm.customer"
+
+
 def test_mask_plan_order_and_projection(spark):
     mr = config.mask_rules(spark, [
         {"table_name": "raw.crm.customer", "column_name": "c_name", "user_group": "grp_1, grp_2"},
@@ -206,26 +209,75 @@ def test_mask_plan_order_and_projection(spark):
         {"table_name": "raw.crm.customer", "column_name": "c-x", "user_group": ["g"], "drop_existing": True},
         {"table_name": "raw.crm.supplier", "column_name": "s_name", "user_group": ["g"]},
     ])
-    existing = spark.createDataFrame([("DEV_MAIN_RAW.crm.supplier_s_name_mask",)], "function_name string")
-    plan = masks.plan(mr, config.catalog_mapping(spark, CATS), "dev", existing)
-    got = {r["rule_id"]: (r["action"], r["reason"], r["function_name"]) for r in plan.collect()}
+    existing = spark.createDataFrame([("DEV_MAIN_RAW.crm.supplier", "S_NAME", ["x"], "#")], schemas.EXISTING_MASKS)
+    cm = config.catalog_mapping(spark, CATS)
+    got = {r["rule_id"]: (r["action"], r["reason"], r["function_name"]) for r in masks.plan(mr, cm, "dev", existing).collect()}
     assert got == {
         0: ("CREATE", None, "customer_c_name_mask"),
         1: ("REJECT", "mask ref not 3 parts", None),
         2: ("DROP", None, "customer_c_x_mask"),
-        3: ("SKIP", "mask function exists", "supplier_s_name_mask"),
+        3: ("SKIP", masks.REASON_EXISTS, "supplier_s_name_mask"),
     }
+    state = masks.state(mr, cm, "dev", existing)
     cust = spark.createDataFrame([(1, "Alice"), (2, "Bob")], "c_custkey long, c_name string")
-    seen = masks.mask_columns(cust, "dev_main_raw.crm.customer", plan, ["grp_2"])
+    seen = masks.mask_columns(cust, FULL, state, ["grp_2"])
     assert sorted(r["c_name"] for r in seen.collect()) == ["Alice", "Bob"]
-    hidden = masks.mask_columns(cust, "dev_main_raw.crm.customer", plan, ["grp_9"])
+    hidden = masks.mask_columns(cust, FULL, state, ["grp_9"])
     assert sorted(r["c_name"] for r in hidden.collect()) == ["****", "****"]
     mem = spark.createDataFrame([("u1", "grp_1"), ("u2", "grp_5")], schemas.MEMBERSHIPS)
-    by = masks.mask_by_reader(cust, "dev_main_raw.crm.customer", plan, mem, ["u1", "u2"])
+    by = masks.mask_by_reader(cust, FULL, state, mem, ["u1", "u2"])
     assert sorted((r["reader"], r["c_name"]) for r in by.collect()) == [
         ("u1", "Alice"), ("u1", "Bob"), ("u2", "****"), ("u2", "****")]
 
 
+@pytest.mark.parametrize(
+    "steps,in_force,actions",
+    [
+        ("c1 c2", "1", ["CREATE", "SKIP"]),
+        ("c1 d2", None, ["CREATE", "DROP"]),
+        ("c1 d2 c3", "3", ["CREATE", "DROP", "CREATE"]),
+        ("d1 c2 c3 d4 c5 c6", "5", ["DROP", "CREATE", "SKIP", "DROP", "CREATE", "SKIP"]),
+        ("old c1", "old", ["SKIP"]),
+        ("old d1", None, ["DROP"]),
+        ("old d1 c2", "2", ["DROP", "CREATE"]),
+        ("old", "old", []),
+    ],
+)
+def test_mask_rules_apply_in_order(spark, steps, in_force, actions):
+    """Case of table and column names never matters; a mask in force is never shown raw."""
+    steps = steps.split()
+    existing = spark.createDataFrame([("dev_main_raw.CRM.customer", "c_Name", ["g"], "old")] if "old" in steps else [], schemas.EXISTING_MASKS)
+    rules_ = [
+        {"rule_id": int(x[1:]), "table_name": "raw.crm.customer", "column_name": "C_NAME" if i % 2 else "c_name", "user_group": ["g"],
+         "type_of_masking": x[1:], "drop_existing": x[0] == "d"}
+        for i, x in enumerate(s for s in steps if s != "old")
+    ]
+    mr = config.mask_rules(spark, rules_)
+    cm = config.catalog_mapping(spark, CATS)
+    assert [r["action"] for r in masks.plan(mr, cm, "dev", existing).orderBy("rule_id").collect()] == actions
+    state = masks.state(mr, cm, "dev", existing)
+    assert [r["type_of_masking"] for r in state.collect()] == ([in_force] if in_force else [])
+    cust = spark.createDataFrame([(1, "Alice")], "c_custkey long, c_name string")
+    assert masks.mask_columns(cust, FULL.upper(), state, ["other"]).first()["c_name"] == (in_force or "Alice")
+
+
+def test_masks_fail_closed(spark):
+    """A mask whose groups or constant are not known hides the value from everyone."""
+    state = spark.createDataFrame([(FULL, "c_name", None, None)], schemas.EXISTING_MASKS).withColumn("rule_id", F.lit(1))
+    cust = spark.createDataFrame([(1, "Alice")], "c_custkey long, c_name string")
+    assert masks.mask_columns(cust, FULL, state, ["g"]).first()["c_name"] == "****"
+    odd = spark.createDataFrame([(FULL, "nope", ["g"], "x")], schemas.EXISTING_MASKS).withColumn("rule_id", F.lit(7))
+    assert [tuple(r) for r in masks.unknown_columns(odd, FULL, cust).collect()] == [(7, "nope", masks.REASON_UNKNOWN_COLUMN)]
+
+
+def test_mask_of_a_long_rule_history(spark):
+    """Any number of rules on one column."""
+    mr = spark.range(25_000).selectExpr("id rule_id", "'raw.crm.customer' table_name", "'c_name' column_name", "array('g') user_group",
+                                        "cast(id as string) type_of_masking", "id % 1000 = 999 and id < 24000 drop_existing")
+    state = masks.state(mr, config.catalog_mapping(spark, CATS), "dev", spark.createDataFrame([], schemas.EXISTING_MASKS)).collect()
+    assert [r["type_of_masking"] for r in state] == ["24000"]
+
+
 def test_outcomes_and_summary(spark):
     st = spark.createDataFrame(
         [(1, "GRANT SELECT ON TABLE c.s.t TO `g`", None), (2, "GRANT SELECT ON TABLE c.s.u TO `g`", None),
@@ -239,22 +291,109 @@ def test_outcomes_and_summary(spark):
     assert (dry["total"], dry["success"], dry["failure"]) == (3, 3, 0)
 
 
-def test_ingest_first_load_then_idempotent(spark):
+def sheets(spark, rows, root, with_ids=False):
+    from grantweave.sources import mapping as msrc
+
+    text = mapping(spark, rows).drop("processed_datetime", "updated_datetime")
+    text = text.withColumn("access_until", F.coalesce(F.get_json_object("schema_names", "$.until"), F.date_format("access_until", "yyyy-MM-dd")))
+    msrc.write_sheets(text if with_ids else text.drop("acl_id"), root)
+
+
+def test_ingest_creates_then_merges(spark):
     from grantweave.plans.ingest import ingest_sheet
     from grantweave.session import scratch_path
+
+    path = scratch_path(spark, "test_table")
+    first_root, second_root, other_root = (scratch_path(spark, "test_sheets") for _ in range(3))
+    sheets(spark, [{"schema_names": "raw.s1"}, {"schema_names": "raw.s2", "access_until": dt.date(2001, 2, 3)},
+                   {"schema_names": "raw.s2", "access_until": dt.date(2001, 2, 3)}, {"user_group": None}], first_root)
+    first = ingest_sheet(spark, first_root, "B", path, processed=TS)
+    rows = first.table.collect()
+    assert first.created and {(r["schema_names"], r["access_until"]) for r in rows} == {("raw.s1", None), ("raw.s2", dt.date(2001, 2, 3))}
+    assert len({r["acl_id"] for r in rows}) == 2 and None not in {r["acl_id"] for r in rows}
+    assert [r["reason"] for r in first.rejects.collect()] == ["null in merge key"]
+    # another unit's equal rows get ids of their own, and its ingest leaves this unit's folder alone
+    sheets(spark, [{"schema_names": "raw.s1", "bu": "C"}], other_root)
+    other = ingest_sheet(spark, other_root, "C", path, processed=TS)
+    assert not other.created and len({r["acl_id"] for r in other.table.collect()}) == 3
+    sheets(spark, [{"schema_names": "raw.s1"}, {"schema_names": "raw.s9"}], second_root)
+    ingest_sheet(spark, second_root, "B", path, processed=TS)
+    again = ingest_sheet(spark, second_root, "B", path, processed=TS)
+    assert sorted((r["bu"], r["schema_names"]) for r in again.table.collect()) == [
+        ("B", "raw.s1"), ("B", "raw.s2"), ("B", "raw.s9"), ("C", "raw.s1")]
+
+
+def test_unreadable_ends_and_lines_stay_out(spark, tmp_path):
     from grantweave.sources import mapping as msrc
 
-    sheet = mapping(spark, [
-        {"schema_names": "raw.s1"}, {"schema_names": "raw.s2", "access_until": dt.date(2001, 2, 3)},
-    ]).select(*msrc.SHEET_COLUMNS[:-1], F.date_format("access_until", "yyyy-MM-dd").alias("access_until"), "bu")
-    root = scratch_path(spark, "test_sheets")
-    msrc.write_sheets(sheet, root)
-    first = ingest_sheet(spark, root, "B", processed=TS)
-    assert first.table.count() == 2
-    assert {r["access_until"] for r in first.table.collect()} == {None, dt.date(2001, 2, 3)}
-    second = ingest_sheet(spark, root, "B", current_path=first.path, processed=TS)
-    assert second.table.count() == 2 and second.path != first.path
-    assert second.rejects.count() == 0
+    head = "object_type,user_group,tag_values,schema_names,table_names,permission_types,grant_type,access_until"
+    lines = ["SCHEMA,g1,,raw.s1,,DATA_READER,GRANT,2020-01-02", "SCHEMA,g1,,raw.s2,,DATA_READER,GRANT,31/12/1999",
+             "SCHEMA,g1,,raw.s3,,DATA_READER,GRANT,1999", "SCHEMA,g1,,raw.s4,,DATA_READER,GRANT,2020-13-45", "SCHEMA,g1",
+             "SCHEMA,g1,,raw.s5,,DATA_READER,GRANT,"]
+    folder = tmp_path / "bu=B"
+    folder.mkdir()
+    (folder / "sheet.csv").write_text("\n".join([head, *lines]) + "\n")
+    sheet = msrc.read_sheet(spark, str(folder))
+    kept = msrc.stamp(sheet, "B", TS).collect()
+    assert sorted(r["schema_names"] for r in kept) == ["raw.s1", "raw.s5"]
+    assert sorted((r["value"], r["reason"]) for r in msrc.sheet_rejects(sheet).collect()) == sorted(
+        [("31/12/1999", msrc.REASON_DATE), ("1999", msrc.REASON_DATE), ("2020-13-45", msrc.REASON_DATE), ("SCHEMA,g1", msrc.REASON_MALFORMED)])
+
+
+def test_rules_without_mandatory_columns_make_nothing(spark):
+    rows = [{"object_type": None, "schema_names": "raw.s1"}, {"permission_types": None, "schema_names": "raw.s1"},
+            {"user_group": "ok, ba`d", "schema_names": "raw.s1"}]
+    got = statements_of(spark, rows).collect()
+    assert {r["access_statement"] for r in got} == {f"GRANT {p} ON SCHEMA dev_main_raw.s1 TO `ok`" for p in PERMS["dev"]["DATA_READER"]}
+    m = mapping(spark, rows)
+    reasons = rejects.bad_groups(m).unionByName(rejects.null_mandatory(m)).collect()
+    assert sorted((r["acl_id"], r["value"]) for r in reasons) == [(1, "object_type"), (2, "permission_types"), (3, "ba`d")]
+
+
+def test_keyed_expiry_never_grants(spark):
+    """An expired and a live grant on one key: the key is revoked, and no revoke is undone."""
+    m = mapping(spark, [
+        {"access_until": dt.date(1999, 1, 1), "schema_names": "raw.s1"},
+        {"access_until": dt.date(2999, 1, 1), "schema_names": "raw.s1"},
+        {"bu": "OTHER", "schema_names": "raw.s1", "grant_type": "REVOKE"},
+    ])
+    got = {r["acl_id"]: r["grant_type"] for r in upsert.expire_apply(m, "B", "2000-01-01", match="key").collect()}
+    assert got == {1: "REVOKE", 2: "REVOKE", 3: "REVOKE"}
+
+
+def test_rule_files(spark, tmp_path):
+    import json
+
+    (tmp_path / "m.json").write_text("\n".join(json.dumps(x) for x in [
+        {"rule_id": 1, "table_name": "raw.a.b", "column_name": "c", "user_group": "g1, g2"},
+        {"rule_id": 2, "table_name": "raw.a.b", "column_name": "d", "user_group": ["g3"], "type_of_masking": "#", "drop_existing": True},
+        {"rule_id": 3, "table_name": "raw.a.b", "column_name": "e"}]))
+    got = {r["rule_id"]: (r["user_group"], r["type_of_masking"], r["drop_existing"]) for r in config.read_rules(spark, str(tmp_path / "m.json"), "mask").collect()}
+    assert got == {1: (["g1", "g2"], "****", False), 2: (["g3"], "#", True), 3: (None, "****", False)}
+    (tmp_path / "t.json").write_text("\n".join(json.dumps(x) for x in [
+        {"rule_ord": 1, "level": "SCHEMA", "action": "set", "schemas": "a", "tags": {"k": None, "l": "v"}},
+        {"rule_ord": 2, "level": "TABLE", "action": "set", "schemas": ["a", "b"], "tables": "t", "tags": "no map"}]))
+    got = {r["rule_ord"]: (r["schemas"], r["tables"], r["tags"]) for r in config.read_rules(spark, str(tmp_path / "t.json"), "tag").collect()}
+    assert got == {1: (["a"], None, {"k": None, "l": "v"}), 2: (["a", "b"], ["t"], None)}
+    text = tags.statements(tags.targets(config.read_rules(spark, str(tmp_path / "t.json"), "tag"), "dev")).first()["statement"]
+    assert text == "ALTER SCHEMA a SET TAGS ('k' = 'None', 'l' = 'v')"
+
+
+def test_tracking_digests_compare_name_sets(spark):
+    from grantweave.operators import tracking
+
+    parsed = spark.createDataFrame(
+        [(1, "GRANT", "SELECT", "TABLE", f"a_b_raw.s.{t}", "g", None) for t in ("t1", "t2")] + [(2, "GRANT", "SELECT", "TABLE", "a_b_raw.s.t1", "h", None)],
+        "acl_id long, grant_type string, permissions string, object_type string, object_name string, user_group string, tag_values string",
+    )
+    m = mapping(spark, [
+        {"object_type": "TABLE", "user_group": "g", "table_names": "raw.s.t2, raw.s.t1,raw.s.t1"},
+        {"object_type": "TABLE", "user_group": "g", "table_names": "raw.s.t1"},
+        {"object_type": "TABLE", "user_group": "h", "table_names": "raw.s.t1"},
+        {"object_type": "TABLE", "user_group": "h"},
+    ])
+    got = {r["acl_id"]: r["updated_datetime"] is not None for r in tracking.stamp_table_rows(m, parsed, TS).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: False}
 
 
 def test_ledger_last_statement_wins(spark):
@@ -275,7 +414,16 @@ def test_ledger_last_statement_wins(spark):
         [("SELECT", "SCHEMA", "c.a", "g"), ("SELECT", "SCHEMA", "c.d", "g"), ("SELECT", "SCHEMA", "c.e", "g")],
         "privilege string, object_type string, object_name string, user_group string",
     )
-    packed = {r["object_name"] for r in ledger.apply_statements(old, s).collect()}
-    general = {r["object_name"] for r in ledger.apply_statements(old, s, order=("acl_id", "object_name")).collect()}
-    assert packed == {"c.b", "c.c", "c.e"}
-    assert general == packed
+    got = {r["object_name"] for r in ledger.apply_statements(old, s).collect()}
+    assert got == {"c.b", "c.c", "c.e"}
+
+
+def test_ledger_takes_any_id(spark):
+    top = (1 << 63) - 1
+    cols = "acl_id long, privilege string, object_type string, object_name string, user_group string, grant_type string"
+    rows = [(top - 1, "a", "REVOKE"), (top, "a", "GRANT"), (-top - 1, "b", "GRANT"), (-top, "b", "REVOKE"), (1 << 62, "c", "GRANT"),
+            (1 << 61, "c", "REVOKE"), (5, "d", "GRANT"), (5, "d", "REVOKE"), (None, "e", "GRANT"), (None, "e", "REVOKE"),
+            (None, "f", "GRANT"), (-top - 1, "f", "REVOKE")]
+    s = spark.createDataFrame([(i, "P", "T", o, "g", t) for i, o, t in rows], cols)
+    old = spark.createDataFrame([("P", "T", "z", "g")], cols.replace("acl_id long, ", "").replace(", grant_type string", ""))
+    assert {r["object_name"] for r in ledger.apply_statements(old, s).collect()} == {"a", "c", "d", "e", "z"}

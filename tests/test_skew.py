@@ -51,6 +51,23 @@ def test_hot_tag_list(skewed):
     assert len(got) > n  # the hot list fans out to many schemas per rule
 
 
+def test_hot_tag_list_output_is_dealt_to_several_tasks(spark):
+    """At AQE's defaults no task makes more than its share of a hot list's pairs."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rules_ = spark.range(20_000).selectExpr("id acl_id", "if(id % 3 = 0, 'HOT', concat('T', id % 900)) tag_values").withColumn("tags", F.split("tag_values", ","))
+        stored = spark.range(200).selectExpr("'c' catalog_name", "concat('s', id) schema_name", "'t' tag_name", "concat('HOT,T', id % 900) tag_value")
+        out = resolve.resolve_tags(rules_, stored).groupBy(F.spark_partition_id().alias("p")).count().collect()
+        total, most = sum(r["count"] for r in out), max(r["count"] for r in out)
+        assert total > 1_300_000 and most < 0.5 * total
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_hot_upsert_key(skewed):
     spark = skewed
 
@@ -79,7 +96,7 @@ def test_hot_ledger_key(skewed):
         rows.append((i, "SELECT", "TABLE", obj, "g", "REVOKE" if i == 2997 else "GRANT"))
     s = spark.createDataFrame(rows, "acl_id long, privilege string, object_type string, object_name string, "
                                     "user_group string, grant_type string")
-    old = spark.createDataFrame([("SELECT", "TABLE", "hot.obj", "g")], schemas.EFFECTIVE_GRANTS)
+    old = spark.createDataFrame([("SELECT", "TABLE", "hot.obj", "g")], "privilege string, object_type string, object_name string, user_group string")
     got = {r["object_name"] for r in ledger.apply_statements(old, s).collect()}
     assert "hot.obj" not in got  # acl_id 2997 (a hot-key row) revokes last
     assert len(got) == 2000
