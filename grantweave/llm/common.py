@@ -47,6 +47,13 @@ def per_worker(key: Hashable, make: Callable[[], Any]) -> Any:
 ADDED = {"long": (T.LongType(), pa.int64()), "double": (T.DoubleType(), pa.float64()), "boolean": (T.BooleanType(), pa.bool_()), "string": (T.StringType(), pa.string())}
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so a task holds the Python objects of a few texts only."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def map_texts(docs: DataFrame, carry: Sequence[str], make: Callable[[], Callable], added: dict[str, str], text: Column | str = "text") -> DataFrame:
     """Columns ``carry`` of ``docs`` unchanged, and the columns ``added`` (name: type) computed from its text.
 
@@ -59,7 +66,7 @@ def map_texts(docs: DataFrame, carry: Sequence[str], make: Callable[[], Callable
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
-        for b in batches:
+        for b in small_batches(batches):
             found = compute(b.column("__text").to_pylist())
             new = [pa.array(values, ADDED[t][1]) for values, t in zip(found, added.values())]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), *new], schema.names)

@@ -3,11 +3,12 @@ r"""License scans (operator 10): a positional index of rare licence words.
 Templates are the words of licence notices.  Their index lists, per word, the
 templates and positions it stands at, with an inverse document frequency taken
 over all documents (of template words only, a bounded list).  Of each document
-the ``RARE`` rarest template words that it holds are looked up; a hit's place less
-its place in the template is where the template would begin, and hits that agree
-on it name a candidate.  A candidate counts if every word of the template's
-mandatory phrases stands at its place; its share of template words found in
-place is its score.
+the ``RARE`` rarest template words that it holds are looked up, and those of the
+mandatory phrases; a hit's place less its place in the template is where the
+template would begin, and ``MIN_HITS`` hits that agree on it name a candidate.  A
+candidate counts if every word of the template's mandatory phrases stands at its
+place; its share of template words found in place is its score.  As a mandatory
+phrase has two words at least, every place that can be verified is a candidate.
 
 Base places (the words of a phrase standing together) and labels are kept
 whatever the method finds.  Documents without a word that any phrase needs
@@ -82,30 +83,40 @@ def _literal(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
+def _mandatory(words: str, phrases: tuple[str, ...]) -> list[int]:
+    """Places of the mandatory phrases' words in a notice."""
+    tokens, must = words.split(), set()
+    for phrase in phrases:
+        p = phrase.split()
+        at = next(i for i in range(len(tokens)) if tokens[i : i + len(p)] == p)
+        must.update(range(at, at + len(p)))
+    return sorted(must)
+
+
+def _struct(**fields: str) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+
+
+def _array(values: list[str]) -> str:
+    return f"array({', '.join(values)})"
+
+
 def _template_array() -> str:
-    out = []
-    for label, words, phrases in TEMPLATES:
-        tokens = words.split()
-        must = set()
-        for phrase in phrases:
-            p = phrase.split()
-            at = next(i for i in range(len(tokens)) if tokens[i : i + len(p)] == p)
-            must.update(range(at, at + len(p)))
-        out.append(f"named_struct('label', {_literal(label)}, 'words', array({', '.join(map(_literal, tokens))}), 'must', array({', '.join(map(str, sorted(must)))}))")
-    return f"array({', '.join(out)})"
+    return _array([
+        _struct(label=_literal(label), words=_array([_literal(w) for w in words.split()]), must=_array([str(m) for m in _mandatory(words, phrases)]))
+        for label, words, phrases in TEMPLATES
+    ])
 
 
 def _posting_array(idf: dict[str, float]) -> str:
-    """The index: word, its idf, and the (template, position) pairs it stands at."""
-    at: dict[str, list[tuple[int, int]]] = {}
-    for t, (_, words, _) in enumerate(TEMPLATES):
+    """The index in order of falling idf: a word and the (template, position) pairs it stands at."""
+    at: dict[str, list[str]] = {}
+    for t, (_, words, phrases) in enumerate(TEMPLATES):
+        must = _mandatory(words, phrases)
         for i, w in enumerate(words.split()):
-            at.setdefault(w, []).append((t, i))
-    entries = [
-        f"named_struct('idf', {idf[w]!r}D, 'word', {_literal(w)}, 'places', array({', '.join(f'named_struct({chr(39)}t{chr(39)}, {t}, {chr(39)}i{chr(39)}, {i})' for t, i in places)}))"
-        for w, places in sorted(at.items(), key=lambda x: (-idf[x[0]], x[0]))
-    ]
-    return f"array({', '.join(entries)})"
+            at.setdefault(w, []).append(_struct(t=str(t), i=str(i), must=str(i in must).lower()))
+    rarest = sorted(at, key=lambda w: (-idf[w], w))
+    return _array([_struct(word=_literal(w), places=_array(at[w])) for w in rarest])
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -126,9 +137,10 @@ def scan(docs: DataFrame) -> DataFrame:
     )
     places = f"filter(transform(words, (w, i) -> named_struct('at', i, 'label', CASE {base} END)), x -> x.label IS NOT NULL)"
     rows = rows.withColumn("base", F.expr(places))
-    # the document's rarest template words: the index is in order of falling idf
     rows = rows.withColumn("held", F.array_intersect("words", F.array(*[F.lit(w) for w in _vocabulary()])))
-    rows = rows.withColumn("rare", F.expr(f"slice(filter({_posting_array(idf)}, e -> array_contains(held, e.word)), 1, {RARE})"))
+    rows = rows.withColumn("found", F.expr(f"filter({_posting_array(idf)}, e -> array_contains(held, e.word))"))
+    looked_up = f"transform(found, (e, k) -> named_struct('word', e.word, 'places', filter(e.places, p -> k < {RARE} OR p.must)))"
+    rows = rows.withColumn("rare", F.expr(f"filter({looked_up}, e -> size(e.places) > 0)"))
     begins = (
         "flatten(flatten(transform(rare, e -> transform(e.places, p -> transform("
         "filter(transform(words, (w, i) -> if(w = e.word, i, -1)), x -> x >= 0), x -> named_struct('t', p.t, 'begin', x - p.i))))))"
@@ -137,7 +149,7 @@ def scan(docs: DataFrame) -> DataFrame:
     enough = f"filter(array_distinct(begins), b -> size(filter(begins, x -> x = b)) >= {MIN_HITS})"
     rows = rows.withColumn("candidates", F.expr(f"transform({enough}, b -> named_struct('begin', b.begin, 'form', element_at({_template_array()}, b.t + 1)))"))
     verified = (
-        "filter(candidates, c -> c.begin + element_at(c.form.must, 1) >= 0 AND forall(c.form.must, m -> get(words, c.begin + m) <=> c.form.words[m]))"
+        "filter(candidates, c -> forall(c.form.must, m -> c.begin + m >= 0 AND get(words, c.begin + m) <=> c.form.words[m]))"
     )
     rows = rows.withColumn("verified", F.expr(verified))
     share = "transform(verified, c -> size(filter(transform(c.form.words, (w, i) -> c.begin + i >= 0 AND get(words, c.begin + i) <=> w), x -> x)) / size(c.form.words))"
@@ -150,3 +162,45 @@ def scan(docs: DataFrame) -> DataFrame:
         F.coalesce(F.array_max(F.expr(share)), F.lit(0.0)).alias("score"),
     )
     return plain.unionByName(scanned)
+
+
+def _sql() -> str:
+    def listed(values) -> str:
+        return "[" + ", ".join(values) + "]"
+
+    forms = ", ".join(
+        f"({_literal(label)}, {listed(_literal(w) for w in words.split())}, {listed(str(m + 1) for m in _mandatory(words, phrases))})"
+        for label, words, phrases in TEMPLATES
+    )
+    cases = " ".join(
+        "WHEN " + " AND ".join(f"ws[i + {k}] = {_literal(p)}" for k, p in enumerate(phrase.split())) + f" THEN {_literal(label)}"
+        for phrase, label in PHRASES
+    )
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), word AS (
+  SELECT rid, ws, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d
+), places AS (
+  SELECT rid, i, CASE {cases} END AS label FROM word
+), base AS (
+  SELECT rid, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, list(DISTINCT label) AS labels
+  FROM places WHERE label IS NOT NULL GROUP BY rid
+), form(label, notice, must) AS (VALUES {forms}),
+tried AS (
+  SELECT rid, form.label, len(list_filter(must, lambda m: ws[i - must[1] + m] IS DISTINCT FROM notice[m])) = 0 AS verified,
+         len(list_filter(range(1, len(notice) + 1), lambda k: i - must[1] + k >= 1 AND ws[i - must[1] + k] = notice[k])) / len(notice) AS share
+  FROM word JOIN form ON word.w = notice[must[1]]
+), found AS (
+  SELECT rid, list(DISTINCT label) AS labels, max(share) AS score FROM tried WHERE verified GROUP BY rid
+)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ',') AS labels,
+       coalesce(score, 0.0) AS score
+FROM d LEFT JOIN base USING (rid) LEFT JOIN found USING (rid)
+"""
+
+
+SQL = _sql()

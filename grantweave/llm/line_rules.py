@@ -1,16 +1,16 @@
 """Quality rules (operator 9): line-first cleaning.
 
 Every line is held against rules of punctuation, navigation and boilerplate;
-failing lines go, and a document that loses more than ``MAX_LOST`` of its word
+failing lines go, and a document that loses more than ``MAX_LOST`` percent of its word
 characters, or keeps fewer than ``MIN_WORDS`` words, is rejected.  The base
 measures of the whole text come with the verdict.
 
 A line fails as
-  * ``symbols``: over ``MAX_SYMBOLS`` of its word characters are symbols, or it has
+  * ``symbols``: over ``MAX_SYMBOLS`` percent as many symbols as word characters, or it has
     words but no letter or digit;
   * ``shouting``: at least three words, over half of which end with ``!``;
   * ``navigation``: at least ``MIN_BARS`` words that are a lone separator;
-  * ``stutter``: at least ``WINDOW`` words, over ``MAX_STUTTER`` of which repeat the word before;
+  * ``stutter``: at least ``WINDOW`` words, over ``MAX_STUTTER`` percent of which repeat the word before;
   * ``boilerplate``: it holds one of ``BOILERPLATE``;
   * ``repeated``: it equals an earlier line.
 Lines without a word are kept and weigh nothing.
@@ -30,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, small_batches
 
 WINDOW, MIN_WORDS, MAX_REPEATED = 8, 20, 30
-MAX_SYMBOLS, MIN_BARS, MAX_STUTTER, MAX_LOST = 0.1, 3, 0.3, 0.5
+#: Percentages, but for the count of bars.
+MAX_SYMBOLS, MAX_STUTTER, MAX_LOST, MIN_BARS = 10, 30, 50, 3
 #: The words' separators, the symbols, the lone separators of menus, boilerplate phrases (lower case).
 BLANKS = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -74,13 +75,13 @@ def repeated_words(words: list[str], window: int = WINDOW) -> int:
 def failing(line: str, words: list[str]) -> str | None:
     """The rule that a line with ``words`` fails, if any; repeats are the text's to judge."""
     size = sum(map(len, words))
-    if len(_SYMBOL.findall(line)) > MAX_SYMBOLS * size or not any(c.isalnum() for c in line):
+    if 100 * len(_SYMBOL.findall(line)) > MAX_SYMBOLS * size or not any(c.isalnum() for c in line):
         return "symbols" if sum(w in BARS for w in words) < MIN_BARS else "navigation"
     if sum(w in BARS for w in words) >= MIN_BARS:
         return "navigation"
     if len(words) >= 3 and 2 * sum(w[-1] == "!" for w in words) > len(words):
         return "shouting"
-    if len(words) >= WINDOW and sum(a == b for a, b in zip(words, words[1:])) > MAX_STUTTER * len(words):
+    if len(words) >= WINDOW and 100 * sum(a == b for a, b in zip(words, words[1:])) > MAX_STUTTER * len(words):
         return "stutter"
     low = line.lower()
     return "boilerplate" if any(p in low for p in BOILERPLATE) else None
@@ -109,7 +110,7 @@ def judge(text: str | None) -> tuple[int, int, int, int, int, bool, bool, str]:
         lines.append(line)
     repeats = repeated_words(words)
     base_failed = n < MIN_WORDS or 100 * repeats > MAX_REPEATED * n
-    kept = not base_failed and lost <= MAX_LOST * chars and left >= MIN_WORDS
+    kept = not base_failed and 100 * lost <= MAX_LOST * chars and left >= MIN_WORDS
     return n, chars, len(_SYMBOL.findall(text)), doubles, repeats, base_failed, kept, "\n".join(lines)
 
 
@@ -124,7 +125,7 @@ def clean(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataF
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             found = [judge(t)[6:] for t in b.column(at).to_pylist()]
             b = b.filter(pa.array([k for k, _ in found], pa.bool_()))
             yield b.set_column(at, b.schema.field(at), pa.array([t for k, t in found if k], pa.string()))
@@ -133,3 +134,55 @@ def clean(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataF
     if length in docs.columns:
         cleaned = cleaned.withColumn(length, F.char_length(text).cast(docs.schema[length].dataType))
     return cleaned.select(*docs.columns)
+
+
+def _list(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
+), t AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d
+), word AS (
+  SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM t
+), grams AS (
+  SELECT rid, i, concat_ws(' ', w, {", ".join(f"lead(w, {k}) OVER p" for k in range(1, WINDOW))}) AS g, lead(w, {WINDOW - 1}) OVER p AS last
+  FROM word WINDOW p AS (PARTITION BY rid ORDER BY i)
+), twice AS (
+  SELECT rid, i FROM grams WHERE last IS NOT NULL QUALIFY count(*) OVER (PARTITION BY rid, g) > 1
+), covered AS (
+  SELECT rid, count(DISTINCT i + j) AS n FROM twice, range({WINDOW}) r(j) GROUP BY rid
+), line AS (
+  SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d
+), own AS (
+  SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM line
+), sized AS (
+  SELECT *, list_sum(list_transform(ws, lambda x: length(x))) AS size, row_number() OVER (PARTITION BY rid, line ORDER BY i) > 1 AS again
+  FROM own WHERE len(ws) > 0
+), ruled AS (
+  SELECT *, again
+      OR 100 * len(regexp_extract_all(line, '[#*$%&|<>]')) > {MAX_SYMBOLS} * size
+      OR NOT regexp_matches(line, '[\pL\pN]')
+      OR len(list_filter(ws, lambda x: list_contains({_list(BARS)}, x))) >= {MIN_BARS}
+      OR (len(ws) >= 3 AND 2 * len(list_filter(ws, lambda x: suffix(x, '!'))) > len(ws))
+      OR (len(ws) >= {WINDOW} AND 100 * len(list_filter(list_zip(ws[1:-2], ws[2:]), lambda x: x[1] = x[2])) > {MAX_STUTTER} * len(ws))
+      OR len(list_filter({_list(BOILERPLATE)}, lambda x: contains(lower(line), x))) > 0 AS fails
+  FROM sized
+), lines AS (
+  SELECT rid, count(*) FILTER (again) AS doubles, coalesce(sum(size) FILTER (fails), 0) AS lost,
+         coalesce(sum(len(ws)) FILTER (NOT fails), 0) AS remain
+  FROM ruled GROUP BY rid
+), base AS (
+  SELECT doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(doubles, 0) AS n_dup_lines,
+         coalesce(covered.n, 0) AS n_repeat_words, coalesce(lost, 0) AS lost, coalesce(remain, 0) AS remain
+  FROM t LEFT JOIN lines USING (rid) LEFT JOIN covered USING (rid)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed,
+       NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words)
+         AND 100 * lost <= {MAX_LOST} * word_chars AND remain >= {MIN_WORDS} AS kept
+FROM base
+"""

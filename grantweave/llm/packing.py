@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, per_worker
+from .common import Scratch, per_worker, small_batches
 
 MAX_LEN = 2048
 END_ID = 1
@@ -131,7 +131,7 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(tokenizer_file, end_id)
-        for b in batches:
+        for b in small_batches(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(list(encode(b)), pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
@@ -145,7 +145,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, max_len: int = MAX_LEN, end_id:
 
         encode = _encoder(tokenizer_file, end_id)
         rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
-        for b in batches:
+        for b in small_batches(batches):
             rows = []
             for doc, ids in enumerate(encode(b)):
                 n = len(ids) // 4

@@ -88,4 +88,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_rules": op9_line_rules,
     "op10_licenses": op10_licenses,
 }
-SQL: dict[str, str] = {"op8_chat": chat.SQL}
+SQL: dict[str, str] = {"op8_chat": chat.SQL, "op9_line_rules": line_rules.SQL, "op10_licenses": licenses.SQL}
