@@ -30,12 +30,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_worker
+from .common import per_worker, small_batches
 
 BLANK = "▁"
 NEVER = np.int64(1) << 62
 #: Symbols in a word beyond which a heap replaces rounds; characters that are looked up together; words kept.
-LONG_WORD, LOT_CHARS, WORD_CACHE = 1_000, 1_000_000, 800_000
+LONG_WORD, LOT_CHARS, WORD_CACHE = 1_000, 1_000_000, 400_000
+
+
+class IntTable:
+    """Places of distinct non-negative integers in a list, looked up by whole arrays (open addressing)."""
+
+    def __init__(self, keys: list[int]):
+        self.keys = np.array([*keys, -2], np.int64)  # the last stands for none
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, len(keys), np.int32)
+        for place, slot in enumerate(self._slot(self.keys[:-1]).tolist()):
+            while self.slots[slot] != len(keys):
+                slot = (slot + 1) & self.mask
+            self.slots[slot] = place
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each key (of any, where it is missing) and whether it is there."""
+        slot = self._slot(keys)
+        at = self.slots[slot]
+        there = self.keys[at] == keys
+        rest = np.flatnonzero(~there & (at != len(self.keys) - 1))
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) & self.mask
+            at[rest] = self.slots[slot[rest]]
+            there[rest] = self.keys[at[rest]] == keys[rest]
+            rest = rest[~there[rest] & (at[rest] != len(self.keys) - 1)]
+        return at, there
 
 
 class PieceModel:
@@ -68,12 +98,16 @@ class PieceModel:
                     pairs[a * self.base + b] = (rank, i)
         self.size = size
         self.lines_apart = not any("\n" in piece for piece in symbols)  # then a line feed stands between words
-        self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_rank = np.array([pairs[k][0] for k in self.pair_keys.tolist()], np.int64)
-        self.pair_piece = np.array([pairs[k][1] for k in self.pair_keys.tolist()], np.int32)
-        self.together = np.array(sorted(together), np.int64)
-        singles = sorted((ord(s), i) for s, i in symbols.items() if len(s) == 1)
-        self.char, self.char_symbol = (np.array(x, np.int64) for x in zip(*singles))
+        order_of = sorted(pairs)
+        self.pairs = IntTable(order_of)
+        self.pair_rank = np.array([*(pairs[k][0] for k in order_of), 0], np.int64)
+        self.pair_piece = np.array([*(pairs[k][1] for k in order_of), 0], np.int32)
+        self.together = IntTable(sorted(together))
+        self.symbol_of = self.base + np.arange(0x110000)  # characters that are no part of a piece
+        self.point_of = {i: ord(s) for s, i in symbols.items() if len(s) == 1}
+        for i, point in self.point_of.items():
+            self.symbol_of[point] = i
+        self.symbol_of[ord(" ")] = self.symbol_of[ord(BLANK)]
         self.surface = [names[i].replace(BLANK, " ").encode() for i in range(size)]
         self.surface[self.unknown] = " ⁇ ".encode()
         for b, i in enumerate(self.byte_id.tolist()):
@@ -85,24 +119,23 @@ class PieceModel:
     # --- encoding ---
 
     def words(self, text: str) -> list[str]:
-        """The text's words, each with the blanks before it; they make up the normalised text."""
+        """The text's words, each with the blanks before it (a blank stands for its mark)."""
         if not text:
             return []
-        if "  " in text or " \n" in text or BLANK in text or not self.lines_apart or text[0] == " " or text[-1] == " ":
-            return re.findall(f"{BLANK}+[^{BLANK}]*", BLANK + text.replace(" ", BLANK))
+        text = text.replace(BLANK, " ")
+        if "  " in text or " \n" in text or not self.lines_apart or text[0] == " " or text[-1] == " ":
+            return re.findall(" +[^ ]*", " " + text)
         out: list[str] = []
         for line in text.split("\n"):
             first, *rest = line.split(" ")
-            out.append(first if out else BLANK + first)
-            out += [BLANK + p for p in rest]
+            out.append(first if out else " " + first)
+            out += [" " + p for p in rest]
             out.append("\n")
         return out[:-1]
 
     def _look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the pair table of each pair of symbols, and whether it is there."""
-        key = np.where((left < self.base) & (right < self.base), left * self.base + right, -1)
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return at, self.pair_keys[at] == key
+        return self.pairs.find(np.where((left < self.base) & (right < self.base), left * self.base + right, -1))
 
     def merge(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Final symbols of every word and their word numbers, in order; ``word`` ascends."""
@@ -137,11 +170,10 @@ class PieceModel:
         heap: list[tuple[int, int, int, int, int]] = []
 
         def offer(i: int, j: int) -> None:
-            if i >= 0 and j >= 0 and s[i] < self.base and s[j] < self.base:
-                key = s[i] * self.base + s[j]
-                at = int(np.searchsorted(self.pair_keys, key))
-                if at < len(self.pair_keys) and self.pair_keys[at] == key:
-                    heapq.heappush(heap, (int(self.pair_rank[at]), i, s[i], s[j], int(self.pair_piece[at])))
+            if i >= 0 and j >= 0:
+                at, known = self._look_up(np.array([s[i]]), np.array([s[j]]))
+                if known[0]:
+                    heapq.heappush(heap, (int(self.pair_rank[at[0]]), i, s[i], s[j], int(self.pair_piece[at[0]])))
 
         at, known = self._look_up(symbols[:-1], symbols[1:])
         heap.extend((int(self.pair_rank[at[i]]), i, s[i], s[i + 1], int(self.pair_piece[at[i]])) for i in np.flatnonzero(known).tolist())
@@ -161,11 +193,10 @@ class PieceModel:
     def _learn(self, words: list[str]) -> None:
         points = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
         owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
-        at = np.minimum(np.searchsorted(self.char, points), len(self.char) - 1)
-        symbols = np.where(self.char[at] == points, self.char_symbol[at], self.base + points)
-        pair = points[:-1] << 21 | points[1:]
-        at = np.minimum(np.searchsorted(self.together, pair), len(self.together) - 1)
-        cut = np.r_[True, (owner[1:] != owner[:-1]) | (self.together[at] != pair)]
+        symbols = self.symbol_of[points]
+        points[points == ord(" ")] = ord(BLANK)
+        _, joined = self.together.find(points[:-1] << 21 | points[1:])
+        cut = np.r_[True, (owner[1:] != owner[:-1]) | ~joined]
         run = np.cumsum(cut) - 1
         lengths = np.diff(np.r_[np.flatnonzero(cut), len(points)])
         long = np.repeat(lengths > LONG_WORD, lengths)
@@ -190,7 +221,7 @@ class PieceModel:
             if s < self.size:
                 ids.append(s)
             else:
-                point = s - self.base if s >= self.base else int(self.char[np.flatnonzero(self.char_symbol == s)[0]])
+                point = s - self.base if s >= self.base else self.point_of[s]
                 ids.extend(self.byte_id[list(chr(point).encode())].tolist())
         return np.array(ids, "<i4").tobytes()
 
@@ -218,13 +249,12 @@ class PieceModel:
 
     def decode(self, ids: list[int]) -> str:
         """The text of a sequence of ids; the dummy prefix's blank goes."""
-        runs: list[list[int]] = [[]]
-        for i in ids:  # a control id also ends a run of bytes
-            if i in self.silent:
-                runs.append([])
-            else:
-                runs[-1].append(i)
-        runs = [r for r in runs if r]
+        while ids and ids[-1] in self.silent:
+            ids = ids[:-1]
+        runs = [ids] if ids else []
+        if not self.silent.isdisjoint(ids):  # a control id within also ends a run of bytes
+            cuts = [-1, *(k for k, i in enumerate(ids) if i in self.silent), len(ids)]
+            runs = [ids[a + 1 : b] for a, b in zip(cuts, cuts[1:]) if b > a + 1]
         texts = [b"".join(map(self.surface.__getitem__, r)) for r in runs]
         if runs and runs[0][0] in self.blank_first:
             texts[0] = texts[0][1:]
@@ -245,7 +275,7 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(model_file)
         end = np.array([model.end], "<i4").tobytes()
-        for b in batches:
+        for b in small_batches(batches):
             parts = [ids + end for ids in model.encode([t or "" for t in b.column("text").to_pylist()])]
             offsets = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4")))
@@ -259,7 +289,7 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(model_file)
-        for b in batches:
+        for b in small_batches(batches):
             texts = pa.array([model.decode(i.as_py() or []) for i in b.column("ids")], pa.string())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), texts], ["doc_id", "ids", "text"])
 
