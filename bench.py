@@ -28,6 +28,8 @@ HEADLINE = [
     "tag_state",
     "mask_columns",
     "env_resolve",
+    "acl_ingest",
+    "acl_cycle_grants",
 ]
 
 
