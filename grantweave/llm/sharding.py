@@ -29,6 +29,8 @@ SHARDS, SEED = 24, 20240229
 #: Bytes of text a bucket is planned to hold; a task permutes a few buckets at most.
 BUCKET_BYTES = 12 << 20
 ROW_BYTES = 8
+#: Up to so many buckets (some 50 bytes each) their starts are broadcast; their number is known before the join.
+BROADCAST_BUCKETS = 100_000
 RESULT = ("shard", "slot", "grown_shard", "bucket", "place")
 
 
@@ -61,6 +63,8 @@ def write_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket
     sizes = written.groupBy("shard", "bucket").count()
     before = F.sum("count").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("shard", "bucket", F.coalesce(before, F.lit(0)).alias("start"))
+    if shards * buckets <= BROADCAST_BUCKETS:  # else Catalyst chooses, and may shuffle the records once more
+        starts = F.broadcast(starts)
     return written.join(starts, ["shard", "bucket"]).select(
         *payload, "shard", (F.col("start") + F.col("place")).alias("slot"), rendezvous(key, shards + 1, seed).alias("grown_shard")
     )
