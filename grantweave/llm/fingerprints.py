@@ -33,6 +33,8 @@ LANES = 32
 LANE_MASK = (1 << 32) | 1
 #: Ranges of ids cut at quantiles, and rows that a window over neighbours is planned to hold.
 RANGES, WINDOW_ROWS = 64, 2048
+#: Up to so many windows (some 50 bytes each) their first rows' ids are broadcast; their number is known before the join.
+BROADCAST_WINDOWS = 100_000
 #: Ids divisible by this are the search queries.
 QUERY_STEP = 50
 
@@ -59,8 +61,8 @@ def likeness(a: str, b: str) -> Column:
     return (64 - F.bit_count(F.col(a).bitwiseXOR(F.col(b)))) / F.lit(64.0)
 
 
-def _windows(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``bucket``: ascending ranges of doc_id of about WINDOW_ROWS rows each.
+def _windows(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``docs`` with ``bucket``, ascending ranges of doc_id of about WINDOW_ROWS rows each, and a bound on their number.
 
     Ranges of equal row counts come from quantiles; inside a range, buckets are
     equally wide.
@@ -75,7 +77,8 @@ def _windows(docs: DataFrame) -> DataFrame:
     ranged = docs.withColumn("range", nth)
     inside = F.expr("(doc_id - __low) div __width")
     ranged = ranged.withColumn("__low", F.element_at(low_array, F.col("range"))).withColumn("__width", F.element_at(width_array, F.col("range")))
-    return ranged.withColumn("bucket", F.coalesce(F.col("range") * F.lit(1 << 32) + inside, F.lit(-(1 << 62)))).drop("range", "__low", "__width")
+    bucket = F.coalesce(F.col("range") * F.lit(1 << 32) + inside, F.lit(-(1 << 62)))
+    return ranged.withColumn("bucket", bucket).drop("range", "__low", "__width"), (per_range + 1) * (len(lows) + 1)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -84,12 +87,14 @@ def with_next(docs: DataFrame) -> DataFrame:
     A bucket also gets the first document of the next bucket as a guest, so a
     window over a bucket sees every neighbour and texts are shuffled once.
     """
-    rows = _windows(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")))
+    rows, most = _windows(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")))
     rows = rows.withColumn("h", F.xxhash64("text"))
     firsts = rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "h")).alias("first"))
     order = Window.orderBy("bucket")  # one slim row per bucket
     hosts = firsts.select("first", F.lag("bucket").over(order).alias("host"), F.max("bucket").over(Window.partitionBy()).alias("last"))
     hosts = hosts.select(F.col("first.doc_id").alias("id"), F.col("first.h").alias("hash"), F.coalesce("host", "last").alias("host"))
+    if most <= BROADCAST_WINDOWS:  # else Catalyst chooses, and may shuffle the texts once more
+        hosts = F.broadcast(hosts)
     guests = rows.join(hosts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("hash")))
     guests = guests.select(F.col("host").alias("bucket"), "doc_id", "text", "h").dropDuplicates(["bucket"])
     both = rows.select("bucket", "doc_id", "text", "h", F.lit(0).alias("guest")).unionByName(guests.withColumn("guest", F.lit(1)))
