@@ -8,8 +8,8 @@ that view, its end mark included, and nothing else.
 A dialogue is rendered in blocks of ``BLOCK`` turn numbers, so one conversation
 may hold any share of all rows: an ordinary one has one block, a long one
 several, each with where it starts in the whole view.  Turns are shuffled once,
-by conversation and block; the participants of a conversation travel to its
-blocks as a slim table, and block starts come from sums per block.
+by conversation and block; the participants of a conversation and the blocks'
+starts, from sums of turn lengths, travel to its blocks as one slim table.
 
 Defined results: turns are ordered by turn (null first), speaker and text, and
 repeated rows are all rendered; a null role speaks as ``unknown``, a null text is
@@ -49,30 +49,31 @@ def perspectives(turns: DataFrame, block: int = BLOCK) -> DataFrame:
         "turn",
         _plain(F.coalesce("role", F.lit(UNKNOWN))).alias("speaker"),
         _plain(F.coalesce("text", F.lit(""))).alias("body"),
-    )
+    ).withColumn("chars", F.char_length("body"))
     speakers = said.filter(F.col("speaker") != SYSTEM).select("c", "no_id", F.col("speaker").alias("perspective")).distinct()
     seats = said.select(*key).distinct().join(speakers, ["c", "no_id"])
 
     own = F.col("speaker") == F.col("perspective")
     head = F.when(own, F.lit("<|assistant|>\n")).when(F.col("speaker") == SYSTEM, F.lit("<|system|>\n"))
     head = head.otherwise(F.concat(F.lit('<|user name="'), F.col("speaker"), F.lit('"|>\n')))
-    rows = said.join(seats, key).select(*key, "perspective", "turn", "speaker", "body", own.alias("own"), head.alias("head"))
-    rows = rows.withColumn("size", F.char_length("head") + F.char_length("body") + len(END))
+    size = F.char_length(head) + F.col("chars") + len(END)
 
     view = [*key, "perspective"]
+    lengths = said.select(*key, "speaker", "chars").join(seats, key).groupBy(*view).agg(F.sum(size).alias("size"))
+    earlier = Window.partitionBy("c", "no_id", "perspective").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = lengths.select(*view, F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("block_start"))
+
     order = Window.partitionBy(*view).orderBy("turn", "speaker", "body")
+    rows = said.join(starts, key).select(*view, "block_start", "turn", "speaker", "body", own.alias("own"), head.alias("head"), size.alias("size"))
     before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = rows.select(*view, F.row_number().over(order).alias("nth"), before.alias("at"), "head", "body", "own", "size")
+    placed = rows.select(*view, "block_start", F.row_number().over(order).alias("nth"), before.alias("at"), "head", "body", "own", "size")
     span = F.concat((F.col("at") + F.char_length("head")).cast("string"), F.lit("-"), (F.col("at") + F.col("size")).cast("string"))
     segment = F.struct("nth", F.concat("head", "body", F.lit(END)).alias("segment"), F.when(F.col("own"), span).alias("span"))
-    blocks = placed.groupBy(*view).agg(
+    blocks = placed.groupBy(*view, "block_start").agg(
         F.sort_array(F.collect_list(segment)).alias("parts"), F.count("*").alias("n_turns"), F.count_if("own").alias("n_target")
     )
 
-    sizes = rows.groupBy(*view).agg(F.sum("size").alias("size"))
-    earlier = Window.partitionBy("c", "no_id", "perspective").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*view, F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("block_start"))
-    return blocks.join(starts, view).select(
+    return blocks.select(
         F.when(~F.col("no_id"), F.col("c")).alias("conv_id"),
         "perspective",
         F.when(F.col("block") != NULL_BLOCK, F.col("block")).alias("block"),
