@@ -36,10 +36,9 @@ def outcomes(statements: DataFrame, known_objects: DataFrame, dry_run: bool = Fa
             F.lit("success").alias("status"), F.lit(True).alias("dry_run"), F.lit(None).cast("string").alias("error"),
         )
     known = known_objects.select(F.col("object_name").alias("_known")).distinct()
-    # statements without an object cannot meet one: they pass beside the join, not through one of its tasks
-    some, none = p.filter(F.col("p").isNotNull()), p.filter(F.col("p").isNull())
-    j = some.join(known, F.col("p.object_name") == F.col("_known"), "left")
-    j = j.unionByName(none.withColumn("_known", F.lit(None).cast("string")))
+    # a statement without an object meets none; a key of its own keeps such rows from one task
+    name = F.coalesce("p.object_name", F.concat(F.lit("\u0000"), F.xxhash64("access_statement").cast("string")))
+    j = p.join(known, name == F.col("_known"), "left")
     error = (
         F.when(F.col("p").isNull(), F.lit(ERR_UNPARSEABLE))
         .when(F.col("_known").isNull(), F.lit(ERR_UNKNOWN_OBJECT))

@@ -13,8 +13,8 @@ STATUS_BAD_SCHEMA = "schema ref not 2 parts"
 STATUS_BAD_TABLE = "table ref not 3 parts"
 STATUS_NO_PREFIX = "prefix not mapped"
 
-# Pairs of one key that a join task makes before the key is dealt to more tasks.
-MAX_PAIRS = 100_000
+# Rules that share a tag list and are joined to its objects by one task.
+RULES_PER_SALT = 1_000
 
 _REF_T = "array<struct<source:string,pos:int,ref:string,want:int>>"
 
@@ -30,27 +30,6 @@ def stored_tag_items(schema_tags: DataFrame) -> DataFrame:
     ).filter(F.col("object_name").isNotNull())
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: str, by: str, max_pairs: int | None = None) -> DataFrame:
-    """``left`` join ``right`` on ``on``, with the pairs of a hot key dealt to several tasks.
-
-    A join's input may be small where its output is not: n left rows and m
-    right rows of one key make n x m pairs in one task, which AQE cannot see
-    beforehand.  Keys of over ``max_pairs`` pairs (both counts are summed before
-    they are shuffled) get salts: right rows are dealt by ``by``, left rows are
-    repeated per salt.  Nothing is dropped, and other keys get one salt.
-    """
-    max_pairs = max_pairs or MAX_PAIRS
-    n_left = left.groupBy(on).agg(F.count("*").alias("_l"))
-    n_right = right.groupBy(on).agg(F.count("*").alias("_r"))
-    salts = F.ceil(F.col("_l") * F.col("_r") / F.lit(max_pairs)).cast("int").alias("_salts")
-    hot = n_left.join(n_right, on).select(on, salts).filter("_salts > 1")
-    n = F.coalesce("_salts", F.lit(1))
-    l = left.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("_salts")
-    r = right.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(by), n).cast("int")).drop("_salts")
-    parts = fanout_partitions(left.sparkSession)  # a stated count: pairs, not input bytes, size these tasks
-    return l.repartition(parts, on, "_salt").join(r.repartition(parts, on, "_salt"), [on, "_salt"]).drop("_salt")
-
-
 def fanout_partitions(spark) -> int:
     """Partitions for a fan-out stage: the session's shuffle partition count."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -61,30 +40,40 @@ def fanout_partitions(spark) -> int:
 
 
 def resolve_tag_keys(tag_keys: DataFrame, schema_tags: DataFrame) -> DataFrame:
-    """Distinct (tag_key, object_name) for a relation of tag keys.
+    """Distinct (tag_key, object_name), with the other columns of ``tag_keys`` (unique per key).
 
     A tag key is the rule's stripped tags joined with ','; a schema matches
     when any of the key's items equals any item of a stored tag value (OR over
     the rule's tags).  The containment test becomes an equi-join on the item,
     so one shuffle join serves every rule instead of one query per rule.
     """
-    wanted = tag_keys.select("tag_key", F.explode(F.split("tag_key", ",")).alias("tag"))
-    return spread_join(wanted, stored_tag_items(schema_tags).distinct(), "tag", "object_name").select("tag_key", "object_name").distinct()
+    wanted = tag_keys.select("*", F.explode(F.split("tag_key", ",")).alias("tag"))
+    return wanted.join(stored_tag_items(schema_tags), "tag").select(*tag_keys.columns, "object_name").distinct()
 
 
 def resolve_tags(rules: DataFrame, schema_tags: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Tag objects per rule: (acl_id, *keep, object_name), distinct per rule.
 
     Rules are first reduced to their distinct tag keys, resolved once per key
-    and joined back, so many rules sharing a tag list cost one resolution; the
-    pairs of a hot list are dealt to several tasks.
+    and joined back, so many rules sharing a tag list cost one resolution.
+
+    The join back makes n rules x m objects of a key, which AQE cannot see in
+    its small input.  The rules of a list that more than ``RULES_PER_SALT`` share
+    are therefore dealt to several salts and the list's objects (the catalog's
+    schemas at most) repeated for each; the counts come with the distinct keys.
     """
     keep = keep or []
-    tagged = rules.filter(F.col("tags").isNotNull())
-    keys = tagged.select(F.col("tag_values").alias("tag_key")).distinct()
-    resolved = resolve_tag_keys(keys, schema_tags)
     held = [c for c in keep if c != "tag_values"]
-    pairs = spread_join(tagged.select("acl_id", *held, F.col("tag_values").alias("tag_key")), resolved, "tag_key", "object_name")
+    tagged = rules.filter(F.col("tags").isNotNull()).select("acl_id", *held, F.col("tag_values").alias("tag_key"))
+    salts = F.ceil(F.count("*") / F.lit(RULES_PER_SALT)).cast("int").alias("salts")
+    keys = tagged.groupBy("tag_key").agg(salts)
+    resolved = resolve_tag_keys(keys, schema_tags)
+    resolved = resolved.select("tag_key", "object_name", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    shared = tagged.join(keys.filter("salts > 1"), "tag_key", "left")
+    salt = F.coalesce(F.pmod(F.xxhash64("acl_id"), F.col("salts")), F.lit(0)).cast("int").alias("salt")
+    parts = fanout_partitions(rules.sparkSession)  # a stated count: pairs, not input bytes, size these tasks
+    dealt = shared.select("acl_id", *held, "tag_key", salt).repartition(parts, "tag_key", "salt")
+    pairs = dealt.join(resolved.repartition(parts, "tag_key", "salt"), ["tag_key", "salt"])
     return pairs.select("acl_id", *[F.col("tag_key").alias(c) if c == "tag_values" else F.col(c) for c in keep], "object_name")
 
 
@@ -146,5 +135,7 @@ def resolve_objects(
     tags = resolve_tags(rules, schema_tags, keep).select(
         "acl_id", *keep, F.lit(SOURCE_TAG).alias("source"), F.lit(None).cast("int").alias("pos"), "object_name"
     )
-    refs = resolve_refs(rules, catalog_mapping, env, keep).filter(F.col("status") == STATUS_OK)
+    # a rule's refs expand to many statements: slim rules are dealt, so that their expansion needs no shuffle
+    dealt = rules.repartition(fanout_partitions(rules.sparkSession), "acl_id")
+    refs = resolve_refs(dealt, catalog_mapping, env, keep).filter(F.col("status") == STATUS_OK)
     return tags.unionByName(refs.select("acl_id", *keep, "source", "pos", "object_name"))
