@@ -31,7 +31,7 @@ MAX_LEN = 2048
 END_ID = 1
 GROUP_PIECES = 8192
 #: Words a worker remembers before it starts afresh, which bounds its memory.
-WORD_CACHE = 800_000
+WORD_CACHE = 500_000
 ENCODE_CHARS = 1_000_000
 #: A run of these after letters is a token string of its own (an apostrophe may not be).
 TAIL = ".,;:!?#$%&*()[]|<>-_=+/\\\"@^~`{}"

@@ -44,7 +44,7 @@ SIZE = BINS + (STATS + 1) * (len(LENGTH_EDGES) + 1)
 #: Documents the machine is fitted on at most, and the score from which a document passes.
 MAX_TRAIN, PASS = 16_000, 0.7
 EPOCHS, BATCH, RATE, DECAY = 6, 128, 0.05, 1e-5
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 #: Characters that structure statistics count.
 SYMBOLS, CLOSERS = "#*$%&|<>{}[]=_^~\\@", ".!?:;\"'"
 _SHAPE = tuple((re.compile(p), s) for p, s in ((r"[A-ZÀ-ÖØ-Þ]+", "A"), (r"[^\W\d_A]+", "a"), (r"\d+", "9"), (r"([^\w])\1+", r"\1")))
