@@ -24,6 +24,7 @@ EXPIRE_EQ_KEYS = ["object_type", "user_group", "permission_types"]
 EXPIRE_NULLSAFE_KEYS = ["schema_names", "table_names", "tag_values"]
 # ---------------------------------------------------------------------------
 _LAST_ID = (1 << 63) - 1
+REASON_COPIES = "copies without an id of their own"
 
 
 def key_match(eq: list[str], nullsafe: list[str], prefix: str = "_r_") -> Column:
@@ -75,7 +76,11 @@ def upsert(target: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def upsert_rejects(incoming: DataFrame) -> DataFrame:
-    """Incoming rows left out of an upsert: null '=' keys and duplicate keys."""
+    """Incoming rows left out of an upsert: null '=' keys and duplicate keys.
+
+    Duplicates are listed by their own ids; those that share the kept row's id,
+    or have none, are counted by :func:`uncounted_duplicates`.
+    """
     keys = UPSERT_EQ_KEYS + UPSERT_NULLSAFE_KEYS
     nulls = incoming.filter(invalid_keys(incoming)).select(
         F.lit("upsert").alias("stage"), "acl_id", F.lit(None).cast("string").alias("value"),
@@ -93,6 +98,25 @@ def upsert_rejects(incoming: DataFrame) -> DataFrame:
     return nulls.unionByName(dups)
 
 
+def uncounted_duplicates(incoming: DataFrame) -> DataFrame:
+    """Left-out rows of a key that :func:`upsert_rejects` cannot tell from the kept one, counted.
+
+    A sheet without ids gives all rows of a merge key one id (or none), so the
+    copies have no id to be listed by.  Per merge key there is one row, its
+    value the number of copies beside the inserted row.  Both aggregates combine
+    map-side, so a hot key costs one slim row per task.
+    """
+    keys = UPSERT_EQ_KEYS + UPSERT_NULLSAFE_KEYS
+    per_id = incoming.filter(~invalid_keys(incoming)).groupBy(*keys, "acl_id").agg(F.count("*").alias("_n"))
+    without = F.coalesce(F.sum(F.when(F.col("acl_id").isNull(), F.col("_n"))), F.lit(0))
+    kept = F.coalesce(F.min_by("_n", "acl_id"), F.lit(0))
+    per_key = per_id.groupBy(*keys).agg(F.min("acl_id").alias("acl_id"), (kept + without - 1).alias("_copies"))
+    return per_key.filter("_copies > 0").select(
+        F.lit("upsert").alias("stage"), "acl_id", F.col("_copies").cast("string").alias("value"),
+        F.lit(REASON_COPIES).alias("reason"),
+    )
+
+
 def expire_apply(mapping: DataFrame, bu: str, as_of=None, stamp=None, match: str = "own") -> DataFrame:
     """Write the expiry back into the whole mapping table.
 

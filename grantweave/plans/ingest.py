@@ -24,12 +24,14 @@ class IngestResult:
     path: str
     rejects: DataFrame
     created: bool
+    duplicates: DataFrame  # same columns as rejects: copies counted per merge key
 
 
 def ingest_sheet(spark: SparkSession, sheet_root: str, bu: str, table_path: str, fmt: str = "csv", processed=None) -> IngestResult:
     sheet = mapping.read_sheet(spark, mapping.sheet_path(sheet_root, bu), fmt)
     incoming = mapping.stamp(sheet, bu, processed)
     rejects = mapping.sheet_rejects(sheet).unionByName(upsert.upsert_rejects(incoming))
+    duplicates = upsert.uncounted_duplicates(incoming)
     created = not mapping.table_exists(spark, table_path)
     if created:
         mapping.write_table(upsert.upsert(incoming.filter(F.lit(False)), incoming), table_path)
@@ -38,4 +40,4 @@ def ingest_sheet(spark: SparkSession, sheet_root: str, bu: str, table_path: str,
         merged = materialize(upsert.upsert(target, incoming), "acl_mapping")  # the unit is read until here
         mapping.replace_units(merged, table_path)
     spark.catalog.refreshByPath(table_path)
-    return IngestResult(mapping.read_table(spark, table_path), table_path, rejects, created)
+    return IngestResult(mapping.read_table(spark, table_path), table_path, rejects, created, duplicates)

@@ -323,6 +323,30 @@ def test_ingest_creates_then_merges(spark):
         ("B", "raw.s1"), ("B", "raw.s2"), ("B", "raw.s9"), ("C", "raw.s1")]
 
 
+def test_ingest_counts_copies_of_a_key(spark):
+    """Copies in a sheet without ids share the kept row's id; each is accounted for."""
+    from grantweave.plans.ingest import ingest_sheet
+    from grantweave.session import scratch_path
+
+    path, root = scratch_path(spark, "test_table"), scratch_path(spark, "test_sheets")
+    rows = [{"schema_names": "raw.hot"}] * 50 + [{"schema_names": f"raw.s{i}"} for i in range(100)] + [{"schema_names": "raw.s7"}, {"user_group": None}]
+    sheets(spark, rows, root)
+    for created in (True, False):  # a first load and a merge report alike
+        got = ingest_sheet(spark, root, "B", path, processed=TS)
+        names = {r["acl_id"]: r["schema_names"] for r in got.table.collect()}
+        counted = {names[r["acl_id"]]: (r["value"], r["reason"]) for r in got.duplicates.collect()}
+        assert got.created == created and len(names) == 101
+        assert counted == {"raw.hot": ("49", upsert.REASON_COPIES), "raw.s7": ("1", upsert.REASON_COPIES)}
+        assert len(names) + sum(int(v) for v, _ in counted.values()) + got.rejects.count() == len(rows)
+
+
+def test_copies_are_listed_or_counted_once(spark):
+    inc = mapping(spark, [{"schema_names": "raw.a"}] * 4 + [{"schema_names": "raw.b"}] * 2)
+    inc = inc.withColumn("acl_id", F.expr("CASE acl_id WHEN 1 THEN 10 WHEN 2 THEN 10 WHEN 3 THEN 11 END"))  # 10, 10, 11, none; none, none
+    assert [(r["acl_id"], r["value"]) for r in upsert.upsert_rejects(inc).collect()] == [(11, "10")]
+    assert sorted(((r["acl_id"], r["value"]) for r in upsert.uncounted_duplicates(inc).collect()), key=str) == [(10, "2"), (None, "1")]
+
+
 def test_unreadable_ends_and_lines_stay_out(spark, tmp_path):
     from grantweave.sources import mapping as msrc
 
