@@ -15,6 +15,8 @@ STATUS_NO_PREFIX = "prefix not mapped"
 
 # Rules that share a tag list and are joined to its objects by one task.
 RULES_PER_SALT = 1_000
+# Distinct tag lists that share an item and are joined to its objects by one task.
+LISTS_PER_SALT = 100
 
 _REF_T = "array<struct<source:string,pos:int,ref:string,want:int>>"
 
@@ -47,8 +49,26 @@ def resolve_tag_keys(tag_keys: DataFrame, schema_tags: DataFrame) -> DataFrame:
     the rule's tags).  The containment test becomes an equi-join on the item,
     so one shuffle join serves every rule instead of one query per rule.
     """
+    return tag_key_pairs(tag_keys, schema_tags).distinct()
+
+
+def tag_key_pairs(tag_keys: DataFrame, schema_tags: DataFrame) -> DataFrame:
+    """The pairs of :func:`resolve_tag_keys` before they are made distinct.
+
+    An item in n lists and m stored values makes n x m pairs.  The lists of an
+    item that more than ``LISTS_PER_SALT`` hold are dealt to several salts by
+    their hash, and the item's objects repeated for each.
+    """
     wanted = tag_keys.select("*", F.explode(F.split("tag_key", ",")).alias("tag"))
-    return wanted.join(stored_tag_items(schema_tags), "tag").select(*tag_keys.columns, "object_name").distinct()
+    salts = F.ceil(F.count("*") / F.lit(LISTS_PER_SALT)).cast("int").alias("item_salts")
+    hot = wanted.groupBy("tag").agg(salts).filter("item_salts > 1")
+    parts = fanout_partitions(tag_keys.sparkSession)  # a stated count: pairs, not input bytes, size these tasks
+    salt = F.coalesce(F.pmod(F.xxhash64("tag_key"), F.col("item_salts")), F.lit(0)).cast("int").alias("item_salt")
+    dealt = wanted.join(hot, "tag", "left").select(*tag_keys.columns, "tag", salt).repartition(parts, "tag", "item_salt")
+    of_item = F.explode(F.sequence(F.lit(0), F.coalesce("item_salts", F.lit(1)) - 1)).alias("item_salt")
+    items = stored_tag_items(schema_tags).join(hot, "tag", "left").select("tag", "object_name", of_item)
+    pairs = dealt.join(items.repartition(parts, "tag", "item_salt"), ["tag", "item_salt"])
+    return pairs.select(*tag_keys.columns, "object_name")
 
 
 def resolve_tags(rules: DataFrame, schema_tags: DataFrame, keep: list[str] | None = None) -> DataFrame:

@@ -68,6 +68,24 @@ def test_hot_tag_list_output_is_dealt_to_several_tasks(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def test_hot_tag_item_in_many_lists_is_dealt_to_several_tasks(spark):
+    """One item in a third of many distinct lists and in every stored value: complete, and no task makes it alone."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        keys = spark.range(9_000).selectExpr("if(id % 3 = 0, concat('HOT,L', id), concat('L', id)) tag_key", "1 salts")
+        stored = spark.range(200).selectExpr("'c' catalog_name", "concat('s', id) schema_name", "'t' tag_name", "concat('HOT,L', id) tag_value")
+        out = resolve.tag_key_pairs(keys, stored).groupBy(F.spark_partition_id().alias("p")).count().collect()
+        total, most = sum(r["count"] for r in out), max(r["count"] for r in out)
+        assert total == 3_000 * 200 + 200 and most < 0.4 * total
+        assert resolve.resolve_tag_keys(keys, stored).count() == 3_000 * 200 + 133  # 67 of the 200 L lists hold HOT as well
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_hot_upsert_key(skewed):
     spark = skewed
 
