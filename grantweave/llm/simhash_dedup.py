@@ -30,7 +30,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import Scratch, map_texts, text_bytes
 
@@ -66,13 +65,13 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with a column ``fingerprint`` (long: the 64 bits, two's complement) in place of its text."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``carry`` and ``fingerprint`` (long: the 64 bits, two's complement) of each row of ``docs``."""
 
     def run(texts: list[bytes | None]) -> list[np.ndarray]:
         return [np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)]
 
-    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id"], lambda: run, {"fingerprint": "long"}, text_bytes())
+    return map_texts(docs.select(F.col("doc_id").cast("long"), *carry, "text"), ["doc_id", *carry], lambda: run, {"fingerprint": "long"}, text_bytes())
 
 
 # --- the index and its self-join --------------------------------------------
@@ -334,14 +333,28 @@ def hex16(column: str) -> Column:
     return F.lpad(F.lower(F.hex(F.col(column))), 16, "0")
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id.
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, key_rows: int = KEY_ROWS) -> DataFrame:
+    """``docs`` with one row of each component: the one with the smallest id (null last), then text hash.
 
-    A document without an id cannot be named as anyone's copy, so it stays.
-    Repeated rows of a kept id leave one row.
+    A row is known by its id and the hash of its text, so neither clashing nor
+    null ids decide what is a copy.  Of repeated rows one is left; the repeats
+    are combined before the texts are shuffled, so their number does not matter.
     """
-    marked = near_duplicates(docs, shingle, radius)
-    first = marked.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("__nth", nth).filter("__nth = 1").select(*docs.columns)
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    scratch = Scratch(docs.sparkSession, "simhash")
+    digest = F.xxhash64("text").alias("__digest")
+    marked = scratch.keep(fingerprints(docs.select("doc_id", "text", digest), shingle, ("__digest",)))
+    row = F.struct(F.col("doc_id").isNull().alias("__no_id"), F.coalesce("doc_id", F.lit(0)).alias("__id"), "__digest")
+    fps = scratch.keep(marked.groupBy("fingerprint").agg(F.min(row).alias("first")))
+    found = components(links(fps.select("fingerprint"), scratch, radius, key_rows), scratch)
+    rooted = fps.join(found, fps.fingerprint == found.node, "left")
+    first = rooted.groupBy(F.coalesce("root", "fingerprint").alias("root")).agg(F.min("first").alias("first")).select("first.*")
+
+    key = ["__no_id", "__id", "__digest"]
+    doc_id = F.col("doc_id").cast("long")
+    others = F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c not in ("doc_id", "text")])
+    whole = docs.select(
+        doc_id.isNull().alias("__no_id"), F.coalesce(doc_id, F.lit(0)).alias("__id"), digest,
+        F.xxhash64(F.to_json(others)).alias("__tie"), F.struct(*docs.columns).alias("__row"),
+    )
+    single = whole.groupBy(*key).agg(F.min_by("__row", "__tie").alias("__row"))
+    return single.join(scratch.keep(first), key, "left_semi").select("__row.*")

@@ -76,6 +76,15 @@ def test_one_of_each(edge):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(want, key=str) and len(want) < len(rows)
 
 
+def test_one_of_each_with_clashing_and_null_ids(spark):
+    a, b, c, d = (" ".join(f"{w}{i * i}" for i in range(60)) for w in ("alpha", "beta", "gamma", "delta"))
+    assert plain_components([plain_fingerprint(t) for t in (a, b, c, d)]) == [0, 1, 2, 3]
+    rows = [(1, a), (1, b), (2, b), (2, b), (3, c), (None, c), (None, d), (None, d), (None, d)]
+    for given in (rows, rows[::-1]):
+        kept = sd.one_of_each(spark.createDataFrame(given, "doc_id long, text string").repartition(3)).collect()
+        assert sorted(map(tuple, kept), key=str) == sorted([(1, a), (1, b), (3, c), (None, d)], key=str)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_self_join_spans_the_components(seed):
     f = clustered(700, seed)
