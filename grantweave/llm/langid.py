@@ -5,7 +5,7 @@ A text is the TF-IDF vector, scaled to length one, of its hashed letter n-grams
 blank).  Document frequencies cover every training document.  Each language's
 vectors are clustered into ``CLUSTERS`` centroids by spherical k-means, on at
 most about ``PER_LANGUAGE`` documents of it (those whose hashed id falls below a
-share of the hash range), so one task holds one bounded sample.  A text gets the
+share of the hash range; a repeated row counts once), so one task holds one bounded sample.  A text gets the
 language of the centroid with the largest cosine.  ``rejected`` says that it lies
 further from that centroid than nearly all of the centroid's own documents.
 
@@ -107,6 +107,16 @@ class CentroidModel:
         return [n if f else UNDETERMINED for n, f in zip(names, found)], cosine, [r if f else None for r, f in zip(far, found)]
 
 
+def sampled(rows: DataFrame, per_language: int) -> tuple[dict[str, int], DataFrame]:
+    """Rows per language, and lang and text of about ``per_language`` distinct (doc_id, text) rows of each."""
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    slim = rows.groupBy("lang", "doc_id", "h").agg(F.count("*").alias("n"))  # share and sample refer to the same rows
+    counted = slim.groupBy("lang").agg(F.count("*"), F.sum("n")).collect()  # one row per language
+    share = F.coalesce(*[F.when(F.col("lang") == r[0], F.lit(per_language / r[1])) for r in counted], F.lit(0.0))
+    place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return {r[0]: r[2] for r in counted}, rows.filter(place < share).dropDuplicates(["lang", "doc_id", "h"]).select("lang", "text")
+
+
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> CentroidModel:
     """Fit on the documents outside the held-out fold that have a language and a letter."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
@@ -130,12 +140,9 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> CentroidModel:
             df[gram] = count
     idf = np.log((1 + n) / (1 + df)) + 1
 
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # one row per language
+    counts, sample = sampled(rows, per_language)
     if not counts:
         return CentroidModel(idf, np.zeros((0, SIZE), np.float32), [], np.zeros(0), UNDETERMINED)
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(per_language / c)) for k, c in counts.items()])
-    place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", F.xxhash64("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.filter(place < share).select("lang", "text")
 
     def cluster(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         x, found = vectors(sorted(b.text), idf)

@@ -48,3 +48,17 @@ def test_far_texts_are_rejected(spark, small):
     odd = spark.createDataFrame([(1, "щука жила в реке " * 20), (2, docs.first().text)], "doc_id long, text string")
     out = {r.doc_id: r.rejected for r in langid.predict(odd, langid.train(docs)).collect()}
     assert out == {1: True, 2: False}
+
+
+def test_repeated_rows_count_once_in_the_sample(spark):
+    docs = spark.range(60).selectExpr("id doc_id", "concat('text ', id) text", "if(id < 20, 'aa', 'bb') lang")
+    _, plain = langid.sampled(docs, 10)
+    plain = sorted(map(tuple, plain.collect()))
+    assert {lang for lang, _ in plain} == {"aa", "bb"} and len(plain) < 60
+    taken = {text for _, text in plain}
+    for inside in (True, False):  # a row of the rare language that is in the sample, and one that is not
+        hot = next(f"text {i}" for i in range(20) if (f"text {i}" in taken) == inside)
+        many = docs.filter(F.col("text") == hot).crossJoin(spark.range(3000).select(F.lit(1).alias("x"))).drop("x")
+        counts, sample = langid.sampled(docs.unionByName(many), 10)
+        assert counts == {"aa": 3020, "bb": 40}
+        assert sorted(map(tuple, sample.collect())) == plain
