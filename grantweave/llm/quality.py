@@ -152,12 +152,18 @@ def _flat(features: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
     return index, value, np.cumsum([0, *(len(f[0]) for f in features[:-1])])
 
 
+def one_text(found: DataFrame) -> DataFrame:
+    """doc_id, label and text of one row per doc_id, the one with the smallest text hash; repeats are combined before the shuffle."""
+    return found.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> FactorisationMachine:
-    """Fit on at most ``max_train`` documents of the training folds that have a quality label."""
+    """Fit on at most ``max_train`` documents of the training folds that have a quality label, each once however often it repeats."""
     marked = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("double")).dropna().filter(~held_out())
     marked = marked.groupBy("doc_id").agg(F.avg("quality").alias("label"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")  # max_train slim rows
+    found = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")  # max_train slim rows
+    texts = one_text(found)
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         features = per_worker("quality features", Featuriser)

@@ -60,3 +60,11 @@ def test_edge_rows(spark, edge, empty):
     assert quality.score(empty, model, ["doc_id"]).collect() == []
     none = quality.train(edge, labels.filter("false"))
     assert {r.score for r in quality.score(edge, none, ["doc_id"]).collect()} == {0.5}
+
+
+def test_a_repeated_labelled_document_is_trained_on_once(spark, small):
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    taught = docs.join(labels.filter(~quality.held_out()).select("doc_id"), "doc_id", "left_semi").orderBy("doc_id").limit(1)
+    hot = taught.crossJoin(spark.range(300).select(F.lit(1).alias("x"))).select(*docs.columns)
+    a, b = quality.train(docs, labels), quality.train(docs.unionByName(hot), labels)
+    assert hot.count() == 300 and a.bias == b.bias and np.array_equal(a.weight, b.weight) and np.array_equal(a.vector, b.vector)
