@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, licenses, line_rules, piece_bpe, quality
+from . import chat, divergence, langid, licenses, line_rules, piece_bpe, quality
 from .common import held_out, table
 from .fingerprints import document_fingerprints
 from .packing import pack_documents
@@ -76,6 +76,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -87,5 +91,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_line_rules": op9_line_rules,
     "op10_licenses": op10_licenses,
+    "op11_divergence": op11_divergence,
 }
-SQL: dict[str, str] = {"op8_chat": chat.SQL, "op9_line_rules": line_rules.SQL, "op10_licenses": licenses.SQL}
+SQL: dict[str, str] = {"op8_chat": chat.SQL, "op9_line_rules": line_rules.SQL, "op10_licenses": licenses.SQL, "op11_divergence": divergence.SQL}
