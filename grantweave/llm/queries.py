@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, divergence, langid, licenses, line_rules, piece_bpe, quality
+from . import chat, decontaminate, divergence, langid, licenses, line_rules, piece_bpe, prefix_trie, quality
 from .common import held_out, table
 from .fingerprints import document_fingerprints
 from .packing import pack_documents
@@ -80,6 +80,16 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    digest = decontaminate.items_digest().alias("items_sha256")
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, "contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -92,5 +102,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_rules": op9_line_rules,
     "op10_licenses": op10_licenses,
     "op11_divergence": op11_divergence,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_decontamination": op13_decontamination,
+}
+SQL: dict[str, str] = {
+    "op8_chat": chat.SQL,
+    "op9_line_rules": line_rules.SQL,
+    "op10_licenses": licenses.SQL,
+    "op11_divergence": divergence.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
+    "op13_decontamination": decontaminate.SQL,
 }
-SQL: dict[str, str] = {"op8_chat": chat.SQL, "op9_line_rules": line_rules.SQL, "op10_licenses": licenses.SQL, "op11_divergence": divergence.SQL}
