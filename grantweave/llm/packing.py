@@ -56,7 +56,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # a special token's string in a text is that token, in its own case only
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
@@ -83,7 +84,11 @@ class WordEncoder:
     def _learn(self, parts: set[str]) -> None:
         known, letters, others, split = self.known, set(), set(), []
         for part in parts:
-            stem = part.lower() if part.isascii() else part
+            low = part.lower()
+            if any(s in low for s in self.special):
+                others.add(part)
+                continue
+            stem = low if part.isascii() else part
             bare = stem.rstrip(TAIL)
             if bare != stem and bare.isalpha() and bare[-1].lower().isalpha():
                 split.append((part, bare, stem[len(bare) :]))

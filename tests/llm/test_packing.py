@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -19,7 +20,6 @@ def reference(file):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(file)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids + [packing.END_ID]
 
 
@@ -50,6 +50,16 @@ def check(rows, ids_of):
         assert at <= packing.MAX_LEN
 
 
+def test_special_strings_are_the_librarys(file, reference):
+    """Special tokens' strings, whole, broken and in other cases, among other text."""
+    rnd = random.Random(11)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext", "|>", "<|", "end", "Start.", "é", " ", "\n", "\t", "don't", "42", "...", "İ"]
+    texts = ["end <|endoftext|> start", "<|endoftext|>", "a<|endoftext|>b", "A<|ENDOFTEXT|>b"] + ["".join(rnd.choices(parts, k=rnd.randint(1, 9))) for _ in range(1_500)]
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in packing.WordEncoder(file).encode(texts)]
+    assert got == [reference(t)[:-1] for t in texts]
+    assert any(49407 in ids for ids in got)
+
+
 def test_query_against_the_library(spark, small, documents, reference):
     rows = QUERIES["op1_packing"](spark, small).collect()
     check(rows, {i: reference(t) for i, t in zip(documents.doc_id, documents.text)})
