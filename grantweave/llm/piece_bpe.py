@@ -2,14 +2,14 @@
 
 Vectorised merge rounds: the distinct new words of a lot of texts lie in one
 flat symbol array.  A round looks up the rank of every neighbouring pair, takes
-per word the smallest rank (leftmost on a tie, as one segmented minimum over
-rank and place), merges that pair in all words at once, and closes the gaps; a
-word without a known pair leaves the array.  One merge per word and round in
-rank order is the order in which the library merges, so ids are equal to its
-ids.  Words end before a blank and wherever two neighbouring characters occur
-together in no piece, as no merge can cross there.  A word's rounds grow with
-its length, so a word of over ``LONG_WORD`` symbols is merged from a heap in
-the same order instead.
+per word the smallest rank (one segmented minimum), merges the pairs of that
+rank from the left wherever they do not overlap, in all words at once, and closes
+the gaps; a word without a known pair leaves the array.  The library merges one
+pair at a time, of the smallest rank and leftmost.  That is the same as long as no
+merge makes a pair of a smaller rank; where one does, the word's round ends with
+that merge.  So ids are equal to the library's, and a word's rounds grow with the
+ranks that it has, not with its length.  Words end before a blank and wherever two
+neighbouring characters occur together in no piece, as no merge can cross there.
 
 Defined results: a null text counts as empty and has the end id alone; decoding
 null or empty ids gives an empty text; repeated rows are kept; an empty table
@@ -21,7 +21,6 @@ character decode to U+FFFD each, as in the library.
 from __future__ import annotations
 
 import codecs
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -34,8 +33,8 @@ from .common import per_worker, small_batches
 
 BLANK = "▁"
 NEVER = np.int64(1) << 62
-#: Symbols in a word beyond which a heap replaces rounds; characters that are looked up together; words kept.
-LONG_WORD, LOT_CHARS, WORD_CACHE = 1_000, 1_000_000, 400_000
+#: Characters that are looked up together; words kept.
+LOT_CHARS, WORD_CACHE = 1_000_000, 400_000
 
 
 class IntTable:
@@ -137,25 +136,32 @@ class PieceModel:
         """Place in the pair table of each pair of symbols, and whether it is there."""
         return self.pairs.find(np.where((left < self.base) & (right < self.base), left * self.base + right, -1))
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of symbols, ``NEVER`` where it is none."""
+        at, known = self._look_up(left, right)
+        return np.where(known, self.pair_rank[at], NEVER)
+
     def merge(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Final symbols of every word and their word numbers, in order; ``word`` ascends."""
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbols):
             at, known = self._look_up(symbols[:-1], symbols[1:])
             known &= word[:-1] == word[1:]
-            value = np.full(len(symbols), NEVER)
+            rank = np.full(len(symbols), NEVER)
             where = np.flatnonzero(known)
-            value[where] = self.pair_rank[at[where]] << 40 | where
+            rank[where] = self.pair_rank[at[where]]
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            best = np.minimum.reduceat(value, starts)
+            sizes = np.diff(np.r_[starts, len(symbols)])
+            best = np.minimum.reduceat(rank, starts)
             over = best == NEVER
-            place = best[~over] & ((1 << 40) - 1)
-            symbols[place] = self.pair_piece[at[place]]
-            keep = np.ones(len(symbols), bool)
-            keep[place + 1] = False
-            finished = np.repeat(over, np.diff(np.r_[starts, len(symbols)]))
+            place = where[rank[where] == np.repeat(best, sizes)[where]]
+            place = self._from_the_left(symbols, word, place, at, best, sizes)
+            piece = self.pair_piece[at[place]]
+            finished = np.repeat(over, sizes)
             done.append((symbols[finished], word[finished]))
-            keep &= ~finished
+            symbols[place] = piece
+            keep = ~finished
+            keep[place + 1] = False
             symbols, word = symbols[keep], word[keep]
         if not done:
             return symbols, word
@@ -163,32 +169,41 @@ class PieceModel:
         order = np.argsort(word, kind="stable")
         return symbols[order], word[order]
 
-    def merge_long(self, symbols: np.ndarray) -> np.ndarray:
-        """Final symbols of one long word: the same merges, taken from a heap."""
-        s = symbols.tolist()
-        nxt, prv = list(range(1, len(s))) + [-1], [-1] + list(range(len(s) - 1))
-        heap: list[tuple[int, int, int, int, int]] = []
-
-        def offer(i: int, j: int) -> None:
-            if i >= 0 and j >= 0:
-                at, known = self._look_up(np.array([s[i]]), np.array([s[j]]))
-                if known[0]:
-                    heapq.heappush(heap, (int(self.pair_rank[at[0]]), i, s[i], s[j], int(self.pair_piece[at[0]])))
-
-        at, known = self._look_up(symbols[:-1], symbols[1:])
-        heap.extend((int(self.pair_rank[at[i]]), i, s[i], s[i + 1], int(self.pair_piece[at[i]])) for i in np.flatnonzero(known).tolist())
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b, piece = heapq.heappop(heap)
-            j = nxt[i] if s[i] == a else -1
-            if j < 0 or s[j] != b:
-                continue
-            s[i], s[j], nxt[i] = piece, -1, nxt[j]
-            if nxt[j] >= 0:
-                prv[nxt[j]] = i
-            offer(prv[i], i)
-            offer(i, nxt[i])
-        return np.array([x for x in s if x >= 0], np.int64)
+    def _from_the_left(self, symbols: np.ndarray, word: np.ndarray, place: np.ndarray, at: np.ndarray, best: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Of the places of their words' smallest rank, those that are merged now.
+
+        Overlapping ones are taken from the left, every other of a run.  A word
+        with several merges stops after the first that makes a smaller rank with
+        the symbol before it (merged already, if it is the last merge's) or after it.
+        """
+        run = np.r_[True, np.diff(place) != 1][: len(place)]
+        first = np.maximum.accumulate(np.where(run, np.arange(len(place)), 0)) if len(place) else place
+        place = place[(np.arange(len(place)) - first) % 2 == 0]
+        again = np.flatnonzero(word[place[1:]] == word[place[:-1]])
+        if not len(again):
+            return place
+        several = np.zeros(len(place), bool)
+        several[again] = several[again + 1] = True
+        some = place[several]
+        rank = np.repeat(best, sizes)[some]
+        piece = self.pair_piece[at[some]].astype(symbols.dtype)
+        before, after = some - 1, some + 2
+        joins = np.r_[False, (some[1:] == some[:-1] + 2) & (word[some[1:]] == word[some[:-1]])]
+        left = np.where(joins, np.r_[piece[:1], piece[:-1]], symbols[np.maximum(before, 0)])
+        has_left = (before >= 0) & (word[np.maximum(before, 0)] == word[some])
+        right = np.minimum(after, len(symbols) - 1)
+        has_right = (after < len(symbols)) & (word[right] == word[some])
+        lower = (has_left & (self._ranks(left, piece) <= rank)) | (has_right & (self._ranks(piece, symbols[right]) <= rank))
+        if not lower.any():
+            return place
+        # in each word, what follows the first such merge waits
+        begin = np.flatnonzero(np.r_[True, word[some[1:]] != word[some[:-1]]])
+        stopped = np.cumsum(np.r_[0, lower[:-1]])
+        stopped = stopped - np.repeat(stopped[begin], np.diff(np.r_[begin, len(some)]))
+        # a merge that ends the word before must not stop this one
+        late = np.zeros(len(place), bool)
+        late[np.flatnonzero(several)] = stopped > 0
+        return place[~late]
 
     def _learn(self, words: list[str]) -> None:
         points = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
@@ -198,15 +213,8 @@ class PieceModel:
         _, joined = self.together.find(points[:-1] << 21 | points[1:])
         cut = np.r_[True, (owner[1:] != owner[:-1]) | ~joined]
         run = np.cumsum(cut) - 1
-        lengths = np.diff(np.r_[np.flatnonzero(cut), len(points)])
-        long = np.repeat(lengths > LONG_WORD, lengths)
-        parts = [self.merge(symbols[~long], run[~long])]
-        for r in np.flatnonzero(lengths > LONG_WORD).tolist():
-            merged = self.merge_long(symbols[run == r])
-            parts.append((merged, np.full(len(merged), r)))
-        symbols, run = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(run, kind="stable")
-        symbols, owner = symbols[order], owner[np.flatnonzero(cut)][run[order]]
+        symbols, run = self.merge(symbols, run)
+        owner = owner[np.flatnonzero(cut)][run]
         cuts = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
         raw = symbols.astype("<i4").tobytes()
         odd = np.flatnonzero(np.add.reduceat((symbols >= self.size).astype(np.int64), cuts[:-1]) if len(words) else [])

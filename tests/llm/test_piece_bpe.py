@@ -45,14 +45,22 @@ def test_odd_and_random_texts(model, library):
         assert np.frombuffer(ids, "<i4").tolist() == library.encode(text)
 
 
-def test_heap_and_rounds_agree(model, monkeypatch):
+def test_long_words_merge_many_places_a_round(model, library):
+    """Words of many thousand symbols without a blank: equal to the library's, in rounds far fewer than symbols."""
     rnd = random.Random(6)
-    texts = ["".join(rnd.choice("theanr ioes") for _ in range(300)) for _ in range(30)]
-    rounds = list(model.encode(texts))
-    model.known.clear()
-    monkeypatch.setattr(piece_bpe, "LONG_WORD", 3)
-    assert list(model.encode(texts)) == rounds
-    model.known.clear()
+    texts = ["".join(rnd.choice("theanrioes") for _ in range(6_000)), "ab" * 5_000, "abab" * 700 + "ba" * 900, "aaab" * 1_500, "the" * 3_000 + "then" * 500]
+    texts += ["".join(rnd.choice("ab") for _ in range(n)) for n in range(2, 60)] + ["".join(rnd.choice("theans") for _ in range(300)) for _ in range(60)]
+    for text in texts:
+        model.known.clear()
+        assert np.frombuffer(next(iter(model.encode([text]))), "<i4").tolist() == library.encode(text)
+    symbols = model.symbol_of[np.frombuffer(texts[0].encode("utf-32-le"), "<u4").astype(np.int64)]
+    calls = []
+    model._from_the_left, kept = (lambda *a: calls.append(1) or kept(*a)), model._from_the_left
+    try:
+        model.merge(symbols, np.zeros(len(symbols), np.int64))
+    finally:
+        del model._from_the_left
+    assert len(calls) < len(texts[0]) / 4
 
 
 def test_decoding_any_ids(model, library):
