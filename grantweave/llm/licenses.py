@@ -1,20 +1,22 @@
 r"""License scans (operator 10): a positional index of rare licence words.
 
-Templates are the words of licence notices.  Their index lists, per word, the
-templates and positions it stands at, with an inverse document frequency taken
-over all documents (of template words only, a bounded list).  Of each document
-the ``RARE`` rarest template words that it holds are looked up, and those of the
-mandatory phrases; a hit's place less its place in the template is where the
-template would begin, and ``MIN_HITS`` hits that agree on it name a candidate.  A
-candidate counts if every word of the template's mandatory phrases stands at its
-place; its share of template words found in place is its score.  As a mandatory
-phrase has two words at least, every place that can be verified is a candidate.
-
-Base places (the words of a phrase standing together) and labels are kept
-whatever the method finds.  Documents without a word that any phrase needs
-cannot have a place or a verified template and skip the index; that test is
-exact.  Everything stays within a document's row, so nothing is shuffled but the
-word frequencies (one row per template word and task).
+Templates are the words of licence notices, whole or in the form that files
+carry.  Of each template the index lists the ``ANCHORS`` mandatory words that
+are rarest over all documents (their inverse document frequency is counted first,
+for template words only, a bounded list), with their place in it.  In a document
+these few words are looked up in one pass; a hit's place less its place in the
+template is where the template would begin, and where all anchors of a template
+agree it is a candidate.  A candidate counts if every word of the template's
+mandatory phrases stands at its place; its share of template words found in place
+is its score.  As anchors are mandatory words, no verified place is missed whichever
+words are rare; how rare they are decides how few places are looked at.
+
+Work is linear in a document's words but for the sort of its hits.  Base places
+(the words of a phrase standing together) and labels are kept whatever the method
+finds.  Documents without a word that some phrase needs cannot have a place or a
+verified template and skip the index; which words those are follows from the
+phrases, and the test is exact.  Everything stays within a document's row, so
+nothing is shuffled but the word frequencies (one row per template word and task).
 
 Defined results: a null text counts as empty: no words, no places, empty labels,
 score 0; a null doc_id is carried through; repeated rows are each scanned; an
@@ -33,20 +35,82 @@ PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general publi
 #: Label, words of a notice, and the phrases that must stand in it.
 TEMPLATES = (
     ("mit", "released under the mit license", ("mit license",)),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted", "obtaining a copy of this software")),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense "
+        "and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+        "fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages "
+        "or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use "
+        "or other dealings in the software",
+        ("permission is hereby granted", "obtaining a copy of this software"),
+    ),
     ("apache", "licensed under the apache license version 2 0", ("apache license version 2 0",)),
+    (
+        "apache",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy "
+        "of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed "
+        "under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license "
+        "for the specific language governing permissions and limitations under the license",
+        ("apache license version 2 0", "except in compliance with the license"),
+    ),
     ("gpl", "this work is licensed under the gnu general public license version 3", ("gnu general public license",)),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", ("gnu general public license",)),
+    (
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by "
+        "the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that "
+        "it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the "
+        "gnu general public license for more details you should have received a copy of the gnu general public license along with this program",
+        ("gnu general public license",),
+    ),
+    (
+        "lgpl",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by "
+        "the free software foundation either version 2 1 of the license or at your option any later version",
+        ("gnu lesser general public license",),
+    ),
     ("cc-by-nc", "licensed under cc by nc 4 0", ("licensed under cc by nc",)),
     ("cc-by-sa", "licensed under cc by sa 4 0", ("licensed under cc by sa",)),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution",)),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify",)),
-)
-#: Every phrase above holds one of these character strings.
-NEEDED = ("licen", "permission", "creative commons", "redistribution")
-RARE, MIN_HITS = 6, 2
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the "
+        "documentation and or other materials provided with the distribution",
+        ("redistribution and use in source and binary forms",),
+    ),
+    (
+        "mpl",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file "
+        "you can obtain one at https mozilla org mpl 2 0",
+        ("mozilla public license",),
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above "
+        "copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties "
+        "with regard to this software including all implied warranties of merchantability and fitness",
+        ("permission to use copy modify",),
+    ),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute "
+        "this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+        ("free and unencumbered software",),
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising "
+        "from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to "
+        "alter it and redistribute it freely subject to the following restrictions",
+        ("permission is granted to anyone to use this software",),
+    ),
+)
+#: Mandatory words of a template that are looked up; as many hits agree on a candidate's place.
+ANCHORS = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words, in lower-cased text and in text as it stands.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -62,11 +126,22 @@ def _words() -> Column:
     return F.filter(F.split(lowered, SEPARATORS), lambda w: w != "")
 
 
+def needed() -> list[str]:
+    """Words of which every phrase, base or mandatory, holds one: the words that serve most phrases first."""
+    open_ = [phrase.split() for phrase, _ in PHRASES] + [p.split() for _, _, phrases in TEMPLATES for p in phrases]
+    out: list[str] = []
+    while open_:
+        words = sorted({w for p in open_ for w in p})
+        out.append(max(words, key=lambda w: (sum(any(w in x for x in p) for p in open_), len(w))))
+        open_ = [p for p in open_ if not any(out[-1] in x for x in p)]
+    return out
+
+
 def _may_match() -> Column:
     low = F.lower(F.coalesce("text", F.lit("")))
     found = F.lit(False)
-    for stem in NEEDED:
-        found = found | F.contains(low, F.lit(stem.split()[0]))
+    for word in needed():
+        found = found | F.contains(low, F.lit(word))
     return found
 
 
@@ -108,15 +183,23 @@ def _template_array() -> str:
     ])
 
 
-def _posting_array(idf: dict[str, float]) -> str:
-    """The index in order of falling idf: a word and the (template, position) pairs it stands at."""
+def anchors(idf: dict[str, float]) -> list[list[tuple[str, int]]]:
+    """Of each template its rarest mandatory words, as (word, place)."""
+    out = []
+    for _, notice, phrases in TEMPLATES:
+        words = notice.split()
+        must = _mandatory(notice, phrases)
+        out.append([(words[i], i) for i in sorted(must, key=lambda i: (-idf[words[i]], i))[:ANCHORS]])
+    return out
+
+
+def _index(idf: dict[str, float]) -> str:
+    """The index as a map: a word to the (template, place) pairs that it is an anchor of."""
     at: dict[str, list[str]] = {}
-    for t, (_, words, phrases) in enumerate(TEMPLATES):
-        must = _mandatory(words, phrases)
-        for i, w in enumerate(words.split()):
-            at.setdefault(w, []).append(_struct(t=str(t), i=str(i), must=str(i in must).lower()))
-    rarest = sorted(at, key=lambda w: (-idf[w], w))
-    return _array([_struct(word=_literal(w), places=_array(at[w])) for w in rarest])
+    for t, own in enumerate(anchors(idf)):
+        for w, i in own:
+            at.setdefault(w, []).append(_struct(t=str(t), i=str(i)))
+    return "map(" + ", ".join(f"{_literal(w)}, {_array(places)}" for w, places in sorted(at.items())) + ")"
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -137,17 +220,14 @@ def scan(docs: DataFrame) -> DataFrame:
     )
     places = f"filter(transform(words, (w, i) -> named_struct('at', i, 'label', CASE {base} END)), x -> x.label IS NOT NULL)"
     rows = rows.withColumn("base", F.expr(places))
-    rows = rows.withColumn("held", F.array_intersect("words", F.array(*[F.lit(w) for w in _vocabulary()])))
-    rows = rows.withColumn("found", F.expr(f"filter({_posting_array(idf)}, e -> array_contains(held, e.word))"))
-    looked_up = f"transform(found, (e, k) -> named_struct('word', e.word, 'places', filter(e.places, p -> k < {RARE} OR p.must)))"
-    rows = rows.withColumn("rare", F.expr(f"filter({looked_up}, e -> size(e.places) > 0)"))
-    begins = (
-        "flatten(flatten(transform(rare, e -> transform(e.places, p -> transform("
-        "filter(transform(words, (w, i) -> if(w = e.word, i, -1)), x -> x >= 0), x -> named_struct('t', p.t, 'begin', x - p.i))))))"
-    )
-    rows = rows.withColumn("begins", F.expr(begins))
-    enough = f"filter(array_distinct(begins), b -> size(filter(begins, x -> x = b)) >= {MIN_HITS})"
-    rows = rows.withColumn("candidates", F.expr(f"transform({enough}, b -> named_struct('begin', b.begin, 'form', element_at({_template_array()}, b.t + 1)))"))
+    hits = f"filter(transform(words, (w, i) -> named_struct('at', i, 'places', try_element_at({_index(idf)}, w))), h -> h.places IS NOT NULL)"
+    rows = rows.withColumn("hits", F.expr(hits))
+    begins = "flatten(transform(hits, h -> transform(h.places, p -> named_struct('t', p.t, 'begin', h.at - p.i))))"
+    rows = rows.withColumn("begins", F.array_sort(F.expr(begins)))
+    # a begin that every anchor of its template says stands ANCHORS times in the sorted list
+    agreed = f"filter(begins, (b, k) -> k >= {ANCHORS - 1} AND get(begins, k - {ANCHORS - 1}) <=> b)"
+    rows = rows.withColumn("agreed", F.expr(agreed))
+    rows = rows.withColumn("candidates", F.expr(f"transform(agreed, b -> named_struct('begin', b.begin, 'form', element_at({_template_array()}, b.t + 1)))"))
     verified = (
         "filter(candidates, c -> forall(c.form.must, m -> c.begin + m >= 0 AND get(words, c.begin + m) <=> c.form.words[m]))"
     )

@@ -71,3 +71,43 @@ def test_notices_inside_texts(spark):
     assert by[100].n_base == 4 and by[100].base_labels == "apache,gpl,mit"
     assert set(by[101].labels.split(",")) == {label for label, _, _ in licenses.TEMPLATES}
     assert by[102].labels == "" and by[102].score == 0.0
+
+
+def test_rare_words_decide_candidates(spark):
+    """The anchors follow the corpus: words that are common there are not looked up."""
+    n = 50
+    common = spark.range(n).selectExpr("id doc_id", "if(id % 2 = 0, 'license for mit people', 'apache version') text")
+    count, df = licenses.frequencies(common)
+    assert (count, df["license"], df["apache"]) == (n, n // 2, n // 2)
+    idf = {w: -df.get(w, 0) for _, notice, _ in licenses.TEMPLATES for w in notice.split()}
+    chosen = licenses.anchors(idf)
+    assert {w for w, _ in chosen[2]} == {"2", "0"} and all(len(own) == licenses.ANCHORS for own in chosen)
+    for own, (_, notice, phrases) in zip(chosen, licenses.TEMPLATES):
+        must = licenses._mandatory(notice, phrases)
+        assert {i for _, i in own} <= set(must) and all(notice.split()[i] == w for w, i in own)
+    # whichever words are the anchors, the results are those of every place
+    texts = {i: notice for i, (_, notice, _) in enumerate(licenses.TEMPLATES)}
+    texts |= {100 + i: " ".join(notice.split()[: len(notice.split()) // 2]) for i, (_, notice, _) in enumerate(licenses.TEMPLATES)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for mix in (docs, docs.unionByName(common.selectExpr("doc_id + 1000 doc_id", "text"))):
+        rows = [r for r in licenses.scan(mix).collect() if r.doc_id in texts]
+        check(rows, texts)
+
+
+def test_every_phrase_needs_a_word():
+    words = licenses.needed()
+    phrases = [p for p, _ in licenses.PHRASES] + [p for _, _, ps in licenses.TEMPLATES for p in ps]
+    assert all(any(w in x for w in words for x in p.split()) for p in phrases)
+
+
+def test_a_long_text_takes_linear_time(spark):
+    """200,000 words with a licence word in every third place, scanned in seconds."""
+    import time
+
+    text = "the license permission " * 66_000 + "released under the mit license " * 500
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    licenses.scan(df.limit(0)).collect()
+    began = time.time()
+    row = licenses.scan(df).first()
+    assert time.time() - began < 30
+    assert (row.n_words, row.n_base, row.labels, row.score) == (200_500, 500, "mit", 1.0)
