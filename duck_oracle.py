@@ -43,11 +43,11 @@ ACL = "acl AS (SELECT * REPLACE (TRY_CAST(access_until AS DATE) AS access_until)
 
 # the rough mapping takes the clean one's place under the name acl
 ROUGH = """acl AS (SELECT acl_id,
-  CASE WHEN acl_id % 31 = 0 THEN NULL ELSE object_type END AS object_type,
+  CASE WHEN acl_id % 31 = 0 THEN NULL WHEN acl_id % 59 = 0 THEN 'MATERIALIZED VIEW' ELSE object_type END AS object_type,
   CASE WHEN acl_id % 41 = 0 THEN NULL WHEN acl_id % 43 = 0 THEN 'grp_1, bad`grp' ELSE user_group END AS user_group,
   CASE WHEN acl_id % 47 = 0 THEN 'Brand#12' ELSE tag_values END AS tag_values,
-  CASE WHEN acl_id % 29 = 0 THEN 'raw.s-5, raw.s1, curated.s3' ELSE schema_names END AS schema_names,
-  CASE WHEN acl_id % 23 = 0 THEN 'raw.s1.t1, curated.s2.t3' ELSE table_names END AS table_names,
+  CASE WHEN acl_id % 61 = 0 THEN 'raw.s1 TO `grp_admin` , raw.s2' WHEN acl_id % 29 = 0 THEN 'raw.s-5, raw.s1, curated.s3' ELSE schema_names END AS schema_names,
+  CASE WHEN acl_id % 67 = 0 THEN 'raw.s1.t1 TO `grp_admin` ' WHEN acl_id % 23 = 0 THEN 'raw.s1.t1, curated.s2.t3' ELSE table_names END AS table_names,
   CASE WHEN acl_id % 37 = 0 THEN NULL ELSE permission_types END AS permission_types,
   grant_type, TRY_CAST(access_until AS DATE) AS access_until, bu FROM acl_sheet)"""
 
@@ -82,6 +82,12 @@ SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN 'dev_main_raw' ELSE 'dev_main_c
   CASE WHEN p_size % 5 = 0 THEN concat(p_brand, ', ', p_type) ELSE concat(p_brand, ',', p_type) END AS tag_value
 FROM part)"""
 
+# Stored tags of schemas whose name no statement can hold, or tries to say more.
+SCHEMA_TAGS_ROUGH = SCHEMA_TAGS.replace("schema_tags_fx AS (", "clean_tags_fx AS (") + """,
+schema_tags_fx AS (
+SELECT catalog_name, schema_name || CASE WHEN CAST(schema_name[2:] AS INTEGER) % 19 = 0 THEN '-x'
+  WHEN CAST(schema_name[2:] AS INTEGER) % 23 = 0 THEN ' TO `grp_admin`' ELSE '' END AS schema_name, tag_name, tag_value FROM clean_tags_fx)"""
+
 PERM = """perm(permission_group, privileges) AS (VALUES
   ('DATA_READER', ['USE SCHEMA', 'SELECT', 'READ VOLUME']),
   ('DATA_WRITER', ['USE SCHEMA', 'SELECT', 'MODIFY']),
@@ -112,19 +118,22 @@ SELECT r.*, CASE WHEN r.tags IS NOT NULL THEN array_to_string(r.tags, ',') END A
 FROM rules0 r LEFT JOIN perm p ON p.permission_group = r.permission_group),
 srules AS (SELECT * FROM rules WHERE len(privileges) > 0)"""
 
-TAG_OBJS = """tag_objs AS (
+# Fixed value: the characters of an object name in a statement.
+NAME = r"'[\w.]+'"
+TAG_OBJS = f"""all_tag_objs AS (
 SELECT DISTINCT r.acl_id, st.catalog_name || '.' || st.schema_name AS object_name
 FROM srules r JOIN schema_tags_fx st ON list_has_any(r.tags, string_split(st.tag_value, ','))
-WHERE r.tags IS NOT NULL)"""
+WHERE r.tags IS NOT NULL),
+tag_objs AS (SELECT * FROM all_tag_objs WHERE regexp_full_match(object_name, {NAME}))"""
 
-REFS = """refs AS (
+REFS = f"""refs AS (
 SELECT acl_id, 'schema' AS source, ref, 2 AS want FROM (SELECT acl_id, unnest(schema_refs) AS ref FROM srules)
 UNION ALL
 SELECT acl_id, 'table' AS source, ref, 3 AS want FROM (SELECT acl_id, unnest(table_refs) AS ref FROM srules)),
 ref_objs AS (
 SELECT acl_id, source, c.catalog || '.' || array_to_string(string_split(ref, '.')[2:], '.') AS object_name
 FROM refs JOIN cat c ON c.prefix = string_split(ref, '.')[1]
-WHERE len(string_split(ref, '.')) = want)"""
+WHERE len(string_split(ref, '.')) = want AND regexp_full_match(array_to_string(string_split(ref, '.')[2:], '.'), {NAME}))"""
 
 OBJS = """objs AS (
 SELECT acl_id, 'tag' AS source, object_name FROM tag_objs
@@ -140,7 +149,7 @@ FROM objs o JOIN srules r ON o.acl_id = r.acl_id,
 BASE = [ACL_SHEET, ACL, SCHEMA_TAGS, PERM, CAT, ACTIVE, EXPIRED, RULES]
 GEN = BASE + [TAG_OBJS, REFS, OBJS, STATEMENTS]
 ROUGH_BASE = [ROUGH if c is ACL else c for c in BASE]
-ROUGH_GEN = [ROUGH if c is ACL else c for c in GEN]
+ROUGH_GEN = [{ACL: ROUGH, SCHEMA_TAGS: SCHEMA_TAGS_ROUGH}.get(c, c) for c in GEN]
 
 
 def with_(ctes: list[str], body: str) -> str:
@@ -185,11 +194,13 @@ FROM (SELECT acl_id, unnest(groups) AS user_group, generate_subscripts(groups, 1
 
 REF_STATUS = """ref_status AS (
 SELECT acl_id, source, CAST(i - 1 AS INTEGER) AS pos, ref,
-  CASE WHEN len(string_split(ref, '.')) = want AND c.catalog IS NOT NULL
+  CASE WHEN len(string_split(ref, '.')) = want AND c.catalog IS NOT NULL AND regexp_full_match(array_to_string(string_split(ref, '.')[2:], '.'), '[\\w.]+')
        THEN c.catalog || '.' || array_to_string(string_split(ref, '.')[2:], '.') END AS object_name,
   CASE WHEN len(string_split(ref, '.')) <> want AND source = 'schema' THEN 'schema ref not 2 parts'
        WHEN len(string_split(ref, '.')) <> want THEN 'table ref not 3 parts'
-       WHEN c.catalog IS NULL THEN 'prefix not mapped' ELSE 'ok' END AS status
+       WHEN c.catalog IS NULL THEN 'prefix not mapped'
+       WHEN NOT regexp_full_match(array_to_string(string_split(ref, '.')[2:], '.'), '[\\w.]+') THEN 'object name outside the statement grammar'
+       ELSE 'ok' END AS status
 FROM (SELECT acl_id, 'schema' AS source, 2 AS want, unnest(schema_refs) AS ref, generate_subscripts(schema_refs, 1) AS i FROM {src}
       UNION ALL
       SELECT acl_id, 'table' AS source, 3 AS want, unnest(table_refs) AS ref, generate_subscripts(table_refs, 1) AS i FROM {src}) x
@@ -278,21 +289,18 @@ SQL["rule_sources"] = with_(
     """SELECT rule_ord, level, action, array_to_string(schemas, ',') AS schemas, array_to_string(tables, ',') AS tables,
   array_to_string(list_sort(list_transform(tags, lambda e: e.k || '=' || coalesce(e.v, '<null>'))), ',') AS tags FROM tag_rules_fx""",
 )
-SQL["tag_state"] = with_(
-    [
-        SCHEMA_TAGS,
-        TAG_RULES,
-        """old AS (SELECT 'SCHEMA' AS level, catalog_name || '.' || schema_name AS target, tag_name, min(tag_value) AS tag_value
+_TAG_STATE = [
+    """old AS (SELECT 'SCHEMA' AS level, catalog_name || '.' || schema_name AS target, tag_name, min(tag_value) AS tag_value
           FROM schema_tags_fx GROUP BY ALL)""",
-        """entries AS (SELECT level, target, rule_ord, action, e.k AS tag_name, coalesce(e.v, 'None') AS tag_value
+    """entries AS (SELECT level, target, rule_ord, action, e.k AS tag_name, coalesce(e.v, 'None') AS tag_value
   FROM (SELECT *, unnest(tags) AS e FROM targets WHERE action IN ('SET', 'UNSET')))""",
-        """last AS (SELECT * FROM entries QUALIFY row_number() OVER (PARTITION BY level, target, tag_name ORDER BY rule_ord DESC) = 1)""",
-    ],
-    """SELECT level, target, tag_name, tag_value FROM last WHERE action = 'SET'
+    """last_entry AS (SELECT * FROM entries QUALIFY row_number() OVER (PARTITION BY level, target, tag_name ORDER BY rule_ord DESC) = 1)""",
+]
+_NEW_TAGS = """SELECT level, target, tag_name, tag_value FROM last_entry WHERE action = 'SET'
 UNION ALL
 SELECT o.level, o.target, o.tag_name, o.tag_value FROM old o
-WHERE NOT EXISTS (SELECT 1 FROM last l WHERE l.level = o.level AND l.target = o.target AND l.tag_name = o.tag_name)""",
-)
+WHERE NOT EXISTS (SELECT 1 FROM last_entry l WHERE l.level = o.level AND l.target = o.target AND l.tag_name = o.tag_name)"""
+SQL["tag_state"] = with_([SCHEMA_TAGS, TAG_RULES, *_TAG_STATE], _NEW_TAGS)
 
 MASK_RULES = """mask_rules_fx AS (
 SELECT * FROM (VALUES
@@ -410,6 +418,39 @@ SQL["mask_by_reader"] = with_(
     + " FROM customer, (VALUES ('Customer#000000001'), ('Customer#000000004')) r(reader)",
 )
 
+TAG_STATE_CTES = [SCHEMA_TAGS, TAG_RULES, *_TAG_STATE]
+SQL["tag_job_state"] = SQL["tag_state"]
+SQL["mask_job_state"] = SQL["mask_state"]
+
+
+def _report(what: str, state: str) -> str:
+    """What a run of both jobs reports, with the state that it leaves."""
+    tag_n, mask_n = ("(SELECT count(*) FROM new_tags)", "(SELECT count(*) FROM mstate)") if state == "new" else ("(SELECT count(*) FROM old)", "(SELECT count(*) FROM existing_fx)")
+    return f"""SELECT 'tag{what} steps' AS what, action AS name, count(*) AS n FROM targets WHERE action IN ('SET', 'UNSET') AND tags IS NOT NULL GROUP BY action
+UNION ALL SELECT 'tag{what} steps', 'REJECT', count(*) FROM tag_rejects
+UNION ALL SELECT 'tag{what} rejects', reason, count(*) FROM tag_rejects GROUP BY reason
+UNION ALL SELECT 'tag{what} state', 'rows', {tag_n}
+UNION ALL SELECT 'mask{what} steps', action, count(*) FROM mplan GROUP BY action
+UNION ALL SELECT 'mask{what} rejects', reason, count(*) FROM mplan WHERE action = 'REJECT' GROUP BY reason
+UNION ALL SELECT 'mask{what} state', 'rows', {mask_n}"""
+
+
+SQL["job_reports"] = with_(
+    [*TAG_STATE_CTES, f"new_tags AS ({_NEW_TAGS})", f"tag_rejects AS ({TAG_REJECTS})", CAT, MASK_RULES],
+    _report("", "new") + "\nUNION ALL " + _report(" dry run", "old"),
+)
+
+_SEES = {c: _masked(c, "list_has_any({groups}, own)").split(" THEN ")[0].removeprefix("CASE WHEN ") for c in MASKED}
+CLASSES = f"""readers AS (
+SELECT reader, concat_ws(',', {", ".join(f"CASE WHEN {seen} THEN '{c}' END" for c, seen in _SEES.items())}) AS seen
+FROM (SELECT c_name AS reader, list(concat('grp_', CAST(c_custkey % 40 AS STRING))) AS own FROM customer GROUP BY c_name))"""
+SQL["mask_reader_classes"] = with_([CAT, MASK_RULES, CLASSES], "SELECT reader, seen FROM readers")
+SQL["mask_by_class"] = with_(
+    [CAT, MASK_RULES, CLASSES],
+    "SELECT k.seen, " + ", ".join(_masked(c, f"list_contains(string_split(k.seen, ','), '{c}')") if c in MASKED else c for c in CUSTOMER_COLS)
+    + " FROM customer, (SELECT DISTINCT seen FROM readers) k",
+)
+
 # --- 2.3 / 2.4 --------------------------------------------------------------
 SQL["tag_resolve"] = with_(
     BASE,
@@ -417,6 +458,15 @@ SQL["tag_resolve"] = with_(
 FROM rules r JOIN schema_tags_fx st ON list_has_any(r.tags, string_split(st.tag_value, ','))
 WHERE r.tags IS NOT NULL""",
 )
+SQL["tag_resolve_incremental"] = with_(
+    BASE,
+    """SELECT DISTINCT r.acl_id, st.catalog_name || '.' || st.schema_name AS object_name
+FROM (SELECT acl_id, string_split(CASE WHEN acl_id % 7 = 0 THEN NULL WHEN acl_id % 11 = 0 THEN 'LARGE,Brand#13' WHEN acl_id % 13 = 0 THEN 'Brand#999'
+                       WHEN acl_id % 17 = 0 THEN tag_values || ',ECONOMY' ELSE tag_values END, ',') AS tags FROM rules) r
+JOIN (SELECT * REPLACE (CASE WHEN CAST(schema_name[2:] AS INTEGER) % 5 = 0 THEN 'LARGE,' || tag_value
+                             WHEN CAST(schema_name[2:] AS INTEGER) % 7 = 0 THEN 'Brand#13' ELSE tag_value END AS tag_value) FROM schema_tags_fx) st
+  ON list_has_any(r.tags, string_split(st.tag_value, ','))""",
+)
 SQL["acl_objects"] = with_(GEN, "SELECT acl_id, source, object_name FROM objs")
 SQL["statement_counts"] = with_(
     GEN,
@@ -528,17 +578,21 @@ UPSERT_REJECTS = """SELECT 'upsert' AS stage, acl_id, CAST(keep AS VARCHAR) AS v
 FROM inc_k WHERE acl_id <> keep
 UNION ALL
 SELECT 'upsert', acl_id, NULL, 'null in merge key' FROM inc WHERE object_type IS NULL OR user_group IS NULL
-  OR permission_types IS NULL OR grant_type IS NULL OR bu IS NULL"""
+  OR permission_types IS NULL OR grant_type IS NULL OR bu IS NULL
+UNION ALL
+SELECT 'upsert', keep, CAST(count(*) - 1 AS VARCHAR), 'copies without an id of their own'
+FROM inc_k WHERE acl_id = keep GROUP BY keep, object_type, user_group, permission_types, grant_type, bu, tag_values, schema_names, table_names, access_until HAVING count(*) > 1"""
 SQL["acl_upsert_rejects"] = with_(ALL_IN, UPSERT_REJECTS)
 _LOADED = f"SELECT {SHEET_OUT.replace('acl_id, ', '')}, CAST(access_until AS VARCHAR) AS access_until, bu, true AS has_id FROM"
 SQL["acl_ingest"] = with_(UNIT_IN, f"{_LOADED} tgt UNION ALL {_LOADED} fresh")
 SQL["acl_first_load"] = with_([*UNIT_IN[:3], "tgt AS (SELECT * FROM acl WHERE false)", *UNIT_IN[4:]], f"{_LOADED} fresh")
 SHEET_REJECTS = f"SELECT 'read' AS stage, acl_id, until_text AS value, 'access_until is not a date' AS reason FROM inc_sheet WHERE {_BAD_DATE}"
-# rows of one key have one id there, so only null keys are left to report
+# rows of one key have one id there, so copies are counted
 SQL["acl_ingest_rejects"] = with_(
     UNIT_IN,
     f"""SELECT stage, reason, value FROM ({SHEET_REJECTS} AND bu = 'BUILDING')
-UNION ALL SELECT 'upsert', 'null in merge key', NULL FROM inc WHERE object_type IS NULL""",
+UNION ALL SELECT 'upsert', 'null in merge key', NULL FROM inc WHERE object_type IS NULL
+UNION ALL SELECT 'upsert', 'copies without an id of their own', CAST(count(*) - 1 AS VARCHAR) FROM inc_ok GROUP BY {_MERGE_KEYS} HAVING count(*) > 1""",
 )
 SQL["acl_expire_apply"] = with_(
     [ACL_SHEET, ACL],
@@ -588,6 +642,9 @@ FROM rules WHERE len(privileges) = 0
 UNION ALL
 SELECT 'resolve', acl_id, ref, status FROM ref_status WHERE status <> 'ok'
 UNION ALL
+SELECT 'resolve', acl_id, object_name, 'object name outside the statement grammar'
+FROM all_tag_objs WHERE NOT regexp_full_match(object_name, {NAME})
+UNION ALL
 SELECT 'advice', acl_id, object_type, 'type_mismatch' FROM srules WHERE tags IS NOT NULL AND object_type <> 'SCHEMA'
 UNION ALL
 {SHEET_REJECTS}

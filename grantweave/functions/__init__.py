@@ -9,6 +9,10 @@ from grantweave.functions.columns import (  # noqa: F401
 )
 from grantweave.functions.render import (  # noqa: F401
     STATEMENT_PATTERN,
+    fits_group,
+    fits_name,
+    fits_privilege,
+    fits_type,
     mask_function_name,
     parse_statement,
     parse_statements,

@@ -111,6 +111,30 @@ def parse_statements(df, statement: str = "access_statement", tag_values: str |
     )
 
 
+def _c(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def fits_type(object_type: Column | str) -> Column:
+    """Whether the grammar reads the text as an object type: one word."""
+    return _c(object_type).rlike(r"(?U)^\w+\z")
+
+
+def fits_name(object_name: Column | str) -> Column:
+    """Whether the grammar reads the text as an object name: words and dots, no blank and no quote."""
+    return _c(object_name).rlike(r"(?U)^[\w.]+\z")
+
+
+def fits_group(group: Column | str) -> Column:
+    """Whether the text can stand between the quotes of a group."""
+    return _c(group).rlike(r"^[^`]+\z")
+
+
+def fits_privilege(privilege: Column | str) -> Column:
+    """Whether the text can stand before ``ON``: one line without a quote."""
+    return _c(privilege).rlike("^[^`\\n\\r\\u0085\\u2028\\u2029]*\\z")
+
+
 def short_object_name(object_name: Column, object_type: str) -> Column:
     """``a_b_prefix.schema[.table]`` -> ``prefix.schema[.table]``.
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from grantweave.functions import broadcast_if_literal, dotted, mask_function_name, present
+from grantweave.operators.resolve import fanout_partitions
+from grantweave.session import materialize
 from grantweave.sources.config import DEFAULT_MASK
 
 ACTION_REJECT, ACTION_DROP, ACTION_SKIP, ACTION_CREATE = "REJECT", "DROP", "SKIP", "CREATE"
@@ -66,27 +68,56 @@ def _in_force(existing_masks: DataFrame) -> DataFrame:
     ).groupBy(*_KEY).agg(F.min("_old").alias("_old"))
 
 
+def ranged(resolved_rules: DataFrame) -> DataFrame:
+    """Resolved rules with ``_range``, one of as many ranges of ``rule_id`` as fan-out tasks.
+
+    Stored once: what is summed per range and what it is carried to must mean
+    the same ranges.
+    """
+    parts = fanout_partitions(resolved_rules.sparkSession)
+    cut = resolved_rules.repartitionByRange(parts, "rule_id").withColumn("_range", F.spark_partition_id())
+    return materialize(cut, "mask_rules")
+
+
+def carried(valid: DataFrame, existing_masks: DataFrame) -> DataFrame:
+    """Per key and range of rules, whether a mask is in force when the range begins (``_there``).
+
+    A rule is a function on {none, in force}: a create, whether it creates or
+    skips, leaves a mask in force, a drop none.  Both are constant, so what a
+    range does to a key is what its last rule does, whatever came before, and
+    the carry into a range is the function of the last range before it that has
+    rules of the key, or the state before all rules.
+    """
+    turn = F.struct("rule_id", "_drop")
+    steps = valid.groupBy(*_KEY, "_range").agg((~F.max(turn)["_drop"]).alias("_makes"))
+    before = F.lag("_makes").over(Window.partitionBy(*_KEY).orderBy("_range"))
+    steps = steps.select(*_KEY, "_range", before.alias("_before"))
+    old = _in_force(existing_masks)
+    return steps.join(old, _KEY, "left").select(*_KEY, "_range", F.coalesce("_before", F.col("_old").isNotNull()).alias("_there"))
+
+
 def plan(mask_rules: DataFrame, catalog_mapping: DataFrame, env: str, existing_masks: DataFrame) -> DataFrame:
     """What each mask rule does in its turn: REJECT, DROP, SKIP (a mask is in force) or CREATE.
 
     ``existing_masks`` (full_table_name, column_name, user_group,
-    type_of_masking) are the masks in force before the first rule.  Rejected
-    rules pass beside the join and the window, so their missing keys never
-    meet in one task.
+    type_of_masking) are the masks in force before the first rule.  Rules of one
+    id come creates first.  A parallel prefix over ranges of ``rule_id``: each
+    range is summed per key, the sums (one slim row per key and range) give the
+    carries, and inside a range a rule looks at the one before it.  So a column
+    that any share of all rules concerns is spread over the ranges.  Rejected
+    rules pass beside, so their missing keys never meet in one task.
     """
-    r = _resolved(mask_rules, catalog_mapping, env)
-    valid = r.filter(F.col("_reject").isNull()).join(_in_force(existing_masks), _KEY, "left")
-    turn = Window.partitionBy(*_KEY).orderBy("rule_id")
-    drops = F.coalesce(F.sum(F.col("_drop").cast("int")).over(turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    valid = valid.withColumn("_drops", drops)
-    since = Window.partitionBy(*_KEY, "_drops").orderBy("rule_id").rowsBetween(Window.unboundedPreceding, -1)
-    made = F.coalesce(F.max((~F.col("_drop")).cast("int")).over(since), F.lit(0)) == 1
-    exists = made | ((F.col("_drops") == 0) & F.col("_old").isNotNull())
-    action = F.when(F.col("_drop"), ACTION_DROP).when(exists, ACTION_SKIP).otherwise(ACTION_CREATE)
-    reason = F.when(~F.col("_drop") & exists, REASON_EXISTS)
+    r = ranged(_resolved(mask_rules, catalog_mapping, env))
+    valid = r.filter(F.col("_reject").isNull())
+    rules = valid.join(carried(valid, existing_masks), [*_KEY, "_range"])
+    here = Window.partitionBy(*_KEY, "_range").orderBy("rule_id", "_drop")
+    exists = F.coalesce(~F.lag("_drop").over(here), F.col("_there"))
+    rules = rules.withColumn("_exists", exists)
+    action = F.when(F.col("_drop"), ACTION_DROP).when(F.col("_exists"), ACTION_SKIP).otherwise(ACTION_CREATE)
+    reason = F.when(~F.col("_drop") & F.col("_exists"), REASON_EXISTS)
     out = ["rule_id", "table_name", "column_name", "full_table_name", "function_name", "user_group", "type_of_masking"]
     rejected = r.filter(F.col("_reject").isNotNull())
-    return valid.select(*out, action.alias("action"), reason.alias("reason")).unionByName(
+    return rules.select(*out, action.alias("action"), reason.alias("reason")).unionByName(
         rejected.select(*out, F.lit(ACTION_REJECT).alias("action"), F.col("_reject").alias("reason"))
     )
 
@@ -179,3 +210,68 @@ def mask_by_reader(
         return F.coalesce(F.arrays_overlap(F.col("_groups"), F.array(*[F.lit(g) for g in own])), F.lit(False))
 
     return j.select("reader", *_masked(table, masks, member))
+
+
+#: Columns whose visibility one long holds.
+BITS = 62
+
+
+def reader_classes(memberships: DataFrame, mask_state: DataFrame, full_table_name: str, table: DataFrame) -> DataFrame:
+    """(reader, seen): per user of ``memberships`` which masked columns it sees, as one bitmap in longs.
+
+    Every group has the bits of the columns whose mask lists it; a reader has
+    those of all its groups, OR-ed in a partial aggregate.  Readers alike in
+    ``seen`` see the same table, however many groups they have.
+    """
+    masks = _table_masks(mask_state, full_table_name, table)
+    own = masked_columns(masks, table)
+    words = [own[at : at + BITS] for at in range(0, len(own), BITS)]
+    seen = []
+    for k, word in enumerate(words):
+        bits: dict[str, int] = {}
+        for i, c in enumerate(word):
+            for g in {g for g in (masks[c]["user_group"] or []) if g is not None}:
+                bits[g] = bits.get(g, 0) | 1 << i
+        of_group = F.create_map(*[F.lit(x) for g in sorted(bits) for x in (g, bits[g])]) if bits else F.create_map().cast("map<string,bigint>")
+        seen.append(F.coalesce(F.bit_or(F.coalesce(F.try_element_at(of_group, F.col("user_group")).cast("long"), F.lit(0).cast("long"))), F.lit(0)))
+    return memberships.groupBy(F.col("user_name").alias("reader")).agg(F.array(*seen).cast("array<bigint>").alias("seen"))
+
+
+def masked_columns(masks: dict, table: DataFrame) -> list[str]:
+    """The table's masked columns (lower-case), in its order: bit i of a class is the i-th."""
+    return [c.lower() for c in table.columns if c.lower() in masks]
+
+
+def seen_names(mask_state: DataFrame, full_table_name: str, table: DataFrame, seen: str = "seen") -> Column:
+    """The masked columns that a class sees, comma-joined."""
+    own = masked_columns(_table_masks(mask_state, full_table_name, table), table)
+    return F.concat_ws(",", *[F.when(_bit(seen, i), F.lit(c)) for i, c in enumerate(own)])
+
+
+def _bit(seen: str, i: int) -> Column:
+    return F.get(F.col(seen), F.lit(i // BITS)).bitwiseAND(F.lit(1 << i % BITS)) != 0
+
+
+def mask_by_class(table: DataFrame, full_table_name: str, mask_state: DataFrame, memberships: DataFrame) -> DataFrame:
+    """One masked copy of the table per distinct set of visible columns (``seen`` first).
+
+    With :func:`reader_classes` this is every reader's view: the output grows
+    with classes x rows (there are at most 2^m classes for m masked columns),
+    not with readers x rows.  Classes are slim; each row meets all of them in an
+    equi-join on a salt that deals the rows to the fan-out tasks.
+    """
+    masks = _table_masks(mask_state, full_table_name, table)
+    own = {c: i for i, c in enumerate(masked_columns(masks, table))}
+    parts = fanout_partitions(table.sparkSession)
+    classes = reader_classes(memberships, mask_state, full_table_name, table).select("seen").distinct()
+    classes = classes.select("seen", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_salt"))
+    salted = table.withColumn("_salt", F.pmod(F.xxhash64(*table.columns), F.lit(parts)).cast("int"))
+    out = []
+    for c in table.columns:
+        m = masks.get(c.lower())
+        if m is None:
+            out.append(F.col(c))
+        else:
+            hidden = F.lit(DEFAULT_MASK if m["type_of_masking"] is None else m["type_of_masking"])
+            out.append(F.when(_bit("seen", own[c.lower()]), F.col(c).cast("string")).otherwise(hidden).alias(c))
+    return salted.join(classes, "_salt").select("seen", *out)

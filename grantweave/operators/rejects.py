@@ -7,9 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantweave.functions import nonblank_items
 from grantweave.operators import ledger, masks, resolve
-from grantweave.operators.rules import MANDATORY
 from grantweave.sources import environment
 
 REASON_NULL = "null in mandatory column"
@@ -27,52 +25,45 @@ def _reject(df: DataFrame, stage: str, value, reason) -> DataFrame:
     )
 
 
-def null_mandatory(mapping_rows: DataFrame) -> DataFrame:
-    """Rows with a null in a column the generator needs."""
-    bad = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in MANDATORY])
-    first = F.coalesce(*[F.when(F.col(c).isNull(), F.lit(c)) for c in MANDATORY])
-    return _reject(mapping_rows.filter(bad), "validate", first, REASON_NULL)
-
-
-def bad_groups(mapping_rows: DataFrame) -> DataFrame:
-    """Group names that would end the quoted name in a statement."""
-    groups = mapping_rows.dropna(subset=MANDATORY).select("acl_id", F.explode(nonblank_items("user_group")).alias("g"))
-    return _reject(groups.filter(F.col("g").contains("`")), "validate", F.col("g"), REASON_BACKTICK)
-
-
 def no_privileges(rule_rows: DataFrame) -> DataFrame:
     """Rules whose (env, group, type) maps to no privilege: they make nothing."""
     value = F.concat_ws("/", "permission_group", "object_type")
     return _reject(rule_rows.filter(F.size("privileges") == 0), "privileges", value, REASON_NO_PRIVILEGES)
 
 
-def bad_refs(ref_rows: DataFrame) -> DataFrame:
-    """Schema/table refs that did not resolve (bad shape or unmapped prefix)."""
-    return _reject(ref_rows.filter(F.col("status") != resolve.STATUS_OK), "resolve", F.col("ref"), F.col("status"))
+_FOUND_T = "array<struct<stage:string,value:string,reason:string>>"
 
 
-def type_mismatch(rule_rows: DataFrame) -> DataFrame:
-    """Advice: tags resolve to schemas even on TABLE/VOLUME rules (kept as coded)."""
-    hit = F.col("tags").isNotNull() & (F.col("object_type") != "SCHEMA")
-    return _reject(rule_rows.filter(hit), "advice", F.col("object_type"), REASON_TYPE_MISMATCH)
+def _found(stage: str, value, reason):
+    reason = F.lit(reason) if isinstance(reason, str) else reason
+    return F.struct(F.lit(stage).alias("stage"), value.cast("string").alias("value"), reason.alias("reason"))
 
 
-def rule_rejects(mapping_active: DataFrame, rule_rows: DataFrame, catalog_mapping: DataFrame, env: str) -> DataFrame:
-    """All rejects of one generation run.
+def rule_rejects(rule_rows: DataFrame, schema_tags: DataFrame, catalog_mapping: DataFrame, env: str) -> DataFrame:
+    """All rejects of one generation run, from the checked rules (``plans.generate.checked_rules``).
 
-    ``mapping_active`` is the raw active slice (for null checks), ``rule_rows``
-    the normalised rules with privileges.  Ref and advice rows are only
-    reported for rules that reach object resolution (non-empty privileges).
+    What is wrong with a rule is gathered as a list beside it, so that its own
+    rejects take one pass: a null mandatory column alone, else groups that no
+    statement can quote, no privileges, refs that do not resolve, and the advice
+    on tags that resolve to schemas on other types (kept as coded).  Refs and
+    advice are only reported for rules that reach object resolution.  Tagged
+    objects whose name no statement can hold come through the tag join.
     """
-    with_privs = rule_rows.filter(F.size("privileges") > 0)
-    refs = resolve.resolve_refs(with_privs, catalog_mapping, env)
-    return (
-        null_mandatory(mapping_active)
-        .unionByName(bad_groups(mapping_active))
-        .unionByName(no_privileges(rule_rows))
-        .unionByName(bad_refs(refs))
-        .unionByName(type_mismatch(with_privs))
+    none = F.array().cast(_FOUND_T)
+    whole = F.col("missing").isNull()
+    makes = whole & (F.size("privileges") > 0)
+    refs = F.filter(resolve.all_refs(), lambda x: x["status"] != resolve.STATUS_OK)
+    mismatch = makes & F.col("tags").isNotNull() & (F.col("object_type") != "SCHEMA")
+    found = F.concat(
+        F.when(~whole, F.array(_found("validate", F.col("missing"), REASON_NULL))).otherwise(none),
+        F.when(whole, F.transform("bad_groups", lambda g: _found("validate", g, REASON_BACKTICK))).otherwise(none),
+        F.when(whole & ~makes, F.array(_found("privileges", F.concat_ws("/", "permission_group", "object_type"), REASON_NO_PRIVILEGES))).otherwise(none),
+        F.when(makes, F.transform(refs, lambda x: _found("resolve", x["ref"], x["status"]))).otherwise(none),
+        F.when(mismatch, F.array(_found("advice", F.col("object_type"), REASON_TYPE_MISMATCH))).otherwise(none),
     )
+    own = resolve.with_catalogs(rule_rows, catalog_mapping, env).select("acl_id", F.inline(found))
+    tagged = resolve.resolve_tags(rule_rows.filter(makes), schema_tags, fits=False)
+    return own.select("stage", "acl_id", "value", "reason").unionByName(_reject(tagged, "resolve", F.col("object_name"), resolve.STATUS_BAD_NAME))
 
 
 def mask_rejects(mask_plan: DataFrame) -> DataFrame:
@@ -82,7 +73,7 @@ def mask_rejects(mask_plan: DataFrame) -> DataFrame:
 
 
 def unparseable(outcome_rows: DataFrame) -> DataFrame:
-    """Statements whose text the executor could not read."""
+    """Statements whose text the executor could not read (of ``factors.unreadable`` or ``ledger.outcomes``)."""
     rows = outcome_rows.filter(F.col("error") == ledger.ERR_UNPARSEABLE)
     return _reject(rows, "execute", F.col("access_statement"), F.col("error"))
 

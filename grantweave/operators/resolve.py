@@ -5,31 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grantweave.functions import broadcast_if_literal, dotted, present
+from grantweave.functions import broadcast_if_literal, dotted, fits_name, present
+from grantweave.session import materialize
 
 SOURCE_TAG, SOURCE_SCHEMA, SOURCE_TABLE = "tag", "schema", "table"
 STATUS_OK = "ok"
 STATUS_BAD_SCHEMA = "schema ref not 2 parts"
 STATUS_BAD_TABLE = "table ref not 3 parts"
 STATUS_NO_PREFIX = "prefix not mapped"
+STATUS_BAD_NAME = "object name outside the statement grammar"
 
 # Rules that share a tag list and are joined to its objects by one task.
 RULES_PER_SALT = 1_000
 # Distinct tag lists that share an item and are joined to its objects by one task.
 LISTS_PER_SALT = 100
 
-_REF_T = "array<struct<source:string,pos:int,ref:string,want:int>>"
+_REF_T = "array<struct<source:string,pos:int,ref:string,object_name:string,status:string>>"
 
 
-def stored_tag_items(schema_tags: DataFrame) -> DataFrame:
+def stored_tag_items(schema_tags: DataFrame, fits: bool = True) -> DataFrame:
     """(tag, object_name): one row per comma item of each stored tag value.
 
-    Stored items are not stripped: ``'a, b'`` holds ``'a'`` and ``' b'``.
+    Stored items are not stripped: ``'a, b'`` holds ``'a'`` and ``' b'``.  Only
+    objects whose name the statement grammar can hold; the others with ``fits``
+    False (they are rejects).
     """
-    return schema_tags.select(
-        F.explode(F.split("tag_value", ",")).alias("tag"),
-        F.concat(F.col("catalog_name"), F.lit("."), F.col("schema_name")).alias("object_name"),
-    ).filter(F.col("object_name").isNotNull())
+    named = schema_tags.select("tag_value", F.concat(F.col("catalog_name"), F.lit("."), F.col("schema_name")).alias("object_name"))
+    named = named.filter(fits_name("object_name") if fits else ~fits_name("object_name"))
+    return named.select(F.explode(F.split("tag_value", ",")).alias("tag"), "object_name")
 
 
 def fanout_partitions(spark) -> int:
@@ -41,37 +44,64 @@ def fanout_partitions(spark) -> int:
         return n
 
 
-def resolve_tag_keys(tag_keys: DataFrame, schema_tags: DataFrame) -> DataFrame:
-    """Distinct (tag_key, object_name), with the other columns of ``tag_keys`` (unique per key).
+def tag_lists(tag_keys: DataFrame) -> DataFrame:
+    """One row per item of each distinct tag key, with ``item_salts``: the tasks its lists are dealt to.
+
+    Stored once: the lists are slim, and both sides of the item join read them.
+    """
+    wanted = tag_keys.select("*", F.explode(F.array_distinct(F.split("tag_key", ","))).alias("tag"))
+    n = wanted.groupBy("tag").agg(F.ceil(F.count("*") / F.lit(LISTS_PER_SALT)).cast("int").alias("item_salts"))
+    return materialize(wanted.join(n, "tag"), "tag_lists")
+
+
+def tag_key_pairs(tag_keys: DataFrame, schema_tags: DataFrame, fits: bool = True) -> DataFrame:
+    """(*tag_keys, object_name) of each item that a key shares with a stored value, before they are made distinct.
 
     A tag key is the rule's stripped tags joined with ','; a schema matches
     when any of the key's items equals any item of a stored tag value (OR over
     the rule's tags).  The containment test becomes an equi-join on the item,
     so one shuffle join serves every rule instead of one query per rule.
-    """
-    return tag_key_pairs(tag_keys, schema_tags).distinct()
-
-
-def tag_key_pairs(tag_keys: DataFrame, schema_tags: DataFrame) -> DataFrame:
-    """The pairs of :func:`resolve_tag_keys` before they are made distinct.
 
     An item in n lists and m stored values makes n x m pairs.  The lists of an
     item that more than ``LISTS_PER_SALT`` hold are dealt to several salts by
     their hash, and the item's objects repeated for each.
     """
-    wanted = tag_keys.select("*", F.explode(F.split("tag_key", ",")).alias("tag"))
-    salts = F.ceil(F.count("*") / F.lit(LISTS_PER_SALT)).cast("int").alias("item_salts")
-    hot = wanted.groupBy("tag").agg(salts).filter("item_salts > 1")
+    lists = tag_lists(tag_keys)
     parts = fanout_partitions(tag_keys.sparkSession)  # a stated count: pairs, not input bytes, size these tasks
-    salt = F.coalesce(F.pmod(F.xxhash64("tag_key"), F.col("item_salts")), F.lit(0)).cast("int").alias("item_salt")
-    dealt = wanted.join(hot, "tag", "left").select(*tag_keys.columns, "tag", salt).repartition(parts, "tag", "item_salt")
+    salt = F.pmod(F.xxhash64("tag_key"), F.col("item_salts")).cast("int").alias("item_salt")
+    dealt = lists.select(*tag_keys.columns, "tag", salt).repartition(parts, "tag", "item_salt")
+    hot = lists.filter("item_salts > 1").select("tag", "item_salts").distinct()
     of_item = F.explode(F.sequence(F.lit(0), F.coalesce("item_salts", F.lit(1)) - 1)).alias("item_salt")
-    items = stored_tag_items(schema_tags).join(hot, "tag", "left").select("tag", "object_name", of_item)
+    items = stored_tag_items(schema_tags, fits).join(hot, "tag", "left").select("tag", "object_name", of_item)
     pairs = dealt.join(items.repartition(parts, "tag", "item_salt"), ["tag", "item_salt"])
     return pairs.select(*tag_keys.columns, "object_name")
 
 
-def resolve_tags(rules: DataFrame, schema_tags: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def resolve_tag_keys(tag_keys: DataFrame, schema_tags: DataFrame, fits: bool = True) -> DataFrame:
+    """Distinct pairs of :func:`tag_key_pairs`, with the other columns of ``tag_keys`` (unique per key)."""
+    return tag_key_pairs(tag_keys, schema_tags, fits).distinct()
+
+
+def salts_of(n_rules: Column) -> Column:
+    """``salts``: the tasks that the rules of one list are dealt to."""
+    return F.ceil(n_rules / F.lit(RULES_PER_SALT)).cast("int").alias("salts")
+
+
+def to_rules(tagged: DataFrame, keys: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rules (acl_id, tag_key, ...) joined to the objects of their list: ``pairs`` (tag_key, salts, object_name).
+
+    ``keys`` (tag_key, salts) say how many tasks a list's rules are dealt to;
+    its objects are repeated for each.
+    """
+    repeated = pairs.select("tag_key", "object_name", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    shared = tagged.join(keys.filter("salts > 1"), "tag_key", "left")
+    salt = F.coalesce(F.pmod(F.xxhash64("acl_id"), F.col("salts")), F.lit(0)).cast("int").alias("salt")
+    parts = fanout_partitions(tagged.sparkSession)  # a stated count: pairs, not input bytes, size these tasks
+    dealt = shared.select(*tagged.columns, salt).repartition(parts, "tag_key", "salt")
+    return dealt.join(repeated.repartition(parts, "tag_key", "salt"), ["tag_key", "salt"])
+
+
+def resolve_tags(rules: DataFrame, schema_tags: DataFrame, keep: list[str] | None = None, fits: bool = True) -> DataFrame:
     """Tag objects per rule: (acl_id, *keep, object_name), distinct per rule.
 
     Rules are first reduced to their distinct tag keys, resolved once per key
@@ -80,33 +110,51 @@ def resolve_tags(rules: DataFrame, schema_tags: DataFrame, keep: list[str] | Non
     The join back makes n rules x m objects of a key, which AQE cannot see in
     its small input.  The rules of a list that more than ``RULES_PER_SALT`` share
     are therefore dealt to several salts and the list's objects (the catalog's
-    schemas at most) repeated for each; the counts come with the distinct keys.
+    schemas at most) repeated for each; the counts come with the distinct keys,
+    which are stored once.
     """
     keep = keep or []
     held = [c for c in keep if c != "tag_values"]
     tagged = rules.filter(F.col("tags").isNotNull()).select("acl_id", *held, F.col("tag_values").alias("tag_key"))
-    salts = F.ceil(F.count("*") / F.lit(RULES_PER_SALT)).cast("int").alias("salts")
-    keys = tagged.groupBy("tag_key").agg(salts)
-    resolved = resolve_tag_keys(keys, schema_tags)
-    resolved = resolved.select("tag_key", "object_name", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    shared = tagged.join(keys.filter("salts > 1"), "tag_key", "left")
-    salt = F.coalesce(F.pmod(F.xxhash64("acl_id"), F.col("salts")), F.lit(0)).cast("int").alias("salt")
-    parts = fanout_partitions(rules.sparkSession)  # a stated count: pairs, not input bytes, size these tasks
-    dealt = shared.select("acl_id", *held, "tag_key", salt).repartition(parts, "tag_key", "salt")
-    pairs = dealt.join(resolved.repartition(parts, "tag_key", "salt"), ["tag_key", "salt"])
+    keys = materialize(tagged.groupBy("tag_key").agg(salts_of(F.count("*"))), "tag_keys")
+    pairs = to_rules(tagged, keys, resolve_tag_keys(keys, schema_tags, fits))
     return pairs.select("acl_id", *[F.col("tag_key").alias(c) if c == "tag_values" else F.col(c) for c in keep], "object_name")
 
 
-def _ref_items(source: str, refs: Column, want: int) -> Column:
-    return F.coalesce(
-        F.transform(
-            refs,
-            lambda x, i: F.struct(
-                F.lit(source).alias("source"), i.alias("pos"), x.alias("ref"), F.lit(want).alias("want")
-            ),
-        ),
-        F.array().cast(_REF_T),
-    )
+def with_catalogs(rules: DataFrame, catalog_mapping: DataFrame, env: str) -> DataFrame:
+    """``rules`` with column ``catalogs``: the env's prefix -> catalog map (null if it has none).
+
+    The map is configuration, one entry per prefix of the environment.
+    """
+    own = catalog_mapping.filter((F.col("env") == F.lit(env)) & present("catalog"))
+    one = own.groupBy("env", "prefix").agg(F.min("catalog").alias("catalog"))
+    one = one.groupBy("env").agg(F.map_from_entries(F.collect_list(F.struct("prefix", "catalog"))).alias("catalogs"))
+    joined = rules.withColumn("_env", F.lit(env)).join(broadcast_if_literal(one, made_from=catalog_mapping).withColumnRenamed("env", "_e"), F.col("_env") == F.col("_e"), "left")
+    return joined.drop("_env", "_e")
+
+
+def ref_items(source: str, refs: str, want: int) -> Column:
+    """The refs of one list column as structs (source, pos, ref, object_name, status); needs column ``catalogs``."""
+    bad_shape = STATUS_BAD_SCHEMA if source == SOURCE_SCHEMA else STATUS_BAD_TABLE
+
+    def one(ref: Column, pos: Column) -> Column:
+        parts = dotted(ref)
+        catalog = F.try_element_at("catalogs", F.get(parts, F.lit(0)))
+        name = F.concat(catalog, F.lit("."), F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), "."))
+        status = (
+            F.when(F.size(parts) != want, F.lit(bad_shape))
+            .when(catalog.isNull(), F.lit(STATUS_NO_PREFIX))
+            .when(~fits_name(name), F.lit(STATUS_BAD_NAME))
+            .otherwise(F.lit(STATUS_OK))
+        )
+        return F.struct(F.lit(source).alias("source"), pos.alias("pos"), ref.alias("ref"), F.when(status == STATUS_OK, name).alias("object_name"), status.alias("status"))
+
+    return F.coalesce(F.transform(refs, one), F.array().cast(_REF_T))
+
+
+def all_refs() -> Column:
+    """Every ref of a rule with its resolution; needs column ``catalogs``."""
+    return F.concat(ref_items(SOURCE_SCHEMA, "schema_refs", 2), ref_items(SOURCE_TABLE, "table_refs", 3))
 
 
 def resolve_refs(rules: DataFrame, catalog_mapping: DataFrame, env: str, keep: list[str] | None = None) -> DataFrame:
@@ -114,34 +162,11 @@ def resolve_refs(rules: DataFrame, catalog_mapping: DataFrame, env: str, keep: l
 
     Output: acl_id, *keep, source, pos, ref, object_name (null unless ok),
     status.  A schema ref needs exactly 2 dot parts and a table ref 3; the
-    first part is a prefix looked up in the env's catalog map.
+    first part is a prefix looked up in the env's catalog map; the resulting
+    name must be one that the statement grammar can hold, so that no reference
+    can say more than an object's name.
     """
-    keep = keep or []
-    items = F.concat(
-        _ref_items(SOURCE_SCHEMA, F.col("schema_refs"), 2), _ref_items(SOURCE_TABLE, F.col("table_refs"), 3)
-    )
-    refs = rules.select("acl_id", *keep, F.inline(items)).withColumn("parts", dotted("ref"))
-    cat = catalog_mapping.filter((F.col("env") == F.lit(env)) & present("catalog")).select(
-        F.col("prefix").alias("_prefix"), "catalog"
-    )
-    joined = refs.join(broadcast_if_literal(cat, made_from=catalog_mapping), F.get(F.col("parts"), 0) == F.col("_prefix"), "left")
-    shape_ok = F.size("parts") == F.col("want")
-    rest = F.array_join(F.slice("parts", 2, F.size("parts") - 1), ".")
-    status = (
-        F.when(~shape_ok & (F.col("source") == SOURCE_SCHEMA), F.lit(STATUS_BAD_SCHEMA))
-        .when(~shape_ok, F.lit(STATUS_BAD_TABLE))
-        .when(F.col("catalog").isNull(), F.lit(STATUS_NO_PREFIX))
-        .otherwise(F.lit(STATUS_OK))
-    )
-    return joined.select(
-        "acl_id",
-        *keep,
-        "source",
-        "pos",
-        "ref",
-        F.when(status == STATUS_OK, F.concat(F.col("catalog"), F.lit("."), rest)).alias("object_name"),
-        status.alias("status"),
-    )
+    return with_catalogs(rules, catalog_mapping, env).select("acl_id", *(keep or []), F.inline(all_refs()))
 
 
 def resolve_objects(

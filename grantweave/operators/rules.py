@@ -7,7 +7,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grantweave.functions import broadcast_if_literal, comma_items, nonblank_items, present, py_strip
+from grantweave.functions import broadcast_if_literal, comma_items, fits_group, nonblank_items, present, py_strip
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's for identical results).
@@ -39,6 +39,11 @@ def complete(mapping: DataFrame) -> DataFrame:
     return mapping.dropna(subset=MANDATORY)
 
 
+def first_missing() -> Column:
+    """The first mandatory column that is null; null if none is."""
+    return F.coalesce(*[F.when(F.col(c).isNull(), F.lit(c)) for c in MANDATORY])
+
+
 def expired(as_of: _dt.date | str | None = None) -> Column:
     """An entry is still valid on its last day: expired means strictly before."""
     return F.col("access_until").isNotNull() & (F.col("access_until") < as_of_date(as_of))
@@ -59,17 +64,21 @@ def normalize(rules: DataFrame) -> DataFrame:
 
     groups: stripped, empties and names with a backtick (which would end the
     quoted name in a statement) dropped; tags/schema/table refs: stripped,
-    empties kept (they fail later as refs or match empty tag items).
-    ``tag_values`` becomes the stripped tags re-joined with ',' (null when the
+    empties kept (they fail later as refs or match empty tag items).  ``missing``
+    names the first mandatory column that is null and ``bad_groups`` lists the
+    dropped names; both are for the rejects.  ``tag_values`` becomes the stripped tags re-joined with ',' (null when the
     row has none); it is also the tag-resolution key.
     """
     tags = F.when(present("tag_values"), comma_items("tag_values"))
+    groups = nonblank_items("user_group")
     return rules.select(
         "acl_id",
         py_strip("grant_type").alias("grant_type"),
         py_strip("object_type").alias("object_type"),
         py_strip("permission_types").alias("permission_group"),
-        F.filter(nonblank_items("user_group"), lambda g: ~g.contains("`")).alias("groups"),
+        F.filter(groups, fits_group).alias("groups"),
+        F.filter(groups, lambda g: ~fits_group(g)).alias("bad_groups"),
+        first_missing().alias("missing"),
         tags.alias("tags"),
         F.array_join(tags, ",").alias("tag_values"),
         F.when(present("schema_names"), comma_items("schema_names")).alias("schema_refs"),

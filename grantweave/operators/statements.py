@@ -16,7 +16,7 @@ STATEMENT_COLUMNS = [
 def expand(objects: DataFrame) -> DataFrame:
     """One statement per (object row, group, privilege); duplicates kept.
 
-    ``objects`` carries the rule columns grant_type, object_type, groups,
+    ``objects`` are factors (``operators.factors``): grant_type, object_type, groups,
     privileges and tag_values next to object_name.  Both explodes are narrow
     Generate nodes; nothing is shuffled here.
     """
@@ -36,13 +36,3 @@ def expand(objects: DataFrame) -> DataFrame:
         ).alias("access_statement"),
     )
 
-
-def statement_counts(statements: DataFrame) -> DataFrame:
-    """Total, distinct, GRANT/REVOKE counts and the empty flag in one pass."""
-    return statements.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_distinct("access_statement").alias("distinct_statements"),
-        F.count_if(F.col("grant_type") == "GRANT").alias("grants"),
-        F.count_if(F.col("grant_type") == "REVOKE").alias("revokes"),
-        (F.count(F.lit(1)) == 0).alias("is_empty"),
-    )

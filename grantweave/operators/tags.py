@@ -7,30 +7,58 @@ from pyspark.sql import functions as F
 
 from grantweave.functions import render_tag_statement
 from grantweave.functions.render import tag_value
+from grantweave.operators.resolve import fanout_partitions
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's for identical results).
 ENV_TOKEN = "xxx"  # replaced by the environment name in schema references
 VALID_ACTIONS = ["SET", "UNSET"]
 # ---------------------------------------------------------------------------
+#: Schemas and tables whose targets one row of a rule makes.
+SCHEMAS_PER_BLOCK, TABLES_PER_BLOCK = 64, 1_024
 REASON_ACTION = "unsupported action"
 REASON_TAGS = "tags must be a map"
 REASON_MISSING = "rule has no schemas/tables"
 
 
+def target_blocks(tag_rules: DataFrame, env: str) -> DataFrame:
+    """Rules cut into blocks of at most ``SCHEMAS_PER_BLOCK`` schemas and ``TABLES_PER_BLOCK`` tables, dealt to tasks.
+
+    A rule's targets are the product of its schemas and tables.  It is written
+    out from the two lists of a block, so a rule of any size is held by no row
+    and made by no task alone, and what is dealt stays a small part of it.  A
+    rule without schemas (or, for TABLE, without tables) keeps one block without.
+    """
+    is_table = F.col("level") == "TABLE"
+    schemas = F.transform(F.col("schemas"), lambda s: F.replace(s, F.lit(ENV_TOKEN), F.lit(env)))
+    rows = tag_rules.select(
+        "rule_ord", "level", F.upper("action").alias("action"), "tags",
+        schemas.alias("schemas"), F.when(is_table, F.col("tables")).otherwise(F.array(F.lit(None).cast("string"))).alias("tables"),
+    ).withColumn("width", F.size("tables"))
+    starts = lambda c, n: F.sequence(F.lit(0), F.greatest(F.size(c) - 1, F.lit(0)), F.lit(n))
+    rows = rows.withColumn("s0", F.explode(F.coalesce(starts("schemas", SCHEMAS_PER_BLOCK), F.array(F.lit(0)))))
+    rows = rows.withColumn("t0", F.explode(F.coalesce(starts("tables", TABLES_PER_BLOCK), F.array(F.lit(0)))))
+    rows = rows.withColumns({"schemas": F.slice("schemas", F.col("s0") + 1, SCHEMAS_PER_BLOCK), "tables": F.slice("tables", F.col("t0") + 1, TABLES_PER_BLOCK)})
+    return rows.repartition(fanout_partitions(tag_rules.sparkSession), "rule_ord", "s0", "t0")
+
+
+def _targets(tag_rules: DataFrame, env: str, keep_missing: bool) -> DataFrame:
+    explode = F.posexplode_outer if keep_missing else F.posexplode
+    rows = target_blocks(tag_rules, env).select("*", explode("schemas").alias("s", "schema"))
+    rows = rows.select("*", explode("tables").alias("t", "table"))
+    name = F.when(F.col("level") == "TABLE", F.concat("schema", F.lit("."), F.col("table"))).otherwise(F.col("schema"))
+    pos = ((F.col("s0") + F.col("s")) * F.col("width") + F.col("t0") + F.col("t")).cast("int")
+    return rows.select("rule_ord", "level", "action", pos.alias("target_pos"), name.alias("target"), "tags")
+
+
 def targets(tag_rules: DataFrame, env: str) -> DataFrame:
     """One row per (rule, target): SCHEMA rules target each schema, TABLE rules
     each schema x table pair, with every ``xxx`` in a schema name replaced by
-    the environment.  One narrow explode; the action is upper-cased.
+    the environment; the action is upper-cased.
 
     Output: rule_ord, level, action, target_pos, target, tags.
     """
-    schemas = F.transform(F.col("schemas"), lambda s: F.replace(s, F.lit(ENV_TOKEN), F.lit(env)))
-    pairs = F.flatten(F.transform(schemas, lambda s: F.transform(F.col("tables"), lambda t: F.concat(s, F.lit("."), t))))
-    names = F.when(F.col("level") == "SCHEMA", schemas).otherwise(pairs)
-    return tag_rules.select(
-        "rule_ord", "level", F.upper("action").alias("action"), F.posexplode(names).alias("target_pos", "target"), "tags"
-    )
+    return _targets(tag_rules, env, False)
 
 
 def _valid() -> F.Column:
@@ -45,20 +73,15 @@ def statements(tag_targets: DataFrame) -> DataFrame:
     )
 
 
-def rejects(tag_rules: DataFrame, tag_targets: DataFrame) -> DataFrame:
-    """Per target: tags not a map, else unsupported action; per rule: no targets."""
-    reason = F.when(F.col("tags").isNull(), F.lit(REASON_TAGS)).when(
-        ~F.col("action").isin(*VALID_ACTIONS), F.lit(REASON_ACTION)
-    )
-    per_target = tag_targets.select("rule_ord", "level", "target", "action", reason.alias("reason")).filter(
-        F.col("reason").isNotNull()
-    )
-    missing = F.col("schemas").isNull() | ((F.col("level") == "TABLE") & F.col("tables").isNull())
-    per_rule = tag_rules.filter(missing).select(
-        "rule_ord", "level", F.lit(None).cast("string").alias("target"), F.upper("action").alias("action"),
-        F.lit(REASON_MISSING).alias("reason"),
+def rejects(tag_rules: DataFrame, env: str) -> DataFrame:
+    """Per target: tags not a map, else unsupported action; per rule: no targets.  One pass over the rules."""
+    reason = (
+        F.when(F.col("target_pos").isNull(), F.lit(REASON_MISSING))
+        .when(F.col("tags").isNull(), F.lit(REASON_TAGS))
+        .when(~F.coalesce(F.col("action").isin(*VALID_ACTIONS), F.lit(False)), F.lit(REASON_ACTION))
     )
-    return per_target.unionByName(per_rule)
+    rows = _targets(tag_rules, env, True).select("rule_ord", "level", "target", "action", reason.alias("reason"))
+    return rows.filter(F.col("reason").isNotNull())
 
 
 def apply_rules(old_state: DataFrame, tag_rules: DataFrame, env: str) -> DataFrame:

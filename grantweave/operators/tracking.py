@@ -18,7 +18,10 @@ def _null():
 
 
 def parsed_rows(applied_outcomes: DataFrame) -> DataFrame:
-    """The parsed fields of applied statements (plus acl_id)."""
+    """The parsed fields of applied statement texts (plus acl_id).
+
+    The same keys come from ``factors.by_group`` without any text.
+    """
     return applied_outcomes.select("acl_id", "p.*")
 
 
@@ -117,9 +120,12 @@ def stamp_table_rows(mapping: DataFrame, parsed: DataFrame, stamp=None) -> DataF
     return _stamp_by_keys(mapping, keys, ["object_type", "user_group"], [], "table_names", stamp)
 
 
-def stamp_exact(mapping: DataFrame, applied_outcomes: DataFrame, stamp=None) -> DataFrame:
-    """Stamp every mapping row with at least one applied statement (by acl_id)."""
-    ids = applied_outcomes.select(F.col("acl_id").alias("_id")).distinct().withColumn("_hit", F.lit(True))
+def stamp_exact(mapping: DataFrame, applied: DataFrame, stamp=None) -> DataFrame:
+    """Stamp every mapping row with at least one applied statement (by acl_id).
+
+    ``applied`` are factors or statements; only their ids are read.
+    """
+    ids = applied.select(F.col("acl_id").alias("_id")).distinct().withColumn("_hit", F.lit(True))
     return _stamped(mapping, mapping.join(ids, F.col("acl_id") == F.col("_id"), "left"), stamp)
 
 

@@ -76,10 +76,11 @@ def upsert(target: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def upsert_rejects(incoming: DataFrame) -> DataFrame:
-    """Incoming rows left out of an upsert: null '=' keys and duplicate keys.
+    """Every incoming row left out of an upsert: null '=' keys and duplicate keys.
 
     Duplicates are listed by their own ids; those that share the kept row's id,
-    or have none, are counted by :func:`uncounted_duplicates`.
+    or have none, are one row per merge key with their number
+    (:func:`uncounted_duplicates`).
     """
     keys = UPSERT_EQ_KEYS + UPSERT_NULLSAFE_KEYS
     nulls = incoming.filter(invalid_keys(incoming)).select(
@@ -95,7 +96,7 @@ def upsert_rejects(incoming: DataFrame) -> DataFrame:
         F.lit("upsert").alias("stage"), "acl_id", F.col("_keep").cast("string").alias("value"),
         F.lit("duplicate key in sheet").alias("reason"),
     )
-    return nulls.unionByName(dups)
+    return nulls.unionByName(dups).unionByName(uncounted_duplicates(incoming))
 
 
 def uncounted_duplicates(incoming: DataFrame) -> DataFrame:

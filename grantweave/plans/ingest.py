@@ -1,7 +1,8 @@
 """Ingest one business unit's mapping sheet into the stored mapping table.
 
 read sheet -> reject what cannot be read -> stamp -> upsert into the unit's
-rows -> replace the unit's partition.  Whether a table is stored at the path
+rows -> replace the unit's partition.  Every row of the sheet is inserted, matches
+a stored one, or is accounted for in the rejects.  Whether a table is stored at the path
 decides between a first load and a merge; both leave out the same rows.  Only
 the sheet's unit is read and written: ``bu`` is part of the merge key.
 """
@@ -24,7 +25,7 @@ class IngestResult:
     path: str
     rejects: DataFrame
     created: bool
-    duplicates: DataFrame  # same columns as rejects: copies counted per merge key
+    duplicates: DataFrame  # of the rejects, the copies counted per merge key
 
 
 def ingest_sheet(spark: SparkSession, sheet_root: str, bu: str, table_path: str, fmt: str = "csv", processed=None) -> IngestResult:

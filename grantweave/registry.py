@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from grantweave import schemas
 from grantweave.functions import short_object_name
-from grantweave.operators import ledger, masks, rejects, resolve, rules, statements as stm, tags, tracking, upsert
+from grantweave.operators import factors, ledger, masks, rejects, resolve, rules, statements as stm, tag_view, tags, tracking, upsert
 from grantweave.plans.cycle import run_cycle
 from grantweave.plans.ingest import ingest_sheet
-from grantweave.plans.generate import RULE_COLUMNS, active_rules, generate_statements, statement_rules
+from grantweave.plans.jobs import run_mask_job, run_tag_job
+from grantweave.plans.generate import RULE_COLUMNS, active_rules, checked_rules, generate_factors, rule_factors, statement_rules
 from grantweave.session import materialize, scratch_path
 from grantweave.sources import config, environment, mapping
 from grantweave.sources import testdata as td
@@ -55,29 +56,37 @@ def all_rules(spark, d):
     return active_rules(td.acl_mapping(spark, d), td.permission_mapping(spark), td.ENV, td.BU, td.AS_OF, td.STAMP)
 
 
-def rough_rules(spark, d):
-    """The same of the mapping with null columns, odd names and odd groups."""
-    return active_rules(td.acl_mapping_rough(spark, d), td.permission_mapping(spark), td.ENV, td.BU, td.AS_OF, td.STAMP)
+def checked_rough_rules(spark, d):
+    """The same of the mapping with null columns, odd names and odd groups, incomplete rows included."""
+    return checked_rules(td.acl_mapping_rough(spark, d), td.permission_mapping(spark), td.ENV, td.BU, td.AS_OF, td.STAMP)
 
 
-def statements(spark: SparkSession, d: str, mapping_rows: DataFrame | None = None) -> DataFrame:
-    return generate_statements(
-        td.acl_mapping(spark, d) if mapping_rows is None else mapping_rows, td.schema_tags(spark, d), td.permission_mapping(spark), td.catalog_mapping(spark),
+def factor_rows(spark: SparkSession, d: str) -> DataFrame:
+    return generate_factors(
+        td.acl_mapping(spark, d), td.schema_tags(spark, d), td.permission_mapping(spark), td.catalog_mapping(spark),
+        td.ENV, td.BU, td.AS_OF, td.STAMP,
+    )
+
+
+def rough_factors(spark, d):
+    return generate_factors(
+        td.acl_mapping_rough(spark, d), td.schema_tags_rough(spark, d), td.permission_mapping(spark), td.catalog_mapping(spark),
         td.ENV, td.BU, td.AS_OF, td.STAMP,
     )
 
 
 def rough_statements(spark, d):
-    return statements(spark, d, td.acl_mapping_rough(spark, d))
+    return stm.expand(rough_factors(spark, d))
 
 
 def outcomes(spark, d, dry_run=False):
-    return ledger.outcomes(rough_statements(spark, d), td.catalog_objects(spark, d), dry_run)
+    """Factors with their outcome."""
+    return factors.outcomes(rough_factors(spark, d), td.catalog_objects(spark, d), dry_run)
 
 
-def applied_parsed(spark, d):
-    """Parsed rows of the statements that took effect, stored once for keys that read them twice."""
-    return materialize(tracking.parsed_rows(ledger.applied(outcomes(spark, d))), "applied")
+def applied_by_group(spark, d):
+    """(rule, object, group) rows of what took effect, stored once for keys that read them twice."""
+    return materialize(factors.by_group(factors.applied(outcomes(spark, d))), "applied")
 
 
 # --- 2.1 scans, sources, sinks ---------------------------------------------
@@ -122,7 +131,9 @@ def q_acl_ingest(spark, d):
 
 @register("acl_ingest_rejects")
 def q_acl_ingest_rejects(spark, d):
-    return _ingest(spark, d, td.acl_mapping(spark, d)).rejects.select("stage", "reason", F.when(F.col("stage") == "read", F.col("value")).alias("value"))
+    return _ingest(spark, d, td.acl_mapping(spark, d)).rejects.select(
+        "stage", "reason", F.when((F.col("stage") == "read") | (F.col("reason") == upsert.REASON_COPIES), F.col("value")).alias("value")
+    )
 
 
 @register("acl_active_grants")
@@ -174,7 +185,7 @@ def q_acl_unmapped_permissions(spark, d):
 
 @register("acl_statements")
 def q_acl_statements(spark, d):
-    return statements(spark, d)
+    return stm.expand(factor_rows(spark, d))
 
 
 @register("statement_parse")
@@ -194,8 +205,7 @@ def q_tag_statements(spark, d):
 
 @register("tag_rule_rejects")
 def q_tag_rule_rejects(spark, d):
-    tr = td.tag_rules(spark, d)
-    return tags.rejects(tr, tags.targets(tr, td.ENV))
+    return tags.rejects(td.tag_rules(spark, d), td.ENV)
 
 
 def _mask_inputs(spark, d):
@@ -234,6 +244,23 @@ def q_mask_by_reader(spark, d):
     )
 
 
+def _class_inputs(spark, d):
+    return masks.state(*_mask_inputs(spark, d)), CUSTOMER_FULL_NAME, td.table(spark, d, "customer")
+
+
+@register("mask_reader_classes")
+def q_mask_reader_classes(spark, d):
+    state, name, table = _class_inputs(spark, d)
+    return masks.reader_classes(td.memberships(spark, d), state, name, table).select("reader", masks.seen_names(state, name, table).alias("seen"))
+
+
+@register("mask_by_class")
+def q_mask_by_class(spark, d):
+    state, name, table = _class_inputs(spark, d)
+    out = masks.mask_by_class(table, name, state, td.memberships(spark, d))
+    return out.withColumn("seen", masks.seen_names(state, name, table))
+
+
 @register("rule_sources")
 def q_rule_sources(spark, d):
     path = scratch_path(spark, "rule_files")
@@ -252,32 +279,43 @@ def q_tag_resolve(spark, d):
     return resolve.resolve_tags(all_rules(spark, d), td.schema_tags(spark, d))
 
 
+@register("tag_resolve_incremental")
+def q_tag_resolve_incremental(spark, d):
+    """The tag view of the rules and tags as they were, then changed as ``later_tags`` and ``later_schema_tags`` have it."""
+    old = all_rules(spark, d).select("acl_id", "tag_values")
+    before = td.schema_tags(spark, d)
+    rules_later, rule_changes = td.later_tags(old)
+    _, tag_changes = td.later_schema_tags(before)
+    view = tag_view.refresh(tag_view.build(old, before), rule_changes, tag_changes)
+    return tag_view.rule_objects(view, rules_later)
+
+
 # --- 2.4 aggregations, set ops -----------------------------------------------
 
 @register("statement_counts")
 def q_statement_counts(spark, d):
-    return stm.statement_counts(statements(spark, d))
+    return factors.counts(factor_rows(spark, d))
 
 
 @register("execution_summary")
 def q_execution_summary(spark, d):
-    s, k = materialize(rough_statements(spark, d), "statements"), td.catalog_objects(spark, d)
-    return ledger.summary(ledger.outcomes(s, k, False)).unionByName(ledger.summary(ledger.outcomes(s, k, True)))
+    f, k = materialize(rough_factors(spark, d), "factors"), td.catalog_objects(spark, d)
+    return factors.summary(factors.outcomes(f, k, False)).unionByName(factors.summary(factors.outcomes(f, k, True)))
 
 
 @register("tracking_tag_keys")
 def q_tracking_tag_keys(spark, d):
-    return tracking.tag_keys(applied_parsed(spark, d))
+    return tracking.tag_keys(applied_by_group(spark, d))
 
 
 @register("tracking_schema_keys")
 def q_tracking_schema_keys(spark, d):
-    return tracking.schema_keys(applied_parsed(spark, d))
+    return tracking.schema_keys(applied_by_group(spark, d))
 
 
 @register("tracking_table_keys")
 def q_tracking_table_keys(spark, d):
-    return tracking.table_keys(applied_parsed(spark, d))
+    return tracking.table_keys(applied_by_group(spark, d))
 
 
 @register("tracking_short_names")
@@ -327,17 +365,17 @@ def q_acl_expire_apply_keyed(spark, d):
 
 @register("tracking_stamp_schema")
 def q_tracking_stamp_schema(spark, d):
-    return _stamped(tracking.stamp_schema_rows(td.acl_mapping_rough(spark, d), applied_parsed(spark, d), td.STAMP))
+    return _stamped(tracking.stamp_schema_rows(td.acl_mapping_rough(spark, d), applied_by_group(spark, d), td.STAMP))
 
 
 @register("tracking_stamp_table")
 def q_tracking_stamp_table(spark, d):
-    return _stamped(tracking.stamp_table_rows(td.acl_mapping_rough(spark, d), applied_parsed(spark, d), td.STAMP))
+    return _stamped(tracking.stamp_table_rows(td.acl_mapping_rough(spark, d), applied_by_group(spark, d), td.STAMP))
 
 
 @register("tracking_stamp_exact")
 def q_tracking_stamp_exact(spark, d):
-    return _stamped(tracking.stamp_exact(td.acl_mapping_rough(spark, d), ledger.applied(outcomes(spark, d)), td.STAMP))
+    return _stamped(tracking.stamp_exact(td.acl_mapping_rough(spark, d), factors.applied(outcomes(spark, d)), td.STAMP))
 
 
 # --- 2.6 statement effects ---------------------------------------------------
@@ -357,14 +395,14 @@ def q_tag_state(spark, d):
 
 @register("execution_outcomes")
 def q_execution_outcomes(spark, d):
-    return outcomes(spark, d).select("acl_id", "access_statement", "status", "dry_run", "error")
+    return factors.outcome_rows(outcomes(spark, d)).select("acl_id", "access_statement", "status", "dry_run", "error")
 
 
 # --- 3.2 the whole cycle (snapshots under the checkpoint folder) -------------
 
 def _cycle(spark, d, dry_run=False):
     return run_cycle(
-        td.acl_mapping_rough(spark, d), td.schema_tags(spark, d), td.permission_mapping(spark), td.catalog_mapping(spark),
+        td.acl_mapping_rough(spark, d), td.schema_tags_rough(spark, d), td.permission_mapping(spark), td.catalog_mapping(spark),
         td.catalog_objects(spark, d), td.stored_grants(spark, d), td.ENV, td.BU, td.AS_OF, td.STAMP, dry_run,
     )
 
@@ -394,23 +432,64 @@ def q_acl_cycle_mapping(spark, d):
     )
 
 
+# --- the tag and mask jobs ----------------------------------------------------
+
+def _tag_job(spark, d, dry_run=False):
+    return run_tag_job(td.tag_rules(spark, d), td.object_tags(spark, d), td.ENV, dry_run)
+
+
+def _mask_job(spark, d, dry_run=False):
+    rules_, catalogs, env, existing = _mask_inputs(spark, d)
+    return run_mask_job(rules_, catalogs, existing, env, dry_run)
+
+
+def _job_report(job, what: str):
+    """Summary, rejects and the size of the state after a job, as rows (what, name, n)."""
+    parts = [
+        job.summary.select(F.lit(f"{what} steps").alias("what"), F.col("action").alias("name"), F.col("rules").alias("n")),
+        job.rejects.groupBy("reason").agg(F.count("*").alias("n")).select(F.lit(f"{what} rejects").alias("what"), F.col("reason").alias("name"), "n"),
+        job.state.agg(F.count("*").alias("n")).select(F.lit(f"{what} state").alias("what"), F.lit("rows").alias("name"), "n"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("tag_job_state")
+def q_tag_job_state(spark, d):
+    return _tag_job(spark, d).state
+
+
+@register("mask_job_state")
+def q_mask_job_state(spark, d):
+    out = _mask_job(spark, d).state
+    return out.select("full_table_name", "column_name", F.array_join("user_group", ",").alias("user_group"), "type_of_masking", "rule_id")
+
+
+@register("job_reports")
+def q_job_reports(spark, d):
+    """What both jobs report, and that a dry run of them leaves the state as it is."""
+    real = _job_report(_tag_job(spark, d), "tag").unionByName(_job_report(_mask_job(spark, d), "mask"))
+    dry = _job_report(_tag_job(spark, d, True), "tag dry run").unionByName(_job_report(_mask_job(spark, d, True), "mask dry run"))
+    return real.unionByName(dry)
+
+
 # --- 2.7 rejects -------------------------------------------------------------
 
 @register("acl_rejects")
 def q_acl_rejects(spark, d):
     """Every stage's rejects as one relation."""
-    act = rules.active_grants(td.acl_mapping_rough(spark, d), td.BU)
+    checked = materialize(checked_rough_rules(spark, d), "rules")
+    tagged, catalogs = td.schema_tags_rough(spark, d), td.catalog_mapping(spark)
+    outs = factors.outcomes(rule_factors(checked, tagged, catalogs, td.ENV), td.catalog_objects(spark, d))
     sheet = td.incoming_sheet(spark, d).withColumn(schemas.MALFORMED, F.lit(None).cast("string"))
-    tag_rules = td.tag_rules(spark, d)
     return rejects.all_rejects(
         mapping.sheet_rejects(sheet),
         upsert.upsert_rejects(td.incoming_mapping(spark, d)),
-        rejects.rule_rejects(act, rough_rules(spark, d), td.catalog_mapping(spark), td.ENV),
-        rejects.unparseable(outcomes(spark, d)),
+        rejects.rule_rejects(checked, tagged, catalogs, td.ENV),
+        rejects.unparseable(factors.unreadable(outs)),
         rejects.mask_rejects(masks.plan(*_mask_inputs(spark, d))),
-        rejects.tag_rejects(tags.rejects(tag_rules, tags.targets(tag_rules, td.ENV))),
+        rejects.tag_rejects(tags.rejects(td.tag_rules(spark, d), td.ENV)),
         rejects.environment_rejects(environment.resolve_env(td.workspace_urls(spark, d), td.env_map(spark))),
     )
 
 
-__all__ = ["QUERIES", "RULE_COLUMNS", "register", "statements"]
+__all__ = ["QUERIES", "RULE_COLUMNS", "register"]

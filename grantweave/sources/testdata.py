@@ -120,14 +120,17 @@ def acl_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The same rules with what ingest and generation must cope with: null mandatory
-# columns, object names and groups that no statement can hold, tags on TABLE rules.
+# columns, types, object names and groups that no statement can hold, references
+# that try to say more than a name, tags on TABLE rules.
 _ROUGH_EXPRS = [
     "acl_id",
-    "CASE WHEN acl_id % 31 = 0 THEN NULL ELSE object_type END AS object_type",
+    "CASE WHEN acl_id % 31 = 0 THEN NULL WHEN acl_id % 59 = 0 THEN 'MATERIALIZED VIEW' ELSE object_type END AS object_type",
     "CASE WHEN acl_id % 41 = 0 THEN NULL WHEN acl_id % 43 = 0 THEN 'grp_1, bad`grp' ELSE user_group END AS user_group",
     "CASE WHEN acl_id % 47 = 0 THEN 'Brand#12' ELSE tag_values END AS tag_values",
-    "CASE WHEN acl_id % 29 = 0 THEN 'raw.s-5, raw.s1, curated.s3' ELSE schema_names END AS schema_names",
-    "CASE WHEN acl_id % 23 = 0 THEN 'raw.s1.t1, curated.s2.t3' ELSE table_names END AS table_names",
+    """CASE WHEN acl_id % 61 = 0 THEN 'raw.s1 TO `grp_admin` , raw.s2' WHEN acl_id % 29 = 0 THEN 'raw.s-5, raw.s1, curated.s3'
+       ELSE schema_names END AS schema_names""",
+    """CASE WHEN acl_id % 67 = 0 THEN 'raw.s1.t1 TO `grp_admin` ' WHEN acl_id % 23 = 0 THEN 'raw.s1.t1, curated.s2.t3'
+       ELSE table_names END AS table_names""",
     "CASE WHEN acl_id % 37 = 0 THEN NULL ELSE permission_types END AS permission_types",
     "grant_type", "access_until", "bu", "processed_datetime", "updated_datetime",
 ]
@@ -197,6 +200,36 @@ def schema_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
+def schema_tags_rough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored tags with schemas whose name no statement can hold, or tries to say more."""
+    n = F.regexp_extract("schema_name", "[0-9]+", 0).cast("int")
+    name = F.when(n % 19 == 0, F.concat("schema_name", F.lit("-x"))).when(n % 23 == 0, F.concat("schema_name", F.lit(" TO `grp_admin`")))
+    return schema_tags(spark, sf_dir).withColumn("schema_name", F.coalesce(name, "schema_name"))
+
+
+def _changed(rows: DataFrame, column: str, later: Column) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``column`` as it is later, and the signed rows that changed: the old ones out, the new ones in."""
+    both = rows.withColumn("_later", later)
+    moved = both.filter(~F.col(column).eqNullSafe(F.col("_later")))
+    out = moved.drop("_later").withColumn("sign", F.lit(-1))
+    into = moved.withColumn(column, F.col("_later")).drop("_later").withColumn("sign", F.lit(1))
+    return both.withColumn(column, F.col("_later")).drop("_later"), out.unionByName(into)
+
+
+def later_tags(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rules (acl_id, tag_values) some of which lost, gained or changed their tags, and the changes."""
+    k = F.col("acl_id")
+    later = F.when(k % 7 == 0, F.lit(None)).when(k % 11 == 0, F.lit("LARGE,Brand#13")).when(k % 13 == 0, F.lit("Brand#999"))
+    return _changed(rules, "tag_values", later.when(k % 17 == 0, F.concat("tag_values", F.lit(",ECONOMY"))).otherwise(F.col("tag_values")))
+
+
+def later_schema_tags(stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored tags some of which are gone or changed, and the changes."""
+    n = F.regexp_extract("schema_name", "[0-9]+", 0).cast("int")
+    later = F.when(n % 5 == 0, F.concat(F.lit("LARGE,"), F.col("tag_value"))).when(n % 7 == 0, F.lit("Brand#13")).otherwise(F.col("tag_value"))
+    return _changed(stored, "tag_value", later)
+
+
 def tag_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tag rules in engine shape: one or two schemas, tables and tags, missing
     tag values, and rules whose tags are no map (null)."""

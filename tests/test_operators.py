@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from grantweave import schemas
 from grantweave.functions import comma_items, nonblank_items, parse_statement, py_strip, render_tag_statement
 from grantweave.operators import ledger, masks, rejects, rules, tags, upsert
-from grantweave.plans.generate import active_rules, generate_statements
+from grantweave.plans.generate import checked_rules, generate_statements
 from grantweave.sources import config, environment
 
 PERMS = {"dev": {"DATA_READER": ["USE SCHEMA", "SELECT", "READ VOLUME"], "DATA_WRITER": ["USE SCHEMA", "SELECT", "MODIFY"]}}
@@ -130,8 +130,9 @@ def test_rejects_reasons(spark):
         {"user_group": None},
     ])
     pm, cm = config.permission_mapping(spark, PERMS), config.catalog_mapping(spark, CATS)
-    r = active_rules(m, pm, "dev", "B", "2000-01-01")
-    got = sorted((x["acl_id"], x["reason"]) for x in rejects.rule_rejects(rules.active_grants(m, "B"), r, cm, "dev").collect())
+    r = checked_rules(m, pm, "dev", "B", "2000-01-01")
+    none = spark.createDataFrame([], schemas.SCHEMA_TAGS)
+    got = sorted((x["acl_id"], x["reason"]) for x in rejects.rule_rejects(r, none, cm, "dev").collect())
     assert got == [
         (1, rejects.REASON_NO_PRIVILEGES),
         (2, "prefix not mapped"),
@@ -190,7 +191,7 @@ def test_tag_statements_and_state(spark):
     assert ("dev_main_raw.s2", "ALTER SCHEMA dev_main_raw.s2 UNSET TAGS ('old')") in st
     assert ("dev_main_raw.s1.t2", "ALTER TABLE dev_main_raw.s1.t2 SET TAGS ('a' = 'b')") in st
     assert len(st) == 4
-    rej = sorted((r["target"], r["reason"]) for r in tags.rejects(tr, tg).collect())
+    rej = sorted((r["target"], r["reason"]) for r in tags.rejects(tr, "dev").collect())
     assert rej == [("dev_main_raw.s1", tags.REASON_ACTION), ("dev_main_raw.s1.t3", tags.REASON_TAGS)]
     old = spark.createDataFrame([("SCHEMA", "dev_main_raw.s2", "old", "x"), ("SCHEMA", "dev_main_raw.s9", "z", "y")],
                                 schemas.OBJECT_TAGS)
@@ -311,7 +312,7 @@ def test_ingest_creates_then_merges(spark):
     rows = first.table.collect()
     assert first.created and {(r["schema_names"], r["access_until"]) for r in rows} == {("raw.s1", None), ("raw.s2", dt.date(2001, 2, 3))}
     assert len({r["acl_id"] for r in rows}) == 2 and None not in {r["acl_id"] for r in rows}
-    assert [r["reason"] for r in first.rejects.collect()] == ["null in merge key"]
+    assert sorted(r["reason"] for r in first.rejects.collect()) == [upsert.REASON_COPIES, "null in merge key"]
     # another unit's equal rows get ids of their own, and its ingest leaves this unit's folder alone
     sheets(spark, [{"schema_names": "raw.s1", "bu": "C"}], other_root)
     other = ingest_sheet(spark, other_root, "C", path, processed=TS)
@@ -337,13 +338,14 @@ def test_ingest_counts_copies_of_a_key(spark):
         counted = {names[r["acl_id"]]: (r["value"], r["reason"]) for r in got.duplicates.collect()}
         assert got.created == created and len(names) == 101
         assert counted == {"raw.hot": ("49", upsert.REASON_COPIES), "raw.s7": ("1", upsert.REASON_COPIES)}
-        assert len(names) + sum(int(v) for v, _ in counted.values()) + got.rejects.count() == len(rows)
+        refused = [int(r["value"]) if r["reason"] == upsert.REASON_COPIES else 1 for r in got.rejects.collect()]
+        assert len(names) + sum(refused) == len(rows)
 
 
 def test_copies_are_listed_or_counted_once(spark):
     inc = mapping(spark, [{"schema_names": "raw.a"}] * 4 + [{"schema_names": "raw.b"}] * 2)
     inc = inc.withColumn("acl_id", F.expr("CASE acl_id WHEN 1 THEN 10 WHEN 2 THEN 10 WHEN 3 THEN 11 END"))  # 10, 10, 11, none; none, none
-    assert [(r["acl_id"], r["value"]) for r in upsert.upsert_rejects(inc).collect()] == [(11, "10")]
+    assert [(r["acl_id"], r["value"]) for r in upsert.upsert_rejects(inc).collect() if r["reason"] != upsert.REASON_COPIES] == [(11, "10")]
     assert sorted(((r["acl_id"], r["value"]) for r in upsert.uncounted_duplicates(inc).collect()), key=str) == [(10, "2"), (None, "1")]
 
 
@@ -369,8 +371,8 @@ def test_rules_without_mandatory_columns_make_nothing(spark):
             {"user_group": "ok, ba`d", "schema_names": "raw.s1"}]
     got = statements_of(spark, rows).collect()
     assert {r["access_statement"] for r in got} == {f"GRANT {p} ON SCHEMA dev_main_raw.s1 TO `ok`" for p in PERMS["dev"]["DATA_READER"]}
-    m = mapping(spark, rows)
-    reasons = rejects.bad_groups(m).unionByName(rejects.null_mandatory(m)).collect()
+    pm, cm = config.permission_mapping(spark, PERMS), config.catalog_mapping(spark, CATS)
+    reasons = rejects.rule_rejects(checked_rules(mapping(spark, rows), pm, "dev", "B"), spark.createDataFrame([], schemas.SCHEMA_TAGS), cm, "dev").collect()
     assert sorted((r["acl_id"], r["value"]) for r in reasons) == [(1, "object_type"), (2, "permission_types"), (3, "ba`d")]
 
 
