@@ -58,6 +58,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         # a special token's string in a text is that token, in its own case only
         self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.mark = os.path.commonprefix(self.special)
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
@@ -85,7 +86,7 @@ class WordEncoder:
         known, letters, others, split = self.known, set(), set(), []
         for part in parts:
             low = part.lower()
-            if any(s in low for s in self.special):
+            if self.mark in low and any(s in low for s in self.special):
                 others.add(part)
                 continue
             stem = low if part.isascii() else part
