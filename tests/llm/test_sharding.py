@@ -1,7 +1,9 @@
+import struct
 import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 
 from grantweave.llm import sharding
 from grantweave.llm.queries import QUERIES
@@ -38,6 +40,42 @@ def test_edge_rows_keep_their_columns(edge, bucket_bytes):
     assert Counter((r.doc_id, r.text) for r in rows) == Counter((r.doc_id, r.text) for r in edge.collect())
 
 
+def highest_bid(doc_id, shards, seed=sharding.SEED):
+    """Rendezvous hashing by hand: XXH64 of the seed, the shard and the id, one after the other."""
+
+    def bid(shard):
+        h = 42
+        for raw in (struct.pack("<i", seed), struct.pack("<i", shard), *([] if doc_id is None else [struct.pack("<q", doc_id)])):
+            h = xxhash.xxh64_intdigest(raw, h)
+        return h - (1 << 64) if h >> 63 else h
+
+    return max(range(shards), key=lambda i: (bid(i), i))
+
+
+def test_shards_against_hashing_by_hand(spark, small, edge):
+    for r in QUERIES["op3_sharding"](spark, small).collect():
+        assert (r.shard, r.grown_shard) == (highest_bid(r.doc_id, 24), highest_bid(r.doc_id, 25))
+    for r in sharding.write_shards(edge, shards=5).collect():
+        assert (r.shard, r.grown_shard) == (highest_bid(r.doc_id, 5), highest_bid(r.doc_id, 6))
+
+
+def test_columns_of_any_type(spark, edge):
+    odd = edge.selectExpr("*", "map('k', doc_id) m", "array(struct(map(1, text) a)) nested", "cast(null as interval day to second) gap")
+    rows = sharding.write_shards(odd, shards=3, bucket_bytes=20_000).collect()
+    check_law(rows, 3)
+    assert Counter((r.doc_id, r.m["k"], r.nested[0].a[1]) for r in rows) == Counter((r.doc_id, r.doc_id, r.text) for r in edge.collect())
+
+
+def test_a_task_holds_one_bucket(spark, small):
+    """Records are shuffled once, each bucket to a task of its own."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    out = sharding.write_shards(docs, shards=4, bucket_bytes=60_000)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+    per = out.groupBy("shard").agg({"slot": "count"}).collect()
+    assert len(per) == 4 and sum(r["count(slot)"] for r in per) == docs.count()
+
+
 def test_growth_is_what_one_more_shard_gives(edge):
     few = {(r.doc_id, r.text): r for r in sharding.write_shards(edge, shards=3).collect()}
     more = {(r.doc_id, r.text): r for r in sharding.write_shards(edge, shards=4).collect()}
