@@ -7,10 +7,12 @@ it pass half of all.  Votes of bit i and bit i+32 share one long: a text's
 weights add up to at most its length in characters, below 2**31, so the lanes
 never touch and 32 sums give all 64 votes.
 
-Neighbours: fingerprints within ``radius`` bits agree on one of ``radius + 1``
-blocks.  One table per block lists fingerprints by that block, put first by a
-rotation; candidates share the leading block and are compared whole.  A pair is
-taken only from the first table that shows it, so no distinct is needed.
+Neighbours: of ``blocks`` blocks, fingerprints within ``radius`` bits agree on
+all but ``radius``.  One table per choice of that many blocks lists fingerprints by
+these, put first by a permutation; candidates share the leading bits and are
+compared whole.  A pair is taken only from the first table that shows it, so no
+distinct is needed.  The more fingerprints, the more blocks, so that the leading bits
+stay as many as it takes to keep a key's fingerprints few (``blocks_for``).
 
 Defined results: a null text counts as empty; a text without words has
 fingerprint zero; equal texts have equal fingerprints; documents are ordered by
@@ -21,6 +23,8 @@ rows.  Only doc_id and text are read.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,8 +37,10 @@ LANES = 32
 LANE_MASK = (1 << 32) | 1
 #: Ranges of ids cut at quantiles, and rows that a window over neighbours is planned to hold.
 RANGES, WINDOW_ROWS = 64, 2048
-#: Up to so many windows (some 50 bytes each) their first rows' ids are broadcast; their number is known before the join.
+#: Up to so many windows (some 50 bytes each, so 5 MB) their first rows' ids are broadcast; their number is known before the join.
 BROADCAST_WINDOWS = 100_000
+#: Fingerprints that share a table's leading bits by chance, at most, on average.
+KEY_ROWS = 1_024
 #: Ids divisible by this are the search queries.
 QUERY_STEP = 50
 
@@ -62,13 +68,13 @@ def likeness(a: str, b: str) -> Column:
 
 
 def _windows(docs: DataFrame) -> tuple[DataFrame, int]:
-    """``docs`` with ``bucket``, ascending ranges of doc_id of about WINDOW_ROWS rows each, and a bound on their number.
+    """``docs`` with ``range`` and ``bucket``, ascending ranges of doc_id of about WINDOW_ROWS rows each, and a bound on their number.
 
     Ranges of equal row counts come from quantiles; inside a range, buckets are
     equally wide.
     """
     fractions = F.array(*[F.lit(i / RANGES) for i in range(RANGES + 1)])
-    n, cuts = docs.agg(F.count("doc_id"), F.percentile_approx("doc_id", fractions, F.lit(20 * RANGES))).first()
+    n, total, cuts = docs.agg(F.count("doc_id"), F.count("*"), F.percentile_approx("doc_id", fractions, F.lit(20 * RANGES))).first()
     cuts = sorted(set(cuts or [0]))
     lows, per_range = cuts[:-1] or cuts, max(1, -(-n // (RANGES * WINDOW_ROWS)))
     widths = [max(1, -(-(b - a) // per_range)) for a, b in zip(cuts, cuts[1:])] or [1]
@@ -77,8 +83,11 @@ def _windows(docs: DataFrame) -> tuple[DataFrame, int]:
     ranged = docs.withColumn("range", nth)
     inside = F.expr("(doc_id - __low) div __width")
     ranged = ranged.withColumn("__low", F.element_at(low_array, F.col("range"))).withColumn("__width", F.element_at(width_array, F.col("range")))
-    bucket = F.coalesce(F.col("range") * F.lit(1 << 32) + inside, F.lit(-(1 << 62)))
-    return ranged.withColumn("bucket", bucket).drop("range", "__low", "__width"), (per_range + 1) * (len(lows) + 1)
+    # rows without an id come first, in ranges of their text's hash, as that is their order
+    parts = max(1, -(-(total - n) // WINDOW_ROWS))
+    unnamed = F.expr(f"cast({parts - 1} - least({parts - 1}, floor((9223372036854775807 - cast(h as decimal(20,0))) / {-(-(1 << 64) // parts)})) as long)")
+    bucket = F.coalesce(F.col("range") * F.lit(1 << 32) + inside, F.lit(-(1 << 62)) + unnamed)
+    return ranged.withColumn("bucket", bucket).withColumn("range", F.coalesce("range", F.lit(0))).drop("__low", "__width"), (per_range + 1) * (len(lows) + 1) + parts
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -87,12 +96,14 @@ def with_next(docs: DataFrame) -> DataFrame:
     A bucket also gets the first document of the next bucket as a guest, so a
     window over a bucket sees every neighbour and texts are shuffled once.
     """
-    rows, most = _windows(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")))
-    rows = rows.withColumn("h", F.xxhash64("text"))
-    firsts = rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "h")).alias("first"))
-    order = Window.orderBy("bucket")  # one slim row per bucket
-    hosts = firsts.select("first", F.lag("bucket").over(order).alias("host"), F.max("bucket").over(Window.partitionBy()).alias("last"))
-    hosts = hosts.select(F.col("first.doc_id").alias("id"), F.col("first.h").alias("hash"), F.coalesce("host", "last").alias("host"))
+    rows, most = _windows(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")))
+    firsts = rows.groupBy("range", "bucket").agg(F.min(F.struct("doc_id", "h")).alias("first"))
+    # the bucket before each: in its range, or the last of the range before (of which there are RANGES + 1 at most), or the last of all
+    ends = firsts.groupBy("range").agg(F.max("bucket").alias("bucket"))
+    order = Window.orderBy("range")
+    ends = ends.select("range", F.lag("bucket").over(order).alias("before"), F.last("bucket").over(order.rowsBetween(0, Window.unboundedFollowing)).alias("last"))
+    hosts = firsts.withColumn("host", F.lag("bucket").over(Window.partitionBy("range").orderBy("bucket"))).join(F.broadcast(ends), "range")
+    hosts = hosts.select(F.col("first.doc_id").alias("id"), F.col("first.h").alias("hash"), F.coalesce("host", "before", "last").alias("host"))
     if most <= BROADCAST_WINDOWS:  # else Catalyst chooses, and may shuffle the texts once more
         hosts = F.broadcast(hosts)
     guests = rows.join(hosts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("hash")))
@@ -129,28 +140,36 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
-def block_table(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``fps`` once per block: ``blk`` and the fingerprint's bits of that block, moved to the front, as ``lead``."""
-    parts = radius + 1
-    edges = [64 * i // parts for i in range(parts + 1)]
-    leads = [F.struct(F.lit(i).alias("blk"), _block("fingerprint", edges[i], edges[i + 1]).alias("lead")) for i in range(parts)]
-    return fps.withColumn("__b", F.explode(F.array(*leads))).select(*fps.columns, "__b.blk", "__b.lead")
+def blocks_for(n: int, radius: int = RADIUS, key_rows: int = KEY_ROWS) -> int:
+    """The least number of blocks whose tables' leading bits part ``n`` fingerprints into keys of ``key_rows``."""
+    blocks = radius + 1
+    while (64 * (blocks - radius) // blocks) < min(40, max(0, (n // key_rows)).bit_length()):
+        blocks += 1
+    return blocks
+
 
+def _tables(radius: int, blocks: int) -> list[tuple[tuple[int, ...], int]]:
+    """Every choice of blocks that a table leads with, and the mask of their bits."""
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    bits = [sum(1 << b for b in range(edges[i], edges[i + 1])) for i in range(blocks)]
+    return [(chosen, sum(bits[i] for i in chosen)) for chosen in combinations(range(blocks), blocks - radius)]
 
-def _block(column: str, low: int, high: int) -> Column:
-    return F.shiftrightunsigned(F.shiftleft(F.col(column), 64 - high), 64 - high + low)
+
+def block_table(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+    """``fps`` once per table: ``blk``, the table's number, and ``lead``, the fingerprint's bits of its blocks."""
+    tables = _tables(radius, blocks or radius + 1)
+    leads = [F.struct(F.lit(i).alias("blk"), F.col("fingerprint").bitwiseAND(F.lit(_signed(mask))).alias("lead")) for i, (_, mask) in enumerate(tables)]
+    return fps.withColumn("__b", F.explode(F.array(*leads))).select(*fps.columns, "__b.blk", "__b.lead")
 
 
-def within_radius(queries: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFrame:
+def within_radius(queries: DataFrame, index: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """Pairs (fingerprint, found, distance) of distinct ``queries`` and distinct ``index`` fingerprints."""
-    parts = radius + 1
-    edges = [64 * i // parts for i in range(parts + 1)]
-    left = block_table(queries.select("fingerprint"), radius)
-    right = block_table(index.select("fingerprint"), radius).withColumnRenamed("fingerprint", "found")
+    left = block_table(queries.select("fingerprint"), radius, blocks)
+    right = block_table(index.select("fingerprint"), radius, blocks).withColumnRenamed("fingerprint", "found")
     pairs = left.join(right, ["blk", "lead"]).withColumn("__x", F.col("fingerprint").bitwiseXOR(F.col("found")))
-    first = F.lit(parts)
-    for i in reversed(range(parts)):
-        first = F.when(_block("__x", edges[i], edges[i + 1]) == 0, F.lit(i)).otherwise(first)
+    first = F.lit(-1)
+    for i, (_, mask) in reversed(list(enumerate(_tables(radius, blocks or radius + 1)))):
+        first = F.when(F.col("__x").bitwiseAND(F.lit(_signed(mask))) == 0, F.lit(i)).otherwise(first)
     pairs = pairs.filter((F.bit_count("__x") <= radius) & (first == F.col("blk")))
     return pairs.select("fingerprint", "found", F.bit_count("__x").alias("distance"))
 
@@ -161,7 +180,7 @@ def document_fingerprints(docs: DataFrame, radius: int = RADIUS, step: int = QUE
     marks = Scratch(docs.sparkSession, "fingerprints").keep(edited_fingerprints(docs))
     known = marks.groupBy("fingerprint").agg(F.count("*").alias("n"))
     asked = marks.filter(F.pmod("doc_id", F.lit(step)) == 0).select("fingerprint").distinct()
-    found = within_radius(asked, known, radius).join(known.withColumnRenamed("fingerprint", "found"), "found")
+    found = within_radius(asked, known, radius, blocks_for(known.count(), radius)).join(known.withColumnRenamed("fingerprint", "found"), "found")
     counts = found.groupBy("fingerprint").agg(F.sum("n").alias("n_within"))
     queries = F.coalesce(F.pmod("doc_id", F.lit(step)) == 0, F.lit(False))
     answered = marks.filter(queries).join(counts, "fingerprint")

@@ -80,9 +80,30 @@ def test_radius_search_finds_everything(spark):
         f = f ^ np.where(rng.random(500) < 0.6, np.uint64(1) << rng.integers(0, 64, 500, dtype=np.uint64), np.uint64(0))
     f = np.unique(f)
     index = spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fingerprint long")
-    for radius in (0, 2, 3, 6):
-        found = fp.within_radius(index.filter(F.pmod("fingerprint", F.lit(5)) == 0), index, radius).collect()
+    for radius, blocks in ((0, None), (2, None), (3, None), (6, None), (3, 5), (3, 6), (2, 5)):
+        found = fp.within_radius(index.filter(F.pmod("fingerprint", F.lit(5)) == 0), index, radius, blocks).collect()
         got = sorted((r.fingerprint, r.found, r.distance) for r in found)
         signed = f.view(np.int64).tolist()
         want = sorted((a, b, d) for a in signed if a % 5 == 0 for b in signed if (d := ((a ^ b) & (1 << 64) - 1).bit_count()) <= radius)
         assert got == want
+
+
+def test_more_fingerprints_get_longer_keys():
+    for n in (10, 10**6, 10**8, 10**9, 10**10, 10**11):
+        blocks = fp.blocks_for(n)
+        lead = 64 * (blocks - fp.RADIUS) // blocks
+        assert n >> lead <= fp.KEY_ROWS and len(fp._tables(fp.RADIUS, blocks)) <= 20
+
+
+def test_rows_without_id_are_spread(spark, monkeypatch):
+    """Null ids come first, by their text's hash, and no window holds them all."""
+    monkeypatch.setattr(fp, "WINDOW_ROWS", 20)
+    texts = [f"text number {i} of many " * (i % 3 + 1) for i in range(400)]
+    docs = spark.createDataFrame([(None if i < 300 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = fp.with_next(docs)
+    per = rows.filter("guest = 0 and doc_id is null").groupBy("bucket").count().collect()
+    assert len(per) >= 12 and max(r["count"] for r in per) < 60 and sum(r["count"] for r in per) == 300
+    after = {r.text: r.next_text for r in rows.filter("guest = 0").collect()}
+    signed = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (1 << 64 if h >> 63 else 0)
+    ordered = sorted(texts[:300], key=signed) + texts[300:]
+    assert after == {t: ordered[(i + 1) % 400] for i, t in enumerate(ordered)}
