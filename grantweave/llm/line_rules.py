@@ -9,9 +9,12 @@ A line fails as
   * ``symbols``: over ``MAX_SYMBOLS`` percent as many symbols as word characters, or it has
     words but no letter or digit;
   * ``shouting``: at least three words, over half of which end with ``!``;
-  * ``navigation``: at least ``MIN_BARS`` words that are a lone separator;
+  * ``run-on``: at least ``MIN_RUN_ON`` words without a single sentence mark;
+  * ``teaser``: at most ``MOST_IN_LINK`` words that trail off in an ellipsis;
+  * ``navigation``: at least ``MIN_BARS`` words that are a lone separator, or at most ``MOST_IN_LINK``
+    words without a closing mark, one of ``NAVIGATION`` at least, the others too or ``FILLERS``;
   * ``stutter``: at least ``WINDOW`` words, over ``MAX_STUTTER`` percent of which repeat the word before;
-  * ``boilerplate``: it holds one of ``BOILERPLATE``;
+  * ``boilerplate``: it holds one of ``BOILERPLATE`` or a copyright mark with a year;
   * ``repeated``: it equals an earlier line.
 Lines without a word are kept and weigh nothing.
 
@@ -35,16 +38,31 @@ from .common import map_texts, small_batches
 WINDOW, MIN_WORDS, MAX_REPEATED = 8, 20, 30
 #: Percentages, but for the count of bars.
 MAX_SYMBOLS, MAX_STUTTER, MAX_LOST, MIN_BARS = 10, 30, 50, 3
+#: Words of a line.
+MIN_RUN_ON, MOST_IN_LINK = 60, 8
 #: The words' separators, the symbols, the lone separators of menus, boilerplate phrases (lower case).
 BLANKS = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 BARS = ("|", "»", "›", "·", "•")
+SENTENCE_MARKS, CLOSING_MARKS, ELLIPSES = ".,;:!?…。，；：！？、", ".!?:;。！？", ("...", "…")
+#: Words of menus and links, words that may stand between them, and what may stand around either.
+NAVIGATION = (
+    "home", "about", "contact", "login", "logout", "register", "log", "sign", "signup", "menu", "search", "share", "tweet", "facebook", "twitter",
+    "instagram", "linkedin", "pinterest", "youtube", "email", "print", "next", "previous", "prev", "back", "top", "sitemap", "faq", "help", "blog",
+    "news", "archive", "archives", "categories", "tags", "comments", "reply", "subscribe", "newsletter", "rss", "account", "cart", "checkout",
+    "wishlist", "shop", "download", "read", "skip", "navigation", "page", "pages", "privacy", "terms", "cookies",
+)
+FILLERS = ("", "on", "this", "us", "in", "to", "the", "our", "my", "more", "all", "and", "of", "up", "out", "a", "by", "via", "with", "content", "main")
+AROUND = ".,:;!?»«›‹|•·/-()[]<>→←"
 BOILERPLATE = (
     "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "accept cookies",
     "enable javascript", "subscribe to our newsletter", "sign up for our newsletter", "click here to", "lorem ipsum",
 )
 _WORDS = re.compile("[^ \\x09-\\x0d]+")
 _SYMBOL = re.compile("[#*$%&|<>]")
+COPYRIGHT = r"(©|\(c\)|copyright)[ \t]*(©|\(c\))?[ \t]*[12][0-9]{3}"
+_COPYRIGHT = re.compile(COPYRIGHT)
+_LINKS, _FILLERS = frozenset(NAVIGATION), frozenset(FILLERS)
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -72,19 +90,31 @@ def repeated_words(words: list[str], window: int = WINDOW) -> int:
     return int((np.cumsum(edges)[:-1] > 0).sum())
 
 
+def is_navigation(words: list[str]) -> bool:
+    """Whether a short line consists of menu words."""
+    if len(words) > MOST_IN_LINK or words[-1][-1] in CLOSING_MARKS:
+        return False
+    bare = {w.lower().strip(AROUND) for w in words}
+    return not bare.isdisjoint(_LINKS) and bare <= _LINKS | _FILLERS
+
+
 def failing(line: str, words: list[str]) -> str | None:
     """The rule that a line with ``words`` fails, if any; repeats are the text's to judge."""
     size = sum(map(len, words))
     if 100 * len(_SYMBOL.findall(line)) > MAX_SYMBOLS * size or not any(c.isalnum() for c in line):
         return "symbols" if sum(w in BARS for w in words) < MIN_BARS else "navigation"
-    if sum(w in BARS for w in words) >= MIN_BARS:
+    if sum(w in BARS for w in words) >= MIN_BARS or is_navigation(words):
         return "navigation"
+    if len(words) >= MIN_RUN_ON and not any(c in line for c in SENTENCE_MARKS):
+        return "run-on"
+    if len(words) <= MOST_IN_LINK and words[-1].endswith(ELLIPSES):
+        return "teaser"
     if len(words) >= 3 and 2 * sum(w[-1] == "!" for w in words) > len(words):
         return "shouting"
     if len(words) >= WINDOW and 100 * sum(a == b for a, b in zip(words, words[1:])) > MAX_STUTTER * len(words):
         return "stutter"
     low = line.lower()
-    return "boilerplate" if any(p in low for p in BOILERPLATE) else None
+    return "boilerplate" if any(p in low for p in BOILERPLATE) or _COPYRIGHT.search(low) else None
 
 
 def judge(text: str | None) -> tuple[int, int, int, int, int, bool, bool, str]:
@@ -166,6 +196,12 @@ WITH d AS (
       OR 100 * len(regexp_extract_all(line, '[#*$%&|<>]')) > {MAX_SYMBOLS} * size
       OR NOT regexp_matches(line, '[\pL\pN]')
       OR len(list_filter(ws, lambda x: list_contains({_list(BARS)}, x))) >= {MIN_BARS}
+      OR (len(ws) <= {MOST_IN_LINK} AND NOT contains('{CLOSING_MARKS}', right(ws[-1], 1))
+          AND len(list_filter(ws, lambda x: list_contains({_list(NAVIGATION)}, trim(lower(x), '{AROUND}')))) > 0
+          AND len(list_filter(ws, lambda x: NOT list_contains({_list(NAVIGATION + FILLERS)}, trim(lower(x), '{AROUND}')))) = 0)
+      OR (len(ws) >= {MIN_RUN_ON} AND len(list_filter(string_split('{SENTENCE_MARKS}', ''), lambda x: contains(line, x))) = 0)
+      OR (len(ws) <= {MOST_IN_LINK} AND ({" OR ".join(f"suffix(ws[-1], '{e}')" for e in ELLIPSES)}))
+      OR regexp_matches(lower(line), '{COPYRIGHT}')
       OR (len(ws) >= 3 AND 2 * len(list_filter(ws, lambda x: suffix(x, '!'))) > len(ws))
       OR (len(ws) >= {WINDOW} AND 100 * len(list_filter(list_zip(ws[1:-2], ws[2:]), lambda x: x[1] = x[2])) > {MAX_STUTTER} * len(ws))
       OR len(list_filter({_list(BOILERPLATE)}, lambda x: contains(lower(line), x))) > 0 AS fails

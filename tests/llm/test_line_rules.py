@@ -54,6 +54,22 @@ def test_repeated_words(seed):
         ("BUY NOW! GO! GO! THIS IS IT!", "shouting"),
         ("Please read our Privacy Policy first.", "boilerplate"),
         ("the the the the and and and and", "stutter"),
+        ("Home About Contact Login Register", "navigation"),
+        ("Read more »", "navigation"),
+        ("Share on Facebook Tweet this", "navigation"),
+        ("Contact us", "navigation"),
+        ("Log in", "navigation"),
+        ("[Next page]", "navigation"),
+        ("The home page of our news.", None),
+        ("Home is where the heart is", None),
+        ("We read the news at home and reply by email on the next page of it", None),
+        ("Copyright 2024 Example Inc", "boilerplate"),
+        ("(c) 1999 the authors", "boilerplate"),
+        ("A copyright of old, from 1999.", None),
+        ("The story of a fox that ...", "teaser"),
+        ("It went on and on and on, and then it trailed off…", None),
+        (" ".join(f"key{i}" for i in range(70)), "run-on"),
+        (" ".join(f"key{i}" for i in range(70)) + ".", None),
     ],
 )
 def test_rules(line, rule):
