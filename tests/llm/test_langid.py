@@ -1,4 +1,8 @@
+import math
+import zlib
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from grantweave.llm import langid
@@ -62,3 +66,60 @@ def test_repeated_rows_count_once_in_the_sample(spark):
         counts, sample = langid.sampled(docs.unionByName(many), 10)
         assert counts == {"aa": 3020, "bb": 40}
         assert sorted(map(tuple, sample.collect())) == plain
+
+
+def plain_grams(text):
+    """Hashed 1- to 3-grams of letters, one after the other."""
+    codes = [32, 32, *(ord(c) if c.isalpha() else 32 for c in text.lower()), 32]
+    counts = [0] * langid.SIZE
+    for i in range(2, len(codes)):
+        mixed = 0
+        for n in range(1, langid.MAX_GRAM + 1):
+            mixed = (mixed * 31_337 + codes[i - n + 1]) % 2**32 if n > 1 else codes[i]
+            if n > 1 or codes[i] != 32:
+                counts[((mixed * 2_654_435_769 + n * 7_919) % 2**32) >> (32 - langid.GRAM_BITS)] += 1
+    return counts
+
+
+def plain_vector(text, idf):
+    v = [math.log1p(n) * w for n, w in zip(plain_grams(text), idf)]
+    size = math.sqrt(sum(x * x for x in v))
+    return [x / size for x in v]
+
+
+def test_model_against_plain_tf_idf_and_cosine(spark, small, documents):
+    """Document frequencies over every training text, unit TF-IDF vectors, the nearest centroid and its radius, by hand."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = langid.train(docs)
+    taught = [t for i, t, lang in zip(documents.doc_id, documents.text, documents.lang) if zlib.crc32(str(i).encode()) % 4 != 2 and lang and t and any(map(str.isalpha, t))]
+    df = [0] * langid.SIZE
+    for text in taught:
+        for g, n in enumerate(plain_grams(text)):
+            df[g] += n > 0
+    idf = [math.log((1 + len(taught)) / (1 + n)) + 1 for n in df]
+    assert np.allclose(model.idf, idf)
+    assert np.allclose(np.linalg.norm(model.centroids, axis=1), 1, atol=1e-5) and max(map(model.languages.count, model.languages)) <= langid.CLUSTERS
+    rows = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    for i, text in list(zip(documents.doc_id, documents.text))[:40]:
+        near = [sum(a * b for a, b in zip(plain_vector(text, idf), c)) for c in model.centroids.tolist()]
+        best = max(range(len(near)), key=near.__getitem__)
+        assert rows[i].score == pytest.approx(near[best], abs=1e-4) and rows[i].lang_pred == model.languages[best]
+        if abs(1 - near[best] - model.radius[best]) > 1e-4:
+            assert rows[i].rejected == (1 - near[best] > model.radius[best])
+
+
+def test_spherical_means_step_by_step():
+    rng = np.random.default_rng(4)
+    x = rng.random((60, 6)) ** 4
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    unit = lambda v: v / np.linalg.norm(v)
+    centres = [x.mean(0)]
+    while len(centres) < 3:
+        centres.append(min(x, key=lambda v: max(v @ c for c in centres)))
+    for _ in range(5):
+        own = [[] for _ in centres]
+        centres = [unit(c) for c in centres]
+        for v in x:
+            own[max(range(len(centres)), key=lambda j: v @ centres[j])].append(v)
+        centres = [np.mean(vs, axis=0) if vs else c for vs, c in zip(own, centres)]
+    assert np.allclose(langid.spherical_means(x, 3, 5), [unit(c) for c in centres], atol=1e-6)

@@ -1,4 +1,7 @@
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -68,3 +71,80 @@ def test_a_repeated_labelled_document_is_trained_on_once(spark, small):
     hot = taught.crossJoin(spark.range(300).select(F.lit(1).alias("x"))).select(*docs.columns)
     a, b = quality.train(docs, labels), quality.train(docs.unionByName(hot), labels)
     assert hot.count() == 300 and a.bias == b.bias and np.array_equal(a.weight, b.weight) and np.array_equal(a.vector, b.vector)
+
+
+def plain_features(text):
+    """Index -> value of a text's features, one after the other."""
+
+    def shape(word):
+        if word.isalpha() and word.islower():
+            return "a"
+        if word.isalpha() and word.istitle():
+            return "Aa" if len(word) > 1 else "A"
+        for pattern, put in (("[A-ZÀ-ÖØ-Þ]+", "A"), (r"[^\W\d_A]+", "a"), (r"\d+", "9"), (r"([^\w])\1+", r"\1")):
+            word = re.sub(pattern, put, word)
+        return word[:12]
+
+    out = {}
+    words = text.split()
+    for code in (
+        lambda w: zlib.crc32(w.lower().encode()) % (1 << quality.WORD_BITS),
+        lambda w: quality.SHAPES + zlib.crc32(shape(w).encode()) % (1 << quality.SHAPE_BITS),
+    ):
+        times = Counter(code(w) for w in words)
+        size = math.sqrt(sum(math.log1p(n) ** 2 for n in times.values())) or 1.0
+        out |= {i: math.log1p(n) / size for i, n in times.items()}
+    kinds, n_words, n = Counter(words), max(1, len(words)), max(1, len(text))
+    lines = [x.strip() for x in text.split("\n") if x.strip()]
+    stats = [
+        sum(c in quality.SYMBOLS for c in text) / n,
+        sum(len(w) > 1 and w.isupper() for w in words) / n_words,
+        sum(w[0].isupper() for w in kinds) / max(1, len(kinds)),
+        1 - len(kinds) / n_words,
+        max(kinds.values(), default=0) / n_words,
+        1 - len(set(lines)) / len(lines) if lines else 0.0,
+        sum(x[-1] in quality.CLOSERS for x in lines) / max(1, len(lines)),
+        text.count("!") / n_words,
+        min(1.0, sum(map(len, kinds)) / max(1, len(kinds)) / 20),
+    ]
+    width = len(quality.LENGTH_EDGES) + 1
+    for k, x in enumerate(stats):
+        out[quality.BINS + k * width + sum(x >= e for e in quality.EDGES)] = 0.3
+    out[quality.BINS + len(stats) * width + sum(len(text) >= e for e in quality.LENGTH_EDGES)] = 0.3
+    return out
+
+
+def test_features_by_hand(documents):
+    texts = ["", " \n", "A", "Hello WORLD hello!! 42 a1-B2 ### ünï Éa", "x\nx\n\ny!", *[t for t in documents.text[:60] if t]]
+    make = quality.Featuriser()
+    for text in texts:
+        index, value = make(text)
+        assert len(set(index.tolist())) == len(index)
+        assert dict(zip(index.tolist(), value.tolist())) == pytest.approx(plain_features(text), abs=1e-5)
+
+
+def test_one_step_of_the_fit_by_hand(monkeypatch):
+    """AdaGrad on the log loss: each parameter's gradient from differences of the loss itself."""
+    monkeypatch.setattr(quality, "EPOCHS", 1)
+    features = [(np.array([0, 2, 5], np.int32), np.array([0.5, 1.0, 0.25], np.float32)), (np.array([2, 3], np.int32), np.array([0.75, 0.5], np.float32))]
+    label = np.array([1.0, 0.0])
+    start = lambda: quality.FactorisationMachine(0.1, np.arange(quality.SIZE) * 0.01, np.random.default_rng(5).normal(0, 0.3, (quality.SIZE, quality.RANK)))
+
+    def loss(m):
+        p = m.score(features)
+        return -(label * np.log(p) + (1 - label) * np.log(1 - p)).sum()
+
+    def slope(move):
+        up, down = start(), start()
+        move(up, 1e-5)
+        move(down, -1e-5)
+        return (loss(up) - loss(down)) / 2e-5
+
+    fitted, before = start().fit(features, label), start()
+    for i in (0, 2, 3, 5):
+        g = slope(lambda m, d: m.weight.__setitem__(i, m.weight[i] + d)) + quality.DECAY * before.weight[i]
+        assert fitted.weight[i] == pytest.approx(before.weight[i] - quality.RATE * g / np.sqrt(1e-6 + g * g), abs=1e-4)
+        for f in range(quality.RANK):
+            g = slope(lambda m, d: m.vector.__setitem__((i, f), m.vector[i, f] + d)) + quality.DECAY * before.vector[i, f]
+            assert fitted.vector[i, f] == pytest.approx(before.vector[i, f] - quality.RATE * g / np.sqrt(1e-6 + g * g), abs=1e-3)
+    assert fitted.weight[1] == before.weight[1]
