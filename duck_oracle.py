@@ -523,6 +523,19 @@ SQL["tracking_tag_keys"] = with_(TRACKING, "SELECT * FROM tag_keys")
 SQL["tracking_schema_keys"] = with_(TRACKING, "SELECT * FROM schema_keys")
 SQL["tracking_table_keys"] = with_(TRACKING, "SELECT * FROM table_keys")
 
+
+def _chunks(kind: str, more: str) -> str:
+    return f"""SELECT object_type, user_group, chunk, CAST(coalesce(sum(length(names) + 1) OVER (PARTITION BY object_type, user_group ORDER BY chunk
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, n, names
+FROM (SELECT object_type, user_group, chunk, count(*) AS n, string_agg(short, ',' ORDER BY short) AS names
+      FROM (SELECT *, (row_number() OVER (PARTITION BY object_type, user_group ORDER BY short) - 1) // 5 AS chunk
+            FROM (SELECT DISTINCT object_type, user_group, {short('object_name', kind)} AS short FROM applied WHERE object_type = '{kind}'{more}))
+      GROUP BY ALL)"""
+
+
+SQL["tracking_schema_chunks"] = with_(TRACKING, _chunks("SCHEMA", " AND tag_values IS NULL"))
+SQL["tracking_table_chunks"] = with_(TRACKING, _chunks("TABLE", ""))
+
 TRACK_FX = """tracking_fx AS (
 SELECT o_orderkey AS ord, CASE WHEN o_orderkey % 2 = 0 THEN 'SCHEMA' ELSE 'TABLE' END AS object_type,
   concat('dev_main_raw.s', CAST(o_custkey % 50 AS STRING), CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE '.t1' END) AS object_name
@@ -600,6 +613,7 @@ SQL["acl_expire_apply"] = with_(
 FROM (SELECT *, bu = 'BUILDING' AND grant_type = 'GRANT' AND access_until IS NOT NULL AND access_until < {AS_OF} AS hit
       FROM acl)""",
 )
+SQL["acl_expire_calendar"] = SQL["acl_expire_apply"]
 SQL["acl_expire_apply_keyed"] = with_(
     [ACL_SHEET, ACL, ACTIVE, EXPIRED],
     """SELECT a.acl_id, a.bu, coalesce(s.sg, a.grant_type) AS grant_type, s.sg IS NOT NULL AS stamped

@@ -39,19 +39,18 @@ def outcomes(factor_rows: DataFrame, known_objects: DataFrame, dry_run: bool = F
 
     Beside that a statement fails if its own group or privilege does not fit.
     A dry run has no errors.  The join with the known objects is one of pairs,
-    not of statements; pairs without a readable object pass beside it.
+    not of statements; pairs without a readable object meet nothing there.
     """
     if dry_run:
         return factor_rows.select(*FACTOR_COLUMNS, F.lit(None).cast("string").alias("error"), F.lit(True).alias("dry_run"))
     readable = F.col("grant_type").isin("GRANT", "REVOKE") & fits_type("object_type") & fits_name("object_name")
-    rows = factor_rows.select(*FACTOR_COLUMNS, F.coalesce(readable, F.lit(False)).alias("_readable"))
+    # a pair without a readable object meets none; a key of its own keeps such pairs from one task
+    alone = F.concat(F.lit("\u0000"), F.xxhash64("acl_id", "object_name").cast("string"))
+    rows = factor_rows.select(*FACTOR_COLUMNS, F.when(readable, F.col("object_name")).otherwise(alone).alias("_name"))
     known = known_objects.select(F.col("object_name").alias("_known")).distinct()
-    met = rows.filter("_readable").join(known, F.col("object_name") == F.col("_known"), "left")
-    error = F.when(F.col("_known").isNull(), F.lit(ERR_UNKNOWN_OBJECT))
-    unread = rows.filter("not _readable")
-    return met.select(*FACTOR_COLUMNS, error.alias("error"), F.lit(False).alias("dry_run")).unionByName(
-        unread.select(*FACTOR_COLUMNS, F.lit(ERR_UNPARSEABLE).alias("error"), F.lit(False).alias("dry_run"))
-    )
+    met = rows.join(known, F.col("_name") == F.col("_known"), "left")
+    error = F.when(F.col("_name").startswith("\u0000"), F.lit(ERR_UNPARSEABLE)).when(F.col("_known").isNull(), F.lit(ERR_UNKNOWN_OBJECT))
+    return met.select(*FACTOR_COLUMNS, error.alias("error"), F.lit(False).alias("dry_run"))
 
 
 def _size(lists: Column | str) -> Column:
@@ -124,14 +123,13 @@ def counts(factor_rows: DataFrame) -> DataFrame:
     groups).  So groups are written out, privileges are not, and what is shuffled
     is two 64-bit hashes of the three parts, combined before.
     """
-    n, none = _size("groups") * _size("privileges"), F.lit(0).cast("long")
-    grant = F.col("grant_type") == "GRANT"
-    parts = ["total", "distinct_statements", "grants", "revokes"]
-    pairs = factor_rows.select(n.alias("total"), none.alias("distinct_statements"), F.when(grant, n).alias("grants"), F.when(F.col("grant_type") == "REVOKE", n).alias("revokes"))
     said = ["grant_type", "object_type", "object_name", "user_group"]
-    by = factor_rows.select(*said[:3], F.explode(F.array_distinct("groups")).alias("user_group"), "privileges")
-    keyed = by.select(F.xxhash64(*said).alias("h1"), F.xxhash64(F.lit("statement"), *reversed(said)).alias("h2"), "privileges")
-    union = _size(F.array_distinct(F.flatten(F.collect_set("privileges"))))
-    unions = keyed.groupBy("h1", "h2").agg(union.alias("distinct_statements"))
-    rows = pairs.unionByName(unions, allowMissingColumns=True).agg(*[F.coalesce(F.sum(c), none).alias(c) for c in parts])
-    return rows.withColumn("is_empty", F.col("total") == 0)
+    n = _size("privileges")
+    keyed = factor_rows.select(*said[:3], F.explode("groups").alias("user_group"), "privileges").select(
+        F.xxhash64(*said).alias("h1"), F.xxhash64(F.lit("statement"), *reversed(said)).alias("h2"), "privileges", n.alias("total"),
+        F.when(F.col("grant_type") == "GRANT", n).alias("grants"), F.when(F.col("grant_type") == "REVOKE", n).alias("revokes"),
+    )
+    union = _size(F.array_distinct(F.flatten(F.collect_set("privileges")))).alias("distinct_statements")
+    one = keyed.groupBy("h1", "h2").agg(union, *[F.sum(c).alias(c) for c in ("total", "grants", "revokes")])
+    out = [F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in ("total", "distinct_statements", "grants", "revokes")]
+    return one.agg(*out).withColumn("is_empty", F.col("total") == 0)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grantweave.functions import comma_items, short_object_name
+from grantweave.operators.numbering import CHUNK_NAMES, ordered_chunks
 from grantweave.operators.rules import stamp_ts
 from grantweave.operators.upsert import key_match, renamed
 
@@ -45,6 +46,19 @@ def _name_set(parsed: DataFrame, object_type: str, out: str) -> DataFrame:
     )
 
 
+def name_chunks(parsed: DataFrame, object_type: str, size: int = CHUNK_NAMES) -> DataFrame:
+    """The name lists of :func:`schema_keys` or :func:`table_keys` in chunks of at most ``size`` names.
+
+    (object_type, user_group, chunk, start, n, names): a group's chunks in order,
+    comma-joined, are its list; no task gathers more than a chunk, however many
+    names a group has.
+    """
+    own = F.col("object_type") == object_type
+    rows = parsed.filter(own & F.col("tag_values").isNull() if object_type == "SCHEMA" else own)
+    names = rows.select("object_type", "user_group", short_object_name(F.col("object_name"), object_type).alias("n_")).distinct()
+    return ordered_chunks(names, ["object_type", "user_group"], "n_", size)
+
+
 def schema_keys(parsed: DataFrame) -> DataFrame:
     """Tag keys plus, for untagged SCHEMA rows, the sorted set of short names."""
     untagged = parsed.filter((F.col("object_type") == "SCHEMA") & F.col("tag_values").isNull())

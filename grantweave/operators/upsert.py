@@ -47,7 +47,12 @@ def invalid_keys(incoming: DataFrame, eq: list[str] = UPSERT_EQ_KEYS) -> Column:
 
 
 def upsert(target: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Insert incoming rows whose key is not in ``target``; keep target as is.
+    """``target`` with the incoming rows whose key it does not have (:func:`new_rows`)."""
+    return target.unionByName(new_rows(target, incoming))
+
+
+def new_rows(target: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The incoming rows that an upsert inserts: those whose key is not in ``target``.
 
     A matched row only re-sets its key columns to equal values, so matches
     leave the target unchanged.  Incoming rows with a null '=' key are left
@@ -72,15 +77,15 @@ def upsert(target: DataFrame, incoming: DataFrame) -> DataFrame:
     i = valid.select(*keys, F.lit(False).alias("_t"), order.alias("_ord"), *others)
     winner = [F.min_by(c, "_ord").alias(c) for c in others]
     g = t.unionByName(i).groupBy(*keys).agg(F.max("_t").alias("_in_target"), *winner)
-    return target.unionByName(g.filter(~F.col("_in_target")).select(*cols))
+    return g.filter(~F.col("_in_target")).select(*cols)
 
 
-def upsert_rejects(incoming: DataFrame) -> DataFrame:
+def upsert_rejects(incoming: DataFrame, copies: DataFrame | None = None) -> DataFrame:
     """Every incoming row left out of an upsert: null '=' keys and duplicate keys.
 
     Duplicates are listed by their own ids; those that share the kept row's id,
     or have none, are one row per merge key with their number
-    (:func:`uncounted_duplicates`).
+    (``copies``, by default :func:`uncounted_duplicates`).
     """
     keys = UPSERT_EQ_KEYS + UPSERT_NULLSAFE_KEYS
     nulls = incoming.filter(invalid_keys(incoming)).select(
@@ -96,7 +101,15 @@ def upsert_rejects(incoming: DataFrame) -> DataFrame:
         F.lit("upsert").alias("stage"), "acl_id", F.col("_keep").cast("string").alias("value"),
         F.lit("duplicate key in sheet").alias("reason"),
     )
-    return nulls.unionByName(dups).unionByName(uncounted_duplicates(incoming))
+    return nulls.unionByName(dups).unionByName(uncounted_duplicates(incoming) if copies is None else copies)
+
+
+def copies_of(table: DataFrame, incoming: DataFrame) -> DataFrame:
+    """:func:`uncounted_duplicates` with the (smallest) id that ``table`` has for the merge key."""
+    keys = UPSERT_EQ_KEYS + UPSERT_NULLSAFE_KEYS
+    counted = renamed(_copies(incoming), keys).drop("acl_id")
+    found = table.join(counted, key_match(UPSERT_EQ_KEYS, UPSERT_NULLSAFE_KEYS)).groupBy(*keys, "_copies").agg(F.min("acl_id").alias("acl_id"))
+    return found.select(F.lit("upsert").alias("stage"), "acl_id", F.col("_copies").cast("string").alias("value"), F.lit(REASON_COPIES).alias("reason"))
 
 
 def uncounted_duplicates(incoming: DataFrame) -> DataFrame:
@@ -107,15 +120,20 @@ def uncounted_duplicates(incoming: DataFrame) -> DataFrame:
     value the number of copies beside the inserted row.  Both aggregates combine
     map-side, so a hot key costs one slim row per task.
     """
+    return _copies(incoming).select(
+        F.lit("upsert").alias("stage"), "acl_id", F.col("_copies").cast("string").alias("value"),
+        F.lit(REASON_COPIES).alias("reason"),
+    )
+
+
+def _copies(incoming: DataFrame) -> DataFrame:
+    """(*keys, acl_id, _copies) of the merge keys with rows that have no id of their own."""
     keys = UPSERT_EQ_KEYS + UPSERT_NULLSAFE_KEYS
     per_id = incoming.filter(~invalid_keys(incoming)).groupBy(*keys, "acl_id").agg(F.count("*").alias("_n"))
     without = F.coalesce(F.sum(F.when(F.col("acl_id").isNull(), F.col("_n"))), F.lit(0))
     kept = F.coalesce(F.min_by("_n", "acl_id"), F.lit(0))
     per_key = per_id.groupBy(*keys).agg(F.min("acl_id").alias("acl_id"), (kept + without - 1).alias("_copies"))
-    return per_key.filter("_copies > 0").select(
-        F.lit("upsert").alias("stage"), "acl_id", F.col("_copies").cast("string").alias("value"),
-        F.lit(REASON_COPIES).alias("reason"),
-    )
+    return per_key.filter("_copies > 0")
 
 
 def expire_apply(mapping: DataFrame, bu: str, as_of=None, stamp=None, match: str = "own") -> DataFrame:

@@ -3,7 +3,8 @@
 read sheet -> reject what cannot be read -> stamp -> upsert into the unit's
 rows -> replace the unit's partition.  Every row of the sheet is inserted, matches
 a stored one, or is accounted for in the rejects.  Whether a table is stored at the path
-decides between a first load and a merge; both leave out the same rows.  Only
+decides between a first load and a merge; both leave out the same rows.  New
+rows of a sheet without ids get the unit's next ones; stored rows keep theirs.  Only
 the sheet's unit is read and written: ``bu`` is part of the merge key.
 """
 
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantweave.operators import upsert
+from grantweave.operators import numbering, upsert
 from grantweave.session import materialize
 from grantweave.sources import mapping
 
@@ -31,14 +32,23 @@ class IngestResult:
 def ingest_sheet(spark: SparkSession, sheet_root: str, bu: str, table_path: str, fmt: str = "csv", processed=None) -> IngestResult:
     sheet = mapping.read_sheet(spark, mapping.sheet_path(sheet_root, bu), fmt)
     incoming = mapping.stamp(sheet, bu, processed)
-    rejects = mapping.sheet_rejects(sheet).unionByName(upsert.upsert_rejects(incoming))
-    duplicates = upsert.uncounted_duplicates(incoming)
     created = not mapping.table_exists(spark, table_path)
+    target = None if created else mapping.read_table(spark, table_path).filter(F.col("bu") == F.lit(bu))
+    fresh = materialize(upsert.new_rows(incoming.limit(0) if created else target, incoming), "new_rules")
+    ids = mapping.UnitIds(spark, table_path, bu)
+    unnumbered = fresh.filter(F.col("acl_id").isNull())
+    n = unnumbered.count()
+    given = numbering.numbered(unnumbered, ids.next_id(target)) if n else unnumbered
+    fresh = fresh.filter(F.col("acl_id").isNotNull()).unionByName(given.select(*fresh.columns))
     if created:
-        mapping.write_table(upsert.upsert(incoming.filter(F.lit(False)), incoming), table_path)
+        mapping.write_table(fresh, table_path)
     else:
-        target = mapping.read_table(spark, table_path).filter(F.col("bu") == F.lit(bu))
-        merged = materialize(upsert.upsert(target, incoming), "acl_mapping")  # the unit is read until here
+        merged = materialize(target.unionByName(fresh), "acl_mapping")  # the unit is read until here
         mapping.replace_units(merged, table_path)
+    if n:
+        ids.raise_by(n)
     spark.catalog.refreshByPath(table_path)
-    return IngestResult(mapping.read_table(spark, table_path), table_path, rejects, created, duplicates)
+    table = mapping.read_table(spark, table_path)
+    duplicates = upsert.copies_of(table.filter(F.col("bu") == F.lit(bu)), incoming)
+    rejects = mapping.sheet_rejects(sheet).unionByName(upsert.upsert_rejects(incoming, duplicates))
+    return IngestResult(table, table_path, rejects, created, duplicates)

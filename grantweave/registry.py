@@ -21,7 +21,7 @@ from grantweave.plans.ingest import ingest_sheet
 from grantweave.plans.jobs import run_mask_job, run_tag_job
 from grantweave.plans.generate import RULE_COLUMNS, active_rules, checked_rules, generate_factors, rule_factors, statement_rules
 from grantweave.session import materialize, scratch_path
-from grantweave.sources import config, environment, mapping
+from grantweave.sources import calendar, config, environment, mapping
 from grantweave.sources import testdata as td
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -318,6 +318,20 @@ def q_tracking_table_keys(spark, d):
     return tracking.table_keys(applied_by_group(spark, d))
 
 
+#: Names a chunk holds in the two keys below.
+TRACKING_CHUNK = 5
+
+
+@register("tracking_schema_chunks")
+def q_tracking_schema_chunks(spark, d):
+    return tracking.name_chunks(applied_by_group(spark, d), "SCHEMA", TRACKING_CHUNK)
+
+
+@register("tracking_table_chunks")
+def q_tracking_table_chunks(spark, d):
+    return tracking.name_chunks(applied_by_group(spark, d), "TABLE", TRACKING_CHUNK)
+
+
 @register("tracking_short_names")
 def q_tracking_short_names(spark, d):
     t = td.tracking_names(spark, d)
@@ -363,6 +377,16 @@ def q_acl_expire_apply_keyed(spark, d):
     return x.select("acl_id", "bu", "grant_type", F.col("updated_datetime").isNotNull().alias("stamped"))
 
 
+@register("acl_expire_calendar")
+def q_acl_expire_calendar(spark, d):
+    """The same as ``acl_expire_apply``, in place in a table stored as an expiry calendar."""
+    path = scratch_path(spark, "calendar")
+    calendar.write_calendar(td.acl_mapping(spark, d), path)
+    calendar.expire(spark, path, td.BU, td.AS_OF, td.STAMP)
+    x = calendar.read_calendar(spark, path)
+    return x.select("acl_id", "bu", "grant_type", F.col("updated_datetime").isNotNull().alias("stamped"))
+
+
 @register("tracking_stamp_schema")
 def q_tracking_stamp_schema(spark, d):
     return _stamped(tracking.stamp_schema_rows(td.acl_mapping_rough(spark, d), applied_by_group(spark, d), td.STAMP))

@@ -8,7 +8,6 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from grantweave import schemas
 from grantweave.operators.rules import stamp_ts
-from grantweave.operators.upsert import UPSERT_EQ_KEYS, UPSERT_NULLSAFE_KEYS
 
 SHEET_COLUMNS = [f.name for f in schemas.MAPPING_SHEET.fields]
 REASON_DATE = "access_until is not a date"
@@ -44,12 +43,6 @@ def read_sheet(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     return df if "acl_id" in header else df.select(F.lit(None).cast("long").alias("acl_id"), "*")
 
 
-def _row_id(bu: str):
-    """An id from the unit and the row's merge key: stable, and of its own in every unit."""
-    keys = [c for c in UPSERT_EQ_KEYS + UPSERT_NULLSAFE_KEYS if c != "bu"]
-    return F.xxhash64(F.lit(bu), F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
-
-
 def _date(c: str):
     """A ``yyyy-MM-dd`` text as a date; null for anything else."""
     return F.when(F.col(c).rlike(_DATE), F.try_to_date(F.col(c)))
@@ -60,7 +53,10 @@ def _readable():
 
 
 def stamp(sheet: DataFrame, bu: str, processed=None) -> DataFrame:
-    """Engine shape of the readable rows: ids, dates, ingest stamps, bu.
+    """Engine shape of the readable rows: dates, ingest stamps, bu.
+
+    Rows of a sheet without ids have none yet: they get one when they are
+    stored (:class:`UnitIds`).
 
     Malformed lines and rows whose ``access_until`` is no ``yyyy-MM-dd`` date
     stay out (a grant must not become permanent because its end could not be
@@ -68,7 +64,7 @@ def stamp(sheet: DataFrame, bu: str, processed=None) -> DataFrame:
     """
     ok = sheet.filter(_readable()) if schemas.MALFORMED in sheet.columns else sheet
     return ok.select(
-        F.coalesce("acl_id", _row_id(bu)).alias("acl_id"),
+        "acl_id",
         *[c for c in SHEET_COLUMNS if c not in ("acl_id", "access_until")],
         _date("access_until").alias("access_until"),
         F.lit(bu).cast("string").alias("bu"),
@@ -110,6 +106,41 @@ def write_table(mapping: DataFrame, path: str) -> None:
     mapping.write.mode("errorifexists").partitionBy("bu").parquet(path)
 
 
+class UnitIds:
+    """Ids of a mapping table's units: the unit's number above ``BITS`` bits, a count below.
+
+    The table's ids of each unit have a high-water mark, stored beside the table
+    and only ever raised, so an id is never given twice, even after its row is
+    gone.  A run that ends between the table and the mark is made good by the
+    ids in the table.  One ingest of a table at a time, as for the table itself.
+    """
+
+    BITS = 40
+    SCHEMA = "bu string, unit long, mark long"
+
+    def __init__(self, spark: SparkSession, table_path: str, bu: str):
+        self.spark, self.path, self.bu = spark, f"{table_path.rstrip('/')}__ids", bu
+        marks = spark.read.schema(self.SCHEMA).parquet(self.path) if table_exists(spark, self.path) else spark.createDataFrame([], self.SCHEMA)
+        own = F.col("bu") == F.lit(bu)
+        row = marks.agg(F.max(F.when(own, F.col("unit"))).alias("unit"), F.max(F.when(own, F.col("mark"))).alias("mark"), F.max("unit").alias("last")).first()
+        self.unit = row["unit"] if row["unit"] is not None else (row["last"] or 0) + 1
+        self.mark = row["mark"] or 0
+
+    def next_id(self, stored: DataFrame | None) -> int:
+        """The id after the unit's mark and all ids of its stored rows."""
+        top = None
+        if stored is not None:
+            mine = F.shiftright("acl_id", self.BITS) == F.lit(self.unit)
+            top = stored.agg(F.max(F.when(mine, F.col("acl_id").bitwiseAND(F.lit((1 << self.BITS) - 1))))).first()[0]
+        self.mark = max(self.mark, top or 0)
+        return (self.unit << self.BITS) + self.mark + 1
+
+    def raise_by(self, n: int) -> None:
+        """Store the mark after ``n`` more ids."""
+        self.mark += n
+        self.spark.createDataFrame([(self.bu, self.unit, self.mark)], self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+
+
 def replace_units(mapping: DataFrame, path: str) -> None:
     """Replace only the business units that ``mapping`` holds.
 

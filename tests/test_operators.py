@@ -453,3 +453,13 @@ def test_ledger_takes_any_id(spark):
     s = spark.createDataFrame([(i, "P", "T", o, "g", t) for i, o, t in rows], cols)
     old = spark.createDataFrame([("P", "T", "z", "g")], cols.replace("acl_id long, ", "").replace(", grant_type string", ""))
     assert {r["object_name"] for r in ledger.apply_statements(old, s).collect()} == {"a", "c", "d", "e", "z"}
+
+
+def test_default_clock(spark):
+    """Without a date or stamp, today and now decide."""
+    m = mapping(spark, [{"access_until": dt.date(2000, 1, 1)}, {"access_until": dt.date.today() + dt.timedelta(days=2)}, {"access_until": None}])
+    flipped = {r["acl_id"]: (r["grant_type"], r["updated_datetime"]) for r in rules.expire(rules.active_grants(m, "B")).collect()}
+    assert [flipped[i][0] for i in (1, 2, 3)] == ["REVOKE", "GRANT", "GRANT"]
+    assert all(abs(t - dt.datetime.now()) < dt.timedelta(days=1, minutes=5) for _, t in flipped.values())
+    own = {r["acl_id"]: (r["grant_type"], r["updated_datetime"] is not None) for r in upsert.expire_apply(m, "B").collect()}
+    assert own == {1: ("REVOKE", True), 2: ("GRANT", False), 3: ("GRANT", False)}
