@@ -31,37 +31,40 @@ def no_privileges(rule_rows: DataFrame) -> DataFrame:
     return _reject(rule_rows.filter(F.size("privileges") == 0), "privileges", value, REASON_NO_PRIVILEGES)
 
 
-_FOUND_T = "array<struct<stage:string,value:string,reason:string>>"
+_FOUND_T = "array<struct<stage:string,value:string,reason:string,source:string,ref:string,want:int>>"
 
 
-def _found(stage: str, value, reason):
-    reason = F.lit(reason) if isinstance(reason, str) else reason
-    return F.struct(F.lit(stage).alias("stage"), value.cast("string").alias("value"), reason.alias("reason"))
+def _found(stage: str, value, reason: str | None, source=None, want=None):
+    """What is wrong with a rule; of a ref the reason is not known yet."""
+    ref = F.lit(None).cast("string") if source is None else value
+    parts = [F.lit(stage), value.cast("string"), F.lit(reason).cast("string"), F.lit(None).cast("string") if source is None else source, ref, F.lit(None).cast("int") if want is None else want]
+    return F.struct(*[p.alias(n) for p, n in zip(parts, ("stage", "value", "reason", "source", "ref", "want"))])
 
 
 def rule_rejects(rule_rows: DataFrame, schema_tags: DataFrame, catalog_mapping: DataFrame, env: str) -> DataFrame:
     """All rejects of one generation run, from the checked rules (``plans.generate.checked_rules``).
 
-    What is wrong with a rule is gathered as a list beside it, so that its own
-    rejects take one pass: a null mandatory column alone, else groups that no
-    statement can quote, no privileges, refs that do not resolve, and the advice
-    on tags that resolve to schemas on other types (kept as coded).  Refs and
-    advice are only reported for rules that reach object resolution.  Tagged
-    objects whose name no statement can hold come through the tag join.
+    What is wrong with a rule, or may be with its refs, is gathered as a list
+    beside it, so that its own rejects take one pass: a null mandatory column
+    alone, else groups that no statement can quote, no privileges, refs that do
+    not resolve, and the advice on tags that resolve to schemas on other types
+    (kept as coded).  Refs and advice are only reported for rules that reach
+    object resolution.  Tagged objects whose name no statement can hold come
+    through the tag join.
     """
     none = F.array().cast(_FOUND_T)
     whole = F.col("missing").isNull()
     makes = whole & (F.size("privileges") > 0)
-    refs = F.filter(resolve.all_refs(), lambda x: x["status"] != resolve.STATUS_OK)
     mismatch = makes & F.col("tags").isNotNull() & (F.col("object_type") != "SCHEMA")
     found = F.concat(
         F.when(~whole, F.array(_found("validate", F.col("missing"), REASON_NULL))).otherwise(none),
         F.when(whole, F.transform("bad_groups", lambda g: _found("validate", g, REASON_BACKTICK))).otherwise(none),
         F.when(whole & ~makes, F.array(_found("privileges", F.concat_ws("/", "permission_group", "object_type"), REASON_NO_PRIVILEGES))).otherwise(none),
-        F.when(makes, F.transform(refs, lambda x: _found("resolve", x["ref"], x["status"]))).otherwise(none),
+        F.when(makes, F.transform(resolve.all_refs(), lambda x: _found("resolve", x["ref"], None, x["source"], x["want"]))).otherwise(none),
         F.when(mismatch, F.array(_found("advice", F.col("object_type"), REASON_TYPE_MISMATCH))).otherwise(none),
     )
-    own = resolve.with_catalogs(rule_rows, catalog_mapping, env).select("acl_id", F.inline(found))
+    own = resolve.with_status(rule_rows.select("acl_id", F.inline(found)), catalog_mapping, env)
+    own = own.withColumn("reason", F.coalesce("reason", "status")).filter(F.col("reason") != resolve.STATUS_OK)
     tagged = resolve.resolve_tags(rule_rows.filter(makes), schema_tags, fits=False)
     return own.select("stage", "acl_id", "value", "reason").unionByName(_reject(tagged, "resolve", F.col("object_name"), resolve.STATUS_BAD_NAME))
 

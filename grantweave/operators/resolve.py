@@ -20,7 +20,7 @@ RULES_PER_SALT = 1_000
 # Distinct tag lists that share an item and are joined to its objects by one task.
 LISTS_PER_SALT = 100
 
-_REF_T = "array<struct<source:string,pos:int,ref:string,object_name:string,status:string>>"
+_REF_T = "array<struct<source:string,pos:int,ref:string,want:int>>"
 
 
 def stored_tag_items(schema_tags: DataFrame, fits: bool = True) -> DataFrame:
@@ -121,40 +121,34 @@ def resolve_tags(rules: DataFrame, schema_tags: DataFrame, keep: list[str] | Non
     return pairs.select("acl_id", *[F.col("tag_key").alias(c) if c == "tag_values" else F.col(c) for c in keep], "object_name")
 
 
-def with_catalogs(rules: DataFrame, catalog_mapping: DataFrame, env: str) -> DataFrame:
-    """``rules`` with column ``catalogs``: the env's prefix -> catalog map (null if it has none).
-
-    The map is configuration, one entry per prefix of the environment.
-    """
-    own = catalog_mapping.filter((F.col("env") == F.lit(env)) & present("catalog"))
-    one = own.groupBy("env", "prefix").agg(F.min("catalog").alias("catalog"))
-    one = one.groupBy("env").agg(F.map_from_entries(F.collect_list(F.struct("prefix", "catalog"))).alias("catalogs"))
-    joined = rules.withColumn("_env", F.lit(env)).join(broadcast_if_literal(one, made_from=catalog_mapping).withColumnRenamed("env", "_e"), F.col("_env") == F.col("_e"), "left")
-    return joined.drop("_env", "_e")
-
-
-def ref_items(source: str, refs: str, want: int) -> Column:
-    """The refs of one list column as structs (source, pos, ref, object_name, status); needs column ``catalogs``."""
-    bad_shape = STATUS_BAD_SCHEMA if source == SOURCE_SCHEMA else STATUS_BAD_TABLE
-
-    def one(ref: Column, pos: Column) -> Column:
-        parts = dotted(ref)
-        catalog = F.try_element_at("catalogs", F.get(parts, F.lit(0)))
-        name = F.concat(catalog, F.lit("."), F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), "."))
-        status = (
-            F.when(F.size(parts) != want, F.lit(bad_shape))
-            .when(catalog.isNull(), F.lit(STATUS_NO_PREFIX))
-            .when(~fits_name(name), F.lit(STATUS_BAD_NAME))
-            .otherwise(F.lit(STATUS_OK))
-        )
-        return F.struct(F.lit(source).alias("source"), pos.alias("pos"), ref.alias("ref"), F.when(status == STATUS_OK, name).alias("object_name"), status.alias("status"))
-
+def _ref_items(source: str, refs: str, want: int) -> Column:
+    one = lambda x, i: F.struct(F.lit(source).alias("source"), i.alias("pos"), x.alias("ref"), F.lit(want).alias("want"))
     return F.coalesce(F.transform(refs, one), F.array().cast(_REF_T))
 
 
 def all_refs() -> Column:
-    """Every ref of a rule with its resolution; needs column ``catalogs``."""
-    return F.concat(ref_items(SOURCE_SCHEMA, "schema_refs", 2), ref_items(SOURCE_TABLE, "table_refs", 3))
+    """Every schema and table ref of a rule as structs (source, pos, ref, want: its number of parts)."""
+    return F.concat(_ref_items(SOURCE_SCHEMA, "schema_refs", 2), _ref_items(SOURCE_TABLE, "table_refs", 3))
+
+
+def with_status(refs: DataFrame, catalog_mapping: DataFrame, env: str) -> DataFrame:
+    """Rows of refs (source, ref, want) with ``object_name`` (null unless ok) and ``status``."""
+    refs = refs.withColumn("_parts", dotted("ref"))
+    cat = catalog_mapping.filter((F.col("env") == F.lit(env)) & present("catalog")).select(
+        F.col("prefix").alias("_prefix"), F.col("catalog").alias("_catalog")
+    )
+    joined = refs.join(broadcast_if_literal(cat, made_from=catalog_mapping), F.get(F.col("_parts"), 0) == F.col("_prefix"), "left")
+    shape_ok = F.size("_parts") == F.col("want")
+    name = F.concat(F.col("_catalog"), F.lit("."), F.array_join(F.slice("_parts", 2, F.greatest(F.size("_parts") - 1, F.lit(0))), "."))
+    status = (
+        F.when(~shape_ok & (F.col("source") == SOURCE_SCHEMA), F.lit(STATUS_BAD_SCHEMA))
+        .when(~shape_ok, F.lit(STATUS_BAD_TABLE))
+        .when(F.col("_catalog").isNull(), F.lit(STATUS_NO_PREFIX))
+        .when(~fits_name(name), F.lit(STATUS_BAD_NAME))
+        .otherwise(F.lit(STATUS_OK))
+    )
+    named = joined.withColumn("status", status).withColumn("object_name", F.when(F.col("status") == STATUS_OK, name))
+    return named.drop("_parts", "_prefix", "_catalog")
 
 
 def resolve_refs(rules: DataFrame, catalog_mapping: DataFrame, env: str, keep: list[str] | None = None) -> DataFrame:
@@ -166,7 +160,8 @@ def resolve_refs(rules: DataFrame, catalog_mapping: DataFrame, env: str, keep: l
     name must be one that the statement grammar can hold, so that no reference
     can say more than an object's name.
     """
-    return with_catalogs(rules, catalog_mapping, env).select("acl_id", *(keep or []), F.inline(all_refs()))
+    refs = rules.select("acl_id", *(keep or []), F.inline(all_refs()))
+    return with_status(refs, catalog_mapping, env).select("acl_id", *(keep or []), "source", "pos", "ref", "object_name", "status")
 
 
 def resolve_objects(
