@@ -22,8 +22,8 @@ share one follow the digest of role and text, and repeated rows are all turns; a
 null role or text is empty; rows without a conv_id belong to no conversation; a
 conversation that loses all its turns ends at the root; ids may be negative
 (``%`` keeps the sign, as in SQL) and any long; an empty table has no root;
-extra columns are not read.  All turn digests of one conversation, about 0.2 kB
-a turn, are held by one task.
+extra columns are not read.  The nodes of one conversation, about 0.6 kB a
+turn, are held by one task.
 """
 
 from __future__ import annotations
