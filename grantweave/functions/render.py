@@ -115,24 +115,30 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _made_of(c: Column, chars: str) -> Column:
+    """Whether a text consists of ``chars``; the slower Unicode classes only where it is not ASCII."""
+    ascii_only = F.length(c) == F.octet_length(c)
+    return F.when(ascii_only, c.rlike(f"^{chars}+\\z")).otherwise(c.rlike(f"(?U)^{chars}+\\z"))
+
+
 def fits_type(object_type: Column | str) -> Column:
     """Whether the grammar reads the text as an object type: one word."""
-    return _c(object_type).rlike(r"(?U)^\w+\z")
+    return _made_of(_c(object_type), r"\w")
 
 
 def fits_name(object_name: Column | str) -> Column:
     """Whether the grammar reads the text as an object name: words and dots, no blank and no quote."""
-    return _c(object_name).rlike(r"(?U)^[\w.]+\z")
+    return _made_of(_c(object_name), r"[\w.]")
 
 
 def fits_group(group: Column | str) -> Column:
     """Whether the text can stand between the quotes of a group."""
-    return _c(group).rlike(r"^[^`]+\z")
+    return (_c(group) != "") & ~_c(group).contains("`")
 
 
 def fits_privilege(privilege: Column | str) -> Column:
     """Whether the text can stand before ``ON``: one line without a quote."""
-    return _c(privilege).rlike("^[^`\\n\\r\\u0085\\u2028\\u2029]*\\z")
+    return ~_c(privilege).rlike("[`\\n\\r\\u0085\\u2028\\u2029]")
 
 
 def short_object_name(object_name: Column, object_type: str) -> Column:
